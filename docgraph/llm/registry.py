@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docgraph.llm import quality_rules, simhash
+from docgraph.llm import bpe, decontaminate, quality_rules, simhash
 
-SPACES = r"\x20\x09-\x0D"
+#: The vocabulary file of op9 among the public tokenizers of the box.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash": op6_simhash,
+    "op9_bpe": op9_bpe,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 OP3_SQL = r"""
