@@ -21,7 +21,9 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,6 +35,8 @@ from docgraph.llm.common import map_slices
 REMEMBERED_BYTES = 64
 #: Remembered pieces of a worker in each of two generations; when the young one is full it becomes the old.
 MEMORY = 300_000
+#: Ids that the decoder feeds to its state machine at a time.
+DECODE_IDS = 4096
 #: Bytes after which a long piece's final tokens are emitted.
 EMIT_EVERY = 256
 #: The characters of the Unicode property White_Space, and the pre-tokenizer's pattern.
@@ -56,7 +60,7 @@ class Bpe:
         self.ids = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items()}
         self.bytes = {i: token for token, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.special_bytes = {i: s.encode() for s, i in self.special.items()}
+        self.bytes |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
         spell = {token: bytes(letters[c] for c in token) for token in model["model"]["vocab"]}
@@ -167,18 +171,20 @@ class Bpe:
         for part in parts:
             if part in self.special:
                 i = self.special[part]
-                yield str(i), 1, self.special_bytes[i]
+                yield str(i), 1, self.bytes[i]
             else:
                 for p in _PIECE.findall(part):
                     yield self.pieces.get(p) or piece(p)
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, n, _ in self.chunks(text or "") if n for i in ids.split(",")]
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.fromstring(",".join([g[0] for g in self.chunks(text or "") if g[1]]), np.int32, sep=",")
 
     def decode(self, ids: Iterable[int]) -> str:
         """Ids to text through the incremental byte-to-text state machine."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        out = [machine.decode(self.special_bytes.get(i) or self.bytes[i]) for i in ids]
+        todo, out = iter(ids), []
+        while part := b"".join([self.bytes[i] for i in islice(todo, DECODE_IDS)]):
+            out.append(machine.decode(part))
         return "".join([*out, machine.decode(b"", True)])
 
     def digest(self, text: str) -> tuple[int, str, str]:
@@ -223,16 +229,21 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return map_slices(slim, "text", step, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with the ids of the text as an array<int> column ``to``."""
+def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns (all but the text if None), ids array<int>, n_tokens, and decoded_sha256 of the ids' text."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer(path))
+    fields = [f for f in docs.schema.fields if (f.name in keep if keep is not None else f.name != text_col)]
+    names = [f.name for f in fields]
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         bpe = _bpe(path, sent.value)
         ids = [bpe.encode(t) for t in part.column(text_col).to_pylist()]
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, to])
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
+        shas = [hashlib.sha256(bpe.decode(i.tolist()).encode()).hexdigest() for i in ids]
+        return pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(np.diff(ends).astype(np.int64)), pa.array(shas, pa.string())], names=[*names, "ids", "n_tokens", "decoded_sha256"])
 
-    return map_slices(docs, text_col, step, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{to}` array<int>"]))
+    return map_slices(docs, text_col, step, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["ids array<int>, n_tokens bigint, decoded_sha256 string"]))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", to: str = "text") -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docgraph.llm import bpe, decontaminate, quality_rules, simhash
+from docgraph.llm import bpe, decontaminate, quality_rules, secrets, simhash
 
 #: The vocabulary file of op9 among the public tokenizers of the box.
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +20,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -33,6 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
