@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import bpe, decontaminate, quality_rules, secrets, simhash
+from docgraph.llm import bpe, decontaminate, pages_cut, quality_rules, secrets, simhash
 
 #: The vocabulary file of op9 among the public tokenizers of the box.
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_cut.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
+    "op8_extract": op8_extract,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
