@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import bpe, decontaminate, pages_cut, quality_rules, secrets, simhash
+from docgraph.llm import bpe, decontaminate, pages_cut, pii, quality_rules, secrets, simhash
 
 #: The vocabulary file of op9 among the public tokenizers of the box.
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_cut.extract(_table(spark, sf_dir, "pages"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_extract": op8_extract,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
