@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import bpe, decontaminate, pages_cut, pii, quality_rules, secrets, simhash
+from docgraph.llm import bpe, decontaminate, pages_cut, pii, quality_fm, quality_rules, secrets, simhash
 
 #: The vocabulary file of op9 among the public tokenizers of the box.
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -48,6 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_fm": op4_quality_fm,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
