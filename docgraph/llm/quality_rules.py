@@ -26,7 +26,7 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINES_PERCENT = 2
 #: A host whose shrunk failure rate is at least this many percent gets the strict rules.
-HOST_PERCENT = 30
+HOST_PERCENT = 10
 #: Hosts up to this number are broadcast (their verdicts take a few dozen bytes each); more are shuffled.
 BROADCAST_HOSTS = 100_000
 

@@ -83,7 +83,7 @@ j AS (
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR strict_failed) AS f FROM j GROUP BY source),
 m AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
 k AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) ELSE 1.0 END AS k FROM m),
-bad AS (SELECT source, (f + m * k) / (n + k) * 100 >= 30 AS bad FROM h, k)
+bad AS (SELECT source, (f + m * k) / (n + k) * 100 >= 10 AS bad FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (bad AND strict_failed) AS kept
 FROM j JOIN bad ON j.source IS NOT DISTINCT FROM bad.source
