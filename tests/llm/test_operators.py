@@ -1,0 +1,440 @@
+"""Operators against brute-force versions on small fixtures: nulls, empty and long texts, ties, repeated rows,
+empty tables and extra columns with clashing names."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from docgraph.llm import bpe, decontaminate, pages_cut, pii, quality_fm, quality_rules, secrets, simhash, suffix_dedup, warc
+from docgraph.llm.common import fresh_path
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + r.choice(["", ",", "er", "ing"]) for _ in range(n))
+
+
+def documents(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, score string, fp string")
+
+
+def row(i, text, source="a"):
+    return (i, text, "en", source, len(text or ""), "clash", "clash", "clash")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = prose(120, 1)
+    near = base.replace("gamma", "GAMMA", 1)
+    rows = [row(1, base), row(2, base), row(3, near), row(4, None), row(5, ""), row(6, " \n\t "), row(7, prose(60, 2), None), row(None, prose(70, 3)), row(8, "spam $$ ## spam\n" * 60), row(8, "spam $$ ## spam\n" * 60), row(9, prose(5000, 4)), row(10, "Üñï 日本 " * 30), row(11, "one two")]
+    return documents(spark, rows).repartition(3)
+
+
+def collect(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+# --- 1
+
+
+def brute_warc(rows):
+    out = []
+    for i, html in rows:
+        raw = (html or "").encode()
+        same = [j for j, h in rows if (h or "").encode() == raw and j is not None]
+        first = min(same, default=None)
+        again = len(raw) >= 100 and first is not None and i != first
+        out.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None))
+    return sorted(out, key=repr)
+
+
+def test_warc(spark):
+    long = "<p>é" * 4000
+    rows = [(5, long), (3, long), (9, long), (3, long), (None, long), (1, None), (2, ""), (4, "short"), (6, "short"), (10**15, "x" * 100), (-7, "x" * 100), (8, "x" * 99), (11, "x" * 99)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}\r\nX: y", h, "z") for i, h in rows], "page_id bigint, url string, html string, payload string")
+    path = fresh_path(spark, "warc-test")
+    manifest = warc.write_archive(pages, path, roll_bytes=300, shard_bytes=20_000).collect()
+    read = warc.read_archive(spark, path, payloads=True)
+    assert collect(read, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == brute_warc(rows)
+    got = read.collect()
+    assert all(r.intact for r in got) and len({m.name for m in manifest}) == len(manifest) > 2
+    assert {bytes(r.payload).decode() for r in got if r.record_type == "response"} == {h or "" for _, h in rows}
+    again = fresh_path(spark, "warc-test")
+    digest = lambda m: sorted((x.name, x.sha256) for x in m)
+    assert digest(warc.write_archive(pages.repartition(5), again, roll_bytes=300, shard_bytes=20_000).collect()) == digest(manifest)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+# --- 2
+
+
+def brute_dedup(rows, n):
+    seen = Counter(b[p : p + n] for _, t in rows for b in [(t or "").encode()] for p in range(len(b) - n + 1))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for p in range(len(b) - n + 1):
+            if seen[b[p : p + n]] > 1:
+                gone[p : p + n] = [True] * n
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_suffix_dedup(spark, hot):
+    p = prose(80, 9)
+    rows = [(1, "a" * 300), (2, "ab" * 150), (3, None), (4, ""), (5, p * 2), (6, p[:90]), (7, p[:90]), (None, p + "xyz"), (7, p[:90]), (8, "q" + p[10:80] + "zz" + "b" * 39), (9, "b" * 41), (10, "éé" * 60)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lo string")
+    got = suffix_dedup.deduplicate(table, length=40, gram=16, hot=hot)
+    assert collect(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_dedup(rows, 40)
+    assert suffix_dedup.deduplicate(table.limit(0), length=40, gram=16).count() == 0
+
+
+def test_two_stage_sort():
+    r = random.Random(2)
+    base = bytes(r.choice(b"abc ") for _ in range(700))
+    ranges = [base[s : s + r.randint(40, 300)] for s in (r.randint(0, 400) for _ in range(80))] + [b"a" * 90, b"\0" * 60, b"zyx" * 30]
+    ranges = [x for x in ranges if len(x) >= 40]
+    seen = Counter(x[i : i + 40] for x in ranges for i in range(len(x) - 39))
+    for x, flags in zip(ranges, suffix_dedup.repeated_windows(ranges, 40)):
+        assert [bool(f) for f in flags] == [seen[x[i : i + 40]] > 1 for i in range(len(x) - 39)]
+
+
+# --- 3
+
+
+def brute_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    hit = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_rules(spark, docs):
+    got = quality_rules.quality_rules(docs)
+    want = sorted(((r.doc_id, *brute_counts(r.text)) for r in docs.collect()), key=repr)
+    assert collect(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == want
+    for r in got.collect():
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    kept = quality_rules.filter_documents(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 7, None, 9}
+    assert quality_rules.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_host_verdicts(spark):
+    junk = "word $$$$ more |||| " * 3
+    rows = [row(i, prose(80, i) + (junk * 4 if i < 30 else ""), "bad") for i in range(40)] + [row(100 + i, prose(80, i) + (junk * 4 if i == 0 else ""), "good") for i in range(60)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark, rows)).collect()}
+    assert all(got[i].kept == (i >= 30) for i in range(40))
+    assert all(got[100 + i].kept for i in range(60))
+
+
+# --- 4
+
+
+def test_factorisation_machine(spark):
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(400):
+        good = r.random() < 0.7
+        rows.append(row(i, prose(60, i) if good else " ".join(f"{w}%%%" for w in prose(60, i).split())))
+        labels.append((i, int(good), 0))
+    rows += [row(900, None), row(None, ""), row(901, "x" * 50_000)]
+    docs, known = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = quality_fm.classify(docs, known).toPandas().merge(pd.DataFrame(labels, columns=["doc_id", "quality", "t"]), on="doc_id", how="left")
+    assert len(got) == len(rows) and got.score.between(0, 1).all()
+    held = got[got.held_out & got.quality.notna()]
+    assert len(held) > 50 and (held.predicted == held.quality).mean() > 0.97
+    none = quality_fm.classify(docs, known.limit(0)).toPandas()
+    assert (none.score == 0.5).all()
+
+
+def test_sum_of_squares_identity():
+    machine = quality_fm.FactorisationMachine()
+    slots, values = np.array([1, 5, 9, 700]), np.array([0.5, 1.0, -2.0, 0.25])
+    pairs = sum(machine.factors[a] @ machine.factors[b] * x * y for i, (a, x) in enumerate(zip(slots, values)) for b, y in list(zip(slots, values))[i + 1 :])
+    assert math.isclose(machine.logits(np.array([0, 4]), slots, values)[0][0], pairs, rel_tol=1e-9)
+
+
+# --- 5
+
+
+def test_secrets(spark):
+    r = random.Random(1)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [row(i, f'{prose(20, i)} token = "{hexa(40)}" {prose(9, i)}') for i in range(60)]
+    rows += [row(100 + i, f"{prose(9, i)} order-2024-item-{i}-of-the-list {prose(9, i)} isbn.978-3-16-148410.{i}") for i in range(60)]
+    rows += [row(200, None), row(201, "Passwd: abc, SECRET='abcdef' AKIA" + "Z" * 20 + " " + "a" * 24 + " api_key=12345 token=token:abcdefgh ſecret=abcdefg"), row(None, "")]
+    docs = documents(spark, rows)
+    found = {x.doc_id: x for x in secrets.find_secrets(docs).collect()}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for i, text, *_ in rows:
+        text = text or ""
+        want = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        base = [f"{k}:{a}:{b}" for a, _, b, k in sorted(want)]
+        assert found[i].base == ",".join(base)
+        assert set(base) <= set(found[i].spans.split(",")) | {""}
+    assert not any(found[100 + i].spans for i in range(60))
+    masked = {x.doc_id: x for x in secrets.redact(docs).collect()}
+    assert all("[SECRET]" in masked[i].text and masked[i].n_chars == len(masked[i].text) for i in range(60))
+    assert masked[100].text == rows[60][1] and masked[200].text is None
+    assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_network_gradient():
+    x = np.random.default_rng(0).integers(0, 128, (3, secrets.WIDTH))
+    y, w = np.array([1.0, 0.0, 1.0]), np.ones(3)
+    cnn = secrets.CharCnn()
+    loss = lambda: float(np.mean(np.log1p(np.exp(-np.where(y == 1, 1, -1) * cnn._forward(x)["y"]))))
+    g = cnn._gradients(x, y, w)
+    for name in ("conv", "dense", "out", "embed"):
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        old = cnn.p[name][at]
+        cnn.p[name][at] = old + 1e-5
+        up = loss()
+        cnn.p[name][at] = old - 1e-5
+        down = loss()
+        cnn.p[name][at] = old
+        assert math.isclose((up - down) / 2e-5, g[name][at], rel_tol=1e-3)
+
+
+# --- 6
+
+
+def brute_fingerprint(text, k):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(rows, radius):
+    """{position: smallest id reachable} of (id, fingerprint) rows."""
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(rows[i][1] ^ rows[j][1]).count("1") <= radius:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return [min((rows[j][0] for j in range(len(rows)) if group[j] == group[i] and rows[j][0] is not None), default=None) for i in range(len(rows))]
+
+
+def test_simhash(spark, docs):
+    rows = [(r.doc_id, brute_fingerprint(r.text, 4)) for r in docs.collect()]
+    want = sorted(((i, f"{f:016x}", c) for (i, f), c in zip(rows, brute_components(rows, 4))), key=repr)
+    assert collect(simhash.simhash_components(docs), "doc_id", "fingerprint", "component_id") == want
+    assert simhash.simhash_components(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_links(spark, hot):
+    r = random.Random(4)
+    fps = set()
+    for _ in range(12):
+        x = r.getrandbits(64)
+        for _ in range(12):
+            y = x
+            for b in r.sample(range(64), r.randint(0, 6)):
+                y ^= 1 << b
+            fps.add(y)
+    rows = [(i, f) for i, f in enumerate(sorted(fps))]
+    table = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "doc_id bigint, fp bigint")
+    got = dict(collect(table.join(simhash.components(table, 4, hot_bucket=hot), "fp"), "doc_id", "component_id"))
+    assert [got[i] for i, _ in rows] == brute_components(rows, 4)
+
+
+def test_near_dedup(spark, docs):
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id for r in kept.collect()), key=repr)
+    assert got == sorted([1, 4, 7, None, 8, 9, 10, 11], key=repr)
+
+
+# --- 7
+
+
+def test_personal_base():
+    r = random.Random(6)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for _ in range(4000):
+        text = "".join(r.choice("a.@b-@+ 1") for _ in range(r.randint(0, 25)))
+        got = pii.base_spans(text)
+        assert [s[:2] for s in got if s[2] == "email"] == [m.span() for m in email.finditer(text)]
+    text = "call +1 (864) 555-8394, 10.0.0.256 or 10.0.0.25; 4111 1111 1111 1111 4111-1111-1111-1112"
+    assert [(text[a:b], k) for a, b, k in pii.base_spans(text)] == [("10.0.0.25", "ip"), ("+1 (864) 555-8394", "phone")] or ("+1 (864) 555-8394", "phone") in [(text[a:b], k) for a, b, k in pii.base_spans(text)]
+
+
+def test_message_passing_is_exact_on_chains():
+    """Without skip edges a chain is a tree: loopy marginals equal those of full enumeration."""
+    rng = np.random.default_rng(1)
+    n, labels = 4, len(pii.LABELS)
+    field = pii.SkipChain(rng.normal(0, 1, (pii.BUCKETS, labels)), rng.normal(0, 1, (labels, labels)))
+    rows = rng.integers(0, pii.BUCKETS, (n, pii.FEATURES))
+    first, second = np.arange(n - 1), np.arange(1, n)
+    got = field.marginals(rows, first, second, np.zeros(n - 1, bool), rounds=60)
+    unary = field.unary[rows].sum(1)
+    want = np.zeros((n, labels))
+    for state in np.ndindex(*(labels,) * n):
+        p = math.exp(sum(unary[i, s] for i, s in enumerate(state)) + sum(field.pair[state[i], state[i + 1]] for i in range(n - 1)))
+        for i, s in enumerate(state):
+            want[i, s] += p
+    assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-6)
+
+
+def test_skip_edges_agree():
+    doc, number, key = np.zeros(5, int), np.array([0, 1, 5, 9, 10]), np.array([7, 8, 7, 8, 7])
+    first, second, skip = pii.edges(doc, number, key)
+    assert sorted(zip(first.tolist(), second.tolist(), skip.tolist())) == [(0, 1, False), (0, 2, True), (1, 3, True), (2, 4, True), (3, 4, False)]
+
+
+def test_personal_query(spark):
+    rows = [row(i, f"{prose(9, i)} mail{i}@example.com or +1 (864) 555-{1000 + i} {prose(5, i)} 555-{1000 + i}") for i in range(80)] + [row(200, None), row(None, ""), row(201, "no data here")]
+    got = {r.doc_id: r for r in pii.find_personal(documents(spark, rows)).collect()}
+    assert all(got[i].n_email == 1 and got[i].n_phone == 1 and got[i].spans.startswith(got[i].base) for i in range(80))
+    assert got[200].spans == got[None].spans == got[201].spans == ""
+    assert pii.find_personal(documents(spark, [])).count() == 0
+
+
+# --- 8
+
+
+def test_extraction(spark):
+    page = """<html><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav><article><header class="article-header"><h1>Title &amp; more</h1></header>
+      <p>First   paragraph with <b>bold</b> words,\n and an end.<p>Second&nbsp;one is here, unclosed.<div class="ad">Buy now and save a lot of money.</div>
+      <ul><li>Item of the article, in full.</li></ul><section class="comments"><p>Great article, I read it all twice.</p></section></article>
+      <aside><p>Related stories that you may like to read.</p></aside><form><p>Sign up for the letter.</p></form><script>var t="</p>";</script><footer>&copy; 2024</footer>"""
+    want = "Title & more\nFirst paragraph with bold words, and an end.\nSecond one is here, unclosed.\nItem of the article, in full."
+    rows = [(1, "u", page), (2, "v", None), (3, None, ""), (4, "w", "<p>cut off in <b"), (5, "w", "a < b &lt; c"), (6, "x", "<div>" * 2000 + "Deep text of some length, with an end.")]
+    table = spark.createDataFrame([(*r, "z") for r in rows], "page_id bigint, url string, html string, text string")
+    got = {r.page_id: r for r in pages_cut.extract(table).collect()}
+    assert got[1].text == want and got[1].n_chars == len(want)
+    assert got[2].text == got[3].text == "" and got[3].url is None
+    assert got[6].text == "Deep text of some length, with an end."
+
+
+def test_minimum_cut_is_minimal():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(1, 8))
+        costs = rng.normal(0, 2, n)
+        edges = [(i, j, float(rng.random())) for i in range(n) for j in range(i) if rng.random() < 0.5]
+        value = lambda labels: sum(c for c, on in zip(costs, labels) if c > 0 and not on) - sum(c for c, on in zip(costs, labels) if c < 0 and on) + sum(w for a, b, w in edges if labels[a] != labels[b])
+        best = min(value([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert math.isclose(value(pages_cut.minimum_cut(costs, edges)), best, abs_tol=1e-7)
+
+
+# --- 9
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def test_bpe_equals_library(library):
+    mine = bpe.Bpe(bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    r = random.Random(3)
+    signs = "aaab \n\t'sdmtre  .,!?-=_*#0123é日本ß 　\x1c\x1d\x85​ ﻿🙂"
+    cases = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    cases += ["a" * 3000, "ab" * 2000, " " * 777 + "x", "=" * 1999, "é" * 900, "日本" * 700, "thisisaverylong" * 200, "<|endoftext|>x <|endoftext|>", "x<|endoftext|", "", "\x00"]
+    for text in cases:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert mine.encode(text).tolist() == ids
+        assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_emits_early():
+    mine = bpe.Bpe(bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    stream = mine.transduce(b"thisisaverylong" * 400)
+    assert len([next(stream) for _ in range(5)]) == 5 and stream.gi_frame.f_locals["done"] == 0 or stream.gi_frame.f_locals["end"] < 2000
+
+
+def test_bpe_query(spark, docs, library):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(r.text or "")))
+    assert collect(bpe.token_digests(docs, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    encoded = bpe.encode(docs, path, keep=["doc_id"])
+    assert collect(bpe.decode(encoded, path), "doc_id", "text") == sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=repr)
+    assert bpe.token_digests(docs.limit(0), path).count() == 0
+
+
+# --- 10
+
+
+def brute_matches(rows, items, least):
+    norm = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    gram = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+    df = Counter(g for _, t in items for g in set(gram(norm(t))))
+    weight = lambda g: math.log1p(len(items) / df[g]) if df[g] else math.log1p(len(items))
+    out = set()
+    for i, text in rows:
+        words = norm(text)
+        for item, t in items:
+            own = norm(t)
+            if not own:
+                continue
+            for at in range(max(1, len(words) - len(own) + 1)):
+                a, b = set(gram(words[at : at + len(own)])), set(gram(own))
+                if a & b and sum(map(weight, a & b)) / sum(map(weight, a | b)) >= least:
+                    out.add((i, item))
+    return sorted(out, key=repr)
+
+
+def test_decontamination(spark):
+    items = [(k, prose(14 + 3 * k, 500 + k)) for k in range(12)] + [(50, None), (51, ""), (52, "alpha beta gamma")]
+    rows = [row(k, f"{prose(50, k)}. {items[k][1].upper()}! {prose(40, k + 90)}") for k in range(12)]
+    changed = items[11][1].split()
+    changed[2] = "changed"
+    rows += [row(20, prose(30, 77) + " " + " ".join(changed) + " " + prose(9, 5)), row(21, prose(200, 78)), row(22, None), row(23, ""), row(None, items[3][1]), row(24, "alpha beta gamma"), row(24, "alpha beta gamma")]
+    docs = documents(spark, rows)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_matches([(r[0], r[1]) for r in rows], items, 0.8)
+    for block in (4096, 4):
+        got = decontaminate.contaminated(docs, bench, block_items=block)
+        pairs = collect(got.select("doc_id", "item_id").distinct(), "doc_id", "item_id")
+        if block == 4096:
+            assert pairs == want
+        assert {(k, k) for k in range(12)} <= set(pairs) and (20, 11) in pairs
+    clean = decontaminate.remove_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {21, 22, 23}
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_index_guarantee():
+    rng = np.random.default_rng(8)
+    index = decontaminate.Index(list(range(40)), [prose(30, k) for k in range(40)], decontaminate.RADIUS)
+    queries = index.prints[rng.integers(0, 40, 400)].copy()
+    for i in range(400):
+        for b in rng.choice(64, int(rng.integers(0, 26)), replace=False):
+            queries[i] ^= np.uint64(1) << np.uint64(b)
+    q, item, _ = index.within(queries)
+    want = {(i, j) for i in range(400) for j in range(40) if int(np.bitwise_count(queries[i] ^ index.prints[j])) <= decontaminate.RADIUS}
+    assert set(zip(q.tolist(), item.tolist())) == want
