@@ -17,25 +17,29 @@ SNAPSHOT = r"^swift-DEVELOPMENT-SNAPSHOT-([0-9]+-[0-9]+-[0-9]+(?:-[a-z])?)$"
 MOST = 65535
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("bigint")
-
-
 def parse_version(text: Column) -> Column:
     """The masked version, null if the text is none or a part exceeds 65535."""
     semantic, date = F.regexp_like(text, F.lit(SEMANTIC)), F.regexp_like(text, F.lit(DATE))
-    parts = [F.when(semantic, _part(text, SEMANTIC, i)).when(date, _part(text, DATE, i) if i < 4 else F.ascii(F.nullif(F.regexp_extract(text, DATE, 4), F.lit(""))).cast("bigint")) for i in range(1, 5)]
-    fits = F.lit(True)
-    for i, p in enumerate(parts):
-        written = F.when(semantic, F.regexp_extract(text, SEMANTIC, i + 1)).otherwise(F.regexp_extract(text, DATE, min(i + 1, 3)))
-        fits = fits & (F.coalesce(p, F.lit(0)) <= MOST) & (F.length(written) <= 18)
-    return F.when((semantic | date) & fits, F.struct(F.when(semantic, F.lit("semantic")).otherwise(F.lit("toolchain")).alias("kind"), *[p.cast("int").alias(n) for p, n in zip(parts, "abcd")]))
+    parts = F.split(text, "[.-]")
+    part = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("int")
+    letter = F.when(semantic, part(4)).otherwise(F.ascii(F.nullif(F.regexp_extract(text, DATE, 4), F.lit(""))))
+    fits = F.forall(parts, lambda p: (p >= "a") | (F.length(p) <= 9) & (p.try_cast("int") <= MOST))
+    return F.when((semantic | date) & fits, F.struct(F.when(semantic, F.lit("semantic")).otherwise(F.lit("toolchain")).alias("kind"), part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), letter.alias("d")))
+
+
+def toolchain_text(text: Column) -> Column:
+    """The version within a toolchain's tag, null if it is no tag."""
+    return F.when(F.regexp_like(text, F.lit(RELEASE)), F.regexp_extract(text, RELEASE, 1)).when(F.regexp_like(text, F.lit(SNAPSHOT)), F.regexp_extract(text, SNAPSHOT, 1))
+
+
+def parsed(frame: DataFrame, text: Column, to: str) -> DataFrame:
+    """``frame`` with the parsed version of a text as a column that later expressions refer to, not repeat."""
+    return frame.withColumn(to, F.explode(F.array(parse_version(text))))
 
 
 def parse_toolchain(text: Column) -> Column:
     """The version that a toolchain's tag names, null if it is no tag."""
-    inner = F.when(F.regexp_like(text, F.lit(RELEASE)), F.regexp_extract(text, RELEASE, 1)).when(F.regexp_like(text, F.lit(SNAPSHOT)), F.regexp_extract(text, SNAPSHOT, 1))
-    return parse_version(inner)
+    return parse_version(toolchain_text(text))
 
 
 def version_string(v: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.functions.uri import encode_component, route_key
@@ -47,7 +47,7 @@ ROUTE = ["namespace", "stem", "leaf", "orientation"]
 def route_groups(routes: DataFrame) -> DataFrame:
     """Composites by route with their retain counts, and how many composites the route has."""
     held = routes.groupBy(*ROUTE, "base", "host", "culture").agg(F.count(F.lit(1)).alias("retains"))
-    return held.withColumn("composites", F.count(F.lit(1)).over(Window.partitionBy(*ROUTE)))
+    return held.join(held.groupBy(*ROUTE).agg(F.count(F.lit(1)).alias("composites")), ROUTE)
 
 
 def overload_depth(routes: DataFrame) -> DataFrame:
