@@ -39,6 +39,8 @@ HOT = 1000
 CELLS = (32, 4, 1)
 #: Bytes of ranges that one suffix array holds, unless one owner has more (at most ``hot`` ranges).
 BATCH_BYTES = 1 << 20
+#: Window starts that are scanned at a time; a longer text is scanned in segments that overlap by a window.
+SEGMENT_BYTES = 4 << 20
 #: Bits of a key that hold the place of the hash; the others hold the hash.
 PLACE_BITS = np.uint64(28)
 COMPARE_ROWS = 2048
@@ -58,6 +60,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     n, width = len(data), length - gram + 1
     if n < length:
         return none
+    if n > SEGMENT_BYTES + length - 1:
+        parts = []
+        for start in range(0, n, SEGMENT_BYTES):
+            stop = min(n, start + SEGMENT_BYTES + length - 1)
+            doc, at, lo, hi, kh, uh = anchors(data[start:stop], np.clip(offsets, start, stop) - start, length, gram)
+            parts.append((doc, at + start, lo + start, hi + start, kh, uh))
+        return tuple(map(np.concatenate, zip(*parts)))
     hasher = Hasher(data)
     grams = np.arange(n - gram + 1)
     h = hasher.ranges(grams, grams + gram)

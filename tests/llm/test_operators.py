@@ -104,6 +104,16 @@ def test_suffix_dedup(spark, hot):
     assert suffix_dedup.deduplicate(table.limit(0), length=40, gram=16).count() == 0
 
 
+def test_long_texts_in_segments(monkeypatch):
+    """A text scanned in segments has the same windows in its ranges, with the same owners."""
+    data = np.frombuffer(prose(700, 3).encode(), np.uint8)
+    offsets = np.array([0, 900, 910, len(data)])
+    owners = lambda: {(d, p): (a, k) for d, a, lo, hi, k, _ in zip(*suffix_dedup.anchors(data, offsets, 60, 20)) for p in range(lo, hi + 1)}
+    whole = owners()
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 333)
+    assert owners() == whole and len(whole) == sum(max(0, n - 59) for n in np.diff(offsets))
+
+
 def test_two_stage_sort():
     r = random.Random(2)
     base = bytes(r.choice(b"abc ") for _ in range(700))
