@@ -1,14 +1,11 @@
-"""Queries over vertices, declarations, extensions, page facts, comment fields and request streams."""
+"""Queries over vertices, declarations, extensions, page facts, and comment fields."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions.doc_fields import doc_fields as split_fields
-from docgraph.functions.storage import shared_dir
 from docgraph.operators import facts, vertices
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
@@ -62,16 +59,3 @@ def doc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.table(spark, sf_dir, "documents")
     text = F.concat(F.lit("@import(m)\n# Title "), "doc_id", F.lit("\n\n"), "text", F.lit("\n\n- Note: see ``Target"), "doc_id", F.lit("``\n- Parameter x: the value\n- Returns: it\n## Details\nmore\n```\ncode\n```\n"))
     return split_fields(d.select("doc_id", text.alias("text")), "doc_id", "text")
-
-
-@query("SELECT page_id AS request, regexp_extract(url, '^https?://([^/]*)', 1) AS host, page_id % 25 AS module FROM pages")
-def stream_resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of request URLs joined with the static module table, file by file."""
-    base = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
-    A.table(spark, sf_dir, "pages").select("page_id", "url").repartition(3).write.parquet(f"{base}/in")
-    rows = spark.readStream.schema("page_id bigint, url string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    modules = A.modules(spark, sf_dir).select(F.col("module").cast("bigint").alias("module"))
-    asked = rows.select(F.col("page_id").alias("request"), F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host"), (F.col("page_id") % 25).alias("module")).join(modules, "module")
-    stream = asked.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.read.schema("module bigint, request bigint, host string").parquet(f"{base}/out").select("request", "host", "module")
