@@ -115,6 +115,13 @@ def write_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.missing_graphs(rows, have).groupBy("package").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(with_tables("symbols", then="SELECT symbol, name, namespace AS package FROM symbols WHERE namespace IN (3, 8)"))
+def read_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "graphs")
+    G.write_graph(A.symbols(spark, sf_dir).select("symbol", "name", F.col("namespace").alias("package"), F.lit("1.0").alias("version")), path)
+    return G.read_graph(spark, path, "symbol bigint, name string, package int, version string").filter("package IN (3, 8) AND version = '1.0'").select("symbol", "name", "package")
+
+
 @query(with_tables("observations", then=KEYFRAMES + " SELECT entity, lo, hi, value FROM keyframes"))
 def stream_push_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of days in order, and a last file that closes every entity's open keyframe."""

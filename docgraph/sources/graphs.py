@@ -112,5 +112,10 @@ def write_graph(frame: DataFrame, path: str) -> None:
     frame.write.mode("append").partitionBy("package", "version").parquet(path)
 
 
+def read_graph(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A compiled table with its partition columns; filters on them prune folders."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def missing_graphs(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
     return wanted.join(manifest.select("package", "version").distinct(), ["package", "version"], "left_anti")
