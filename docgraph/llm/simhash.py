@@ -223,12 +223,21 @@ def links(nodes: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET) -> DataFr
     return bucket_edges(calm, radius).unionByName(bucket_edges(again, radius))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """The same components with about one edge per node: each node keeps its smallest root, and its other
+    roots hang on that one. A node has one root per bucket at most, so its set of roots is small."""
+    roots = edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("roots")).withColumn("low", F.least(F.col("a"), F.col("roots")[0]))
+    ends = roots.select(F.explode(F.concat(F.array("a"), "roots")).alias("a"), F.col("low").alias("b"))
+    return ends.filter(F.col("a") != F.col("b")).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, root) of every end of an edge; root is the smallest id that it reaches.
 
     Rounds of min-label over the edges and one pointer jump, until none changes; every round is written to
     the shared folder. The links' forests are shallow, so a handful of rounds are enough.
     """
+    edges = contracted(edges)
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"), "labels")
     while True:
