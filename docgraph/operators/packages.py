@@ -14,7 +14,9 @@ def module_scopes(modules: DataFrame, deps: DataFrame, packages: DataFrame) -> D
     A community module implies all core and standard modules, a core one the standard modules.
     """
     ranked = modules.join(packages.select("package", "rank"), "package").select("module", "rank")
-    implied = ranked.select(F.col("module").alias("culture"), F.col("rank").alias("of")).join(ranked.select(F.col("module").alias("namespace"), F.col("rank").alias("below")), F.col("below") < F.least(F.col("of"), F.lit(2)))
+    of = F.least(F.col("rank"), F.lit(2))
+    below = ranked.filter(of > 0).select(F.col("module").alias("culture"), F.explode(F.sequence(F.lit(0), of - 1)).alias("rank"))
+    implied = below.join(ranked.select(F.col("module").alias("namespace"), "rank"), "rank")
     own = modules.select(F.col("module").alias("culture"), F.col("module").alias("namespace"))
     explicit = deps.join(modules, deps["dep"] == modules["module"], "left_semi").select(F.col("module").alias("culture"), F.col("dep").alias("namespace"))
     return own.unionByName(explicit).unionByName(implied.select("culture", "namespace")).distinct()

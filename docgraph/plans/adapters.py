@@ -66,7 +66,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(package, ver, kind, a, b, c, d): 30 versions a package; package 0 has toolchain dates."""
-    p = packages(spark, sf_dir).select("package").crossJoin(F.broadcast(spark.range(30).select(F.col("id").cast("int").alias("ver"))))
+    p = packages(spark, sf_dir).select("package", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("ver"))
     tool = F.col("package") == 0
     ver = F.col("ver")
     return p.select("package", "ver", F.when(tool, "toolchain").otherwise("semantic").alias("kind"), F.when(tool, 2024).otherwise(F.expr("ver div 12")).cast("int").alias("a"), F.when(tool, 1).otherwise(F.expr("(ver div 4) % 3")).cast("int").alias("b"), F.when(tool, ver + 1).otherwise(ver % 4).cast("int").alias("c"), F.when(tool, 97).otherwise(0).cast("int").alias("d"))

@@ -146,7 +146,7 @@ PINS = _MASKS + """, pairs AS (SELECT DISTINCT a.package, b.package AS dep FROM
 
 def _pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.packages(spark, sf_dir).select("package")
-    wanted = p.join(F.broadcast(p.select(F.col("package").alias("dep"))), (F.col("package") + F.col("dep")) % 2 == 0).select("package", "dep", F.concat(F.lit("semantic:1:"), (F.col("package") % 3).cast("string")).alias("mask"))
+    wanted = p.join(p.select(F.col("package").alias("dep")), F.col("package") % 2 == F.col("dep") % 2).select("package", "dep", F.concat(F.lit("semantic:1:"), (F.col("package") % 3).cast("string")).alias("mask"))
     return packages.upstream_pins(_scopes(spark, sf_dir), A.modules(spark, sf_dir), wanted, V.version_index(A.versions(spark, sf_dir)))
 
 
