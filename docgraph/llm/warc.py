@@ -37,6 +37,8 @@ ROLL_BYTES = 256 << 20
 SHARD_BYTES = 1 << 30
 #: Ranges for each shuffle partition at least, so that ranges even out over tasks.
 SHARDS_PER_PARTITION = 4
+#: Bytes of pages that a task sorts and packs, or of archives that one reads, at most on average.
+PARTITION_BYTES = 256 << 20
 BINS = 4096
 LEVEL = 6
 #: Fixed values of the records: the date of the archive and the text of the HTTP header.
@@ -138,6 +140,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     base = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("bigint").alias("size"))
     facts = stored(base.select("page_id", "digest", "size"), "warc-facts")
     total = facts.agg(F.sum(F.col("size") + 500)).first()[0] or 0
+    n = max(n, -(-total // PARTITION_BYTES))
     target = max(1, min(shard_bytes, -(-total // (SHARDS_PER_PARTITION * n))))
     cuts = range_cuts(facts.select("page_id", (F.col("size") + 500).alias("size")), target)
     sent = spark.sparkContext.broadcast(cuts)
@@ -244,7 +247,6 @@ def parse(record: bytes) -> dict:
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """A row per record of the committed files; with ``payloads`` also the responses' bytes."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = RECORDS + (", payload binary" if payloads else "")
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("file", pa.string()), ("intact", pa.bool_()), *([("payload", pa.binary())] if payloads else [])])
 
@@ -264,6 +266,8 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
                     yield pa.RecordBatch.from_pylist([{k: r[k] for k in arrow.names} for r in rows], schema=arrow)
 
     manifest = spark.read.schema(T._parse_datatype_string(MANIFEST)).parquet(f"{path}/_manifest")
+    packed = manifest.agg(F.sum("bytes")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packed // PARTITION_BYTES))
     return manifest.select("name").repartition(n, "name").mapInArrow(read, schema)
 
 
