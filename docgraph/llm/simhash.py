@@ -33,7 +33,9 @@ SEED = 42
 #: Fingerprints of one bucket that a task takes as one trie; larger buckets are cut again.
 HOT_BUCKET = 50_000
 #: Fingerprint pairs under a node pair from which on they are compared directly.
-LEAF_PAIRS = 4096
+LEAF_PAIRS = 1 << 16
+#: Of those, node pairs that are compared many at a time; larger ones are blocks of their own.
+SMALL_PAIRS = 1024
 #: Fingerprint pairs compared in one numpy step.
 STEP_PAIRS = 2_000_000
 
@@ -128,34 +130,29 @@ def _children(fps: np.ndarray, nodes: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _compare(fps: np.ndarray, nodes: np.ndarray, pairs: np.ndarray, radius: int, label: np.ndarray) -> None:
-    first = 0
+    """Compares all fingerprints under each node pair: large ones as blocks, small ones many at a time."""
+    large = pairs > SMALL_PAIRS
+    for a0, a1, b0, b1 in nodes[large, :4].tolist():
+        rows = max(1, STEP_PAIRS // (b1 - b0))
+        for x in range(a0, a1, rows):
+            y = min(a1, x + rows)
+            i, j = np.nonzero(np.bitwise_count(fps[x:y, None] ^ fps[None, b0:b1]) <= radius)
+            _unite(label, i + x, j + b0)
+    nodes, pairs = nodes[~large], pairs[~large]
     total = np.cumsum(pairs)
+    first = 0
     while first < len(nodes):
-        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + STEP_PAIRS, "right")))
-        for low, count in _runs(nodes[first:last], pairs[first:last]):
-            part, size = low, count
-            width = part[:, 3] - part[:, 2]
-            row = np.repeat(np.arange(len(part)), size)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            i = part[row, 0] + at // width[row]
-            j = part[row, 2] + at % width[row]
-            hit = (i != j) & (np.bitwise_count(fps[i] ^ fps[j]) <= radius)
-            _unite(label, i[hit], j[hit])
+        last = int(np.searchsorted(total, (total[first - 1] if first else 0) + STEP_PAIRS, "right"))
+        part, size = nodes[first:last], pairs[first:last]
+        row = np.repeat(np.arange(len(part)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        width = (part[:, 3] - part[:, 2])[row]
+        i, j = part[row, 0] + at // width, part[row, 2] + at % width
+        hit = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        _unite(label, i[hit], j[hit])
         first = last
 
 
-def _runs(nodes: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Node pairs in steps; one with very many pairs (equal bits down to the last) is cut by its rows."""
-    if len(nodes) > 1 or pairs[0] <= STEP_PAIRS:
-        yield nodes, pairs
-        return
-    a0, a1, b0, b1, errors, bit = nodes[0].tolist()
-    rows = max(1, STEP_PAIRS // (b1 - b0))
-    for x in range(a0, a1, rows):
-        y = min(a1, x + rows)
-        yield np.array([[x, y, b0, b1, errors, bit]]), np.array([(y - x) * (b1 - b0)])
-
-
 def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Joins the components of i[k] and j[k]; afterwards label holds the smallest index of each."""
     while len(i):
