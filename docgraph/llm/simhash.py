@@ -265,17 +265,22 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, radius: int = 12, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``docs``, with its own columns: that of the smallest id, then text.
 
-    Five-word shingle sets of similarity 0.8 have a cosine of 0.89, so each bit differs with a chance of
-    0.15: 9.6 of 64 bits on average. Twelve bits find such pairs nearly always. Identical rows (same id and
-    text) count as copies of one another.
+    Documents link when their sets of word shingles reach the similarity, exactly (``near_copies``); fingerprints
+    are not used, for no radius both finds all such pairs and stays below the chance distances of large corpora.
+    Identical rows (same id and text) count as copies of one another.
     """
+    from docgraph.llm import near_copies  # imports this module
+
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
-    slim = docs.select(F.col(id_col).alias("doc_id"), key.alias("row_key"), F.col(text_col).alias("text"))
-    marked = stored(fingerprints(slim, words, ["doc_id", "row_key"]), "simhash")
-    found = components(marked, radius, "row_key", hot_bucket)
+    slim = docs.select(F.col(id_col).alias("doc_id"), key.alias("row_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    named = near_copies.named_sets(slim, words)
+    marked = stored(named.select("doc_id", "row_key", "node"), "nodes")
+    roots = near_copies.components(near_copies.folded(named, marked), words, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
-    chosen = marked.join(found, "fp").groupBy("component_id").agg(first).select(F.col("first.row_key").alias("_row_key"))
-    return docs.withColumn("_row_key", key).join(chosen, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    nodes = marked.groupBy("node").agg(first)
+    chosen = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("first").alias("first"))
+    kept = chosen.select(F.col("first.row_key").alias("_row_key"))
+    return docs.withColumn("_row_key", key).join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from docgraph.llm import bpe, decontaminate, pages_cut, pii, quality_fm, quality_rules, secrets, simhash, suffix_dedup, warc
+from docgraph.llm import bpe, decontaminate, near_copies, pages_cut, pii, quality_fm, quality_rules, secrets, simhash, suffix_dedup, warc
 from docgraph.llm.common import fresh_path
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -280,6 +280,56 @@ def test_near_dedup(spark, docs):
     assert got == sorted([1, 4, 7, None, 8, 9, 10, 11], key=repr)
 
 
+def brute_near(rows, k, least):
+    """Kept ids of (id, text) rows: the smallest of each component of similarity ``least`` at least."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted({min(rows[j][0] for j in range(len(rows)) if group[j] == g) for g in group})
+
+
+def test_near_dedup_is_exact(spark, monkeypatch):
+    """Both sides of 0.8, exactly 0.8, large groups of near copies, a common passage and pairs far apart by fingerprint."""
+    monkeypatch.setattr(near_copies, "REACH", 1)
+    monkeypatch.setattr(near_copies, "GROWTH", 2)
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    made, passage = [], text(40)
+    for _ in range(40):
+        base = text(r.randint(30, 160))
+        made.append(base)
+        for _ in range(4):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), r.randint(1, 4)):
+                copy[at] = r.choice(vocabulary)
+            made.append(copy)
+    for n in (8, 9, 40, 41):
+        # n shingles, of which n and one more than n / 4 or n / 4 are new in a longer text: at and below 0.8
+        base = text(n + 4)
+        made += [base, base + text(n // 4), base + text(n // 4 + 1)]
+    base = text(120)
+    made += [[*base[:at], "changed", *base[at + 1 :]] for at in range(2, 118, 2)]
+    made += [passage + text(r.randint(20, 60)) for _ in range(40)]
+    r.shuffle(made)
+    rows = [(i, " ".join(words)) for i, words in enumerate(made)]
+    pairs = [(a, b) for a in range(len(made)) for b in range(a)]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in made]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    similar = [(a, b) for a, b in pairs if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) - 1e-9]
+    assert any((prints[a] ^ prints[b]).bit_count() > 12 for a, b in similar)
+    assert any((prints[a] ^ prints[b]).bit_count() <= 12 for a, b in set(pairs) - set(similar))
+    table = documents(spark, [row(i, t) for i, t in rows])
+    assert sorted(x.doc_id for x in simhash.deduplicate(table).collect()) == brute_near(rows, 5, 0.8)
+
+
 # --- 7
 
 
