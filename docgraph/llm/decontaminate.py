@@ -8,16 +8,18 @@ in line with its place in that item. Each such window gets a SimHash over its sh
 items' SimHashes, four blocks of 16 bits with up to radius/4 differing bits each, returns every item within
 the radius (by the pigeonhole principle none is missed). Candidates are then verified exactly: the weighted
 Jaccard similarity of window and item, each shingle weighing log(1 + items / items with it), must reach
-``similarity``.
+``similarity``. Items are counted over the whole benchmark; a shingle that no item has weighs as one of one item.
 
 The benchmark is taken in blocks of ``block_items`` items (by item_id), each small enough to send to every
-task; documents are scanned once a block. Defined cases: null or empty texts match nothing; items without
+task; documents are scanned once a block. With each block go the counts of the shingles that two items or more
+of the benchmark have. Defined cases: null or empty texts match nothing; items without
 words are ignored; of equal item_ids each text counts; a document's window is clipped to the document's
 end, so a document shorter than the item can match with the words that it has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import Hasher, map_slices, mix, text_bytes, word_spans
+from docgraph.llm.common import Hasher, map_slices, mix, stored, text_bytes, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -73,10 +75,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     return key[whole], doc[whole], n_words
 
 
+#: Items; sorted shingles that two items or more have, and in how many each is.
+Counts = tuple[int, np.ndarray, np.ndarray]
+
+
 class Index:
-    """The items of one block: shingles, weights, fingerprints and their multi-index."""
+    """The items of one block: shingles, weights, fingerprints and their multi-index.
+
+    ``counts`` holds the number of items of the whole benchmark, and of those with each shingle that at least
+    two have (sorted hashes, counts); without it the block is the benchmark.
+    """
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int) -> None:
+    def __init__(self, ids: list[int], texts: list[str], radius: int, counts: Counts | None = None) -> None:
         column = pa.array([t or "" for t in texts], pa.string())
         key, item, n_words = shingles(*text_bytes(column))
         self.radius = radius
@@ -88,18 +98,26 @@ class Index:
         self.key, self.item, self.place = key[order], item[order], place[order]
         pair = np.unique(np.stack([key, item.astype(np.uint64)], 1), axis=0) if len(key) else np.zeros((0, 2), np.uint64)
         self.known, count = np.unique(pair[:, 0], return_counts=True)
-        self.weight = np.log1p(len(ids) / count)
-        self.rare = float(np.log1p(len(ids)))
+        self.counts = counts or (len(ids), self.known[count > 1], count[count > 1])
         self.pair_item, self.pair_key = pair[:, 1].astype(np.int64), pair[:, 0]
         by_item = np.lexsort((self.pair_key, self.pair_item))
         self.pair_item, self.pair_key = self.pair_item[by_item], self.pair_key[by_item]
-        self.total = np.bincount(self.pair_item, self.weight[np.searchsorted(self.known, self.pair_key)], minlength=len(ids))
+        self.total = np.bincount(self.pair_item, self.weights(self.pair_key), minlength=len(ids))
         self.hint = np.zeros(1 << 16, bool)
         self.hint[(self.known >> np.uint64(48)).astype(np.int64)] = True
         self.prints = simhashes(key, first[self.n_shingles > 0], len(key))
         self.print_item = np.nonzero(self.n_shingles > 0)[0]
         self.blocks = [self._block(b) for b in range(64 // BLOCK_BITS)]
 
+    def weights(self, key: np.ndarray) -> np.ndarray:
+        """log(1 + items / items with it) of each shingle, over the whole benchmark."""
+        items, common, count = self.counts
+        having = np.ones(len(key), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+            having = np.where(common[at] == key, count[at], 1)
+        return np.log1p(items / having)
+
     def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         """(begin of each block value, item places): for every value, the items within radius/4 bits."""
         near = [0] + [sum(1 << i for i in c) for d in range(1, self.radius // (64 // BLOCK_BITS) + 1) for c in combinations(range(BLOCK_BITS), d)]
@@ -182,8 +200,7 @@ def weighted_similarity(query: np.ndarray, item: np.ndarray, wrow: np.ndarray, w
         return np.zeros(0)
     pair = np.unique(np.stack([wrow.astype(np.uint64), wkey], 1), axis=0)
     row, key = pair[:, 0].astype(np.int64), pair[:, 1]
-    at = np.minimum(np.searchsorted(index.known, key), max(0, len(index.known) - 1))
-    weight = np.where(index.known[at] == key, index.weight[at], index.rare)
+    weight = index.weights(key)
     total = np.bincount(row, weight, minlength=n)
     begin = np.searchsorted(row, np.arange(n + 1))
     p, k = ranges(begin[query], begin[query + 1])
@@ -199,33 +216,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return _search(slim, ["doc_id"], benchmark, item_col, item_text_col, similarity, radius, block_items)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int) -> list[tuple[list[int], list[str]]]:
-    """The stated query set in blocks; one block of items is on the driver at a time when it is sent off."""
+def _counts(benchmark: DataFrame, text_col: str) -> Counts:
+    """Item counts over the whole benchmark; only shingles that two items or more have reach the driver."""
+    texts = benchmark.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+
+    def step(part: pa.RecordBatch) -> pa.RecordBatch:
+        key, item, _ = shingles(*text_bytes(part.column("t")))
+        pair = np.unique(np.stack([key, item.astype(np.uint64)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].view(np.int64))], names=["key"])
+
+    common = map_slices(texts, "t", step, "key bigint").groupBy("key").count().filter(F.col("count") > 1).toArrow()
+    key, count = common.column("key").to_numpy().view(np.uint64), common.column("count").to_numpy()
+    order = np.argsort(key)
+    return texts.count(), key[order], count[order]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int) -> Iterator[tuple[list[int], list[str], bool]]:
+    """(ids, texts, whether it is the only one) of each block of the stated query set, read one at a time."""
     rows = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).orderBy("i", "t").toLocalIterator()
-    out, ids, texts = [], [], []
+    ids, texts, only = [], [], True
     for r in rows:
-        ids.append(-1 if r.i is None else r.i)
-        texts.append(r.t)
         if len(ids) == block_items:
-            out.append((ids, texts))
+            only = False
+            yield ids, texts, only
             ids, texts = [], []
-    return [*out, (ids, texts)] if ids or not out else out
+        ids.append(-1 if r.i is None else r.i)
+        texts.append(r.t)
+    yield ids, texts, only
 
 
 def _search(slim: DataFrame, keys: list[str], benchmark: DataFrame, item_col: str, item_text_col: str, similarity: float, radius: int, block_items: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    counts = slim.sparkSession.sparkContext.broadcast(_counts(benchmark, item_text_col))
     found = None
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_items):
+    for ids, texts, only in _blocks(benchmark, item_col, item_text_col, block_items):
         made: list[Index] = []
 
         def step(part: pa.RecordBatch, ids: list[int] = ids, texts: list[str] = texts, made: list = made) -> pa.RecordBatch:
             if not made:
-                made.append(Index(ids, texts, radius))
+                made.append(Index(ids, texts, radius, counts.value))
             doc, item, first, score, distance = matches(*text_bytes(pc.fill_null(part.column("text"), "")), made[0], similarity)
             at = pa.array(doc)
             return pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in keys), pa.array(made[0].ids[item]), pa.array(first), pa.array(np.round(score, 6)), pa.array(distance)], names=[*keys, "item_id", "first_word", "similarity", "distance"])
 
         one = map_slices(slim, "text", step, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["item_id bigint, first_word bigint, similarity double, distance bigint"]))
+        # the findings of one block of several are written, so that no plan holds all blocks
+        one = one if only else stored(one, "matches")
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -233,16 +269,18 @@ def _search(slim: DataFrame, keys: list[str], benchmark: DataFrame, item_col: st
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their own columns; no text moves between tasks."""
     schema = docs.schema
-    for ids, texts in _blocks(benchmark, "item_id", "text", block_items):
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(benchmark, "text"))
+    for ids, texts, only in _blocks(benchmark, "item_id", "text", block_items):
         made: list[Index] = []
 
         def step(part: pa.RecordBatch, ids: list[int] = ids, texts: list[str] = texts, made: list = made) -> pa.RecordBatch:
             if not made:
-                made.append(Index(ids, texts, radius))
+                made.append(Index(ids, texts, radius, counts.value))
             doc = matches(*text_bytes(pc.fill_null(part.column(text_col), "")), made[0], similarity)[0]
             clean = np.ones(part.num_rows, bool)
             clean[doc] = False
             return part.filter(pa.array(clean))
 
         docs = map_slices(docs, text_col, step, schema)
+        docs = docs if only else stored(docs, "clean")
     return docs

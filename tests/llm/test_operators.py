@@ -488,6 +488,22 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_weights_are_those_of_the_whole_benchmark(spark):
+    """Items that share a long passage: its shingles weigh little, in whatever block an item falls."""
+    passage = prose(30, 900)
+    items = [(k, f"{passage} {prose(12, 910 + k)}") for k in range(9)]
+    rows = [row(k, f"{passage} {prose(12, 910 + k).replace('alpha', 'omega', 1)}") for k in range(9)] + [row(20 + k, f"{passage} {prose(12 - k, 910 + k)} {prose(k, 950)}") for k in range(9)]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_matches([(r[0], r[1]) for r in rows], items, 0.8)
+    assert 0 < len(want) < len(rows)
+    whole = collect(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "similarity")
+    assert sorted((x[:2] for x in whole), key=repr) == want
+    for block in (1, 4, 8):
+        assert collect(decontaminate.contaminated(docs, bench, block_items=block), "doc_id", "item_id", "similarity") == whole
+        clean = decontaminate.remove_contaminated(docs, bench, block_items=block)
+        assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {i for i, _ in want}
+
+
 def test_index_guarantee():
     rng = np.random.default_rng(8)
     index = decontaminate.Index(list(range(40)), [prose(30, k) for k in range(40)], decontaminate.RADIUS)
