@@ -1,18 +1,20 @@
-"""Near copies by an exact similarity join of shingle sets.
+"""Near copies: candidates by minimum hashes and the SimHash trie self-join, links by exact similarity.
 
 Two texts link when the Jaccard similarity of their sets of word shingles reaches ``similarity``; linked texts
-form components. The join misses no pair (shingles are told apart by 64-bit hashes):
-
-1. Texts with equal shingle sets are one node. A bounded number of the most copied nodes are reduced to one
-   row before anything is dealt by shingle; rows of other nodes fold in their groups.
-2. All shingles have one global order. Of a set of n, the first n - ceil(similarity * n) + 1 are its prefix;
-   two sets that reach the similarity have their first common shingle in both prefixes. The order puts
-   shingles that are frequent in a bounded sample last, so that groups stay small; any order gives the same links.
-3. The nodes of a shingle's group are sorted by size. Pairs are candidates unless their sizes, or what is left
-   behind the shingle in both sets, rule the similarity out. Rounds take pairs at growing distances in the
-   group, up to its whole length; pairs that earlier rounds have connected already are left out.
-4. Candidates whose sets, counted in 256 cells, share too little in sum of the lesser counts cannot be similar
-   and are left; each other one is verified on both whole sets.
+form components.
+
+1. Texts with equal shingle sets are one node. A node has a SimHash (64 bits) of its set and ``BANDS`` hashes of
+   ``ROWS`` minima each, under fixed multiplications.
+2. Nodes with an equal band hash are a bucket. In it the fingerprints' trie self-join (``simhash.trie_pairs``)
+   gives the pairs within ``RADIUS`` bits; sizes that rule the similarity out leave. A bucket over
+   ``hot_bucket`` nodes is dealt out as pairs of its parts, so that no task gets it whole.
+3. Of a bucket's pairs a spanning forest is verified first, nearest pairs first, each pair on both whole sets.
+4. Buckets of three nodes or more that are not of one component by then are settled: the whole sets go to the
+   bucket's task, and each node outside the largest component is compared with all nodes of the bucket.
+
+Nothing but a pair's own similarity makes a link, and no pair of a bucket is left undecided. A pair at
+similarity s shares a bucket with the chance 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8, more above; at 0.8 the
+radius leaves out another 0.0005 or less.
 
 Defined cases: words are separated by ASCII white space, A-Z are lower-cased; fewer words than a shingle make
 one shingle of them all; texts without words (null ones too) equal one another and nothing else.
@@ -29,20 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.llm.common import SPACE, Hasher, map_slices, mix, small_batches, stored, text_bytes, word_spans
-from docgraph.llm.simhash import connected
+from docgraph.llm.simhash import HOT_BUCKET, by_bucket, connected, trie_pairs
 
-#: Nodes in the sample that finds frequent shingles, and how many of those are kept; neither changes a result.
-SAMPLE_NODES = 10_000
-FREQUENT = 200_000
-#: Distances within a group that the first round takes, and how much farther each next round goes.
-REACH, GROWTH = 2, 8
+BANDS, ROWS = 12, 3
+#: Differing bits of 64 up to which a pair is a candidate: at similarity 0.8 they are 9.7 on average, deviation 2.9.
+RADIUS = 20
+#: Pairs that a bucket's task holds before it takes their forest.
+HELD_PAIRS = 2_000_000
 EPSILON = 1e-9
-#: Nodes whose copies are folded first, and more copies than which make one.
-COPIED_NODES, COPIES = 20_000, 4
-CELLS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+_TURNS = np.random.Generator(np.random.PCG64(20240502)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,133 +68,109 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return key[new], doc[new]
 
 
-def named_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` (with a column text, null for none) and ``node``, a hash of the text's shingle set."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", node bigint"
-
-    def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        key, doc = shingle_sets(*text_bytes(part.column("text")), words)
-        cut = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
-        node = np.array([xxhash.xxh64_intdigest(key[a:b].tobytes()) for a, b in zip(cut, cut[1:])], np.uint64)
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(node.view(np.int64))], names=[*part.schema.names, "node"])
-
-    return map_slices(docs, "text", step, schema)
-
+def fingerprints(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashes that begins at ``first``: a bit is set if over half of them have it."""
+    out = np.zeros(len(first), np.uint64)
+    size = np.diff(np.append(first, len(key)))
+    for bit in range(64):
+        ones = np.add.reduceat((key >> np.uint64(bit)) & np.uint64(1), first).astype(np.int64)
+        out |= (2 * ones > size).astype(np.uint64) << np.uint64(bit)
+    return out
 
-def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of shingles that more than one node of a bounded sample has."""
-    spread = -(-texts.count() // SAMPLE_NODES)  # rows; copies only make the sample smaller
-    sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(max(1, spread))) == 0)
-
-    def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        key, _ = shingle_sets(*text_bytes(part.column("text")), words)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
-    counts = map_slices(sample.dropDuplicates(["node"]).select("text"), "text", step, "key bigint").groupBy("key").count().filter(F.col("count") > 1)
-    got = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
-    key, count = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
-    order = np.argsort(key)
-    return key[order], count[order]
+def bands(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(run, band): each band's hash of its minima over the run's hashes."""
+    out = np.zeros((len(first), BANDS), np.uint64)
+    for k, turn in enumerate(_TURNS):
+        low = np.minimum.reduceat(key * turn, first)
+        out[:, k // ROWS] = mix(out[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + low)
+    return out
 
 
-def prefixes(texts: DataFrame, words: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, node, n, place): the prefix of each node's set of n shingles in the global order."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and row_key of ``docs`` with node (a hash of the text's shingle set), n (its size), fp and bands."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         key, doc = shingle_sets(*text_bytes(part.column("text")), words)
-        known, count = shared.value
-        rank = np.zeros(len(key), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            rank = np.where(known[at] == key, count[at], 0)
-        order = np.lexsort((key, rank, doc))
-        key = key[order]
-        n = np.bincount(doc, minlength=part.num_rows)
-        place = np.arange(len(key)) - (np.cumsum(n) - n)[doc]
-        keep = place < (n - np.ceil(similarity * n - EPSILON).astype(np.int64) + 1)[doc]
-        key, doc, place = key[keep], doc[keep], place[keep]
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("node").take(pa.array(doc)), pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32))], names=["key", "node", "n", "place"])
-
-    return map_slices(texts.select("node", "text"), "text", step, "key bigint, node bigint, n int, place int")
-
-
-def _grouped(rows: DataFrame, step, schema: str) -> DataFrame:
-    """``step`` on the rows of each key at once, sorted by n and node, one of each node; it gets numpy columns and gives a batch or None."""
-    small_batches(rows.sparkSession)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = rows.columns
-    node = names.index("node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+        n = np.diff(cut)
+        full = np.nonzero(n)[0]
+        raw = key.tobytes()
+        node = np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], np.uint64)
+        fp, band = np.zeros(part.num_rows, np.uint64), np.zeros((part.num_rows, BANDS), np.uint64)
+        if len(full):
+            fp[full], band[full] = fingerprints(key, cut[:-1][full]), bands(key, cut[:-1][full])
+        ends = pa.array((np.arange(part.num_rows + 1) * BANDS).astype(np.int32))
+        lists = pa.ListArray.from_arrays(ends, pa.array(band.ravel().view(np.int64)))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), lists], names=["doc_id", "row_key", "node", "n", "fp", "bands"])
+
+    return map_slices(docs.select("doc_id", "row_key", "text"), "text", step, f"doc_id {kinds['doc_id']}, row_key string, node bigint, n bigint, fp bigint, bands array<bigint>")
+
+
+def buckets(nodes: DataFrame, hot_bucket: int) -> DataFrame:
+    """(k1, k2, fp, node, n) of the buckets of two nodes or more; parts of a hot bucket come in pairs."""
+    rows = nodes.filter(F.col("n") > 0).select("node", "n", "fp", F.posexplode("bands").alias("band", "k2")).select(F.col("band").cast("bigint").alias("k1"), "k2", "fp", "node", "n")
+    sizes = rows.groupBy("k1", "k2").count().filter(F.col("count") > 1)
+    rows = stored(rows.join(sizes, ["k1", "k2"]), "buckets")
+    hot = rows.filter(F.col("count") > hot_bucket)
+    calm = rows.filter(F.col("count") <= hot_bucket).drop("count")
+    if hot.isEmpty():
+        return calm
+    parts = F.ceil(F.col("count") / (hot_bucket // 2)).cast("int")
+    dealt = hot.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pair = F.xxhash64("k1", "k2", F.least("part", "other"), F.greatest("part", "other"))
+    return calm.unionByName(dealt.select(F.lit(-1).cast("bigint").alias("k1"), pair.alias("k2"), "fp", "node", "n"))
+
+
+def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (best first) tie the labels' trees together; ``label`` follows."""
+    at, chosen = np.arange(len(i)), []
+    while len(at):
+        li, lj = label[i[at]], label[j[at]]
+        open_ = li != lj
+        at, li, lj = at[open_], li[open_], lj[open_]
+        if not len(at):
+            break
+        low, high = np.minimum(li, lj), np.maximum(li, lj)
+        root, best = np.unique(high, return_index=True)
+        chosen.append(at[best])
+        label[root] = low[best]
+        while not np.array_equal(jumped := label[label], label):
+            label[:] = jumped
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of each bucket's pairs within the radius whose sizes allow the similarity.
+
+    ``rows`` have k1, k2, fp, node and n.
+    """
+
+    def step(columns: dict[str, np.ndarray], begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, n = columns["node"], columns["n"].astype(np.float64)
+        label = np.arange(len(node))
         held: list[np.ndarray] = []
 
-        def solve(columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = [0, *(np.nonzero(np.diff(columns[0]))[0] + 1).tolist(), columns.shape[1]]
-            for a, b in zip(cut, cut[1:]):
-                group = columns[:, a:b]
-                new = np.ones(b - a, bool)
-                new[1:] = group[node, 1:] != group[node, :-1]
-                if new.sum() > 1:
-                    yield from step(dict(zip(names, group[:, new])))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
-            if held and held[0][0, 0] == columns[0, -1]:
-                held.append(columns)
-                continue
-            # the last key may go on in the next batch
-            last = int(np.nonzero(columns[0] != columns[0, -1])[0].max(initial=-1)) + 1
-            whole = np.concatenate([*held, columns[:, :last]], axis=1)
-            held = [columns[:, last:]]
-            if whole.shape[1]:
-                yield from solve(whole)
+        def forest() -> pa.RecordBatch:
+            i, j, d = np.concatenate(held, axis=1)
+            order = np.lexsort((node[j], node[i], d))
+            i, j = i[order], j[order]
+            tied = _forest(label, i, j)
+            a, b = node[i[tied]], node[j[tied]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for i, j, d in trie_pairs(columns["fp"].view(np.uint64), begin, end, RADIUS):
+            fits = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - EPSILON)
+            if fits.any():
+                held.append(np.stack([i[fits], j[fits], d[fits]]))
+            if sum(x.shape[1] for x in held) > HELD_PAIRS:
+                yield forest()
+                held = []
         if held:
-            yield from solve(np.concatenate(held, axis=1))
-
-    return rows.repartition(n, "key").sortWithinPartitions("key", "n", "node").mapInArrow(run, schema)
-
-
-def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """Of prefix rows those whose key several nodes have, with ``size``, the number of these."""
+            yield forest()
 
-    def step(group: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        size = np.full(len(group["key"]), len(group["key"]), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(group["key"]), pa.array(group["node"]), pa.array(group["n"].astype(np.int32)), pa.array(group["place"].astype(np.int32)), pa.array(size)], names=["key", "node", "n", "place", "size"])
-
-    return _grouped(rows, step, "key bigint, node bigint, n int, place int, size bigint")
-
-
-def candidates(rows: DataFrame, similarity: float, near: int, far: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes ``near`` to ``far`` - 1 places apart in a group that may reach the similarity."""
-
-    def step(group: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node, n, left, root = group["node"], group["n"], group["n"] - group["place"], group["root"]
-        for d in range(near, min(far, len(node))):
-            fits = n[:-d] >= similarity * n[d:] - EPSILON
-            if not fits.any():
-                break
-            most = np.minimum(left[:-d], left[d:])
-            fits &= (most >= similarity * (n[:-d] + n[d:] - most) - EPSILON) & (root[:-d] != root[d:])
-            i = np.nonzero(fits)[0]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[i + d])), pa.array(np.maximum(node[i], node[i + d]))], names=["a", "b"])
-
-    return _grouped(rows.select("key", "node", "n", "place", "root"), step, "a bigint, b bigint").distinct()
-
-
-def cell_counts(texts: DataFrame, words: int) -> DataFrame:
-    """(node, cells): how many of a node's shingles fall in each cell, 255 for more."""
-
-    def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        key, doc = shingle_sets(*text_bytes(part.column("text")), words)
-        cell = doc * CELLS + (key % np.uint64(CELLS)).astype(np.int64)
-        counts = np.minimum(np.bincount(cell, minlength=part.num_rows * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
-        return pa.RecordBatch.from_arrays([part.column("node"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["node", "cells"])
-
-    return map_slices(texts.select("node", "text"), "text", step, "node bigint, cells binary").dropDuplicates(["node"])
+    return by_bucket(rows.select("k1", "k2", "fp", "node", "n"), step, "a bigint, b bigint").distinct()
 
 
 def whole_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -208,60 +184,87 @@ def whole_sets(texts: DataFrame, words: int) -> DataFrame:
     return map_slices(texts.select("node", "text"), "text", step, "node bigint, raw binary").dropDuplicates(["node"])
 
 
-def _checked(pairs: DataFrame, table: DataFrame, column: str, test) -> DataFrame:
-    """The pairs (a, b) whose two values of ``column`` pass ``test``."""
-    one = table.select(F.col("node").alias("a"), F.col(column).alias("x"))
-    two = table.select(F.col("node").alias("b"), F.col(column).alias("y"))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
+    one = sets.select(F.col("node").alias("a"), F.col("raw").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("raw").alias("y"))
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        good = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(part.column("x"), part.column("y"))]
+        good = []
+        for x, y in zip(part.column("x"), part.column("y")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = np.sort(np.concatenate([x, y]), kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            good.append(common >= similarity * (len(x) + len(y) - common) - EPSILON)
         return part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return map_slices(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), "x", step, "a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, cells: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
-
-    def may(x: pa.Buffer, y: pa.Buffer) -> bool:
-        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-        low = np.minimum(x, y)
-        most = int(low.sum(dtype=np.int64))
-        return bool(low.max() == 255 or x.max() == 255 or y.max() == 255 or most >= similarity * (int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64)) - most) - EPSILON)
-
-    def are(x: pa.Buffer, y: pa.Buffer) -> bool:
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return common >= similarity * (len(x) + len(y) - common) - EPSILON
-
-    left = stored(_checked(pairs, cells, "cells", may), "candidates")
-    asked = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    return _checked(left, whole_sets(texts.join(asked, "node", "left_semi"), words), "raw", are)
-
-
-def folded(named: DataFrame, marked: DataFrame) -> DataFrame:
-    """(node, text) of ``named``, with one row of each of the most copied nodes; ``marked`` has its nodes, stored."""
-    copied = marked.groupBy("node").count().filter(F.col("count") > COPIES).orderBy(F.desc("count"), "node").limit(COPIED_NODES).select("node")
-    copied = F.broadcast(stored(copied, "copied-nodes"))
-    named = named.select("node", "text")
-    return named.join(copied, "node", "left_anti").unionByName(named.join(copied, "node", "left_semi").dropDuplicates(["node"]))
-
-
-def components(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, root) of every node of ``texts`` (node, text) that links with another one."""
-    rows = stored(shared_prefixes(prefixes(texts, words, similarity, frequent_shingles(texts, words))), "prefixes")
-    cells = stored(cell_counts(texts, words), "cells")
-    longest = rows.agg(F.max("size")).first()[0] or 0
-    roots, edges, near, far = None, None, 1, 1 + REACH
-    while near < longest or roots is None:
-        open_ = rows.filter(F.col("size") > near).drop("size")
-        if roots is None:
-            open_ = open_.withColumn("root", F.col("node"))
-        else:
-            open_ = open_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        new = stored(verified(candidates(open_, similarity, near, far), texts, cells, words, similarity), "near-copies")
-        if roots is None or not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            roots = connected(edges).withColumnRenamed("id", "node")
-        near, far = far, far * GROWTH
-    return roots
+    return map_slices(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y"), "x", step, "a bigint, b bigint")
+
+
+def _settled(node: np.ndarray, root: np.ndarray, raw: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between the components of one bucket: a forest of its similar pairs of different roots."""
+    n = np.array([len(r) // 8 for r in raw], np.int64)
+    _, code = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+    first = np.cumsum(n) - n
+    _, at, tree, size = np.unique(root, return_index=True, return_inverse=True, return_counts=True)
+    label = at[tree]
+    there = np.zeros(int(code.max()) + 1, np.int32)
+    ends: list[np.ndarray] = []
+    for i in np.nonzero(tree != size.argmax())[0].tolist():
+        mine = code[first[i] : first[i] + n[i]]
+        there[mine] = 1
+        common = np.add.reduceat(there[code], first)
+        there[mine] = 0
+        j = np.nonzero((common >= similarity * (n + n[i] - common) - EPSILON) & (label != label[i]))[0]
+        if len(j):
+            pair = np.full(len(j), i), j
+            tied = _forest(label, *pair)
+            ends.append(np.stack([node[pair[0][tied]], node[j[tied]]]))
+    return tuple(np.concatenate(ends, axis=1)) if ends else (np.zeros(0, np.int64),) * 2
+
+
+def settled(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) within the buckets of ``rows`` (k1, k2, node, root, raw) between different components."""
+    small_batches(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def links() -> pa.RecordBatch:
+            node, root, raw = zip(*held)
+            a, b = _settled(np.array(node), np.array(root), list(raw), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for k1, k2, *rest in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "node", "root", "raw"))):
+                if (k1, k2) != key:
+                    if len(held) > 1:
+                        yield links()
+                    key, held = (k1, k2), []
+                held.append(rest)
+        if len(held) > 1:
+            yield links()
+
+    return rows.select("k1", "k2", "node", "root", "raw").repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, "a bigint, b bigint")
+
+
+def components(docs: DataFrame, words: int, similarity: float, hot_bucket: int = HOT_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(marked, roots) of ``docs`` (doc_id, row_key, text without nulls): marked has doc_id, row_key and node of every
+    row, roots (node, root) every node that links with another one, root being the smallest node it reaches."""
+    marked = stored(sketches(docs, words), "sketches")
+    nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    rows = buckets(nodes, hot_bucket)
+    pairs = stored(candidates(rows, similarity), "candidates")
+    # every node with a candidate is in the forests
+    open_ = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = marked.join(open_, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    texts = docs.select("row_key", "text").join(asked, "row_key").select("node", "text")
+    sets = stored(whole_sets(texts, words), "shingle-sets")
+    links = stored(verified(pairs, sets, similarity), "near-copies")
+    roots = connected(links).withColumnRenamed("id", "node")
+    known = sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    named = stored(rows.select("k1", "k2", "node").join(known, "node"), "open-buckets")
+    unsettled = named.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("size > 2 and low < high").select("k1", "k2")
+    more = stored(settled(named.join(unsettled, ["k1", "k2"]).join(sets, "node"), similarity), "near-copies")
+    return marked.select("doc_id", "row_key", "node"), connected(links.unionByName(more)).withColumnRenamed("id", "node")

@@ -5,8 +5,9 @@ shingles. Fingerprints link when at most ``radius`` bits differ; linked document
 
 The join is exact. The 64 bits are cut into radius + 1 blocks, so two linked fingerprints agree on one block
 at least; each fingerprint goes once to the bucket of each of its block values. In a bucket the sorted
-fingerprints are the leaves of a binary trie: node pairs are walked together from the root, differing bits
-add up along the way, and a pair of nodes is left as soon as its sum exceeds the radius. A bucket that holds
+fingerprints are the leaves of a binary trie: node pairs are walked together from the root down to single
+fingerprints, differing bits add up along the way, and a pair of nodes is left as soon as its sum exceeds the
+radius. The tries of many buckets are walked at once. A bucket that holds
 more than ``hot_bucket`` fingerprints is cut again by blocks of the bits that are left, so that no task gets
 an unbounded bucket. A bucket returns a spanning forest of its links, never all pairs of a group; components
 follow from min-label rounds with pointer jumping over those edges, each written to the shared folder.
@@ -18,7 +19,7 @@ never the smallest one (a component of null ids only has a null id).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,10 @@ BITS = 64
 SEED = 42
 #: Fingerprints of one bucket that a task takes as one trie; larger buckets are cut again.
 HOT_BUCKET = 50_000
-#: Fingerprint pairs under a node pair from which on they are compared directly.
-LEAF_PAIRS = 1 << 16
-#: Of those, node pairs that are compared many at a time; larger ones are blocks of their own.
-SMALL_PAIRS = 1024
-#: Fingerprint pairs compared in one numpy step.
-STEP_PAIRS = 2_000_000
+#: Rows of whole buckets that a task takes at a time (or one bucket).
+BUCKET_ROWS = 20_000
+#: Node pairs of the trie that one numpy step takes, and pairs of equal fingerprints that it lists at a time.
+STEP_NODES, STEP_PAIRS = 20_000, 2_000_000
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
@@ -83,35 +82,59 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def trie_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, root) of a spanning forest of all links among distinct sorted ``fps``.
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    for k in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> np.uint64(k))
+    return np.bitwise_count(x).astype(np.int64)
 
-    Node pairs are rows (a0, a1, b0, b1, errors, bit): two ranges of ``fps`` that share their bits above
-    ``bit`` and differ in ``errors`` bits there.
+
+def _low(bit: np.ndarray) -> np.ndarray:
+    """Masks of the bits below ``bit`` (0 to 64)."""
+    return np.where(bit == 0, np.uint64(0), np.uint64(2**64 - 1) >> (np.uint64(BITS) - np.maximum(bit, 1).astype(np.uint64)))
+
+
+def trie_pairs(fps: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits) of all pairs i < j within ``radius`` bits in each bucket [begin, end) of ``fps``.
+
+    A bucket's fingerprints are sorted: its trie is the ranges that share their upper bits. Node pairs are rows
+    (a0, a1, b0, b1, errors, bit): two ranges that share their bits above ``bit`` and differ in ``errors`` bits
+    there. Runs of bits that no node of a pair branches on are passed at once; leaves are equal fingerprints.
     """
-    n = len(fps)
-    label = np.arange(n)
-    stack = [np.array([[0, n, 0, n, 0, BITS]], np.int64)]
+    zero = np.zeros(len(begin), np.int64)
+    stack = [np.stack([begin, end, begin, end, zero, zero + BITS], 1)]
     while stack:
         nodes = stack.pop()
-        if len(nodes) > 20_000:
-            stack += [nodes[20_000:], nodes[:20_000]]
+        if len(nodes) > STEP_NODES:
+            stack += [nodes[STEP_NODES:], nodes[:STEP_NODES]]
             continue
-        pairs = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2])
-        small = (pairs <= LEAF_PAIRS) | (nodes[:, 5] == 0)
-        _compare(fps, nodes[small], pairs[small], radius, label)
-        nodes = nodes[~small]
+        nodes = _descended(fps, nodes)
+        nodes = nodes[nodes[:, 4] <= radius]
+        yield from _leaf_pairs(nodes[nodes[:, 5] == 0])
+        nodes = nodes[nodes[:, 5] > 0]
         if len(nodes):
             stack.append(_children(fps, nodes, radius))
-    linked = np.nonzero(label != np.arange(n))[0]
-    return fps[linked], fps[label[linked]]
+
+
+def _descended(fps: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The node pairs at the next bit on which one of them branches, with the errors on the way."""
+    a0, a1, b0, b1, errors, bit = nodes.T
+    one, two = fps[a0], fps[b0]
+    branch = _bit_length((one ^ fps[a1 - 1]) | (two ^ fps[b1 - 1]))
+    passed = (one ^ two) & _low(bit) & ~_low(branch)
+    return np.stack([a0, a1, b0, b1, errors + np.bitwise_count(passed), branch], 1)
 
 
 def _split(fps: np.ndarray, first: np.ndarray, end: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Where the entries with ``bit`` set begin in each range that shares the bits above."""
+    """Where the entries with ``bit`` set begin in each range that shares the bits above: a binary search in each."""
     shift = bit.astype(np.uint64)
     border = ((fps[first] >> shift) | np.uint64(1)) << shift
-    return np.clip(np.searchsorted(fps, border), first, end)
+    low, high = first.copy(), end.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        less = fps[np.minimum(middle, len(fps) - 1)] < border
+        low = np.where(open_ & less, middle + 1, low)
+        high = np.where(open_ & ~less, middle, high)
+    return low
 
 
 def _children(fps: np.ndarray, nodes: np.ndarray, radius: int) -> np.ndarray:
@@ -129,28 +152,36 @@ def _children(fps: np.ndarray, nodes: np.ndarray, radius: int) -> np.ndarray:
     return rows[(rows[:, 0] < rows[:, 1]) & (rows[:, 2] < rows[:, 3]) & (rows[:, 4] <= radius)]
 
 
-def _compare(fps: np.ndarray, nodes: np.ndarray, pairs: np.ndarray, radius: int, label: np.ndarray) -> None:
-    """Compares all fingerprints under each node pair: large ones as blocks, small ones many at a time."""
-    large = pairs > SMALL_PAIRS
-    for a0, a1, b0, b1 in nodes[large, :4].tolist():
-        rows = max(1, STEP_PAIRS // (b1 - b0))
-        for x in range(a0, a1, rows):
-            y = min(a1, x + rows)
-            i, j = np.nonzero(np.bitwise_count(fps[x:y, None] ^ fps[None, b0:b1]) <= radius)
-            _unite(label, i + x, j + b0)
-    nodes, pairs = nodes[~large], pairs[~large]
-    total = np.cumsum(pairs)
-    first = 0
-    while first < len(nodes):
-        last = int(np.searchsorted(total, (total[first - 1] if first else 0) + STEP_PAIRS, "right"))
-        part, size = nodes[first:last], pairs[first:last]
-        row = np.repeat(np.arange(len(part)), size)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        width = (part[:, 3] - part[:, 2])[row]
-        i, j = part[row, 0] + at // width, part[row, 2] + at % width
-        hit = np.bitwise_count(fps[i] ^ fps[j]) <= radius
-        _unite(label, i[hit], j[hit])
-        first = last
+def _leaf_pairs(leaves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs under leaf pairs, at most about STEP_PAIRS (or one row of a product) at a time."""
+    single = (leaves[:, 0] == leaves[:, 2]) & (leaves[:, 1] - leaves[:, 0] == 1)
+    leaves = leaves[~single]
+    if not len(leaves):
+        return
+    # one row for each entry of the first range
+    size = leaves[:, 1] - leaves[:, 0]
+    row = np.repeat(np.arange(len(leaves)), size)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + leaves[row, 0]
+    first = np.where(leaves[row, 0] == leaves[row, 2], i + 1, leaves[row, 2])
+    width = leaves[row, 3] - first
+    total = np.cumsum(width)
+    at = 0
+    while at < len(row):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP_PAIRS, "right")))
+        w = width[at:stop]
+        of = np.repeat(np.arange(at, stop), w)
+        j = np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w) + first[of]
+        yield np.minimum(i[of], j), np.maximum(i[of], j), leaves[row[of], 4]
+        at = stop
+
+
+def trie_forest(fps: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint, root) of a spanning forest of all links within each bucket of distinct fingerprints."""
+    label = np.arange(len(fps))
+    for i, j, _ in trie_pairs(fps, begin, end, radius):
+        _unite(label, i, j)
+    linked = np.nonzero(label != np.arange(len(fps)))[0]
+    return fps[linked], fps[label[linked]]
 
 
 def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -169,34 +200,58 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = jumped
 
 
-def bucket_edges(keyed: DataFrame, radius: int) -> DataFrame:
-    """Forest edges (a, b) of each bucket of ``keyed`` (k1, k2, fp)."""
-    small_batches(keyed.sparkSession)
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def by_bucket(rows: DataFrame, step: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``step`` on whole buckets of ``rows`` (k1, k2, fp and more bigint columns), many at a time.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts = None, []
+    It gets the columns sorted by bucket and fingerprint, and where the buckets of two rows or more begin and end.
+    """
+    small_batches(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = rows.columns
 
-        def forest() -> pa.RecordBatch:
-            a, b = trie_forest(np.unique(np.concatenate(parts)), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def solve(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+            columns = dict(zip(names, table))
+            fps = columns["fp"].view(np.uint64)
+            order = np.lexsort((fps, columns["k2"], columns["k1"]))
+            columns = {k: v[order] for k, v in columns.items()}
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(columns["k1"]) != 0) | (np.diff(columns["k2"]) != 0)
+            begin = np.nonzero(new)[0]
+            end = np.append(begin[1:], len(order))
+            several = end - begin > 1
+            if several.any():
+                yield from step(columns, begin[several], end[several])
 
         for batch in batches:
-            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            cuts = np.nonzero((np.diff(k1) != 0) | (np.diff(k2) != 0))[0] + 1
-            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
-                if x == y:
-                    continue
-                if (k1[x], k2[x]) != key:
-                    if sum(map(len, parts)) > 1:
-                        yield forest()
-                    key, parts = (k1[x], k2[x]), []
-                parts.append(fp[x:y])
-        if sum(map(len, parts)) > 1:
-            yield forest()
-
-    return keyed.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, "a bigint, b bigint")
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([batch.column(c).to_numpy() for c in names]))
+            if sum(x.shape[1] for x in held) < BUCKET_ROWS:
+                continue
+            table = np.concatenate(held, axis=1)
+            # the last bucket may go on in the next batch
+            inner = np.nonzero((table[0] != table[0, -1]) | (table[1] != table[1, -1]))[0]
+            last = int(inner[-1]) + 1 if len(inner) else 0
+            held = [table[:, last:]]
+            if last:
+                yield from solve(table[:, :last])
+        if held:
+            yield from solve(np.concatenate(held, axis=1))
+
+    return rows.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, schema)
+
+
+def bucket_edges(keyed: DataFrame, radius: int) -> DataFrame:
+    """Forest edges (a, b) of each bucket of ``keyed`` (k1, k2, fp)."""
+
+    def step(columns: dict[str, np.ndarray], begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = trie_forest(columns["fp"].view(np.uint64), begin, end, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    return by_bucket(keyed.select("k1", "k2", "fp"), step, "a bigint, b bigint")
 
 
 def links(nodes: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -268,19 +323,19 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``docs``, with its own columns: that of the smallest id, then text.
 
-    Documents link when their sets of word shingles reach the similarity, exactly (``near_copies``); fingerprints
-    are not used, for no radius both finds all such pairs and stays below the chance distances of large corpora.
-    Identical rows (same id and text) count as copies of one another.
+    Documents link when their sets of word shingles reach the similarity: the trie self-join gives the candidates
+    and each of their links is verified on the whole sets (``near_copies``). Identical rows (same id and text)
+    count as copies of one another; texts without words, null ones too, are copies of one another. A column of
+    ``docs`` may have any name.
     """
     from docgraph.llm import near_copies  # imports this module
 
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     slim = docs.select(F.col(id_col).alias("doc_id"), key.alias("row_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    named = near_copies.named_sets(slim, words)
-    marked = stored(named.select("doc_id", "row_key", "node"), "nodes")
-    roots = near_copies.components(near_copies.folded(named, marked), words, similarity)
+    marked, roots = near_copies.components(slim, words, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
     nodes = marked.groupBy("node").agg(first)
     chosen = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("first").alias("first"))
-    kept = chosen.select(F.col("first.row_key").alias("_row_key"))
-    return docs.withColumn("_row_key", key).join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    kept = chosen.select(F.col("first.row_key").alias("row_key"))
+    whole = docs.select(key.alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")

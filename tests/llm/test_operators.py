@@ -295,10 +295,8 @@ def brute_near(rows, k, least):
     return sorted({min(rows[j][0] for j in range(len(rows)) if group[j] == g) for g in group})
 
 
-def test_near_dedup_is_exact(spark, monkeypatch):
+def test_near_dedup_is_exact(spark):
     """Both sides of 0.8, exactly 0.8, large groups of near copies, a common passage and pairs far apart by fingerprint."""
-    monkeypatch.setattr(near_copies, "REACH", 1)
-    monkeypatch.setattr(near_copies, "GROWTH", 2)
     r = random.Random(12)
     vocabulary = [f"w{i}" for i in range(5000)]
     text = lambda n: [r.choice(vocabulary) for _ in range(n)]
@@ -327,7 +325,51 @@ def test_near_dedup_is_exact(spark, monkeypatch):
     assert any((prints[a] ^ prints[b]).bit_count() > 12 for a, b in similar)
     assert any((prints[a] ^ prints[b]).bit_count() <= 12 for a, b in set(pairs) - set(similar))
     table = documents(spark, [row(i, t) for i, t in rows])
-    assert sorted(x.doc_id for x in simhash.deduplicate(table).collect()) == brute_near(rows, 5, 0.8)
+    want = brute_near(rows, 5, 0.8)
+    assert sorted(x.doc_id for x in simhash.deduplicate(table).collect()) == want
+    slim = table.selectExpr("doc_id", "md5(text) AS row_key", "text")
+    marked, roots = near_copies.components(slim, 5, 0.8, hot_bucket=10)
+    named = marked.join(roots, "node", "left").selectExpr("doc_id", "coalesce(root, node) AS root")
+    assert sorted(x.least for x in named.groupBy("root").agg({"doc_id": "min"}).toDF("root", "least").collect()) == want
+
+
+@pytest.mark.parametrize("radius", [4, 12, 20])
+def test_trie_descent(radius):
+    """Thousands of clustered fingerprints in buckets of one to a thousand, equal ones too: pairs and distances."""
+    r = np.random.default_rng(radius)
+    fps = []
+    for base in r.integers(0, 1 << 63, 60, dtype=np.uint64):
+        for _ in range(45):
+            x = int(base)
+            for bit in r.integers(0, 64, r.integers(0, 12)):
+                x ^= 1 << int(bit)
+            fps.append(x)
+    cuts = np.array([0, 1, 3, 900, 1700, len(fps)])
+    fps = np.concatenate([np.sort(np.array(fps[a:b], np.uint64)) for a, b in zip(cuts, cuts[1:])])
+    got = [np.stack(x) for x in simhash.trie_pairs(fps, cuts[:-1], cuts[1:], radius)]
+    want = []
+    for a, b in zip(cuts, cuts[1:]):
+        far = np.bitwise_count(fps[a:b, None] ^ fps[None, a:b]).astype(np.int64)
+        i, j = np.nonzero(np.triu(far <= radius, 1))
+        want.append(np.stack([i + a, j + a, far[i, j]]))
+    assert sorted(np.concatenate(got, axis=1).T.tolist()) == sorted(np.concatenate(want, axis=1).T.tolist())
+
+
+def test_trie_prunes(monkeypatch):
+    """Node pairs beyond the budget are left: far fewer node pairs than fingerprint pairs are entered."""
+    r = np.random.default_rng(5)
+    fps = np.sort(r.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    entered = []
+    children = simhash._children
+    monkeypatch.setattr(simhash, "_children", lambda f, nodes, radius: entered.append(len(nodes)) or children(f, nodes, radius))
+    list(simhash.trie_pairs(fps, np.array([0]), np.array([len(fps)]), 1))
+    assert 0 < sum(entered) < len(fps) ** 2 / 40
+
+
+def test_near_dedup_on_the_table(spark, sf_dir):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    kept = simhash.deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_near(rows, 5, 0.8)
 
 
 # --- 7
