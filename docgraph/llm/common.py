@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,10 +18,13 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process (local master,
+    as in tests) may leave it unset and gets a folder of the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="docgraph-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -118,12 +120,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of any byte ranges of one array: polynomial prefix sums modulo 2**64."""
+    """Hashes of any ranges of one array of bytes (or of 64-bit codes): polynomial prefix sums modulo 2**64.
+
+    Strings made for it can collide from about a thousand bytes on: equal hashes of long ranges are candidates,
+    to be confirmed on the bytes.
+    """
 
     def __init__(self, data: np.ndarray) -> None:
         up, self.down = _powers(len(data) + 1)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * up[: len(data)], out=self.prefix[1:])
+        codes = BYTE_CODES[data] if data.dtype == np.uint8 else data
+        np.cumsum(codes * up[: len(data)], out=self.prefix[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))

@@ -17,6 +17,10 @@ match, and suffix arrays decide those.
    at fixed distances from the owner, in rounds (32, 4 and 1 windows wide), and counted: cells whose common
    bytes occur once are done, cells that occur twice as a whole are removed, the rest is cut again.
 
+Beside the removed bytes, the words of passages of ``words`` words that start elsewhere too are counted (a passage
+of 51 short words has less than 400 bytes): the same anchors over words, whole runs and then single windows by
+their hashes.
+
 Defined cases: a null text is empty; shorter texts than ``length`` lose nothing; repeated rows lose every
 byte that lies in a long enough text, each of them; a null id is an id like any other.
 """
@@ -28,15 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import Hasher, map_slices, mix, small_batches, stored, text_bytes
+from docgraph.llm.common import SPACE, Hasher, map_slices, mix, small_batches, stored, text_bytes, word_spans
 
 LENGTH = 400
 GRAM = 128
 HOT = 1000
 CELLS = (32, 4, 1)
+#: Passages of so many words are reported too, whatever their length in bytes; each window owns a gram of so many.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 16
 #: Bytes of ranges that one suffix array holds, unless one owner has more (at most ``hot`` ranges).
 BATCH_BYTES = 1 << 20
 #: Window starts that are scanned at a time; a longer text is scanned in segments that overlap by a window.
@@ -87,10 +94,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     lo, hi, at = windows[first], windows[last], owner[first]
     kh = h[at]
     # the range's bytes, and where the owner stands in them
-    uh = mix(hasher.ranges(lo, hi + length) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    uh = mix(digests(data.tobytes(), lo, hi + length) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return doc_of[lo], at, lo, hi, kh, uh
 
 
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of each byte range: what ranges are told apart by wherever equal hashes stand for equal bytes."""
+    view = memoryview(raw)
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+
+
 def anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """(row_key, kh, uh, at, lo, hi, n) by document; n = 0 marks a range that its own document repeats."""
 
@@ -242,7 +255,6 @@ def cells(parts: DataFrame, width: int, length: int) -> DataFrame:
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(part.column("raw"))
-        hasher = Hasher(data)
         lo, hi, at = (part.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "at"))
         nearest, farthest = (at - hi) // width, (at - lo) // width
         count = farthest - nearest + 1
@@ -251,9 +263,9 @@ def cells(parts: DataFrame, width: int, length: int) -> DataFrame:
         high, low = at[row] - c * width, at[row] - (c + 1) * width + 1
         p0, p1 = np.maximum(low, lo[row]), np.minimum(high, hi[row])
         shift = offsets[row] - lo[row]
-        ck = mix(hasher.ranges(high + shift, low + length + shift) ^ mix(part.column("kh").to_numpy().view(np.uint64)[row] + c.astype(np.uint64)))
-        uk = mix(hasher.ranges(p0 + shift, p1 + length + shift) + mix(ck + (at[row] - p0).astype(np.uint64)))
         raw = data.tobytes()
+        ck = mix(digests(raw, high + shift, low + length + shift) ^ mix(part.column("kh").to_numpy().view(np.uint64)[row] + c.astype(np.uint64)))
+        uk = mix(digests(raw, p0 + shift, p1 + length + shift) + mix(ck + (at[row] - p0).astype(np.uint64)))
         cut = [raw[a:b] for a, b in zip((p0 + shift).tolist(), (p1 + length + shift).tolist())]
         take = pa.array(row)
         return pa.RecordBatch.from_arrays([part.column("kh").take(take), part.column("row_key").take(take), part.column("open").take(take), pa.array(at[row].astype(np.int32)), pa.array(p0.astype(np.int32)), pa.array(p1.astype(np.int32)), pa.array(cut, pa.binary()), pa.array(ck.view(np.int64)), pa.array(uk.view(np.int64))], names=["kh", "row_key", "open", "at", "lo", "hi", "raw", "ck", "uk"])
@@ -277,40 +289,130 @@ def decide_hot(parts: DataFrame, length: int) -> DataFrame:
     return found
 
 
-def removed_ranges(keyed: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """(row_key, lo, hi): ranges of window starts whose windows occur twice in the corpus."""
-    rows = stored(anchor_rows(keyed, length, gram), "anchors")
+def passage_anchors(data: np.ndarray, offsets: np.ndarray, words: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(document, first word, first byte, end byte, owner hash, range hash) of the runs of ``words``-word windows
+    that own one gram; words and bytes count from the document's beginning."""
+    start, end, doc = word_spans(data, offsets, ~SPACE[data])
+    n, width = len(start), words - gram + 1
+    if n < words:
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+    word = Hasher(data).ranges(start, end)
+    hasher = Hasher(word)
+    grams = np.arange(n - gram + 1)
+    h = hasher.ranges(grams, grams + gram)
+    windows = np.nonzero(doc[words - 1 :] == doc[: n - words + 1])[0]
+    view = np.lib.stride_tricks.sliding_window_view(h, width)
+    least = [view[windows[a : a + COMPARE_ROWS]].argmin(1) for a in range(0, len(windows), COMPARE_ROWS)]
+    owner = windows + np.concatenate([*least, np.zeros(0, np.int64)]).astype(np.int64)
+    new = np.ones(len(windows), bool)
+    new[1:] = (np.diff(windows) != 1) | (np.diff(owner) != 0) | (np.diff(doc[windows]) != 0)
+    first = np.nonzero(new)[0]
+    last = np.append(first[1:], len(windows)) - 1
+    lo, hi, at = windows[first], windows[last], owner[first]
+    of = doc[lo]
+    uh = mix(hasher.ranges(lo, hi + words) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    n_words = np.bincount(doc, minlength=len(offsets) - 1)
+    return of, lo - (np.cumsum(n_words) - n_words)[of], start[lo] - offsets[of], end[hi + words - 1] - offsets[of], h[at], uh
+
+
+def passage_rows(keyed: DataFrame, words: int, gram: int) -> DataFrame:
+    """(row_key, kh, uh, lo, begin, end) of every run: ``lo`` is its first word, begin and end are bytes."""
+
+    def step(part: pa.RecordBatch) -> pa.RecordBatch:
+        doc, lo, begin, end, kh, uh = passage_anchors(*text_bytes(part.column("text")), words, gram)
+        ints = [pa.array(x.astype(np.int32)) for x in (lo, begin, end)]
+        return pa.RecordBatch.from_arrays([part.column("row_key").take(pa.array(doc)), pa.array(kh.view(np.int64)), pa.array(uh.view(np.int64)), *ints], names=["row_key", "kh", "uh", "lo", "begin", "end"])
+
+    return map_slices(keyed, "text", step, "row_key binary, kh bigint, uh bigint, lo int, begin int, end int")
+
+
+def passage_windows(fragments: DataFrame, words: int) -> DataFrame:
+    """(h, row_key, lo, open): the hash of every window of fragments (row_key, lo, open, raw), lo being its first word."""
+
+    def step(part: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(part.column("raw"))
+        start, end, doc = word_spans(data, offsets, ~SPACE[data])
+        hasher = Hasher(Hasher(data).ranges(start, end))
+        at = np.nonzero(doc[words - 1 :] == doc[: max(0, len(doc) - words + 1)])[0]
+        h = hasher.ranges(at, at + words)
+        of = doc[at]
+        n_words = np.bincount(doc, minlength=part.num_rows)
+        take = pa.array(of)
+        lo = part.column("lo").to_numpy()[of] + at - (np.cumsum(n_words) - n_words)[of]
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("row_key").take(take), pa.array(lo.astype(np.int32)), part.column("open").take(take)], names=["h", "row_key", "lo", "open"])
+
+    return map_slices(fragments, "raw", step, "h bigint, row_key binary, lo int, open boolean")
+
+
+def repeated_ranges(keyed: DataFrame, length: int, gram: int, hot: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges of window starts that occur twice in the corpus: (row_key, lo, hi) in bytes and (row_key, lo, n) in words."""
+    rows = stored(anchor_rows(keyed.filter(F.octet_length("text") >= length), length, gram), "anchors")
     own = rows.filter(F.col("n") == 0).select("row_key", "lo", "hi")
-    marks = rows.filter(F.col("n") > 0)
-    shared = marks.groupBy("kh").agg(F.sum("n").alias("total")).filter(F.col("total") > 1).select("kh")
-    near = stored(marks.join(shared, "kh", "left_semi"), "shared-anchors")
-    kinds = near.groupBy("kh", "uh").agg(F.sum("n").alias("same"), F.min(F.struct("row_key", "lo", "hi", "at")).alias("one"))
-    kinds = stored(kinds, "ranges")
+    near, kinds, asked = _shared(rows.filter(F.col("n") > 0), "n", F.struct("row_key", "lo", "hi", "at"))
     twice = kinds.filter(F.col("same") > 1).select("kh", "uh")
     whole = near.join(twice, ["kh", "uh"], "left_semi").select("row_key", "lo", "hi")
-    owners = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("ranges"), F.sum((F.col("same") == 1).cast("int")).alias("unsure")).filter((F.col("unsure") > 0) & (F.col("ranges") > 1))
-    asked = kinds.join(owners.select("kh", "ranges"), "kh").select("kh", F.col("one.row_key").alias("row_key"), F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), F.col("one.at").alias("at"), (F.col("same") == 1).alias("open"), "ranges")
-    raw = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
-    fragments = stored(keyed.join(asked, "row_key").select("kh", "row_key", "lo", "hi", "at", "open", "ranges", raw.alias("raw")).dropDuplicates(["kh", "row_key", "lo"]), "fragments")
-    found = own.unionByName(whole).unionByName(decide(fragments.filter(F.col("ranges") <= hot), length))
-    crowded = fragments.filter(F.col("ranges") > hot)
+    asked = asked.select("kh", "one.row_key", "one.lo", "one.hi", "one.at", "open", "ranges", F.col("one.lo").alias("begin"), (F.col("one.hi") + length).alias("end"), F.lit(True).alias("bytes"))
+
+    spoken = stored(passage_rows(keyed, words, PASSAGE_GRAM), "passages")
+    near_w, kinds_w, asked_w = _shared(spoken.withColumn("n", F.lit(1)), "n", F.struct("row_key", "lo", "begin", "end"))
+    twice_w = kinds_w.filter(F.col("same") > 1).select("kh", "uh")
+    said = near_w.join(twice_w, ["kh", "uh"], "left_semi").select("row_key", "begin", "end", "lo")
+    asked_w = asked_w.select("kh", "one.row_key", "one.lo", F.lit(0).alias("hi"), F.lit(0).alias("at"), "open", F.lit(0).cast("bigint").alias("ranges"), "one.begin", "one.end", F.lit(False).alias("bytes"))
+
+    # the bytes of both kinds, by one join with the texts
+    raw = F.substring(F.col("text").cast("binary"), F.col("begin") + 1, F.col("end") - F.col("begin"))
+    both = keyed.join(asked.unionByName(asked_w), "row_key").select("kh", "row_key", "lo", "hi", "at", "open", "ranges", "bytes", raw.alias("raw"))
+    fragments = stored(both.dropDuplicates(["bytes", "kh", "row_key", "lo"]), "fragments")
+    cut = fragments.filter("bytes")
+    found = own.unionByName(whole).unionByName(decide(cut.filter(F.col("ranges") <= hot), length))
+    crowded = cut.filter(F.col("ranges") > hot)
     if not crowded.isEmpty():
         found = found.unionByName(decide_hot(crowded, length))
-    return found
+
+    windows = stored(passage_windows(fragments.filter("not bytes").select("row_key", "lo", "open", "raw"), words), "passage-windows")
+    again = windows.groupBy("h").count().filter(F.col("count") > 1).select("h")
+    single = windows.filter("open").join(again, "h", "left_semi").select("row_key", "lo", F.lit(0).alias("begin"), F.lit(0).alias("end"))
+    return found, single.unionByName(said)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes left) of every row of ``docs``."""
+def _shared(marks: DataFrame, n: str, one: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marks of owners that occur twice; their kinds (kh, uh, same, one); of owners with open kinds, one row each)."""
+    shared = marks.groupBy("kh").agg(F.sum(n).alias("total")).filter(F.col("total") > 1).select("kh")
+    near = stored(marks.join(shared, "kh", "left_semi"), "shared-anchors")
+    kinds = stored(near.groupBy("kh", "uh").agg(F.sum(n).alias("same"), F.min(one).alias("one")), "ranges")
+    owners = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("ranges"), F.sum((F.col("same") == 1).cast("int")).alias("unsure")).filter((F.col("unsure") > 0) & (F.col("ranges") > 1))
+    asked = kinds.join(owners.select("kh", "ranges"), "kh").select("kh", "one", (F.col("same") == 1).alias("open"), "ranges")
+    return near, kinds, asked
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeat_words (and ``kept``, the bytes left) of every row.
+
+    n_repeat_words are the words of passages of ``words`` words that start elsewhere too, whatever their bytes.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), text).alias("row_key"), text.alias("text"))
-    slim = keyed.select("row_key", "text").filter(F.octet_length("text") >= length)
-    ranges = removed_ranges(slim, length, gram, hot).groupBy("row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    found, said = repeated_ranges(keyed.select("row_key", "text"), length, gram, hot, words)
+    # sets: a repeated row has its ranges once
+    one = found.select("row_key", F.struct("lo", "hi").alias("cut"), F.lit(None).cast("struct<lo:int,begin:int,end:int>").alias("said"))
+    two = said.select("row_key", F.lit(None).cast("struct<lo:int,hi:int>").alias("cut"), F.struct("lo", "begin", "end").alias("said"))
+    ranges = one.unionByName(two).groupBy("row_key").agg(F.collect_set("cut").alias("ranges"), F.collect_set("said").alias("said"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
+    def repeat_words(raw: np.ndarray, said: list[dict]) -> int:
+        """Words under the windows: single ones by their first word, whole runs by their bytes."""
+        start, end, _ = word_spans(raw, np.array([0, len(raw)]), ~SPACE[raw])
+        change = np.zeros(len(start) + words + 1, np.int64)
+        for r in said:
+            stop = r["lo"] + words if r["end"] == 0 else int(np.searchsorted(end, r["end"], "right"))
+            change[r["lo"]] += 1
+            change[stop] -= 1
+        return int((np.cumsum(change)[: len(start)] > 0).sum())
+
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(part.column("text"))
         rows: list[tuple] = []
-        for i, found in enumerate(part.column("ranges").to_pylist()):
+        for i, (found, said) in enumerate(zip(part.column("ranges").to_pylist(), part.column("said").to_pylist())):
             raw = data[offsets[i] : offsets[i + 1]]
             change = np.zeros(len(raw) + 1, np.int64)
             for r in found or ():
@@ -318,14 +420,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 change[r["hi"] + length] -= 1
             gone = np.cumsum(change)[:-1] > 0
             kept = raw[~gone].tobytes()
-            rows.append((len(raw), int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((len(raw), int(gone.sum()), len(runs(gone)[0]), repeat_words(raw, said) if said else 0, hashlib.sha256(kept).hexdigest(), kept))
         columns = list(zip(*rows))
-        arrays = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        arrays = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeat_words", "kept_sha256"]
         if with_text:
-            arrays.append(pa.array(columns[4], pa.binary()))
+            arrays.append(pa.array(columns[5], pa.binary()))
             names.append("kept")
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")
-    return map_slices(keyed.join(ranges, "row_key", "left").select("doc_id", "text", "ranges"), "text", step, schema)
+    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, n_repeat_words bigint, kept_sha256 string" + (", kept binary" if with_text else "")
+    return map_slices(keyed.join(ranges, "row_key", "left").select("doc_id", "text", "ranges", "said"), "text", step, schema)
