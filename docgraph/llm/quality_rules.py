@@ -11,6 +11,8 @@ host of their own; repeated rows are judged one by one; an empty table gives an
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +32,9 @@ HOST_PERCENT = 10
 #: Hosts up to this number are broadcast (their verdicts take a few dozen bytes each); more are shuffled.
 BROADCAST_HOSTS = 100_000
 
+#: Bytes of a word from which on its document's windows are compared by their words, not by hashes.
+LONG_WORD = 256
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -53,6 +58,13 @@ def _with_equal(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return either, earlier
 
 
+def _repeat_words(words: list[bytes]) -> int:
+    """Words in 3-word windows found twice or more, on the words themselves."""
+    seen = Counter(zip(words, words[1:], words[2:]))
+    hit = {i + k for i, w in enumerate(zip(words, words[1:], words[2:])) if seen[w] > 1 for k in range(3)}
+    return len(hit)
+
+
 def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The five counts of every document of a slice."""
     n = len(offsets) - 1
@@ -78,7 +90,17 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     full = words_before[line_end] > words_before[line_start]
     line_start, line_end, line_doc = line_start[full], line_end[full], line_doc[full]
     earlier = _with_equal(hasher.ranges(line_start, line_end) ^ salt[line_doc])[1]
-    out["n_dup_lines"] = np.bincount(line_doc[earlier], minlength=n)
+    n_dup = np.bincount(line_doc[earlier], minlength=n)
+    # equal hashes are no proof: documents that have some are counted on their bytes
+    raw = data.tobytes()
+    for d in np.nonzero(n_dup)[0].tolist():
+        a, b = np.searchsorted(line_doc, [d, d + 1])
+        n_dup[d] = b - a - len({raw[x:y] for x, y in zip(line_start[a:b].tolist(), line_end[a:b].tolist())})
+    out["n_dup_lines"] = n_dup
+    long = np.unique(doc[(end - start) > LONG_WORD])
+    for d in long.tolist():
+        a, b = np.searchsorted(doc, [d, d + 1])
+        out["n_repeat_words"][d] = _repeat_words([raw[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())])
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
@@ -107,13 +129,20 @@ def strict_failed(prefix: str = "") -> Column:
 def host_rates(judged: DataFrame) -> DataFrame:
     """host, n, failed, rate: failure rates shrunk by the beta prior that fits all hosts.
 
-    ``judged`` has ``host`` and a boolean ``failed``. With mean m and variance v of the hosts' raw rates the
-    prior weighs k = m(1-m)/v - 1 documents, between 1 and 10000 (1 if the hosts do not differ at all).
+    ``judged`` has ``host`` and a boolean ``failed``. The fit is that of a beta-binomial by moments: m is the rate of
+    all documents, and of the hosts' spread around it (each weighing its documents) what exceeds the sampling
+    noise gives the correlation rho within a host; the prior weighs k = 1/rho - 1 documents, between 1 and 10000
+    (10000 where the hosts differ no more than by chance).
     """
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
-    moments = hosts.agg(F.avg(F.col("n_failed") / F.col("n")).alias("m"), F.var_pop(F.col("n_failed") / F.col("n")).alias("v")).first()
-    m, v = moments["m"] or 0.0, moments["v"] or 0.0
-    weight = min(max(m * (1 - m) / v - 1, 1.0), 10_000.0) if v > 0 else 1.0
+    sums = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("n").alias("n"), F.sum("n_failed").alias("f"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.sum(F.col("n_failed").cast("double") * F.col("n_failed") / F.col("n")).alias("ff")).first()
+    m, weight = 0.0, 10_000.0
+    if sums["h"]:
+        m = sums["f"] / sums["n"]
+        room = sums["n"] - sums["nn"] / sums["n"] - (sums["h"] - 1)
+        if 0 < m < 1 and room > 0:
+            rho = ((sums["ff"] - sums["n"] * m * m) / (m * (1 - m)) - (sums["h"] - 1)) / room
+            weight = min(max(1 / rho - 1, 1.0), 10_000.0) if rho > 0 else 10_000.0
     return hosts.withColumn("rate", (F.col("n_failed") + F.lit(m * weight)) / (F.col("n") + F.lit(weight)))
 
 
@@ -138,5 +167,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_percent: float = HOST_PERCENT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``; no text crosses the network."""
-    counted = stored(document_counts(docs, text_col, drop_text=False, prefix="_q_"), "quality-documents")
-    return with_verdicts(counted, host_col, "_q_", host_percent).filter(F.col("_q_kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    counted = stored(document_counts(docs, text_col, drop_text=False, prefix=prefix), "quality-documents")
+    return with_verdicts(counted, host_col, prefix, host_percent).filter(F.col(prefix + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -91,8 +91,10 @@ j AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 2 * n_words AS strict_failed FROM c),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR strict_failed) AS f FROM j GROUP BY source),
-m AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
-k AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) ELSE 1.0 END AS k FROM m),
+s AS (SELECT count(*) AS h, sum(n)::DOUBLE AS n, sum(f)::DOUBLE AS f, sum(n::DOUBLE * n) AS nn, sum(f::DOUBLE * f / n) AS ff FROM h),
+r AS (SELECT f / n AS m, CASE WHEN f > 0 AND f < n AND n - nn / n - (h - 1) > 0
+  THEN ((ff - f * f / n) / (f / n * (1 - f / n)) - (h - 1)) / (n - nn / n - (h - 1)) ELSE 0 END AS rho FROM s),
+k AS (SELECT m, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1.0), 10000.0) ELSE 10000.0 END AS k FROM r),
 bad AS (SELECT source, (f + m * k) / (n + k) * 100 >= 10 AS bad FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (bad AND strict_failed) AS kept
