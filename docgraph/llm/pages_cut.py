@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docgraph.llm.common import map_slices
 
 #: Element names by their role in a page.
-RAW = frozenset("script style noscript template iframe textarea title svg math select object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title svg select canvas audio video".split())
 NEVER = RAW | frozenset("head form button nav footer aside dialog menu option input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul center head".split())
@@ -36,6 +36,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark boilerplate or content.
 BAD_WORDS = frozenset("ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottom sidebar side aside widget related recommended popular trending share sharing social follow subscribe newsletter signup login register cookie cookies consent gdpr notice notification alert popup modal overlay disclaimer copyright legal comment comments comment-list discussion disqus reply replies respond reaction pagination pager tags tagcloud search form toolbar hidden complementary contentinfo".split())
 GOOD_WORDS = frozenset("article content main post entry story body text maincontent articlebody".split())
+#: First words of compound class names that speak of other things than their element (with-sidebar, category-legal).
+ABOUT_WORDS = frozenset("with no has have without category cat tag type format status topic section layout post page entry article js is".split())
 #: Of the former, those that only name a part where a content word stands beside them (article-header).
 HEADER_WORDS = frozenset("header top masthead".split())
 
@@ -48,6 +50,9 @@ _WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 #: Fixed weights of the block classifier, in nats for content: bias, words, link share, sentence end, heading,
 #: in article/main, boilerplate word near, content word near, paragraph, list item.
 WEIGHTS = np.array([-0.6, 0.35, -3.5, 0.8, 0.2, 3.0, -9.0, 1.2, 1.2, -0.4])
+#: How much a boilerplate word in a compound name counts against a name of its own, and what is left of a wrapper's
+#: word below a content element.
+COMPOUND, THROUGH = 0.7, 0.3
 #: Smoothness between neighbours in the page, at DOM distance 0, and what each step in the DOM takes off.
 SMOOTH, DECAY = 1.2, 0.45
 NEVER_COST = 1e6
@@ -76,9 +81,14 @@ class _Node:
                 names += " " + value.lower()
             elif low == "hidden" or low == "aria-hidden" and value.lower() == "true" or low == "style" and "display:none" in value.lower().replace(" ", ""):
                 hidden = "hidden"
-        words = set(_WORD_SPLIT.split(names)) | set(names.split())
-        bad = words & BAD_WORDS - (HEADER_WORDS if words & GOOD_WORDS else frozenset())
-        self.bad = bool(bad) or bool(hidden) or bool(parent and parent.bad)
+        whole = names.split()
+        compound = [t for t in (_WORD_SPLIT.split(n) for n in whole) if len(t) > 1 and t[0] not in ABOUT_WORDS]
+        words = set(whole) | {w for t in compound for w in t}
+        root = tag in ("article", "main") or bool(words & {"main", "articlebody"})
+        bad = BAD_WORDS - (HEADER_WORDS if words & GOOD_WORDS else frozenset())
+        own = 1.0 if hidden or set(whole) & bad else COMPOUND if words & bad else 0.0
+        # a wrapper's name counts for what it wraps, less below an element that says it holds the content
+        self.bad = max(own, (parent.bad if parent else 0.0) * (THROUGH if root else 1.0))
         self.good = bool(words & GOOD_WORDS) or bool(parent and parent.good)
         self.never = tag in NEVER or bool(hidden) or bool(parent and parent.never) or tag == "header" and not (parent and parent.article)
         self.article = tag in ("article", "main") or bool(parent and parent.article)
