@@ -37,6 +37,8 @@ REMEMBERED_BYTES = 64
 MEMORY = 300_000
 #: Ids that the decoder feeds to its state machine at a time.
 DECODE_IDS = 4096
+#: Characters of a text up to which its pieces are listed at once; a longer one gives them one by one.
+LISTED = 1 << 16
 #: Bytes after which a long piece's final tokens are emitted.
 EMIT_EVERY = 256
 #: The characters of the Unicode property White_Space, and the pre-tokenizer's pattern.
@@ -173,7 +175,8 @@ class Bpe:
                 i = self.special[part]
                 yield str(i), 1, self.bytes[i]
             else:
-                for p in _PIECE.findall(part):
+                found = _PIECE.findall(part) if len(part) <= LISTED else (m[0] for m in _PIECE.finditer(part))
+                for p in found:
                     yield self.pieces.get(p) or piece(p)
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -188,13 +191,16 @@ class Bpe:
         return "".join([*out, machine.decode(b"", True)])
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
-        got = list(self.chunks(text))
-        ids_sha, text_sha = hashlib.sha256(), hashlib.sha256()
+        """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text), fed as pieces come."""
+        n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        ids_sha.update(",".join([g[0] for g in got]).encode())
-        text_sha.update(machine.decode(b"".join([g[2] for g in got]), True).encode())
-        return sum([g[1] for g in got]), ids_sha.hexdigest(), text_sha.hexdigest()
+        todo = self.chunks(text)
+        while got := list(islice(todo, DECODE_IDS)):
+            ids_sha.update(("," if n else "").encode() + ",".join([g[0] for g in got]).encode())
+            text_sha.update(machine.decode(b"".join([g[2] for g in got])).encode())
+            n += sum([g[1] for g in got])
+        text_sha.update(machine.decode(b"", True).encode())
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
 _loaded: dict[str, Bpe] = {}
@@ -232,7 +238,8 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all but the text if None), ids array<int>, n_tokens, and decoded_sha256 of the ids' text."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer(path))
-    fields = [f for f in docs.schema.fields if (f.name in keep if keep is not None else f.name != text_col)]
+    own = ("ids", "n_tokens", "decoded_sha256")  # columns of these names give way
+    fields = [f for f in docs.schema.fields if (f.name in keep if keep is not None else f.name != text_col) and f.name.lower() not in own]
     names = [f.name for f in fields]
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
