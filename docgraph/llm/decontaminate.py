@@ -19,14 +19,17 @@ end, so a document shorter than the item can match with the words that it has.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docgraph.llm.common import Hasher, map_slices, mix, stored, text_bytes, word_spans
 
@@ -86,11 +89,11 @@ class Index:
     two have (sorted hashes, counts); without it the block is the benchmark.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int, counts: Counts | None = None) -> None:
+    def __init__(self, ids: list, texts: list[str], radius: int, counts: Counts | None = None) -> None:
         column = pa.array([t or "" for t in texts], pa.string())
         key, item, n_words = shingles(*text_bytes(column))
         self.radius = radius
-        self.ids, self.n_words = np.array(ids, np.int64), n_words
+        self.ids, self.n_words = ids, n_words
         self.n_shingles = np.maximum(n_words - SHINGLE + 1, np.minimum(n_words, 1))
         first = np.cumsum(self.n_shingles) - self.n_shingles
         place = np.arange(len(key)) - first[item]
@@ -210,9 +213,21 @@ def weighted_similarity(query: np.ndarray, item: np.ndarray, wrow: np.ndarray, w
     return shared / (total[query] + index.total[item] - shared)
 
 
+_built: dict[str, Index] = {}
+
+
+def _index(block: tuple[str, list, list[str]], radius: int, counts: Counts) -> Index:
+    """One index a worker process and block, so that it lasts over tasks."""
+    name, ids, texts = block
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(ids, texts, radius, counts)
+    return _built[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, first_word, similarity, distance): each document with each item that it holds."""
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return _search(slim, ["doc_id"], benchmark, item_col, item_text_col, similarity, radius, block_items)
 
 
@@ -231,35 +246,36 @@ def _counts(benchmark: DataFrame, text_col: str) -> Counts:
     return texts.count(), key[order], count[order]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int) -> Iterator[tuple[list[int], list[str], bool]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int) -> Iterator[tuple[list, list[str], bool]]:
     """(ids, texts, whether it is the only one) of each block of the stated query set, read one at a time."""
-    rows = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).orderBy("i", "t").toLocalIterator()
+    rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).orderBy("i", "t").toLocalIterator()
     ids, texts, only = [], [], True
     for r in rows:
         if len(ids) == block_items:
             only = False
             yield ids, texts, only
             ids, texts = [], []
-        ids.append(-1 if r.i is None else r.i)
+        ids.append(r.i)
         texts.append(r.t)
     yield ids, texts, only
 
 
 def _search(slim: DataFrame, keys: list[str], benchmark: DataFrame, item_col: str, item_text_col: str, similarity: float, radius: int, block_items: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    item_kind = benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     counts = slim.sparkSession.sparkContext.broadcast(_counts(benchmark, item_text_col))
     found = None
     for ids, texts, only in _blocks(benchmark, item_col, item_text_col, block_items):
-        made: list[Index] = []
+        sent = slim.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ids, texts))
 
-        def step(part: pa.RecordBatch, ids: list[int] = ids, texts: list[str] = texts, made: list = made) -> pa.RecordBatch:
-            if not made:
-                made.append(Index(ids, texts, radius, counts.value))
-            doc, item, first, score, distance = matches(*text_bytes(pc.fill_null(part.column("text"), "")), made[0], similarity)
+        def step(part: pa.RecordBatch, sent: Broadcast = sent) -> pa.RecordBatch:
+            index = _index(sent.value, radius, counts.value)
+            doc, item, first, score, distance = matches(*text_bytes(pc.fill_null(part.column("text"), "")), index, similarity)
             at = pa.array(doc)
-            return pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in keys), pa.array(made[0].ids[item]), pa.array(first), pa.array(np.round(score, 6)), pa.array(distance)], names=[*keys, "item_id", "first_word", "similarity", "distance"])
+            return pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in keys), pa.array([index.ids[i] for i in item.tolist()], item_type), pa.array(first), pa.array(np.round(score, 6)), pa.array(distance)], names=[*keys, "item_id", "first_word", "similarity", "distance"])
 
-        one = map_slices(slim, "text", step, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["item_id bigint, first_word bigint, similarity double, distance bigint"]))
+        one = map_slices(slim, "text", step, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"item_id {item_kind}, first_word bigint, similarity double, distance bigint"]))
         # the findings of one block of several are written, so that no plan holds all blocks
         one = one if only else stored(one, "matches")
         found = one if found is None else found.unionByName(one)
@@ -271,12 +287,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     schema = docs.schema
     counts = docs.sparkSession.sparkContext.broadcast(_counts(benchmark, "text"))
     for ids, texts, only in _blocks(benchmark, "item_id", "text", block_items):
-        made: list[Index] = []
+        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ids, texts))
 
-        def step(part: pa.RecordBatch, ids: list[int] = ids, texts: list[str] = texts, made: list = made) -> pa.RecordBatch:
-            if not made:
-                made.append(Index(ids, texts, radius, counts.value))
-            doc = matches(*text_bytes(pc.fill_null(part.column(text_col), "")), made[0], similarity)[0]
+        def step(part: pa.RecordBatch, sent: Broadcast = sent) -> pa.RecordBatch:
+            doc = matches(*text_bytes(pc.fill_null(part.column(text_col), "")), _index(sent.value, radius, counts.value), similarity)[0]
             clean = np.ones(part.num_rows, bool)
             clean[doc] = False
             return part.filter(pa.array(clean))
