@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import SPACE, Hasher, map_slices, mix, small_batches, stored, text_bytes, word_spans
+from docgraph.llm.common import SPACE, Hasher, drop_stored, map_slices, mix, small_batches, stored, text_bytes, word_spans
 
 LENGTH = 400
 GRAM = 128
 HOT = 1000
 CELLS = (32, 4, 1)
 #: Passages of so many words are reported too, whatever their length in bytes; each window owns a gram of so many.
-PASSAGE_WORDS, PASSAGE_GRAM = 51, 16
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 12
 #: Bytes of ranges that one suffix array holds, unless one owner has more (at most ``hot`` ranges).
 BATCH_BYTES = 1 << 20
 #: Window starts that are scanned at a time; a longer text is scanned in segments that overlap by a window.
@@ -347,14 +347,16 @@ def passage_windows(fragments: DataFrame, words: int) -> DataFrame:
 def repeated_ranges(keyed: DataFrame, length: int, gram: int, hot: int, words: int) -> tuple[DataFrame, DataFrame]:
     """Ranges of window starts that occur twice in the corpus: (row_key, lo, hi) in bytes and (row_key, lo, n) in words."""
     rows = stored(anchor_rows(keyed.filter(F.octet_length("text") >= length), length, gram), "anchors")
-    own = rows.filter(F.col("n") == 0).select("row_key", "lo", "hi")
+    own = stored(rows.filter(F.col("n") == 0).select("row_key", "lo", "hi"), "own-repeats")
     near, kinds, asked = _shared(rows.filter(F.col("n") > 0), "n", F.struct("row_key", "lo", "hi", "at"))
+    drop_stored(rows)
     twice = kinds.filter(F.col("same") > 1).select("kh", "uh")
     whole = near.join(twice, ["kh", "uh"], "left_semi").select("row_key", "lo", "hi")
     asked = asked.select("kh", "one.row_key", "one.lo", "one.hi", "one.at", "open", "ranges", F.col("one.lo").alias("begin"), (F.col("one.hi") + length).alias("end"), F.lit(True).alias("bytes"))
 
     spoken = stored(passage_rows(keyed, words, PASSAGE_GRAM), "passages")
     near_w, kinds_w, asked_w = _shared(spoken.withColumn("n", F.lit(1)), "n", F.struct("row_key", "lo", "begin", "end"))
+    drop_stored(spoken)
     twice_w = kinds_w.filter(F.col("same") > 1).select("kh", "uh")
     said = near_w.join(twice_w, ["kh", "uh"], "left_semi").select("row_key", "begin", "end", "lo")
     asked_w = asked_w.select("kh", "one.row_key", "one.lo", F.lit(0).alias("hi"), F.lit(0).alias("at"), "open", F.lit(0).cast("bigint").alias("ranges"), "one.begin", "one.end", F.lit(False).alias("bytes"))
