@@ -93,16 +93,16 @@ def fields(text: str | None) -> Iterator[tuple[str, str | None, int, int, str]]:
         yield row[0], row[1], row[2], ordinal, row[3]
 
 
+@F.udtf(returnType=SCHEMA)
 class _Fields:
     def eval(self, text: str) -> Iterator[tuple]:
         yield from fields(text)
 
 
 def doc_fields(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, field, name, level, ordinal, content); equal comments are split once."""
-    spark = docs.sparkSession
-    spark.udtf.register("docgraph_fields", F.udtf(_Fields, returnType=SCHEMA))
-    texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").distinct()
-    texts.createOrReplaceTempView("docgraph_texts")
-    split = spark.sql("SELECT t.text, f.* FROM docgraph_texts t, LATERAL docgraph_fields(t.text) f")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(split, "text").drop("text")
+    """(id, field, name, level, ordinal, content) of every row; a null or empty text has no fields.
+
+    Called laterally, so that no text is a join key and nothing is shuffled.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.lateralJoin(_Fields(F.col("text").outer())).drop("text")

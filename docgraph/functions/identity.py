@@ -32,7 +32,7 @@ def normalize_module_id(name: Column) -> Column:
 def normalize_package_id(name: Column) -> Column:
     """(kind, name, rank): standard < core < community, lower-cased."""
     low = F.lower(name)
-    standard, core = low.isin("swift", *STANDARD_NAMES), low.isin("core", *CORE_NAMES)
+    standard, core = low.isin(*STANDARD_NAMES), low.isin(*CORE_NAMES)
     kind = F.when(standard, "swift").when(core, "core").otherwise("community")
     return F.struct(kind.alias("kind"), F.when(standard, "swift").when(core, "core").otherwise(low).alias("name"), F.when(standard, 0).when(core, 1).otherwise(2).alias("rank"))
 
@@ -79,10 +79,11 @@ def assemble_comment(lines: Column, origin: Column) -> Column:
 
 
 def classify_fragments(fragments: Column) -> Column:
-    """Fragments (kind, spelling) with their colours; init, deinit and subscript are identifiers of a kind."""
+    """Fragments (kind, spelling) with their colours; init, deinit and subscript are identifiers of a kind.
+    An unknown kind is a reject: its colour is null."""
     known = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
     special = lambda f: (f["kind"] == "keyword") & f["spelling"].isin("init", "deinit", "subscript")
-    return F.transform(fragments, lambda f: F.struct(f["spelling"].alias("text"), F.when(special(f), "keywordIdentifier").otherwise(F.coalesce(F.try_element_at(known, f["kind"]), F.lit("text"))).alias("color")))
+    return F.transform(fragments, lambda f: F.struct(f["spelling"].alias("text"), F.when(special(f), "keywordIdentifier").otherwise(F.try_element_at(known, f["kind"])).alias("color")))
 
 
 def is_usable(general: Column, swift_deprecated: Column, swift_obsoleted: Column) -> Column:

@@ -61,7 +61,7 @@ def route_key(path: Column, community_class: Column) -> Column:
 
 
 _HEAD = re.compile(r"^([^.(-]+)(?:-(.+))?$")
-_SIGNED = re.compile(r"^(?:([^.(]+)\.)?\.?([^.(]*(?:\.+|[^.()]+)?\([^()]*\))(?:-(.+))?$")
+_SIGNED = re.compile(r"^(?:([^.(]+)\.)?(?:\.(?!\.))?([^.(]*(?:\.+|[^.()]+)?\([^()]*\))(?:-(.+))?$")
 _LITTLE = re.compile(r"^\.([^.(-]+)(?:-(.+))?$")
 _DOTTED = re.compile(r"^([^.(-]+)\.([^.(-]+)(?:-(.+))?$")
 

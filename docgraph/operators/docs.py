@@ -15,27 +15,24 @@ def apply_hints(vertices: DataFrame, hints: DataFrame) -> DataFrame:
     return vertices.select("symbol", "comment").join(last, "symbol", "left").select("symbol", "comment", "origin", state.alias("state"))
 
 
-def prune_comments(docs: DataFrame, most_rounds: int = 20) -> DataFrame:
+def prune_comments(docs: DataFrame) -> DataFrame:
     """(symbol, origin, comment): a comment equal to that of its origin becomes inherited.
 
-    The scan is by symbol: an origin that was pruned before no longer matches. Equal links are followed level
-    by level along the chains of equal comments, each round settling those whose origin is settled.
+    The scan is by symbol: an origin that was pruned before no longer matches. Along a chain of equal comments
+    pruned and kept alternate, down from a symbol that stands before its origin or whose origin has no equal
+    origin itself. Pointer doubling counts the links to there: one round for each doubling of the longest chain.
     """
     text = docs.filter(F.col("comment").isNotNull()).select(F.col("symbol").alias("_o"), F.xxhash64("comment").alias("_h"), F.col("comment").alias("_c"))
     mine = docs.filter(F.col("comment").isNotNull() & F.col("origin").isNotNull()).withColumn("_mine", F.xxhash64("comment"))
     equal = stored(mine.join(text, (F.col("origin") == F.col("_o")) & (F.col("_mine") == F.col("_h")) & (F.col("comment") == F.col("_c"))).select("symbol", "origin"), "equal-comments")
-    settled = equal.join(equal.select(F.col("symbol").alias("origin")), "origin", "left_anti").select("symbol", F.lit(True).alias("pruned"))
-    settled = stored(settled, "pruned")
-    known = settled.count()
-    for _ in range(most_rounds):
-        todo = equal.join(settled.select("symbol"), "symbol", "left_anti")
-        ready = todo.join(settled.select(F.col("symbol").alias("origin"), F.col("pruned").alias("_above")), "origin")
-        new = ready.select("symbol", (~(F.col("_above") & (F.col("origin") < F.col("symbol")))).alias("pruned"))
-        settled = stored(settled.unionByName(new), "pruned")
-        now = settled.count()
-        if now == known:
-            break
-        known = now
+    linked = equal.select(F.col("symbol").alias("_s"))
+    # an earlier origin decides; a later one (or one without an equal origin) ends the chain
+    jumps = equal.join(linked, F.col("origin") == F.col("_s"), "left").select("symbol", F.when(F.col("_s").isNotNull() & (F.col("origin") < F.col("symbol")), F.col("origin")).alias("to"), F.lit(0).alias("odd"))
+    jumps = stored(jumps.withColumn("odd", F.col("to").isNotNull().cast("int")), "pruned")
+    while not jumps.filter("to IS NOT NULL").isEmpty():
+        on = jumps.select(F.col("symbol").alias("_s"), F.col("to").alias("_t"), F.col("odd").alias("_o"))
+        jumps = stored(jumps.join(on, F.col("to") == F.col("_s"), "left").select("symbol", F.col("_t").alias("to"), ((F.col("odd") + F.coalesce("_o", F.lit(0))) % 2).alias("odd")), "pruned")
+    settled = jumps.select("symbol", (F.col("odd") == 0).alias("pruned"))
     gone = settled.filter("pruned").select("symbol", F.lit(True).alias("_gone"))
     return docs.join(gone, "symbol", "left").select("symbol", "origin", F.when(F.col("_gone").isNull(), F.col("comment")).alias("comment"))
 

@@ -43,12 +43,7 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, scopes: DataFrame) -> Da
     s = symbols.select(F.col("symbol").alias("source"), F.col("culture"), F.col("class").alias("source_class"), F.col("community").alias("source_community"))
     t = symbols.select(F.col("symbol").alias("target"), F.col("class").alias("target_class"), F.col("community").alias("target_community"), "namespace")
     scoped = scopes.select("culture", "namespace", F.lit(True).alias("in_scope"))
-    return edges.join(s, "source").join(t, "target").join(F.broadcast(scoped) if _small(scoped) else scoped, ["culture", "namespace"], "left").withColumn("resolved", F.coalesce("in_scope", F.lit(False))).drop("in_scope")
-
-
-def _small(frame: DataFrame, most: int = 1_000_000) -> bool:
-    """Module scopes have a row for each pair of modules that see each other: counted, not assumed."""
-    return frame.limit(most + 1).count() <= most
+    return edges.join(s, "source").join(t, "target").join(scoped, ["culture", "namespace"], "left").withColumn("resolved", F.coalesce("in_scope", F.lit(False))).drop("in_scope")
 
 
 def edge_statements(edges: DataFrame) -> DataFrame:
@@ -107,7 +102,7 @@ def split_beliefs(long: DataFrame, symbols: DataFrame, modules: DataFrame) -> Da
     home = symbols.select(F.col("symbol").alias("subject"), F.col("culture").alias("home"))
     of = modules.select(F.col("module").alias("culture"), F.col("package").alias("culture_package"))
     at = modules.select(F.col("module").alias("home"), F.col("package").alias("home_package"))
-    sorted_ = long.join(home, "subject").join(F.broadcast(of) if _small(of) else of, "culture").join(F.broadcast(at) if _small(at) else at, "home")
+    sorted_ = long.join(home, "subject").join(of, "culture").join(at, "home")
     belief = F.when(F.col("culture") == F.col("home"), "primary").when(F.col("culture_package") == F.col("home_package"), "accepted").otherwise("opinion")
     marked = sorted_.select("subject", "culture", "slot", "object", belief.alias("belief"))
     primary = marked.filter(F.col("belief") == "primary")

@@ -33,16 +33,16 @@ def import_scope(scopes: DataFrame, imports: DataFrame, always: DataFrame) -> Da
     return scopes.join(imports, ["culture", "namespace"], "left_semi").unionByName(kept).distinct()
 
 
-def module_order(modules: DataFrame, deps: DataFrame, most_rounds: int = 64) -> DataFrame:
+def module_order(modules: DataFrame, deps: DataFrame) -> DataFrame:
     """(module, depth): longest dependency path inside the own package; modules on a cycle have depth null.
 
-    One round for each level of the graph; the module graph is the small dimension of the data model.
+    One round for each level of the graph, until none is added; the module graph is the small dimension of the data model.
     """
     inside = deps.join(modules.select("module", "package"), "module").join(modules.select(F.col("module").alias("dep"), F.col("package").alias("_p")), "dep").filter(F.col("package") == F.col("_p")).select("module", "dep")
     depth = modules.join(inside.select("module").distinct(), "module", "left_anti").select("module", F.lit(0).alias("depth"))
     waiting = stored(inside, "module-deps")
     known = depth.count()
-    for _ in range(most_rounds):
+    while True:
         ready = waiting.join(depth.select(F.col("module").alias("dep"), F.col("depth").alias("_d")), "dep", "left").groupBy("module").agg(F.max("_d").alias("_d"), F.sum(F.col("_d").isNull().cast("int")).alias("open")).filter(F.col("open") == 0)
         depth = stored(depth.unionByName(ready.join(depth, "module", "left_anti").select("module", (F.col("_d") + 1).alias("depth"))), "module-order")
         now = depth.count()
@@ -79,7 +79,8 @@ def register_first_seen(arrivals: DataFrame, key: str, order: list[str], known:
     base = 0
     if known is not None:
         first = first.join(known, key, "left_anti")
-        base = (known.agg(F.max("idx")).first()[0] or -1) + 1
+        last = known.agg(F.max("idx")).first()[0]
+        base = 0 if last is None else last + 1
     ranked = stored(first.repartitionByRange("_at").withColumn("_part", F.spark_partition_id()), "arrivals")
     counts = ranked.groupBy("_part").count()
     before = {r["_part"]: r["count"] for r in counts.collect()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgraph.functions.uri import encode_component
+
 #: The sections of a page in their order, by the slot that fills them.
 SECTIONS = {"conformer": 1, "conformance": 2, "subclass": 3, "refinement": 5, "implementation": 6, "override": 7, "interface": 8, "member": 9, "feature": 9}
 REMOVED = 10
@@ -27,6 +29,26 @@ def sort_cards(topics_: DataFrame, paths: DataFrame) -> DataFrame:
     return named.select("host", "section", "culture_class", "culture", "target", F.row_number().over(w).alias("rank"))
 
 
+#: The order in which a page's sublists show kinds of symbols.
+DISPLAY = "case associatedtype typealias initializer deinitializer typeSubscript instanceSubscript typeProperty instanceProperty typeMethod instanceMethod var func operator typeOperator enum struct class actor protocol".split()
+
+
+def sort_sections(topics_: DataFrame, symbols: DataFrame, modules: DataFrame, packages: DataFrame) -> DataFrame:
+    """(host, section, sublist, culture_class, culture, cards, rank): a page's lists in their order.
+
+    Sections stand in their fixed order; members are split into sublists by kind, in display order (sublist is
+    null elsewhere); in each the own culture comes first, then accepted ones by name, then those of other
+    packages by package and name. Counted before ranking, so that a window holds lists, not cards.
+    """
+    place = F.create_map(*[x for i, c in enumerate(DISPLAY) for x in (F.lit(c), F.lit(i))])
+    kind = symbols.select(F.col("symbol").alias("target"), F.col("community").alias("sublist"))
+    lists = topics_.join(kind, "target").withColumn("sublist", F.when(F.col("section").isin(SECTIONS["member"], REMOVED), F.col("sublist"))).groupBy("host", "section", "sublist", "culture_class", "culture").agg(F.count(F.lit(1)).alias("cards"))
+    owner = modules.join(packages.select("package"), "package").select(F.col("module").alias("culture"), "package", F.lower("name").alias("_name"))
+    named = lists.join(owner, "culture").withColumn("_package", F.when(F.col("culture_class") == 2, F.col("package")).otherwise(-1))
+    w = Window.partitionBy("host").orderBy("section", F.coalesce(F.try_element_at(place, "sublist"), F.lit(-1)), "culture_class", "_package", "_name", "culture")
+    return named.select("host", "section", "sublist", "culture_class", "culture", "cards", F.row_number().over(w).alias("rank"))
+
+
 def module_list(modules: DataFrame) -> DataFrame:
     """(package, module, rank): a package's modules by lower-cased name."""
     return modules.select("package", "module", F.row_number().over(Window.partitionBy("package").orderBy(F.lower("name"), "module")).alias("rank"))
@@ -47,11 +69,12 @@ def sitemap(modules: DataFrame, index: DataFrame, domain: str) -> DataFrame:
     return own.unionByName(index.select("package", "module", F.lit(1).alias("kind"), F.concat(F.lit(domain), "uri").alias("line")))
 
 
-def article_feed(articles: DataFrame, domain: str, most: int = 120) -> DataFrame:
-    """(id, title, snippet, link): the first line is the title, ``most`` characters of the rest the snippet."""
+def article_feed(articles: DataFrame, domain: str) -> DataFrame:
+    """(id, title, snippet, link): the first line is the title, the first paragraph of the rest the snippet; the link
+    is the article's URI, its title in lower case with hyphens for spaces."""
     title = F.substring_index("text", "\n", 1)
     rest = F.trim(F.substring("text", F.length(title) + 2, F.length("text")))
-    return articles.select("id", F.trim(title).alias("title"), F.substring(rest, 1, most).alias("snippet"), F.concat(F.lit(domain), F.lit("/"), F.col("id").cast("string")).alias("link"))
+    return articles.select("id", F.trim(title).alias("title"), F.substring_index(rest, "\n", 1).alias("snippet"), F.concat(F.lit(domain), F.lit("/"), encode_component(F.replace(F.lower(F.trim(title)), F.lit(" "), F.lit("-")))).alias("link"))
 
 
 def choices(composites: DataFrame, modules: DataFrame, packages: DataFrame) -> DataFrame:

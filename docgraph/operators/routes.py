@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.functions.storage import stored
 from docgraph.functions.uri import encode_component, route_key
 
-#: Levels of nesting that a path may have; the data model's trees are shallow.
-MOST_LEVELS = 8
 
+def symbol_paths(symbols: DataFrame) -> DataFrame:
+    """``symbols`` with ``path`` (names from the root) and ``trail`` (symbols from the root).
 
-def symbol_paths(symbols: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
-    """``symbols`` with ``path`` (names from the root), ``trail`` (symbols from the root) and ``top``.
-
-    One join on the parent for each level, until no row goes on; a chain longer than ``most`` has a null path.
+    Pointer doubling: each round puts the path of a row's next ancestor before its own, so that the rounds grow
+    with the logarithm of the depth. A parent that does not exist ends the path; symbols on a cycle of parents,
+    and those below it, have a null path.
     """
-    up = symbols.select(F.col("symbol").alias("_s"), F.col("name").alias("_n"), F.col("parent").alias("_p"))
-    walk = symbols.withColumns({"path": F.array("name"), "trail": F.array("symbol"), "_next": F.col("parent")})
-    for _ in range(most - 1):
-        walk = walk.join(up, walk["_next"] == up["_s"], "left").withColumns({"path": F.when(F.col("_s").isNotNull(), F.concat(F.array("_n"), "path")).otherwise(F.col("path")), "trail": F.when(F.col("_s").isNotNull(), F.concat(F.array("_s"), "trail")).otherwise(F.col("trail")), "_next": F.col("_p")}).drop("_s", "_n", "_p")
-    return walk.withColumn("path", F.when(F.col("_next").isNull(), F.col("path"))).drop("_next")
+    walk = symbols.select("symbol", F.array("name").alias("path"), F.array("symbol").alias("trail"), F.col("parent").alias("next"))
+    doubled, deepest = 1, None
+    while True:
+        up = walk.select(F.col("symbol").alias("_s"), F.col("path").alias("_p"), F.col("trail").alias("_t"), F.col("next").alias("_n"))
+        on = walk.join(up, F.col("next") == F.col("_s"), "left")
+        none = F.array().cast("array<string>")
+        walk = stored(on.select("symbol", F.concat(F.coalesce("_p", none), "path").alias("path"), F.concat(F.coalesce("_t", F.array().cast(walk.schema["trail"].dataType)), "trail").alias("trail"), F.col("_n").alias("next")), "paths")
+        doubled *= 2
+        if walk.filter("next IS NOT NULL").isEmpty():
+            break
+        deepest = deepest or walk.count()
+        if doubled > deepest:  # longer than any path without a cycle
+            break
+    return symbols.join(walk.select("symbol", F.when(F.col("next").isNull(), F.col("path")).alias("path"), "trail"), "symbol")
 
 
 def breadcrumbs(paths: DataFrame) -> DataFrame:

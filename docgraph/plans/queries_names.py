@@ -20,7 +20,7 @@ def normalize_module_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PACKAGE_NAMES = "names AS (SELECT c_custkey AS id, ['Swift-Stdlib', 'swift-core-libraries', 'STDLIB', 'Swift', 'core', lower(c_name), c_name, 'standard-library'][c_custkey % 8 + 1] AS raw FROM customer)"
 
 
-@query(f"""WITH {_PACKAGE_NAMES}, k AS (SELECT id, raw, CASE WHEN lower(raw) IN ('swift', 'swift-standard-library', 'standard-library', 'swift-stdlib', 'stdlib') THEN 0 WHEN lower(raw) IN ('core', 'swift-core-libraries') THEN 1 ELSE 2 END AS rank FROM names)
+@query(f"""WITH {_PACKAGE_NAMES}, k AS (SELECT id, raw, CASE WHEN lower(raw) IN ('swift-standard-library', 'standard-library', 'swift-stdlib', 'stdlib') THEN 0 WHEN lower(raw) IN ('swift-core-libraries') THEN 1 ELSE 2 END AS rank FROM names)
  SELECT id, ['swift', 'core', 'community'][rank + 1] AS kind, CASE rank WHEN 0 THEN 'swift' WHEN 1 THEN 'core' ELSE lower(raw) END AS name, rank FROM k""")
 def normalize_package_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.table(spark, sf_dir, "customer")
@@ -63,13 +63,13 @@ def assemble_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), I.assemble_comment(lines, F.when(F.col("doc_id") % 2 == 0, F.expr("doc_id div 2"))).alias("v")).select("id", "v.state", "v.origin", "v.comment")
 
 
-@query("""SELECT p_partkey AS id, 'keywordIdentifier:init identifier:' || p_name || ' text:(' || CASE WHEN p_size % 2 = 0 THEN ' keywordText:let type:' || p_brand ELSE '' END AS colored FROM part""")
+@query("""SELECT p_partkey AS id, 'keywordIdentifier:init identifier:' || p_name || ' -:(' || CASE WHEN p_size % 2 = 0 THEN ' keywordText:let type:' || p_brand ELSE '' END AS colored FROM part""")
 def classify_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("spelling"))
     p = A.table(spark, sf_dir, "part")
     base = F.array(f("keyword", F.lit("init")), f("identifier", F.col("p_name")), f("unknown", F.lit("(")))
     more = F.when(F.col("p_size") % 2 == 0, F.concat(base, F.array(f("keyword", F.lit("let")), f("typeIdentifier", F.col("p_brand"))))).otherwise(base)
-    return p.select(F.col("p_partkey").alias("id"), F.array_join(F.transform(I.classify_fragments(more), lambda x: F.concat_ws(":", x["color"], x["text"])), " ").alias("colored"))
+    return p.select(F.col("p_partkey").alias("id"), F.array_join(F.transform(I.classify_fragments(more), lambda x: F.concat_ws(":", F.coalesce(x["color"], F.lit("-")), x["text"])), " ").alias("colored"))
 
 
 @query("SELECT doc_id AS id, quality = 1 AND NOT (toxic = 1) AND doc_id % 7 <> 0 AS usable FROM labels")

@@ -39,9 +39,11 @@ def sort_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.sort_cards(_topics(spark, sf_dir), _paths(spark, sf_dir))
 
 
-@query(with_tables(*_FACT_TABLES, then=TOPICS + " SELECT section, culture_class, count(*) AS cards, count(DISTINCT host) AS hosts FROM topics GROUP BY section, culture_class"))
+@query(with_tables(*_FACT_TABLES, then=TOPICS + """, lists AS (SELECT t.host, t.section, CASE WHEN t.section IN (9, 10) THEN y.community END AS sublist, t.culture_class, t.culture, count(*) AS cards FROM topics t JOIN symbols y ON y.symbol = t.target GROUP BY ALL)
+ SELECT host, section, sublist, culture_class, l.culture, cards, (row_number() OVER (PARTITION BY host ORDER BY section, coalesce(list_position(['case', 'associatedtype', 'typealias', 'initializer', 'deinitializer', 'typeSubscript', 'instanceSubscript', 'typeProperty', 'instanceProperty', 'typeMethod', 'instanceMethod', 'var', 'func', 'operator', 'typeOperator', 'enum', 'struct', 'class', 'actor', 'protocol'], sublist), 0), culture_class, CASE WHEN culture_class = 2 THEN m.package ELSE -1 END, lower(m.name), l.culture))::INT AS rank
+ FROM lists l JOIN modules m ON m.module = l.culture"""))
 def sort_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _topics(spark, sf_dir).groupBy("section", "culture_class").agg(F.count(F.lit(1)).alias("cards"), F.countDistinct("host").alias("hosts")).orderBy("section", "culture_class")
+    return pages.sort_sections(_topics(spark, sf_dir), A.symbols(spark, sf_dir), A.modules(spark, sf_dir), A.packages(spark, sf_dir))
 
 
 @query(with_tables("modules", then="SELECT package, module, (row_number() OVER (PARTITION BY package ORDER BY lower(name), module))::INT AS rank FROM modules"))
@@ -65,8 +67,9 @@ def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.sitemap(A.modules(spark, sf_dir), _index(spark, sf_dir), "https://docs.example.com")
 
 
-@query("""WITH a AS (SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
- SELECT id, trim(string_split(text, chr(10))[1], ' ') AS title, trim(text[length(string_split(text, chr(10))[1]) + 2:], ' ')[1:120] AS snippet, 'https://docs.example.com/' || id AS link FROM a""")
+@query("""WITH a AS (SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+ t AS (SELECT id, trim(string_split(text, chr(10))[1], ' ') AS title, trim(text[length(string_split(text, chr(10))[1]) + 2:], ' ') AS rest FROM a)
+ SELECT id, title, string_split(rest, chr(10))[1] AS snippet, 'https://docs.example.com/' || replace(url_encode(replace(lower(title), ' ', '-')), '%3A', ':') AS link FROM t""")
 def article_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = A.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return pages.article_feed(turns.select("id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text")), "https://docs.example.com")

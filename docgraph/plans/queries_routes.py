@@ -86,7 +86,7 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statements(spark, sf_dir).groupBy("culture").agg(F.count(F.when(v.isNull(), 1)).alias("rejected"), F.count(F.when(v == "is", 1)).alias("roles"), F.count(F.when(v == "has", 1)).alias("traits"))
 
 
-@query("""WITH h AS (SELECT l_partkey AS source, (l_orderkey * 3 + l_suppkey) % (SELECT max(p_partkey) + 1 FROM part) AS origin, l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey % 10000 AS pos FROM lineitem WHERE l_linenumber < 3),
+@query("""WITH h AS (SELECT l_partkey AS source, (l_orderkey * 3 + l_suppkey) % (SELECT max(p_partkey) + 1 FROM part) AS origin, l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey % 10000 AS pos FROM lineitem),
  last AS (SELECT source, arg_max(origin, (pos, origin)) AS origin FROM h WHERE source <> origin GROUP BY source)
  SELECT p_partkey AS symbol, l.origin, CASE WHEN p_size % 3 <> 0 THEN 'extends' WHEN l.origin IS NULL THEN 'none' ELSE 'inherits' END AS raw,
    CASE WHEN p_size % 3 = 0 AND l.origin IS NULL THEN 'none' WHEN p_size % 3 = 0 THEN 'inherits' ELSE 'extends' END AS state FROM part LEFT JOIN last l ON l.source = p_partkey""".replace("CASE WHEN p_size % 3 <> 0 THEN 'extends' WHEN l.origin IS NULL THEN 'none' ELSE 'inherits' END AS raw,\n", ""))
@@ -94,7 +94,7 @@ def apply_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = A.table(spark, sf_dir, "part")
     n = part.agg(F.max("p_partkey") + 1).first()[0]
     pos = F.struct((F.col("l_orderkey") * 100_000 + F.col("l_linenumber") * 10_000 + F.col("l_suppkey") % 10_000).alias("p"), F.col("origin"))
-    hints = A.table(spark, sf_dir, "lineitem").filter("l_linenumber < 3").withColumn("origin", (F.col("l_orderkey") * 3 + F.col("l_suppkey")) % n).select(F.col("l_partkey").alias("source"), "origin", pos.alias("pos"))
+    hints = A.table(spark, sf_dir, "lineitem").withColumn("origin", (F.col("l_orderkey") * 3 + F.col("l_suppkey")) % n).select(F.col("l_partkey").alias("source"), "origin", pos.alias("pos"))
     vertices = part.select(F.col("p_partkey").alias("symbol"), F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("comment"))
     return docs.apply_hints(vertices, hints).select("symbol", "origin", "state")
 

@@ -18,30 +18,35 @@ from docgraph.streaming.history import stream_push_history as fold_stream
 
 
 
+#: Symbol numbers that one graph file of a module may span: files grow in number with the table, not in size.
+GRAPH_SYMBOLS = 2500
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, text): one graph per module, from the symbols and edges of its culture."""
+    """(file, text): graphs of a module and namespace, from a bounded number of its symbols and their edges each."""
     s = A.symbols(spark, sf_dir)
     kind = F.create_map(*[F.lit(x) for kv in {"protocol": "swift.protocol", "struct": "swift.struct", "class": "swift.class", "enum": "swift.enum", "instanceProperty": "swift.property", "instanceMethod": "swift.method", "initializer": "swift.init", "func": "swift.func", "associatedtype": "swift.associatedtype"}.items() for x in kv])
     usr = lambda c: F.concat(F.lit("s:"), c.cast("string"))
     symbol = F.struct(
         F.struct(usr(F.col("symbol")).alias("precise")).alias("identifier"), F.array("name").alias("pathComponents"), F.struct(kind[F.col("community")].alias("identifier")).alias("kind"),
-        F.struct(F.concat(F.lit("file://"), F.col("namespace").cast("string")).alias("uri"), F.struct((F.col("symbol") % 97).cast("int").alias("line"), (F.col("symbol") % 7).cast("int").alias("character")).alias("position")).alias("location"),
+        F.struct(F.concat(F.lit("file://"), F.expr("symbol div 100").cast("string")).alias("uri"), F.struct((F.col("symbol") % 97).cast("int").alias("line"), (F.col("symbol") % 7).cast("int").alias("character")).alias("position")).alias("location"),
         F.when(F.col("symbol") % 3 == 0, F.struct(F.array(F.struct(F.col("name").alias("text")), F.struct(F.lit("second").alias("text"))).alias("lines"))).alias("docComment"),
     )
-    symbols = s.groupBy("culture").agg(F.array_sort(F.collect_list(symbol)).alias("symbols"))
+    part = F.expr(f"symbol div {GRAPH_SYMBOLS}").alias("part")
+    symbols = s.groupBy("culture", part).agg(F.array_sort(F.collect_list(symbol)).alias("symbols"))
     back = F.create_map(*[F.lit(x) for a, b in G.RELATIONSHIPS.items() for x in (b, a)])
-    e = A.edges(spark, sf_dir).join(s.select(F.col("symbol").alias("source"), "culture"), "source").filter("pos % 5 = 0")
+    e = A.edges(spark, sf_dir).join(s.select(F.col("symbol").alias("source"), "culture", part), "source")
     feature = F.col("relation") == "feature"
     relationship = F.struct(F.when(feature, F.concat(usr(F.col("source")), F.lit("::SYNTHESIZED::"), usr(F.col("target") + F.col("pos") % 2))).otherwise(usr(F.col("source"))).alias("source"), usr(F.col("target")).alias("target"), F.when(feature, "memberOf").otherwise(F.try_element_at(back, F.col("relation"))).alias("kind"))
-    relationships = e.groupBy("culture").agg(F.collect_list(relationship).alias("relationships"))
+    relationships = e.groupBy("culture", "part").agg(F.collect_list(relationship).alias("relationships"))
     name = A.modules(spark, sf_dir).select(F.col("module").alias("culture"), F.translate("name", " ", "_").alias("name"))
-    whole = symbols.join(relationships, "culture", "left").join(name, "culture")
+    whole = symbols.join(relationships, ["culture", "part"], "left").join(name, "culture")
     text = F.to_json(F.struct(F.struct(F.when(F.col("culture") == 3, "other").otherwise(F.col("name")).alias("name")).alias("module"), "symbols", F.coalesce("relationships", F.array()).alias("relationships")))
-    return whole.select(F.concat("name", F.when(F.col("culture") == 4, "@a@b").otherwise(""), F.lit(".symbols.json")).alias("file"), text.alias("text"))
+    return whole.select(F.concat("name", F.when(F.col("culture") == 4, "@a").otherwise(""), F.lit("@n"), F.col("part").cast("string"), F.lit(".symbols.json")).alias("file"), text.alias("text"))
 
 
 def _graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -51,24 +56,24 @@ def _graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _NAMED = "g AS (SELECT s.*, replace(m.name, ' ', '_') AS module_name FROM symbols s JOIN modules m ON m.module = s.culture WHERE s.culture NOT IN (3, 4))"
 
 
-@query(with_tables("symbols", "modules", then="c AS (SELECT DISTINCT culture FROM symbols) SELECT replace(m.name, ' ', '_') || CASE WHEN culture = 4 THEN '@a@b' ELSE '' END AS file, CASE culture WHEN 3 THEN 'module' WHEN 4 THEN 'name' ELSE 'ok' END AS why FROM c JOIN modules m ON m.module = c.culture"))
+@query(with_tables("symbols", "modules", then="c AS (SELECT DISTINCT culture, symbol // 2500 AS part FROM symbols) SELECT replace(m.name, ' ', '_') || CASE WHEN culture = 4 THEN '@a' ELSE '' END || '@n' || part AS file, CASE culture WHEN 3 THEN 'module' WHEN 4 THEN 'name' ELSE 'ok' END AS why FROM c JOIN modules m ON m.module = c.culture"))
 def read_symbol_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = _graphs(spark, sf_dir)
-    return good.select(F.col("culture").alias("file"), F.lit("ok").alias("why")).unionByName(bad.select(F.regexp_replace("file", r"\.symbols\.json$", "").alias("file"), "why"))
+    return good.select(F.concat_ws("@", "culture", "namespace").alias("file"), F.lit("ok").alias("why")).unionByName(bad.select(F.regexp_replace("file", r"\.symbols\.json$", "").alias("file"), "why"))
 
 
-@query(with_tables("symbols", "modules", then=_NAMED + " SELECT module_name AS culture, 's:' || symbol AS id, name AS path, community, 'file://' || namespace AS uri, (symbol % 97)::INT AS line, CASE WHEN symbol % 3 = 0 THEN name || chr(10) || 'second' END AS comment FROM g"))
+@query(with_tables("symbols", "modules", then=_NAMED + " SELECT module_name AS culture, 's:' || symbol AS id, name AS path, community, 'file://' || (symbol // 100) AS uri, (symbol % 97)::INT AS line, CASE WHEN symbol % 3 = 0 THEN name || chr(10) || 'second' END AS comment FROM g"))
 def read_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.read_symbols(_graphs(spark, sf_dir)[0]).select("culture", "id", F.array_join("path", ".").alias("path"), "community", "uri", "line", "comment")
 
 
-@query(with_tables("symbols", "modules", "edges", then="""e2 AS (SELECT m.name, e.* FROM edges e JOIN symbols s ON s.symbol = e.source JOIN modules m ON m.module = s.culture WHERE s.culture NOT IN (3, 4) AND pos % 5 = 0)
+@query(with_tables("symbols", "modules", "edges", then="""e2 AS (SELECT m.name, e.* FROM edges e JOIN symbols s ON s.symbol = e.source JOIN modules m ON m.module = s.culture WHERE s.culture NOT IN (3, 4))
  SELECT replace(name, ' ', '_') AS culture, CASE WHEN relation = 'feature' AND pos % 2 = 1 THEN NULL ELSE relation END AS relation, CASE WHEN relation = 'feature' AND pos % 2 = 1 THEN 'synthesized' END AS why, count(*) AS n FROM e2 GROUP BY ALL"""))
 def read_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.read_relationships(_graphs(spark, sf_dir)[0]).groupBy("culture", "relation", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_tables("symbols", "modules", then=_NAMED + " SELECT 'file://' || namespace AS uri, string_agg('s:' || symbol, ',' ORDER BY symbol % 97, symbol % 7, 's:' || symbol) AS features FROM g GROUP BY namespace"))
+@query(with_tables("symbols", "modules", then=_NAMED + " SELECT 'file://' || (symbol // 100) AS uri, string_agg('s:' || symbol, ',' ORDER BY symbol % 97, symbol % 7, 's:' || symbol) AS features FROM g GROUP BY symbol // 100"))
 def source_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.source_map(G.read_symbols(_graphs(spark, sf_dir)[0])).select("uri", F.array_join(F.transform("features", lambda f: f["id"]), ",").alias("features"))
 
@@ -115,22 +120,25 @@ def write_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.missing_graphs(rows, have).groupBy("package").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query(with_tables("symbols", then="SELECT symbol, name, namespace AS package FROM symbols WHERE namespace IN (3, 8)"))
+@query(with_tables("symbols", then="SELECT symbol, name, namespace AS package FROM symbols"))
 def read_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "graphs")
     G.write_graph(A.symbols(spark, sf_dir).select("symbol", "name", F.col("namespace").alias("package"), F.lit("1.0").alias("version")), path)
-    return G.read_graph(spark, path, "symbol bigint, name string, package int, version string").filter("package IN (3, 8) AND version = '1.0'").select("symbol", "name", "package")
+    return G.read_graph(spark, path, "symbol bigint, name string, package int, version string").filter("version = '1.0'").select("symbol", "name", "package")
 
 
 @query(with_tables("observations", then=KEYFRAMES + " SELECT entity, lo, hi, value FROM keyframes"))
 def stream_push_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of days in order, and a last file that closes every entity's open keyframe."""
+    """Slices of days that arrive one after another, and a last one that closes every entity's open keyframe.
+
+    A slice has as many files as it needs; the stream takes up what has arrived and keeps its state between."""
     base, last = _folder(spark, "stream"), 1_000_000
     seen = A.observations(spark, sf_dir)
-    for i, days in enumerate(("ver < 10", "ver >= 10 AND ver < 20", "ver >= 20")):
-        seen.filter(days).coalesce(1).write.parquet(f"{base}/in/{i}")
-    seen.select("entity").distinct().select("entity", F.lit(last).alias("ver"), F.lit(None).cast("string").alias("value")).coalesce(1).write.parquet(f"{base}/in/3")
-    rows = spark.readStream.schema("entity bigint, ver int, value string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    out = fold_stream(rows).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    out.awaitTermination()
-    return spark.read.schema("entity bigint, lo int, hi int, value string, late boolean").parquet(f"{base}/out").filter(F.col("hi") < last).select("entity", "lo", "hi", "value")
+    slices = [seen.filter(days) for days in ("ver < 10", "ver >= 10 AND ver < 20", "ver >= 20")]
+    slices.append(seen.select("entity").distinct().select("entity", F.lit(last).alias("ver"), F.lit(None).cast("string").alias("value")))
+    for i, rows in enumerate(slices):
+        rows.write.parquet(f"{base}/in/{i}")
+        arrived = spark.readStream.schema("entity bigint, ver int, value string").parquet(f"{base}/in/*")
+        out = fold_stream(arrived).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        out.awaitTermination()
+    return spark.read.schema("entity bigint, lo int, hi int, value string, late boolean").parquet(f"{base}/out").filter((F.col("hi") < last) & ~F.col("late")).select("entity", "lo", "hi", "value")

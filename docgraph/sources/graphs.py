@@ -108,8 +108,9 @@ def source_map(symbols: DataFrame) -> DataFrame:
 
 
 def write_graph(frame: DataFrame, path: str) -> None:
-    """A compiled table, by package and version; those in the folder already are not compiled again."""
-    frame.write.mode("append").partitionBy("package", "version").parquet(path)
+    """A compiled table, by package and version. A second run replaces the packages and versions that it has and
+    leaves all others."""
+    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("package", "version").parquet(path)
 
 
 def read_graph(spark: SparkSession, path: str, schema: str) -> DataFrame:
