@@ -26,6 +26,7 @@ RULES = [
     ("defaultImplementation", "callable", "callable", "is", "implementation", "has", "implementation"),
 ]
 _RULE_COLUMNS = "relation string, source_class string, target_class string, source_verb string, source_slot string, target_verb string, target_slot string"
+CONSTRAINTS = "array<struct<subject:string,verb:string,object:bigint>>"
 
 
 def resolve_identifiers(identifiers: DataFrame, symbols: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -38,35 +39,64 @@ def resolve_identifiers(identifiers: DataFrame, symbols: DataFrame, scopes: Data
     return identifiers.join(found, ["culture", "id"], "left").select("culture", "id", F.when(F.col("n") == 1, F.col("symbol")).alias("symbol"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _unresolved(placed: DataFrame, symbols: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(edge): the edges with a constraint whose target is unknown or out of the culture's scope, once each."""
+    asked = placed.select("edge", "culture", F.explode("edge.constraints.object").alias("object"))
+    at = symbols.select(F.col("symbol").alias("object"), F.col("namespace").alias("object_namespace"))
+    seen = scopes.select("culture", F.col("namespace").alias("object_namespace"), F.lit(True).alias("seen"))
+    found = asked.join(at, "object", "left").join(seen, ["culture", "object_namespace"], "left")
+    return found.filter(F.col("seen").isNull()).select("edge").distinct()
+
+
 def resolve_edges(edges: DataFrame, symbols: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Edges with culture, endpoint classes and ``resolved``: does the source's culture see the target's module."""
+    """Edges with culture, endpoint classes and ``resolved``: does the source's culture see both ends and every
+    constraint's target.
+
+    Edges are (source, relation, target, pos, constraints), constraints (subject, verb, object) in order; null
+    counts as none. An edge with an unknown end stays, unresolved (culture null if the source is unknown), so that
+    dropped edges can be counted; repeated rows stay repeated.
+    """
     s = symbols.select(F.col("symbol").alias("source"), F.col("culture"), F.col("class").alias("source_class"), F.col("community").alias("source_community"))
     t = symbols.select(F.col("symbol").alias("target"), F.col("class").alias("target_class"), F.col("community").alias("target_community"), "namespace")
+    given = edges.withColumn("constraints", F.coalesce("constraints", F.array().cast(CONSTRAINTS)))
+    placed = given.join(s, "source", "left").withColumn("edge", F.struct("source", "relation", "target", "pos", "constraints"))
     scoped = scopes.select("culture", "namespace", F.lit(True).alias("in_scope"))
-    return edges.join(s, "source").join(t, "target").join(scoped, ["culture", "namespace"], "left").withColumn("resolved", F.coalesce("in_scope", F.lit(False))).drop("in_scope")
+    bad = _unresolved(placed.filter(F.size("constraints") > 0), symbols, scopes).withColumn("bad", F.lit(True))
+    ends = placed.join(t, "target", "left").join(scoped, ["culture", "namespace"], "left").join(bad, "edge", "left")
+    return ends.withColumn("resolved", F.col("in_scope").isNotNull() & F.col("bad").isNull()).drop("in_scope", "bad", "edge")
 
 
 def edge_statements(edges: DataFrame) -> DataFrame:
-    """(subject, verb, slot, object, culture, pos) of resolved edges, and rows with verb null for rejects."""
+    """(subject, verb, slot, object, conditions, culture, pos) of resolved edges, and rows with verb null for rejects.
+
+    Conformances keep their constraints as conditions; a protocol refines another unconditionally or not at all.
+    Other relations have no conditions (an empty array).
+    """
     rules = edges.sparkSession.createDataFrame(RULES, _RULE_COLUMNS)
     joined = edges.join(F.broadcast(rules), ["relation", "source_class", "target_class"], "left")
     both_classes = (F.col("source_community") == "class") & (F.col("target_community") == "class")
-    legal = F.col("target_slot").isNotNull() & ((F.col("relation") != "subclass") | both_classes)
-    first = F.struct(F.col("source").alias("subject"), F.col("source_verb").alias("verb"), F.col("source_slot").alias("slot"), F.col("target").alias("object"))
-    second = F.struct(F.col("target").alias("subject"), F.col("target_verb").alias("verb"), F.col("target_slot").alias("slot"), F.col("source").alias("object"))
-    reject = F.struct(F.col("source").alias("subject"), F.lit(None).cast("string").alias("verb"), F.lit(None).cast("string").alias("slot"), F.col("target").alias("object"))
-    rows = F.when(legal, F.filter(F.array(first, second), lambda s: s["verb"].isNotNull())).otherwise(F.array(reject))
+    unconditional = (F.col("target_slot") != "refinement") | (F.size("constraints") == 0)
+    legal = F.col("target_slot").isNotNull() & ((F.col("relation") != "subclass") | both_classes) & unconditional
+    conditions = F.when(F.col("target_slot") == "conformer", F.col("constraints")).otherwise(F.array().cast(CONSTRAINTS)).alias("conditions")
+    side = lambda one, verb, slot, other: F.struct(F.col(one).alias("subject"), verb.alias("verb"), slot.alias("slot"), F.col(other).alias("object"), conditions)
+    none = F.lit(None).cast("string")
+    first = side("source", F.col("source_verb"), F.col("source_slot"), "target")
+    second = side("target", F.col("target_verb"), F.col("target_slot"), "source")
+    rows = F.when(legal, F.filter(F.array(first, second), lambda s: s["verb"].isNotNull())).otherwise(F.array(side("source", none, none, "target")))
     return joined.select("relation", "culture", "pos", F.explode(rows).alias("s")).select("s.*", "relation", "culture", "pos")
 
 
 def traits(statements: DataFrame) -> DataFrame:
-    """(subject, culture, slot, object, pos): distinct traits in long form; the last position wins."""
-    return statements.filter(F.col("verb") == "has").groupBy("subject", "culture", "slot", "object").agg(F.max("pos").alias("pos"))
+    """(subject, culture, slot, object, pos, conditions): distinct traits in long form; the last position wins,
+    the greatest conditions at equal positions."""
+    last = F.max(F.struct("pos", "conditions")).alias("_last")
+    return statements.filter(F.col("verb") == "has").groupBy("subject", "culture", "slot", "object").agg(last).select("subject", "culture", "slot", "object", "_last.pos", "_last.conditions")
 
 
 def fold_traits(long: DataFrame) -> DataFrame:
-    """(subject, culture, slot, objects): the sorted objects of each slot."""
-    return long.groupBy("subject", "culture", "slot").agg(F.array_sort(F.collect_list("object")).alias("objects"))
+    """(subject, culture, slot, objects, conditions): the sorted objects of each slot, their conditions beside them."""
+    pairs = long.groupBy("subject", "culture", "slot").agg(F.array_sort(F.collect_list(F.struct("object", "conditions"))).alias("_pairs"))
+    return pairs.select("subject", "culture", "slot", F.col("_pairs.object").alias("objects"), F.col("_pairs.conditions").alias("conditions"))
 
 
 def fold_roles(statements: DataFrame) -> DataFrame:
@@ -94,17 +124,20 @@ def subtract_traits(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(r, on, "left_anti")
 
 
-def split_beliefs(long: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFrame:
-    """(subject, culture, slot, object, belief): primary, accepted (same package, other module) or opinion.
+def split_beliefs(long: DataFrame, symbols: DataFrame, modules: DataFrame, updated: DataFrame) -> DataFrame:
+    """(subject, culture, slot, object, conditions, belief): primary, accepted (same package, other module) or opinion.
 
-    An accepted trait that the primary facts have already is dropped.
+    Facts belong to the ``updated`` (symbol) of this push; what is said of any other host is an opinion. An accepted
+    trait that the primary facts have already, under equal conditions, is dropped.
     """
     home = symbols.select(F.col("symbol").alias("subject"), F.col("culture").alias("home"))
     of = modules.select(F.col("module").alias("culture"), F.col("package").alias("culture_package"))
     at = modules.select(F.col("module").alias("home"), F.col("package").alias("home_package"))
-    sorted_ = long.join(home, "subject").join(of, "culture").join(at, "home")
-    belief = F.when(F.col("culture") == F.col("home"), "primary").when(F.col("culture_package") == F.col("home_package"), "accepted").otherwise("opinion")
-    marked = sorted_.select("subject", "culture", "slot", "object", belief.alias("belief"))
+    new = updated.select(F.col("symbol").alias("subject"), F.lit(True).alias("new")).distinct()
+    sorted_ = long.join(home.join(new, "subject", "left"), "subject").join(of, "culture").join(at, "home")
+    own = F.when(F.col("culture") == F.col("home"), "primary").when(F.col("culture_package") == F.col("home_package"), "accepted")
+    belief = F.when(F.col("new"), F.coalesce(own, F.lit("opinion"))).otherwise("opinion")
+    marked = sorted_.select("subject", "culture", "slot", "object", "conditions", belief.alias("belief"))
     primary = marked.filter(F.col("belief") == "primary")
-    accepted = subtract_traits(marked.filter(F.col("belief") == "accepted"), primary, ["subject", "slot", "object"])
+    accepted = subtract_traits(marked.filter(F.col("belief") == "accepted"), primary, ["subject", "slot", "object", "conditions"])
     return primary.unionByName(accepted).unionByName(marked.filter(F.col("belief") == "opinion"))

@@ -22,11 +22,25 @@ def topics(beliefs: DataFrame, usable: DataFrame) -> DataFrame:
     return joined.select(F.col("subject").alias("host"), section.alias("section"), kind.alias("culture_class"), "culture", F.col("object").alias("target")).filter(F.col("section").isNotNull())
 
 
-def sort_cards(topics_: DataFrame, paths: DataFrame) -> DataFrame:
-    """Ranks within a host's section: culture class, culture, then last path component, then the prefix."""
-    named = topics_.join(paths.select(F.col("symbol").alias("target"), "path"), "target")
-    w = Window.partitionBy("host", "section").orderBy("culture_class", "culture", F.element_at("path", -1), F.slice("path", F.lit(1), F.size("path") - 1), "target")
-    return named.select("host", "section", "culture_class", "culture", "target", F.row_number().over(w).alias("rank"))
+def sort_cards(topics_: DataFrame, paths: DataFrame, articles: DataFrame) -> DataFrame:
+    """(host, section, culture_class, culture, kind, target, rank): the cards of a host's section in their order.
+
+    Culture class and culture first; in each, articles (host, section, culture_class, culture, article, path) stand
+    before symbols; then the last path component, then the prefix, then the target. A target without a path is left out.
+    """
+    keys = ["host", "section", "culture_class", "culture"]
+    named = topics_.join(paths.select(F.col("symbol").alias("target"), "path"), "target").select(*keys, F.lit("symbol").alias("kind"), "target", "path")
+    cards = named.unionByName(articles.select(*keys, F.lit("article").alias("kind"), F.col("article").alias("target"), "path"))
+    w = Window.partitionBy("host", "section").orderBy("culture_class", "culture", "kind", F.element_at("path", -1), F.slice("path", F.lit(1), F.size("path") - 1), "target")
+    return cards.select(*keys, "kind", "target", F.row_number().over(w).alias("rank"))
+
+
+def sort_relations(beliefs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(subject, culture, slot, object, rank): each list of a subject, one for a slot and culture, by the objects'
+    paths, component by component; equal paths by object. Objects without a path come first."""
+    named = beliefs.join(paths.select(F.col("symbol").alias("object"), "path"), "object")
+    w = Window.partitionBy("subject", "slot", "culture").orderBy("path", "object")
+    return named.select("subject", "culture", "slot", "object", F.row_number().over(w).alias("rank"))
 
 
 #: The order in which a page's sublists show kinds of symbols.
@@ -54,19 +68,32 @@ def module_list(modules: DataFrame) -> DataFrame:
     return modules.select("package", "module", F.row_number().over(Window.partitionBy("package").orderBy(F.lower("name"), "module")).alias("rank"))
 
 
-def search_index(paths: DataFrame, modules: DataFrame, extant: DataFrame, uris: DataFrame) -> DataFrame:
-    """(package, module, symbol, title, keywords, uri) of the types that stand at the latest version."""
-    types = paths.filter(F.col("class").isin("protocol", "concrete", "global")).join(extant, "symbol", "left_semi")
-    owner = modules.select(F.col("module").alias("culture"), "package", F.col("name").alias("module_name"))
-    natural = uris.filter(F.col("base") == F.col("host")).select(F.col("base").alias("symbol"), "uri")
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.element_at("path", -1), "_"), lambda w: w != "")))
-    return types.join(owner, "culture").join(natural, "symbol").select("package", F.col("culture").alias("module"), "symbol", F.array_join("path", ".").alias("title"), words.alias("keywords"), "uri")
+def search_index(paths: DataFrame, modules: DataFrame, extant: DataFrame, uris: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(package, module, symbol, title, keywords, uri) of the protocols, aliases, types and global symbols that stand
+    at the latest version (``extant``).
 
-
-def sitemap(modules: DataFrame, index: DataFrame, domain: str) -> DataFrame:
-    """(package, module, kind, line): every module, then its symbols; one line of text each."""
-    own = modules.select("package", "module", F.lit(0).alias("kind"), F.concat(F.lit(domain), F.lit("/"), F.lower("name")).alias("line"))
-    return own.unionByName(index.select("package", "module", F.lit(1).alias("kind"), F.concat(F.lit(domain), "uri").alias("line")))
+    ``signatures`` (symbol, fragments) are coloured fragments; the keywords are the texts of names and argument labels,
+    as they stand. A symbol without a signature has no keywords.
+    """
+    types = paths.filter(F.col("class").isin("protocol", "typealias", "concrete", "global")).join(extant, "symbol", "left_semi")
+    owner = modules.select(F.col("module").alias("culture"), "package")
+    natural = uris.filter(F.col("base") == F.col("host")).select(F.col("base").alias("symbol"), "uri")
+    words = F.transform(F.filter("fragments", lambda f: f["color"].isin("identifier", "keywordIdentifier", "argument")), lambda f: f["text"])
+    found = types.join(owner, "culture").join(natural, "symbol").join(signatures.select("symbol", "fragments"), "symbol", "left")
+    return found.select("package", F.col("culture").alias("module"), "symbol", F.array_join("path", ".").alias("title"), F.coalesce(words, F.array().cast("array<string>")).alias("keywords"), "uri")
+
+
+def sitemap(modules: DataFrame, packages: DataFrame, articles: DataFrame, paths: DataFrame, extant: DataFrame, uris: DataFrame, domain: str) -> DataFrame:
+    """(package, module, kind, line): a package's modules (kind 0), its articles of every version (1) and its natural
+    symbols that stand at the latest version (2), one line of text each; ``articles`` are (article, culture, name)."""
+    owner = modules.join(packages.select("package", F.col("name").alias("package_name"), "rank"), "package")
+    parts = F.array_compact(F.array(F.lit(domain), F.when(F.col("rank") == 2, encode_component(F.col("package_name"))), encode_component(F.lower("name"))))
+    at = owner.select("package", "module", F.array_join(parts, "/").alias("line"))
+    own = at.select("package", "module", F.lit(0).alias("kind"), "line")
+    texts = articles.select(F.col("culture").alias("module"), "name").join(at, "module").select("package", "module", F.lit(1).alias("kind"), F.concat("line", F.lit("/"), encode_component(F.col("name"))).alias("line"))
+    natural = uris.filter(F.col("base") == F.col("host")).select(F.col("base").alias("symbol"), "uri")
+    standing = paths.select("symbol", F.col("culture").alias("module")).join(extant, "symbol", "left_semi").join(natural, "symbol").join(modules.select("module", "package"), "module")
+    return own.unionByName(texts).unionByName(standing.select("package", "module", F.lit(2).alias("kind"), F.concat(F.lit(domain), "uri").alias("line")))
 
 
 def article_feed(articles: DataFrame, domain: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Community by p_partkey % 10, and the class that the fact rules look at.
-COMMUNITIES = ["protocol", "struct", "struct", "class", "enum", "instanceProperty", "instanceMethod", "initializer", "func", "associatedtype"]
-CLASSES = {"protocol": "protocol", "struct": "concrete", "class": "concrete", "enum": "concrete", "instanceProperty": "callable", "instanceMethod": "callable", "initializer": "callable", "func": "global", "associatedtype": "associatedtype"}
+COMMUNITIES = ["protocol", "struct", "typealias", "class", "enum", "instanceProperty", "instanceMethod", "initializer", "func", "associatedtype"]
+CLASSES = {"protocol": "protocol", "struct": "concrete", "typealias": "typealias", "class": "concrete", "enum": "concrete", "instanceProperty": "callable", "instanceMethod": "callable", "initializer": "callable", "func": "global", "associatedtype": "associatedtype"}
 RELATIONS = ["member", "conformer", "subclass", "override", "requirement", "defaultImplementation", "feature"]
 
 
@@ -50,11 +50,15 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, relation, target, pos): pos orders the rows of a relation."""
+    """(source, relation, target, pos, constraints): pos orders the rows of a relation; a third of them have constraints."""
     n = table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0]
     line = table(spark, sf_dir, "lineitem")
     pos = F.col("l_orderkey") * 100_000 + F.col("l_linenumber") * 10_000 + F.col("l_suppkey") % 10_000
-    return line.select(F.col("l_partkey").alias("source"), _pick(RELATIONS, (F.col("l_linenumber") - 1) % 7).alias("relation"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).alias("target"), pos.alias("pos"))
+    many = (F.col("l_orderkey") + F.col("l_suppkey")) % 6
+    bound = lambda subject, verb, target: F.struct(F.lit(subject).alias("subject"), F.lit(verb).alias("verb"), (target % n).cast("bigint").alias("object"))
+    one, two = bound("Self", "conforms", F.col("l_partkey") + F.col("l_orderkey")), bound("Element", "is", F.col("l_partkey") + 7)
+    constraints = F.when(many == 0, F.array(one)).when(many == 1, F.array(one, two)).otherwise(F.array().cast("array<struct<subject:string,verb:string,object:bigint>>"))
+    return line.select(F.col("l_partkey").alias("source"), _pick(RELATIONS, (F.col("l_linenumber") - 1) % 7).alias("relation"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).alias("target"), pos.alias("pos"), constraints.alias("constraints"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +101,9 @@ SQL = {
         (p_partkey // 10 % 25)::INT AS namespace, {_CLASS_SQL}[p_partkey % 10 + 1] AS class FROM part""",
     "edges": f"""SELECT l_partkey AS source, {_RELATION_SQL}[(l_linenumber - 1) % 7 + 1] AS relation,
         (l_orderkey * 7 + l_suppkey) % (SELECT max(p_partkey) + 1 FROM part) AS target,
-        l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey % 10000 AS pos FROM lineitem""",
+        l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey % 10000 AS pos,
+        CASE WHEN (l_orderkey + l_suppkey) % 6 < 2 THEN (l_partkey + l_orderkey) % (SELECT max(p_partkey) + 1 FROM part) END AS cx,
+        CASE WHEN (l_orderkey + l_suppkey) % 6 = 1 THEN (l_partkey + 7) % (SELECT max(p_partkey) + 1 FROM part) END AS cy FROM lineitem""",
     "observations": """SELECT user_id AS entity, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS ver,
         arg_max(event_type, (ts, event_id)) AS value FROM events GROUP BY ALL""",
     "versions": """SELECT package, ver, CASE WHEN package = 0 THEN 'toolchain' ELSE 'semantic' END AS kind,

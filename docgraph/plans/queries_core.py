@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions import versions as V
@@ -166,21 +166,25 @@ def register_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.register_first_seen(line, "part", ["at"])
 
 
-RESOLVED = SCOPES + """, resolved AS (SELECT e.*, s.culture, s.class AS sc, t.class AS tc, s.community AS sm, t.community AS tm, x.culture IS NOT NULL AS ok
-   FROM edges e JOIN symbols s ON s.symbol = e.source JOIN symbols t ON t.symbol = e.target LEFT JOIN scopes x ON x.culture = s.culture AND x.namespace = t.namespace)"""
+RESOLVED = SCOPES + """, resolved AS (SELECT e.*, s.culture, s.class AS sc, t.class AS tc, s.community AS sm, t.community AS tm,
+   x.culture IS NOT NULL AND (cx IS NULL OR ax.culture IS NOT NULL) AND (cy IS NULL OR bx.culture IS NOT NULL) AS ok,
+   CASE WHEN cx IS NULL THEN '' ELSE 'Self:conforms:' || cx || CASE WHEN cy IS NULL THEN '' ELSE ';Element:is:' || cy END END AS bounds
+   FROM edges e LEFT JOIN symbols s ON s.symbol = e.source LEFT JOIN symbols t ON t.symbol = e.target LEFT JOIN scopes x ON x.culture = s.culture AND x.namespace = t.namespace
+   LEFT JOIN symbols a ON a.symbol = e.cx LEFT JOIN scopes ax ON ax.culture = s.culture AND ax.namespace = a.namespace
+   LEFT JOIN symbols b ON b.symbol = e.cy LEFT JOIN scopes bx ON bx.culture = s.culture AND bx.namespace = b.namespace)"""
 STATEMENTS = RESOLVED + """, judged AS (SELECT *, CASE
     WHEN relation = 'feature' AND sc = 'callable' AND tc = 'concrete' THEN 'feature'
-    WHEN relation = 'member' AND sc IN ('concrete', 'callable') AND tc IN ('concrete', 'protocol') THEN 'member'
+    WHEN relation = 'member' AND sc IN ('concrete', 'typealias', 'callable') AND tc IN ('concrete', 'protocol') THEN 'member'
     WHEN relation = 'conformer' AND sc = 'concrete' AND tc = 'protocol' THEN 'conformance'
-    WHEN relation = 'conformer' AND sc = 'protocol' AND tc = 'protocol' THEN 'refinement'
+    WHEN relation = 'conformer' AND sc = 'protocol' AND tc = 'protocol' AND bounds = '' THEN 'refinement'
     WHEN relation = 'subclass' AND sm = 'class' AND tm = 'class' THEN 'subclass'
     WHEN relation = 'override' AND sc = tc AND sc IN ('associatedtype', 'callable') THEN 'override'
     WHEN relation = 'requirement' AND sc IN ('associatedtype', 'callable') AND tc = 'protocol' THEN 'requirement'
     WHEN relation = 'defaultImplementation' AND sc = 'callable' AND tc = 'callable' THEN 'implementation' END AS rule FROM resolved WHERE ok),
  statements AS (
-  SELECT source AS subject, CASE rule WHEN 'conformance' THEN 'has' ELSE 'is' END AS verb, rule AS slot, target AS object, relation, culture, pos FROM judged WHERE rule IS NOT NULL AND rule <> 'feature'
-  UNION ALL SELECT target, CASE rule WHEN 'requirement' THEN 'is' ELSE 'has' END, CASE rule WHEN 'conformance' THEN 'conformer' WHEN 'requirement' THEN 'interface' ELSE rule END, source, relation, culture, pos FROM judged WHERE rule IS NOT NULL
-  UNION ALL SELECT source, NULL, NULL, target, relation, culture, pos FROM judged WHERE rule IS NULL)"""
+  SELECT source AS subject, CASE rule WHEN 'conformance' THEN 'has' ELSE 'is' END AS verb, rule AS slot, target AS object, CASE rule WHEN 'conformance' THEN bounds ELSE '' END AS conditions, relation, culture, pos FROM judged WHERE rule IS NOT NULL AND rule <> 'feature'
+  UNION ALL SELECT target, CASE rule WHEN 'requirement' THEN 'is' ELSE 'has' END, CASE rule WHEN 'conformance' THEN 'conformer' WHEN 'requirement' THEN 'interface' ELSE rule END, source, CASE rule WHEN 'conformance' THEN bounds ELSE '' END, relation, culture, pos FROM judged WHERE rule IS NOT NULL
+  UNION ALL SELECT source, NULL, NULL, target, '', relation, culture, pos FROM judged WHERE rule IS NULL)"""
 _FACT_TABLES = ("packages", "modules", "module_deps", "symbols", "edges")
 
 
@@ -206,17 +210,23 @@ def resolve_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.resolve_identifiers(ids, s.select(F.col("name").alias("id"), "symbol", F.col("culture").alias("module")), _scopes(spark, sf_dir))
 
 
-@query(with_tables(*_FACT_TABLES, then=STATEMENTS + " SELECT subject, verb, slot, object, relation, culture, pos FROM statements"))
+@query(with_tables(*_FACT_TABLES, then=STATEMENTS + " SELECT subject, verb, slot, object, conditions, relation, culture, pos FROM statements"))
 def edge_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statements(spark, sf_dir)
+    return _statements(spark, sf_dir).withColumn("conditions", _written("conditions"))
 
 
-TRAITS = STATEMENTS + ", traits AS (SELECT subject, culture, slot, object, max(pos) AS pos FROM statements WHERE verb = 'has' GROUP BY ALL)"
+def _written(conditions: Column | str) -> Column:
+    """Conditions as text: subject:verb:object, joined by semicolons."""
+    return F.array_join(F.transform(conditions, lambda c: F.concat_ws(":", c["subject"], c["verb"], c["object"].cast("string"))), ";")
 
 
-@query(with_tables(*_FACT_TABLES, then=TRAITS + " SELECT subject, culture, slot, string_agg(object::VARCHAR, ',' ORDER BY object) AS objects FROM traits GROUP BY subject, culture, slot"))
+TRAITS = STATEMENTS + ", traits AS (SELECT subject, culture, slot, object, max(pos) AS pos, arg_max(conditions, (pos, conditions)) AS conditions FROM statements WHERE verb = 'has' GROUP BY subject, culture, slot, object)"
+
+
+@query(with_tables(*_FACT_TABLES, then=TRAITS + " SELECT subject, culture, slot, string_agg(object::VARCHAR, ',' ORDER BY object) AS objects, string_agg(conditions, '|' ORDER BY object) AS conditions FROM traits GROUP BY subject, culture, slot"))
 def fold_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.fold_traits(facts.traits(_statements(spark, sf_dir))).select("subject", "culture", "slot", F.array_join(F.col("objects").cast("array<string>"), ",").alias("objects"))
+    folded = facts.fold_traits(facts.traits(_statements(spark, sf_dir)))
+    return folded.select("subject", "culture", "slot", F.array_join(F.col("objects").cast("array<string>"), ",").alias("objects"), F.array_join(F.transform("conditions", _written), "|").alias("conditions"))
 
 
 @query(with_tables(*_FACT_TABLES, then=STATEMENTS + """, g AS (SELECT subject, count(DISTINCT (slot, object)) FILTER (WHERE slot IN ('member', 'requirement')) AS np, min((slot, object)) FILTER (WHERE slot IN ('member', 'requirement')) AS f,
@@ -226,28 +236,24 @@ def fold_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.fold_roles(_statements(spark, sf_dir)).withColumn("roles", F.array_join(F.col("roles").cast("array<string>"), ","))
 
 
-BELIEFS = TRAITS + """, marked AS (SELECT t.subject, t.culture, t.slot, t.object, CASE WHEN t.culture = s.culture THEN 'primary' WHEN a.package = b.package THEN 'accepted' ELSE 'opinion' END AS belief
+BELIEFS = TRAITS + """, marked AS (SELECT t.subject, t.culture, t.slot, t.object, t.conditions, CASE WHEN t.subject % 4 = 1 THEN 'opinion' WHEN t.culture = s.culture THEN 'primary' WHEN a.package = b.package THEN 'accepted' ELSE 'opinion' END AS belief
    FROM traits t JOIN symbols s ON s.symbol = t.subject JOIN modules a ON a.module = t.culture JOIN modules b ON b.module = s.culture),
- beliefs AS (SELECT * FROM marked m WHERE belief <> 'accepted' OR NOT EXISTS (SELECT 1 FROM marked p WHERE p.belief = 'primary' AND p.subject = m.subject AND p.slot = m.slot AND p.object = m.object))"""
+ beliefs AS (SELECT * FROM marked m WHERE belief <> 'accepted' OR NOT EXISTS (SELECT 1 FROM marked p WHERE p.belief = 'primary' AND p.subject = m.subject AND p.slot = m.slot AND p.object = m.object AND p.conditions = m.conditions))"""
 
 
 def _beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.split_beliefs(facts.traits(_statements(spark, sf_dir)), A.symbols(spark, sf_dir), A.modules(spark, sf_dir))
+    """Beliefs after a push that updates three symbols in four."""
+    s = A.symbols(spark, sf_dir)
+    return facts.split_beliefs(facts.traits(_statements(spark, sf_dir)), s, A.modules(spark, sf_dir), s.filter("symbol % 4 <> 1").select("symbol"))
 
 
-@query(with_tables(*_FACT_TABLES, then=BELIEFS + " SELECT subject, culture, slot, object, belief FROM beliefs"))
+@query(with_tables(*_FACT_TABLES, then=BELIEFS + " SELECT subject, culture, slot, object, conditions, belief FROM beliefs"))
 def split_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _beliefs(spark, sf_dir)
+    return _beliefs(spark, sf_dir).withColumn("conditions", _written("conditions"))
 
 
-@query(with_tables(*_FACT_TABLES, then=TRAITS + " SELECT subject, slot, object FROM (SELECT DISTINCT subject, slot, object FROM traits WHERE culture % 2 = 0) EXCEPT SELECT subject, slot, object FROM traits WHERE culture % 2 = 1"))
+@query(with_tables(*_FACT_TABLES, then=TRAITS + " SELECT DISTINCT subject, slot, object, conditions FROM traits WHERE culture % 2 = 0 EXCEPT SELECT subject, slot, object, conditions FROM traits WHERE culture % 2 = 1"))
 def subtract_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["subject", "slot", "object", "conditions"]
     t = facts.traits(_statements(spark, sf_dir))
-    return facts.subtract_traits(t.filter("culture % 2 = 0").select("subject", "slot", "object").distinct(), t.filter("culture % 2 = 1"), ["subject", "slot", "object"])
-
-
-@query(with_tables(*_FACT_TABLES, then=BELIEFS + """ SELECT b.subject, b.culture, b.slot, b.object, (row_number() OVER (PARTITION BY b.subject, b.slot ORDER BY b.belief <> 'primary', b.culture, s.name, b.object))::INT AS rank FROM beliefs b JOIN symbols s ON s.symbol = b.object"""))
-def sort_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _beliefs(spark, sf_dir).join(A.symbols(spark, sf_dir).select(F.col("symbol").alias("object"), "name"), "object")
-    w = Window.partitionBy("subject", "slot").orderBy(F.col("belief") != "primary", "culture", "name", "object")
-    return named.select("subject", "culture", "slot", "object", F.row_number().over(w).alias("rank"))
+    return facts.subtract_traits(t.filter("culture % 2 = 0").select(*keys).distinct(), t.filter("culture % 2 = 1"), keys).withColumn("conditions", _written("conditions"))

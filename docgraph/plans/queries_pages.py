@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.functions.identity import classify_fragments
 from docgraph.operators import links, pages, routes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
@@ -19,8 +20,8 @@ URIS = PATHS + ", " + NATURAL + ", " + SYNTHETIC + ", " + DEPTHS + """, uris AS
    || CASE WHEN stem = '' THEN '' ELSE '/' || replace(stem, chr(9), '/') END || CASE WHEN orientation = '.' AND stem <> '' THEN '.' ELSE '/' END || leaf
    || CASE WHEN need_base OR need_host THEN '?' ELSE '' END || CASE WHEN need_base THEN 'overload=s' || base ELSE '' END || CASE WHEN need_host THEN CASE WHEN need_base THEN '&' ELSE '' END || 'self=s' || host ELSE '' END AS uri
    FROM depths d JOIN modules m ON m.module = d.namespace JOIN packages p USING (package))"""
-INDEX = """, idx AS (SELECT m.package, p.culture AS module, p.symbol, array_to_string(p.path, '.') AS title, array_to_string(list_sort(list_distinct(list_filter(string_split(p.path[-1], '_'), lambda w: w <> ''))), ',') AS keywords, u.uri
-   FROM paths p JOIN modules m ON m.module = p.culture JOIN uris u ON u.base = p.symbol AND u.host = p.symbol WHERE p.class IN ('protocol', 'concrete', 'global') AND p.symbol % 11 <> 0)"""
+INDEX = """, idx AS (SELECT m.package, p.culture AS module, p.symbol, p.class, array_to_string(p.path, '.') AS title, array_to_string(CASE WHEN p.class = 'global' THEN [p.name, t.p_brand] ELSE [p.name] END, ',') AS keywords, u.uri
+   FROM paths p JOIN part t ON t.p_partkey = p.symbol JOIN modules m ON m.module = p.culture JOIN uris u ON u.base = p.symbol AND u.host = p.symbol WHERE p.symbol % 11 <> 0)"""
 _WITH_TRAITS = BELIEFS
 
 
@@ -34,9 +35,20 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topics(spark, sf_dir)
 
 
-@query(with_tables(*_FACT_TABLES, then=TOPICS + ", " + PATHS + """ SELECT host, section, culture_class, t.culture, target, (row_number() OVER (PARTITION BY host, section ORDER BY culture_class, t.culture, path[-1], path[1:len(path) - 1], target))::INT AS rank FROM topics t JOIN paths p ON p.symbol = target"""))
+@query(with_tables(*_FACT_TABLES, then=TOPICS + ", " + PATHS + """, cards AS (SELECT host, section, culture_class, t.culture, 'symbol' AS kind, target, path FROM topics t JOIN paths p ON p.symbol = target
+   UNION ALL SELECT y.symbol, 9, 0, y.culture, 'article', doc_id, ['doc-' || doc_id % 40] FROM documents JOIN symbols y ON y.symbol = doc_id * 7 % (SELECT max(p_partkey) + 1 FROM part))
+ SELECT host, section, culture_class, culture, kind, target, (row_number() OVER (PARTITION BY host, section ORDER BY culture_class, culture, kind, path[-1], path[1:len(path) - 1], target))::INT AS rank FROM cards"""))
 def sort_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.sort_cards(_topics(spark, sf_dir), _paths(spark, sf_dir))
+    n = A.table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0]
+    home = A.symbols(spark, sf_dir).select(F.col("symbol").alias("host"), "culture")
+    texts = A.table(spark, sf_dir, "documents").select((F.col("doc_id") * 7 % n).alias("host"), F.col("doc_id").alias("article"), F.array(F.concat(F.lit("doc-"), (F.col("doc_id") % 40).cast("string"))).alias("path"))
+    articles = texts.join(home, "host").withColumns({"section": F.lit(pages.SECTIONS["member"]), "culture_class": F.lit(0)})
+    return pages.sort_cards(_topics(spark, sf_dir), _paths(spark, sf_dir), articles)
+
+
+@query(with_tables(*_FACT_TABLES, then=BELIEFS + ", " + PATHS + """ SELECT b.subject, b.culture, b.slot, b.object, (row_number() OVER (PARTITION BY b.subject, b.slot, b.culture ORDER BY p.path, b.object))::INT AS rank FROM beliefs b JOIN paths p ON p.symbol = b.object"""))
+def sort_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.sort_relations(_beliefs(spark, sf_dir), _paths(spark, sf_dir))
 
 
 @query(with_tables(*_FACT_TABLES, then=TOPICS + """, lists AS (SELECT t.host, t.section, CASE WHEN t.section IN (9, 10) THEN y.community END AS sublist, t.culture_class, t.culture, count(*) AS cards FROM topics t JOIN symbols y ON y.symbol = t.target GROUP BY ALL)
@@ -51,20 +63,33 @@ def module_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.module_list(A.modules(spark, sf_dir))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _paths(spark, sf_dir)
-    uris = routes.composite_uri(routes.overload_depth(_routes(spark, sf_dir)), A.modules(spark, sf_dir), A.packages(spark, sf_dir))
-    return pages.search_index(p, A.modules(spark, sf_dir), p.filter("symbol % 11 <> 0").select("symbol"), uris)
+def _uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.composite_uri(routes.overload_depth(_routes(spark, sf_dir)), A.modules(spark, sf_dir), A.packages(spark, sf_dir))
+
 
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, fragments): a keyword and the name; a function's argument, labelled by the brand, and its type."""
+    piece = lambda kind, spelling: F.struct(F.lit(kind).alias("kind"), spelling.alias("spelling"))
+    s = A.symbols(spark, sf_dir).join(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), "p_brand", "p_type"), "symbol")
+    head = F.array(piece("keyword", F.col("community")), piece("text", F.lit(" ")), piece("identifier", F.col("name")))
+    tail = F.array(piece("text", F.lit("(")), piece("externalParam", F.col("p_brand")), piece("text", F.lit(": ")), piece("typeIdentifier", F.col("p_type")), piece("text", F.lit(")")))
+    return s.select("symbol", classify_fragments(F.when(F.col("class") == "global", F.concat(head, tail)).otherwise(head)).alias("fragments"))
 
-@query(with_tables(*_FACT_TABLES, then=_WITH_TRAITS + ", " + URIS + INDEX + " SELECT package, module, symbol, title, keywords, uri FROM idx"))
+
+@query(with_tables(*_FACT_TABLES, then=_WITH_TRAITS + ", " + URIS + INDEX + " SELECT package, module, symbol, title, keywords, uri FROM idx WHERE class IN ('protocol', 'typealias', 'concrete', 'global')"))
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).withColumn("keywords", F.array_join("keywords", ","))
+    p = _paths(spark, sf_dir)
+    found = pages.search_index(p, A.modules(spark, sf_dir), p.filter("symbol % 11 <> 0").select("symbol"), _uris(spark, sf_dir), _signatures(spark, sf_dir))
+    return found.withColumn("keywords", F.array_join("keywords", ","))
 
 
-@query(with_tables(*_FACT_TABLES, then=_WITH_TRAITS + ", " + URIS + INDEX + " SELECT package, module, 0 AS kind, 'https://docs.example.com/' || lower(name) AS line FROM modules UNION ALL SELECT package, module, 1, 'https://docs.example.com' || uri FROM idx"))
+@query(with_tables(*_FACT_TABLES, then=_WITH_TRAITS + ", " + URIS + INDEX + """, places AS (SELECT m.package, m.module, 'https://docs.example.com' || CASE WHEN p.rank = 2 THEN '/' || p.name ELSE '' END || '/' || replace(lower(m.name), ' ', '%20') AS line FROM modules m JOIN packages p USING (package))
+ SELECT package, module, 0 AS kind, line FROM places UNION ALL SELECT package, module, 1, line || '/doc-' || doc_id % 40 FROM documents JOIN places ON module = doc_id % 25
+ UNION ALL SELECT package, module, 2, 'https://docs.example.com' || uri FROM idx"""))
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.sitemap(A.modules(spark, sf_dir), _index(spark, sf_dir), "https://docs.example.com")
+    p = _paths(spark, sf_dir)
+    articles = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article"), (F.col("doc_id") % 25).cast("int").alias("culture"), F.concat(F.lit("doc-"), (F.col("doc_id") % 40).cast("string")).alias("name"))
+    return pages.sitemap(A.modules(spark, sf_dir), A.packages(spark, sf_dir), articles, p, p.filter("symbol % 11 <> 0").select("symbol"), _uris(spark, sf_dir), "https://docs.example.com")
 
 
 @query("""WITH a AS (SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),

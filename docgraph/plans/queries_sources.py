@@ -29,7 +29,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 def _graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, text): graphs of a module and namespace, from a bounded number of its symbols and their edges each."""
     s = A.symbols(spark, sf_dir)
-    kind = F.create_map(*[F.lit(x) for kv in {"protocol": "swift.protocol", "struct": "swift.struct", "class": "swift.class", "enum": "swift.enum", "instanceProperty": "swift.property", "instanceMethod": "swift.method", "initializer": "swift.init", "func": "swift.func", "associatedtype": "swift.associatedtype"}.items() for x in kv])
+    kind = F.create_map(*[F.lit(x) for kv in {"protocol": "swift.protocol", "struct": "swift.struct", "typealias": "swift.typealias", "class": "swift.class", "enum": "swift.enum", "instanceProperty": "swift.property", "instanceMethod": "swift.method", "initializer": "swift.init", "func": "swift.func", "associatedtype": "swift.associatedtype"}.items() for x in kv])
     usr = lambda c: F.concat(F.lit("s:"), c.cast("string"))
     symbol = F.struct(
         F.struct(usr(F.col("symbol")).alias("precise")).alias("identifier"), F.array("name").alias("pathComponents"), F.struct(kind[F.col("community")].alias("identifier")).alias("kind"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions.doc_fields import doc_fields
 from docgraph.functions.storage import shared_dir
-from docgraph.operators import docs, links, packages, pages, routes
+from docgraph.operators import docs, facts, links, packages, pages, routes
 from docgraph.sources import graphs
 
 
@@ -96,3 +96,57 @@ def test_links_of_every_form(spark):
     rows = spark.createDataFrame([(i, 1, n, form, path, kind) for i, (n, form, path, kind, _) in asked.items()], "link bigint, culture int, nest string, form string, path array<string>, community string")
     got = links.resolve_links(rows, table, scopes, modules, owners, articles, kinds, table.select("base").filter(F.col("base") != 109))
     assert {r.link: (r.target, r.kind, r.status) for r in got.collect()} == {i: want for i, (*_, want) in asked.items()}
+
+
+EDGE = "source bigint, relation string, target bigint, pos bigint, constraints array<struct<subject:string,verb:string,object:bigint>>"
+KINDS = [(1, 1, 1, "struct", "concrete"), (2, 1, 1, "protocol", "protocol"), (3, 1, 1, "protocol", "protocol"), (4, 2, 2, "protocol", "protocol"), (5, 2, 2, "struct", "concrete")]
+
+
+def placed(spark, edges):
+    symbols = spark.createDataFrame(KINDS, "symbol bigint, culture int, namespace int, community string, class string")
+    scopes = spark.createDataFrame([(1, 1), (2, 2), (2, 1)], "culture int, namespace int")
+    return facts.resolve_edges(spark.createDataFrame(edges, EDGE), symbols, scopes)
+
+
+def test_edges_fall_with_their_constraints(spark):
+    far, near, lost = ("Self", "conforms", 4), ("Self", "conforms", 3), ("T", "is", 99)
+    edges = [(1, "conformer", 2, 1, None), (1, "conformer", 2, 2, [near]), (1, "conformer", 2, 3, [near, far]), (1, "conformer", 2, 4, [lost]), (1, "conformer", 4, 5, []), (1, "conformer", 98, 6, []), (97, "conformer", 2, 7, []), (5, "conformer", 2, 8, [near, far]), (1, "conformer", 2, 2, [near])]
+    got = sorted((r.pos, r.resolved) for r in placed(spark, edges).collect())
+    assert got == [(1, True), (2, True), (2, True), (3, False), (4, False), (5, False), (6, False), (7, False), (8, True)]
+    assert placed(spark, []).count() == 0
+
+
+def test_conditions_of_conformances(spark):
+    near, other = ("Self", "conforms", 3), ("Self", "is", 2)
+    edges = [(1, "conformer", 2, 1, [near]), (1, "conformer", 2, 5, [other]), (1, "conformer", 2, 3, []), (2, "conformer", 3, 1, [near]), (2, "conformer", 3, 2, None), (1, "member", 2, 1, [near])]
+    said = facts.edge_statements(placed(spark, edges).filter("resolved"))
+    rejects = [(r.subject, r.object, r.pos) for r in said.filter("verb IS NULL").collect()]
+    assert rejects == [(2, 3, 1)]
+    held = {(r.subject, r.slot, r.object): [tuple(c) for c in r.conditions] for r in facts.traits(said).collect()}
+    assert held == {(1, "conformance", 2): [other], (2, "conformer", 1): [other], (3, "refinement", 2): [], (2, "member", 1): []}
+    folded = facts.fold_traits(facts.traits(said)).filter("slot = 'conformer'").first()
+    assert folded.objects == [1] and [[tuple(c) for c in e] for e in folded.conditions] == [[other]]
+
+
+def test_beliefs_after_a_push(spark):
+    where = "array<struct<subject:string,verb:string,object:bigint>>"
+    one, none = [("Self", "conforms", 3)], []
+    # modules 1 and 2 are of one package, 3 of another; symbols 1 and 2 are at home in module 1, only 1 was pushed
+    long = [(1, 1, "member", 7, none), (1, 2, "member", 7, none), (1, 2, "conformance", 8, one), (1, 1, "conformance", 8, none), (1, 2, "member", 9, none), (1, 3, "member", 7, none), (2, 1, "member", 7, none), (2, 2, "member", 7, none)]
+    rows = spark.createDataFrame(long, f"subject bigint, culture int, slot string, object bigint, conditions {where}")
+    symbols = spark.createDataFrame([(1, 1), (2, 1)], "symbol bigint, culture int")
+    modules = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "module int, package int")
+    got = facts.split_beliefs(rows, symbols, modules, spark.createDataFrame([(1,), (1,)], "symbol bigint"))
+    want = [(1, 1, "conformance", 8, "primary"), (1, 1, "member", 7, "primary"), (1, 2, "conformance", 8, "accepted"), (1, 2, "member", 9, "accepted"), (1, 3, "member", 7, "opinion"), (2, 1, "member", 7, "opinion"), (2, 2, "member", 7, "opinion")]
+    assert sorted((r.subject, r.culture, r.slot, r.object, r.belief) for r in got.collect()) == want
+
+
+def test_cards_and_relations_by_path(spark):
+    paths = spark.createDataFrame([(1, ["B", "a"]), (2, ["A", "a"]), (3, ["Z"]), (4, ["A"])], "symbol bigint, path array<string>")
+    topics = spark.createDataFrame([(0, 9, 0, 1, t) for t in (1, 2, 3, 4)] + [(0, 9, 1, 2, 3)], "host bigint, section int, culture_class int, culture int, target bigint")
+    articles = spark.createDataFrame([(0, 9, 0, 1, 70, ["z"]), (0, 9, 0, 1, 71, ["b"])], "host bigint, section int, culture_class int, culture int, article bigint, path array<string>")
+    got = [(r.kind, r.target) for r in pages.sort_cards(topics, paths, articles).orderBy("rank").collect()]
+    assert got == [("article", 71), ("article", 70), ("symbol", 4), ("symbol", 3), ("symbol", 2), ("symbol", 1), ("symbol", 3)]
+    beliefs = spark.createDataFrame([(0, c, "member", o) for c in (1, 2) for o in (1, 2, 3, 4)], "subject bigint, culture int, slot string, object bigint")
+    ranked = pages.sort_relations(beliefs, paths).orderBy("culture", "rank").collect()
+    assert [(r.culture, r.object) for r in ranked] == [(c, o) for c in (1, 2) for o in (4, 2, 1, 3)]
