@@ -92,3 +92,16 @@ def register_first_seen(arrivals: DataFrame, key: str, order: list[str], known:
     w = Window.partitionBy("_part").orderBy("_at")
     new = ranked.select(key, (F.row_number().over(w) - 1 + offset[F.col("_part")]).cast("bigint").alias("idx"))
     return new if known is None else known.select(key, "idx").unionByName(new)
+
+
+def ranked_within(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """``rows`` with their rank by member within their keys, from 1; rows are taken to be distinct.
+
+    Rows are dealt by range over keys and member, so that one very large group spreads over many tasks; a rank is that
+    within the task's part of the group plus the sizes of the parts before it.
+    """
+    dealt = stored(rows.repartitionByRange(*keys, member).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(member))
+    return dealt.join(sizes.select(*keys, "_part", before.alias("_before")), [*keys, "_part"]).select(*rows.columns, (own + F.col("_before")).cast("bigint").alias("rank"))

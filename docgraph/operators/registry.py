@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.uri import encode_component
+from docgraph.operators.packages import ranked_within, register_first_seen
 
 
 def register_symbols(vertices: DataFrame, scopes: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, module, status): new ids of a package; the first module (by position) owns an id.
+    """(id, module, idx, status): ids of a package; the first module (by position) owns an id.
 
     status is new, known, moved (registered in another module already) or colony (its namespace is out of scope).
+    ``known`` (id, module, idx) keep their numbers; new ids get the next ones in order of arrival, colonies none.
     """
-    first = vertices.groupBy("id").agg(F.min(F.struct("pos", "culture", "namespace")).alias("v")).select("id", "v.culture", "v.namespace")
+    first = vertices.groupBy("id").agg(F.min(F.struct("pos", "culture", "namespace")).alias("v")).select("id", "v.pos", "v.culture", "v.namespace")
     seen = scopes.select("culture", "namespace", F.lit(True).alias("in_scope"))
     judged = first.join(seen, ["culture", "namespace"], "left").join(known.select("id", F.col("module").alias("had")), "id", "left")
     status = F.when(F.col("had").isNotNull() & (F.col("had") != F.col("culture")), "moved").when(F.col("had").isNotNull(), "known").when(F.col("in_scope").isNull(), "colony").otherwise("new")
-    return judged.select("id", F.coalesce("had", "culture").alias("module"), status.alias("status"))
+    judged = judged.select("id", "pos", F.coalesce("had", "culture").alias("module"), status.alias("status"))
+    numbers = register_first_seen(judged.filter("status = 'new'"), "id", ["pos"], known.select("id", "idx"))
+    return judged.join(numbers, "id", "left").select("id", "module", "idx", "status")
 
 
 def updated_symbols(vertices: DataFrame, registered: DataFrame) -> DataFrame:
@@ -32,9 +36,16 @@ def union_dependencies(modules: DataFrame, deps: DataFrame) -> DataFrame:
     return inside.filter(F.col("package") == F.col("_p")).select("package", "dep").distinct()
 
 
-def module_sets(paths: DataFrame) -> DataFrame:
-    """(module, toplevels): the symbols without a parent, sorted."""
-    return paths.filter(F.size("path") == 1).groupBy(F.col("culture").alias("module")).agg(F.array_sort(F.collect_list("symbol")).alias("toplevels"))
+def module_sets(paths: DataFrame, deps: DataFrame, articles: DataFrame) -> DataFrame:
+    """(module, kind, member, rank): what belongs to a module, in long form, so that no task holds a module's set.
+
+    kind is dependency (modules it depends on), toplevel (symbols without a parent) or guide (its articles, where it has
+    any); rank counts from 1 by member within a module and kind. Repeated members count once.
+    """
+    top = paths.filter(F.size("path") == 1).select(F.col("culture").alias("module"), F.lit("toplevel").alias("kind"), F.col("symbol").cast("bigint").alias("member"))
+    needs = deps.select("module", F.lit("dependency").alias("kind"), F.col("dep").cast("bigint").alias("member"))
+    guides = articles.select(F.col("culture").alias("module"), F.lit("guide").alias("kind"), F.col("article").cast("bigint").alias("member"))
+    return ranked_within(top.unionByName(needs).unionByName(guides).distinct(), ["module", "kind"], "member")
 
 
 def sort_roles(roles: DataFrame, paths: DataFrame) -> DataFrame:
@@ -74,18 +85,25 @@ def localize_pins(links: DataFrame, pins: DataFrame) -> DataFrame:
     return asked.join(pins.select("package", "ver"), ["package", "ver"], "left_semi").select("link", "package", "ver")
 
 
-def composite_exists(composites: DataFrame, natural: DataFrame, features: DataFrame, points: str = "ver") -> DataFrame:
-    """(base, host, ver, exists): natural ones stand with their base's facts, others with the host's feature.
+def composite_exists(composites: DataFrame, natural: DataFrame, features: DataFrame, homes: DataFrame, modules: DataFrame) -> DataFrame:
+    """(base, host, culture, ver, exists): natural ones stand with their base's facts, others with a feature of the host.
 
-    natural (symbol, lo, hi) and features (host, base, lo, hi) are histories; equality comes before the range.
+    natural (symbol, lo, hi) and features (host, base, culture, belief, lo, hi) are histories; homes (symbol, culture)
+    are the modules of the hosts. A host in the culture's own module has the feature as primary, one of the same package
+    as accepted, any other as an opinion of the culture. Equality comes before the range; repeated rows stay repeated.
     """
-    is_natural = F.col("base") == F.col("host")
-    n = natural.select(F.col("symbol").alias("_s"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    a = composites.filter(is_natural).join(n, (F.col("base") == F.col("_s")) & F.col(points).between(F.col("_lo"), F.col("_hi")), "left_semi")
-    f = features.select(F.col("host").alias("_h"), F.col("base").alias("_b"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    b = composites.filter(~is_natural).join(f, (F.col("host") == F.col("_h")) & (F.col("base") == F.col("_b")) & F.col(points).between(F.col("_lo"), F.col("_hi")), "left_semi")
-    there = a.unionByName(b).select("base", "host", points, F.lit(True).alias("exists")).distinct()
-    return composites.join(there, ["base", "host", points], "left").select("base", "host", points, F.coalesce("exists", F.lit(False)).alias("exists"))
+    of = modules.select(F.col("module").alias("culture"), F.col("package").alias("_of"))
+    home = homes.select(F.col("symbol").alias("host"), F.col("culture").alias("_home"))
+    at = modules.select(F.col("module").alias("_home"), F.col("package").alias("_at"))
+    belief = F.when(F.col("culture") == F.col("_home"), "primary").when(F.col("_of") == F.col("_at"), "accepted").otherwise("opinion")
+    keys = ["base", "host", "culture", "ver"]
+    asked = composites.select(*keys).distinct()
+    during = F.col("ver").between(F.col("lo"), F.col("hi"))
+    own = asked.filter("base = host").join(natural.select(F.col("symbol").alias("base"), "lo", "hi"), "base").filter(during).select(*keys)
+    sides = asked.filter("base <> host").join(home, "host").join(of, "culture", "left").join(at, "_home", "left").withColumn("belief", belief)
+    inherited = sides.join(features, ["host", "base", "culture", "belief"]).filter(during).select(*keys)
+    there = own.unionByName(inherited).distinct().withColumn("there", F.lit(True))
+    return composites.join(there, keys, "left").select(*keys, F.coalesce("there", F.lit(False)).alias("exists"))
 
 
 def resolve_requests(requests: DataFrame, modules: DataFrame, packages: DataFrame, routes: DataFrame, root: str = "reference") -> DataFrame:

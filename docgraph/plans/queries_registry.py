@@ -11,7 +11,7 @@ from docgraph.functions import versions as V
 from docgraph.functions.availability import availability_labels as labels
 from docgraph.functions.availability import lower_availability as lowered
 from docgraph.functions.storage import shared_dir
-from docgraph.operators import docs, facts, registry, routes
+from docgraph.operators import docs, facts, packages, registry, routes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import _FACT_TABLES, _MASKS, KEYFRAMES, SCOPES, STATEMENTS, TRAITS, _history, _scopes, _statements
@@ -19,9 +19,9 @@ from docgraph.plans.queries_pages import URIS
 from docgraph.plans.queries_routes import NATURAL, PATHS, _paths, _routes
 from docgraph.plans.registry import query
 
-_VERTICES = "vertices AS (SELECT name AS id, culture, namespace, symbol AS pos FROM symbols), known AS (SELECT name AS id, min(culture) AS module FROM symbols WHERE symbol % 4 = 0 GROUP BY name)"
+_VERTICES = "vertices AS (SELECT name AS id, culture, namespace, symbol AS pos FROM symbols), known AS (SELECT name AS id, min(culture) AS module, row_number() OVER (ORDER BY name) - 1 AS idx FROM symbols WHERE symbol % 4 = 0 GROUP BY name)"
 _JUDGED = _VERTICES + """, first AS (SELECT id, min((pos, culture, namespace)) AS v FROM vertices GROUP BY id),
- judged AS (SELECT f.id, coalesce(k.module, f.v[2])::INT AS module, CASE WHEN k.module <> f.v[2] THEN 'moved' WHEN k.module IS NOT NULL THEN 'known' WHEN x.culture IS NULL THEN 'colony' ELSE 'new' END AS status
+ judged AS (SELECT f.id, coalesce(k.module, f.v[2])::INT AS module, CASE WHEN k.module <> f.v[2] THEN 'moved' WHEN k.module IS NOT NULL THEN 'known' WHEN x.culture IS NULL THEN 'colony' ELSE 'new' END AS status, k.idx, f.v[1] AS pos
    FROM first f LEFT JOIN known k USING (id) LEFT JOIN scopes x ON x.culture = f.v[2] AND x.namespace = f.v[3])"""
 
 
@@ -31,10 +31,11 @@ def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vertices(spark, sf_dir)
-    return registry.register_symbols(v, _scopes(spark, sf_dir), v.filter("pos % 4 = 0").groupBy("id").agg(F.min("culture").alias("module")))
+    had = v.filter("pos % 4 = 0").groupBy("id").agg(F.min("culture").alias("module"))
+    return registry.register_symbols(v, _scopes(spark, sf_dir), had.join(packages.register_first_seen(had, "id", ["id"]), "id"))
 
 
-@query(with_tables("packages", "modules", "module_deps", "symbols", then=SCOPES + ", " + _JUDGED + " SELECT id, module, status FROM judged"))
+@query(with_tables("packages", "modules", "module_deps", "symbols", then=SCOPES + ", " + _JUDGED + " SELECT id, module, CASE WHEN status = 'new' THEN (SELECT count(*) FROM known) + row_number() OVER (PARTITION BY status ORDER BY pos, id) - 1 ELSE idx END AS idx, status FROM judged"))
 def register_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _registered(spark, sf_dir)
 
@@ -49,9 +50,12 @@ def union_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.union_dependencies(A.modules(spark, sf_dir), A.module_deps(spark, sf_dir))
 
 
-@query(with_tables("symbols", then=PATHS + " SELECT culture AS module, string_agg(symbol::VARCHAR, ',' ORDER BY symbol) AS toplevels FROM paths WHERE len(path) = 1 GROUP BY culture"))
+@query(with_tables("modules", "module_deps", "symbols", then=PATHS + """, sets AS (SELECT culture AS module, 'toplevel' AS kind, symbol AS member FROM paths WHERE len(path) = 1
+   UNION SELECT module, 'dependency', dep FROM module_deps UNION SELECT doc_id % 25, 'guide', doc_id FROM documents)
+ SELECT module::INT AS module, kind, member::BIGINT AS member, row_number() OVER (PARTITION BY module, kind ORDER BY member) AS rank FROM sets"""))
 def module_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.module_sets(_paths(spark, sf_dir)).select("module", F.array_join(F.col("toplevels").cast("array<string>"), ",").alias("toplevels"))
+    articles = A.table(spark, sf_dir, "documents").select((F.col("doc_id") % 25).cast("int").alias("culture"), F.col("doc_id").alias("article"))
+    return registry.module_sets(_paths(spark, sf_dir), A.module_deps(spark, sf_dir), articles)
 
 
 @query(with_tables(*_FACT_TABLES, then=STATEMENTS + ", " + PATHS + """, roles AS (SELECT DISTINCT subject, object FROM statements WHERE verb = 'is')
@@ -96,14 +100,22 @@ def localize_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.localize_pins(links, A.versions(spark, sf_dir))
 
 
-@query(with_tables("observations", then=KEYFRAMES + """, c AS (SELECT DISTINCT entity AS base, CASE WHEN entity % 3 = 0 THEN entity ELSE entity + 1 END AS host, (entity * 7 + k * 5) % 32 AS ver FROM observations, (SELECT unnest(range(4)) AS k))
- SELECT base, host, ver::INT AS ver, EXISTS (SELECT 1 FROM keyframes f WHERE c.ver BETWEEN f.lo AND f.hi AND f.entity = c.base AND (c.base = c.host OR f.value = 'click')) AS "exists" FROM c"""))
+@query(with_tables("modules", "observations", then=KEYFRAMES + """, c AS (SELECT DISTINCT entity AS base, CASE WHEN entity % 3 = 0 THEN entity ELSE entity + 1 END AS host, ((entity + k * 5 + k // 2) % 25)::INT AS culture, ((entity * 7 + k * 5) % 32)::INT AS ver FROM observations, (SELECT unnest(range(4)) AS k)),
+ sides AS (SELECT c.*, CASE WHEN c.culture = c.host % 25 THEN 'primary' WHEN a.package = b.package THEN 'accepted' ELSE 'opinion' END AS belief FROM c JOIN modules a ON a.module = c.culture JOIN modules b ON b.module = c.host % 25)
+ SELECT base, host, culture, ver, EXISTS (SELECT 1 FROM keyframes f WHERE s.ver BETWEEN f.lo AND f.hi AND f.entity = s.base
+   AND (s.base = s.host OR CASE s.belief WHEN 'primary' THEN f.value = 'click' WHEN 'accepted' THEN f.value IN ('click', 'view') ELSE f.value <> 'click' END)) AS "exists" FROM sides s"""))
 def composite_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's latest event says how the next user holds it as a feature."""
     h = _history(spark, sf_dir)
-    host = F.when(F.col("base") % 3 == 0, F.col("base")).otherwise(F.col("base") + 1)
-    points = A.observations(spark, sf_dir).select(F.col("entity").alias("base")).distinct().select("base", host.alias("host"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: ((F.col("base") * 7 + k * 5) % 32).cast("int"))).alias("ver")).distinct()
-    features = h.filter("value = 'click'").select((F.col("entity") + 1).alias("host"), F.col("entity").alias("base"), "lo", "hi")
-    return registry.composite_exists(points, h.select(F.col("entity").alias("symbol"), "lo", "hi"), features)
+    base = F.col("base")
+    host = F.when(base % 3 == 0, base).otherwise(base + 1)
+    seen = A.observations(spark, sf_dir).select(F.col("entity").alias("base")).distinct().select("base", host.alias("host"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    asked = seen.select("base", "host", ((base + F.col("k") * 5 + F.expr("k div 2")) % 25).cast("int").alias("culture"), ((base * 7 + F.col("k") * 5) % 32).cast("int").alias("ver")).distinct()
+    value = F.col("value")
+    held = F.array_compact(F.array(F.when(value == "click", "primary"), F.when(value.isin("click", "view"), "accepted"), F.when(value != "click", "opinion")))
+    features = h.select((F.col("entity") + 1).alias("host"), F.col("entity").alias("base"), F.explode(held).alias("belief"), "lo", "hi").join(asked.select("host", "base", "culture").distinct(), ["host", "base"])
+    homes = asked.select(F.col("host").alias("symbol"), (F.col("host") % 25).cast("int").alias("culture")).distinct()
+    return registry.composite_exists(asked, h.select(F.col("entity").alias("symbol"), "lo", "hi"), features, homes, A.modules(spark, sf_dir))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

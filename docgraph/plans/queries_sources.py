@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.functions.availability import availability_labels
 from docgraph.functions.storage import shared_dir
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
@@ -31,8 +32,14 @@ def _graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.symbols(spark, sf_dir)
     kind = F.create_map(*[F.lit(x) for kv in {"protocol": "swift.protocol", "struct": "swift.struct", "typealias": "swift.typealias", "class": "swift.class", "enum": "swift.enum", "instanceProperty": "swift.property", "instanceMethod": "swift.method", "initializer": "swift.init", "func": "swift.func", "associatedtype": "swift.associatedtype"}.items() for x in kv])
     usr = lambda c: F.concat(F.lit("s:"), c.cast("string"))
+    piece = lambda kind, text: F.struct(text.alias("spelling"), F.lit(kind).alias("kind"))
+    bound = lambda kind, subject, target: F.struct(F.lit(kind).alias("kind"), F.lit(subject).alias("lhs"), F.concat(F.lit("P"), target.cast("string")).alias("rhs"), usr(target).alias("rhsPrecise"))
+    generic = F.struct(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("index"), F.lit(0).alias("depth")) for n, i in (("U", 1), ("T", 0))]).alias("parameters"), F.array(bound("conformance", "T", F.col("namespace") * 10)).alias("constraints"))
     symbol = F.struct(
         F.struct(usr(F.col("symbol")).alias("precise")).alias("identifier"), F.array("name").alias("pathComponents"), F.struct(kind[F.col("community")].alias("identifier")).alias("kind"),
+        F.struct(F.array(piece("keyword", F.col("community")), piece("text", F.lit(" ")), piece("identifier", F.col("name"))).alias("subHeading")).alias("names"),
+        F.when(F.col("symbol") % 6 < 2, F.array(F.struct(F.when(F.col("symbol") % 6 == 0, "Swift").alias("domain"), (F.col("symbol") % 6 == 1).alias("isUnconditionallyDeprecated"), F.when(F.col("symbol") % 6 == 0, F.struct(F.lit(5).alias("major"), (F.col("symbol") % 9).alias("minor"))).alias("introduced")))).alias("availability"),
+        F.when(F.col("symbol") % 4 == 0, generic).alias("swiftGenerics"), F.when(F.col("symbol") % 5 == 0, F.struct(F.array(bound("sameType", "Self", F.col("symbol") + 1)).alias("constraints"))).alias("swiftExtension"),
         F.struct(F.concat(F.lit("file://"), F.expr("symbol div 100").cast("string")).alias("uri"), F.struct((F.col("symbol") % 97).cast("int").alias("line"), (F.col("symbol") % 7).cast("int").alias("character")).alias("position")).alias("location"),
         F.when(F.col("symbol") % 3 == 0, F.struct(F.array(F.struct(F.col("name").alias("text")), F.struct(F.lit("second").alias("text"))).alias("lines"))).alias("docComment"),
     )
@@ -41,7 +48,7 @@ def _graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = F.create_map(*[F.lit(x) for a, b in G.RELATIONSHIPS.items() for x in (b, a)])
     e = A.edges(spark, sf_dir).join(s.select(F.col("symbol").alias("source"), "culture", part), "source")
     feature = F.col("relation") == "feature"
-    relationship = F.struct(F.when(feature, F.concat(usr(F.col("source")), F.lit("::SYNTHESIZED::"), usr(F.col("target") + F.col("pos") % 2))).otherwise(usr(F.col("source"))).alias("source"), usr(F.col("target")).alias("target"), F.when(feature, "memberOf").otherwise(F.try_element_at(back, F.col("relation"))).alias("kind"))
+    relationship = F.struct(F.when(feature, F.concat(usr(F.col("source")), F.lit("::SYNTHESIZED::"), usr(F.col("target") + F.col("pos") % 2))).otherwise(usr(F.col("source"))).alias("source"), usr(F.col("target")).alias("target"), F.when(feature, "memberOf").otherwise(F.try_element_at(back, F.col("relation"))).alias("kind"), F.transform("constraints", lambda c: F.struct(F.when(c["verb"] == "is", "sameType").otherwise("conformance").alias("kind"), c["subject"].alias("lhs"), F.lit("P").alias("rhs"), usr(c["object"]).alias("rhsPrecise"))).alias("swiftConstraints"))
     relationships = e.groupBy("culture", "part").agg(F.collect_list(relationship).alias("relationships"))
     name = A.modules(spark, sf_dir).select(F.col("module").alias("culture"), F.translate("name", " ", "_").alias("name"))
     whole = symbols.join(relationships, ["culture", "part"], "left").join(name, "culture")
@@ -62,15 +69,24 @@ def read_symbol_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(F.concat_ws("@", "culture", "namespace").alias("file"), F.lit("ok").alias("why")).unionByName(bad.select(F.regexp_replace("file", r"\.symbols\.json$", "").alias("file"), "why"))
 
 
-@query(with_tables("symbols", "modules", then=_NAMED + " SELECT module_name AS culture, 's:' || symbol AS id, name AS path, community, 'file://' || (symbol // 100) AS uri, (symbol % 97)::INT AS line, CASE WHEN symbol % 3 = 0 THEN name || chr(10) || 'second' END AS comment FROM g"))
+def _written(constraints: str) -> Column:
+    return F.array_join(F.transform(constraints, lambda c: F.concat_ws(":", c["subject"], c["verb"], c["object"])), ";").alias(constraints)
+
+
+@query(with_tables("symbols", "modules", then=_NAMED + """ SELECT module_name AS culture, 's:' || symbol AS id, name AS path, community, 'file://' || (symbol // 100) AS uri, (symbol % 97)::INT AS line, CASE WHEN symbol % 3 = 0 THEN name || chr(10) || 'second' END AS comment,
+ 'keywordText:' || community || '|text: |identifier:' || name AS signature, CASE WHEN symbol % 4 = 0 THEN 'T,U' ELSE '' END AS generics, CASE WHEN symbol % 4 = 0 THEN 'T:conforms:s:' || namespace * 10 ELSE '' END AS constraints,
+ CASE WHEN symbol % 5 = 0 THEN 'Self:is:s:' || (symbol + 1) ELSE '' END AS extension_constraints,
+ CASE symbol % 6 WHEN 0 THEN 'Available since 5.' || symbol % 9 WHEN 1 THEN 'Deprecated' ELSE '' END AS availability FROM g"""))
 def read_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.read_symbols(_graphs(spark, sf_dir)[0]).select("culture", "id", F.array_join("path", ".").alias("path"), "community", "uri", "line", "comment")
+    signature = F.array_join(F.transform("signature", lambda f: F.concat(f["color"], F.lit(":"), f["text"])), "|").alias("signature")
+    return G.read_symbols(_graphs(spark, sf_dir)[0]).select("culture", "id", F.array_join("path", ".").alias("path"), "community", "uri", "line", "comment", signature, F.array_join("generics", ",").alias("generics"), _written("constraints"), _written("extension_constraints"), F.array_join(availability_labels(F.col("availability")), ",").alias("availability"))
 
 
-@query(with_tables("symbols", "modules", "edges", then="""e2 AS (SELECT m.name, e.* FROM edges e JOIN symbols s ON s.symbol = e.source JOIN modules m ON m.module = s.culture WHERE s.culture NOT IN (3, 4))
- SELECT replace(name, ' ', '_') AS culture, CASE WHEN relation = 'feature' AND pos % 2 = 1 THEN NULL ELSE relation END AS relation, CASE WHEN relation = 'feature' AND pos % 2 = 1 THEN 'synthesized' END AS why, count(*) AS n FROM e2 GROUP BY ALL"""))
+@query(with_tables("symbols", "modules", "edges", then="""e2 AS (SELECT m.name, e.*, relation = 'feature' AND pos % 2 = 1 AS odd FROM edges e JOIN symbols s ON s.symbol = e.source JOIN modules m ON m.module = s.culture WHERE s.culture NOT IN (3, 4))
+ SELECT replace(name, ' ', '_') AS culture, 's:' || source AS source, CASE WHEN NOT odd THEN relation END AS relation, 's:' || target AS target, CASE WHEN odd THEN 'synthesized' END AS why,
+   CASE WHEN cx IS NULL THEN '' ELSE 'Self:conforms:s:' || cx || CASE WHEN cy IS NULL THEN '' ELSE ';Element:is:s:' || cy END END AS constraints FROM e2"""))
 def read_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.read_relationships(_graphs(spark, sf_dir)[0]).groupBy("culture", "relation", "why").agg(F.count(F.lit(1)).alias("n"))
+    return G.read_relationships(_graphs(spark, sf_dir)[0]).select("culture", "source", "relation", "target", "why", _written("constraints"))
 
 
 @query(with_tables("symbols", "modules", then=_NAMED + " SELECT 'file://' || (symbol // 100) AS uri, string_agg('s:' || symbol, ',' ORDER BY symbol % 97, symbol % 7, 's:' || symbol) AS features FROM g GROUP BY symbol // 100"))
@@ -88,14 +104,21 @@ def read_package_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.read_package_resolved(files).select(F.col("file").cast("bigint").alias("customer"), "package", "version")
 
 
-@query("""SELECT DISTINCT lower(r_name) AS package, n_name AS module, CASE WHEN n_nationkey % 3 > 0 THEN 'core' END AS dep_package, CASE WHEN n_nationkey % 3 > 0 THEN 'm' || k END AS dep_module
- FROM region JOIN nation ON n_regionkey = r_regionkey, (SELECT unnest(range(2)) AS k) WHERE r_regionkey <> 2 AND (n_nationkey % 3 = 0 OR k < n_nationkey % 3)""")
+@query("""WITH rows AS (SELECT s_nationkey AS n, s_suppkey AS s FROM supplier)
+ SELECT 'p' || s AS package, CASE WHEN s % 2 = 0 THEN 'brand ' || n END AS brand, 'module' AS kind, 'm' || n AS name, NULL AS source, CASE WHEN s % 3 > 0 THEN 'core' END AS dep_package, CASE WHEN s % 3 > 0 THEN 'd' || k END AS dep_module, NULL AS why
+   FROM rows, (SELECT unnest(range(2)) AS k) WHERE s % 7 > 0 AND CASE WHEN s % 3 = 0 THEN k = 0 ELSE k < s % 3 END
+ UNION ALL SELECT 'p' || s, CASE WHEN s % 2 = 0 THEN 'brand ' || n END, 'snippet', 'S' || s, 'S' || s || '.swift', NULL, NULL, NULL FROM rows WHERE s % 7 > 0 AND s % 5 = 0
+ UNION ALL SELECT 'p' || s, CASE WHEN s % 2 = 0 THEN 'brand ' || n END, NULL, NULL, NULL, NULL, NULL, 'tools_version' FROM rows WHERE s % 7 = 0""")
 def read_package_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = A.table(spark, sf_dir, "nation")
-    deps = F.when(F.col("n_nationkey") % 3 > 0, F.array(F.struct(F.lit("core").alias("package"), F.transform(F.sequence(F.lit(1), (F.col("n_nationkey") % 3).cast("int")), lambda k: F.concat(F.lit("m"), k - 1)).alias("modules"))))
-    mods = n.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_name").alias("module"), deps.alias("dependencies"))).alias("modules"))
-    files = A.table(spark, sf_dir, "region").join(mods, F.col("n_regionkey") == F.col("r_regionkey")).select(F.to_json(F.array(F.struct(F.when(F.col("r_regionkey") == 2, 2).otherwise(3).alias("catalog_tools_version"), F.lower("r_name").alias("package"), "modules"))).alias("text"))
-    return G.read_package_catalog(files)
+    """A catalog for each supplier; some of another tools version, some with a snippet."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    deps = F.when(s % 3 > 0, F.array(F.struct(F.lit("core").alias("package"), F.transform(F.sequence(F.lit(1), (s % 3).cast("int")), lambda k: F.concat(F.lit("d"), (k - 1).cast("string"))).alias("modules"))))
+    mods = F.array(F.struct(F.concat(F.lit("m"), n.cast("string")).alias("module"), deps.alias("dependencies")))
+    title = F.concat(F.lit("S"), s.cast("string"))
+    snippets = F.when(s % 5 == 0, F.array(F.struct(title.alias("snippet"), F.array(F.concat(title, F.lit(".swift"))).alias("sources"), F.array().alias("dependencies"))))
+    one = F.struct(F.when(s % 7 == 0, 2).otherwise(3).alias("catalog_tools_version"), F.concat(F.lit("p"), s.cast("string")).alias("package"), F.when(s % 2 == 0, F.concat(F.lit("brand "), n.cast("string"))).alias("brand"), mods.alias("modules"), snippets.alias("snippets"))
+    files = A.table(spark, sf_dir, "supplier").select(F.to_json(F.array(one)).alias("text"))
+    return G.read_package_catalog(files).select("package", "brand", "kind", "name", F.array_join("sources", ",").alias("source"), "dep_package", "dep_module", "why")
 
 
 @query("""SELECT DISTINCT dir, version FROM (SELECT unnest(['swift-5.' || (s_suppkey % 9) || '-RELEASE', '5.' || (s_suppkey % 4) || '.2', 'x' || s_suppkey]) AS dir, unnest(['5.' || (s_suppkey % 9), '5.' || (s_suppkey % 4) || '.2', NULL]) AS version FROM supplier) WHERE version LIKE '5.3%'""")

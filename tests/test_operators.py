@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions.doc_fields import doc_fields
 from docgraph.functions.storage import shared_dir
-from docgraph.operators import docs, facts, links, packages, pages, routes
+from docgraph.operators import docs, facts, links, packages, pages, registry, routes
 from docgraph.sources import graphs
 
 
@@ -150,3 +150,51 @@ def test_cards_and_relations_by_path(spark):
     beliefs = spark.createDataFrame([(0, c, "member", o) for c in (1, 2) for o in (1, 2, 3, 4)], "subject bigint, culture int, slot string, object bigint")
     ranked = pages.sort_relations(beliefs, paths).orderBy("culture", "rank").collect()
     assert [(r.culture, r.object) for r in ranked] == [(c, o) for c in (1, 2) for o in (4, 2, 1, 3)]
+
+
+def test_catalogs_rejects_and_snippets(spark):
+    good = '{"catalog_tools_version":3,"package":"p","brand":"B","modules":[{"module":"M","dependencies":[{"package":"q","modules":["X","Y"]}]},{"module":"N"}],"snippets":[{"snippet":"S","sources":["s.swift"],"dependencies":[]}]}'
+    texts = [f"[{good}]", '[{"catalog_tools_version":2,"package":"old","modules":[{"module":"O"}]}]', "no json", None, '[{"package":"none"}]', "[]"]
+    got = graphs.read_package_catalog(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    kept = sorted((r.package, r.brand, r.kind, r.name, r.dep_package, r.dep_module) for r in got if r.why is None and r.dep_module)
+    assert kept == [("p", "B", "module", "M", "q", "X"), ("p", "B", "module", "M", "q", "Y")]
+    assert sorted((r.kind, r.name, r.sources) for r in got if r.why is None and not r.dep_module) == [("module", "N", None), ("snippet", "S", ["s.swift"])]
+    assert sorted(str((r.package, r.why)) for r in got if r.why) == sorted(map(str, [("old", "tools_version"), ("none", "tools_version"), (None, "json"), (None, "json"), (None, "json")]))
+
+
+def test_symbols_with_and_without_lists(spark):
+    whole = '{"identifier":{"precise":"s:1"},"pathComponents":["T"],"kind":{"identifier":"swift.struct"},"availability":[{"isUnconditionallyDeprecated":true},{"domain":"macOS","introduced":{"major":10,"minor":15}}],"swiftGenerics":{"parameters":[{"name":"B","index":0,"depth":1},{"name":"A","index":1,"depth":0}],"constraints":[{"kind":"superclass","lhs":"A","rhs":"C"},{"kind":"odd","lhs":"B","rhs":"D"}]}}'
+    bare = '{"identifier":{"precise":"s:2"},"pathComponents":["U"],"kind":{"identifier":"swift.enum"}}'
+    edge = '{"source":"s:1","target":"s:2","kind":"conformsTo","swiftConstraints":[{"kind":"%s","lhs":"A","rhs":"C","rhsPrecise":"s:3"}]}'
+    text = '{"module":{"name":"M"},"symbols":[%s,%s],"relationships":[%s,%s]}' % (whole, bare, edge % "sameType", edge % "odd")
+    good, bad = graphs.read_symbol_graphs(spark.createDataFrame([("M.symbols.json", text)], "file string, text string"))
+    one, two = graphs.read_symbols(good).orderBy("id").collect()
+    assert one.generics == ["A", "B"] and [tuple(c) for c in one.constraints] == [("A", "subclasses", None, "C"), ("B", None, None, "D")]
+    assert one.availability.general == "deprecated" and [tuple(p) for p in one.availability.platforms] == [("macOS", "available", "10.15")]
+    assert two.generics == two.constraints == two.extension_constraints == two.signature == [] and two.availability.general is None
+    assert [(r.relation, r.why, [tuple(c) for c in r.constraints]) for r in graphs.read_relationships(good).orderBy("pos").collect()] == [("conformer", None, [("A", "is", "s:3", "C")]), (None, "constraint", [("A", None, "s:3", "C")])]
+    assert bad.count() == 0
+
+
+def test_numbers_and_sets_of_a_large_module(spark):
+    vertices = spark.createDataFrame([(f"v{i}", 9 - i, 1, 1) for i in range(5)] + [("v0", 1, 2, 9), ("far", 20, 1, 7)], "id string, pos bigint, culture int, namespace int")
+    scopes = spark.createDataFrame([(1, 1), (2, 2), (2, 9)], "culture int, namespace int")
+    known = spark.createDataFrame([("v2", 1, 0), ("v3", 5, 1)], "id string, module int, idx bigint")
+    got = {r.id: (r.module, r.idx, r.status) for r in registry.register_symbols(vertices, scopes, known).collect()}
+    assert got == {"v0": (2, 2, "new"), "v4": (1, 3, "new"), "v1": (1, 4, "new"), "v2": (1, 0, "known"), "v3": (5, 1, "moved"), "far": (1, None, "colony")}
+    paths = spark.range(1000).select(F.lit(1).alias("culture"), F.col("id").alias("symbol"), F.array(F.lit("x")).alias("path")).union(spark.createDataFrame([(1, 7, ["x"]), (1, 2000, ["x", "y"])], "culture int, symbol bigint, path array<string>"))
+    none = spark.createDataFrame([], "culture int, article bigint")
+    sets = registry.module_sets(paths, spark.createDataFrame([(1, 5), (1, 3)], "module int, dep int"), none).collect()
+    assert sorted((r.member, r.rank) for r in sets if r.kind == "toplevel") == [(i, i + 1) for i in range(1000)]
+    assert sorted((r.member, r.rank) for r in sets if r.kind == "dependency") == [(3, 1), (5, 2)] and len(sets) == 1002
+
+
+def test_composites_by_belief(spark):
+    modules = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "module int, package int")
+    homes = spark.createDataFrame([(10, 1)], "symbol bigint, culture int")
+    natural = spark.createDataFrame([(5, 2, 4), (5, 6, 6)], "symbol bigint, lo int, hi int")
+    features = spark.createDataFrame([(10, 5, 1, "primary", 0, 3), (10, 5, 2, "accepted", 2, 2), (10, 5, 3, "opinion", 1, 1), (10, 5, 2, "opinion", 5, 5)], "host bigint, base bigint, culture int, belief string, lo int, hi int")
+    asked = [(5, 5, 1, v) for v in (1, 3, 5, 6)] + [(5, 10, 1, 3), (5, 10, 1, 4), (5, 10, 2, 2), (5, 10, 2, 5), (5, 10, 3, 1), (5, 10, 3, 1), (5, 11, 1, 1)]
+    got = registry.composite_exists(spark.createDataFrame(asked, "base bigint, host bigint, culture int, ver int"), natural, features, homes, modules).collect()
+    there = sorted((r.base, r.host, r.culture, r.ver) for r in got if r.exists)
+    assert there == [(5, 5, 1, 3), (5, 5, 1, 6), (5, 10, 1, 3), (5, 10, 2, 2), (5, 10, 3, 1), (5, 10, 3, 1)] and len(got) == len(asked)
