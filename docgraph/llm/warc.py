@@ -39,7 +39,7 @@ SHARD_BYTES = 1 << 30
 SHARDS_PER_PARTITION = 4
 #: Bytes of pages that a task sorts and packs, or of archives that one reads, at most on average.
 PARTITION_BYTES = 256 << 20
-BINS = 4096
+FEWEST_BINS = 16
 LEVEL = 6
 #: Fixed values of the records: the date of the archive and the text of the HTTP header.
 DATE = "2024-01-01T00:00:00Z"
@@ -51,27 +51,41 @@ RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest stri
 
 
 def range_cuts(sizes: DataFrame, target: int) -> np.ndarray:
-    """First ids of ranges with about ``target`` bytes each, from (page_id, size).
+    """First ids of ranges with about ``target`` bytes each, from (page_id, size); null ids count nowhere.
 
-    A histogram of BINS equal ranges of ids is refined where a bin is too heavy, until every bin is light or
-    one id wide; only histograms of heavy bins reach the driver, 4096 numbers for each.
+    A histogram of equal ranges of ids is refined where a bin is too heavy, until every bin is light or one id wide.
+    A range gets bins in proportion to its bytes, FEWEST_BINS at least, so that what reaches the driver grows with the
+    number of cuts; a row finds its bin by binary search in the open ranges, without a join.
     """
-    ends = sizes.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
+    spark = sizes.sparkSession
+    known = sizes.filter(F.col("page_id").isNotNull())
+    ends = known.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum("size").alias("size")).first()
     if ends["lo"] is None:
         return np.zeros(0, np.int64)
-    open_, light = [(int(ends["lo"]), int(ends["hi"]) + 1)], []
+    open_, light = [(int(ends["lo"]), int(ends["hi"]) + 1, int(ends["size"]))], []
     while open_:
-        ranges = [(i, lo, max(1, -(-(hi - lo) // BINS)), hi) for i, (lo, hi) in enumerate(open_)]
-        table = sizes.sparkSession.createDataFrame([(i, lo, w, hi - 1) for i, lo, w, hi in ranges], "i int, lo bigint, w bigint, last bigint")
-        inside = (F.col("page_id") >= F.col("lo")) & (F.col("page_id") <= F.col("last"))
-        bins = _with_range(sizes, ranges[0]) if len(ranges) == 1 else sizes.join(F.broadcast(table), inside)
+        counts = [max(FEWEST_BINS, -(-4 * size // target)) for _, _, size in open_]
+        widths = [max(1, -(-(hi - lo) // n)) for (lo, hi, _), n in zip(open_, counts)]
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in open_], np.int64), np.array([r[1] - 1 for r in open_], np.int64), np.array(widths, np.uint64), starts[:-1]))
+
+        @F.pandas_udf("bigint")
+        def bin_of(page_id: pd.Series) -> pd.Series:
+            low, last, width, start = sent.value
+            ids = page_id.to_numpy("int64")
+            at = np.searchsorted(low, ids, "right") - 1
+            inside = (at >= 0) & (ids <= last[at])
+            # unsigned differences: ids may span all of 64 bits
+            steps = (ids.astype(np.uint64) - low[at].astype(np.uint64)) // width[at]
+            return pd.Series(np.where(inside, start[at] + steps.astype(np.int64), -1))
+
         heavy = []
-        for r in bins.groupBy("i", F.expr("(page_id - lo) div w").alias("bin")).agg(F.sum("size").alias("size")).orderBy("i", "bin").collect():
-            _, lo, width, hi = ranges[r["i"]]
-            first = lo + int(r["bin"]) * width
-            last = min(first + width, hi)
+        for r in known.groupBy(bin_of("page_id").alias("bin")).agg(F.sum("size").alias("size")).filter("bin >= 0").orderBy("bin").collect():
+            i = int(np.searchsorted(starts, r["bin"], "right")) - 1
+            first = open_[i][0] + (r["bin"] - int(starts[i])) * widths[i]
+            last = min(first + widths[i], open_[i][1])
             (heavy if r["size"] > target and last - first > 1 else light).append((first, last, int(r["size"])))
-        open_ = [(a, b) for a, b, _ in heavy]
+        open_ = heavy
     cuts, held = [], target
     for first, _, size in sorted(light):
         if held + size > target:
@@ -81,10 +95,6 @@ def range_cuts(sizes: DataFrame, target: int) -> np.ndarray:
     return np.array(cuts, np.int64)
 
 
-def _with_range(sizes: DataFrame, r: tuple[int, int, int, int]) -> DataFrame:
-    return sizes.filter(F.col("page_id").isNotNull()).withColumns({"i": F.lit(0), "lo": F.lit(r[1]).cast("bigint"), "w": F.lit(r[2]).cast("bigint")})
-
-
 def _header(kind: str, page_id: int | None, again: int, url: str | None, digest: str, block: bytes, refers_to: int | None) -> bytes:
     def urn(i: int | None, n: int = 0) -> str:
         return f"<urn:page:{'none' if i is None else i}{f':{n}' if n else ''}>"
@@ -153,11 +163,13 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         return pd.Series(np.where(missing, len(sent.value) + spread.to_numpy() % n, at))
 
     shard = shard_of(F.col("page_id"), F.abs(F.xxhash64("digest") % 1_000_003))
+    # neighbouring shards share a task, as many in each; those without ids follow one by one
+    task = F.when(F.col("shard") < len(cuts), F.expr(f"shard * {n} div {max(1, len(cuts))}")).otherwise(F.col("shard") - len(cuts)).cast("int")
     groups = facts.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull())
     later = facts.join(groups, "digest").filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))).select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     rows = base.select("page_id", "digest", F.lit(1).alias("kind"), "url", F.col("payload").cast("binary").alias("payload"), F.lit(None).cast("bigint").alias("refers_to"))
     notes = later.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
-    dealt = rows.unionByName(notes).withColumn("shard", shard).repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind")
+    dealt = rows.unionByName(notes).withColumn("shard", shard).repartitionById(n, task).sortWithinPartitions("shard", "page_id", "digest", "kind")
     store, folder = _store(path)
     store.create_dir(f"{folder}/_temporary", recursive=True)
 

@@ -61,6 +61,22 @@ def brute_warc(rows):
     return sorted(out, key=repr)
 
 
+def test_warc_cuts_of_wide_and_heavy_ids(spark):
+    low, high = -(2**63), 2**63 - 1
+    ids = [low, low, high, high, 0, 7, 7, 7, 7] + list(range(1000, 1400)) + [2**40 + i * 2**20 for i in range(50)] + [None]
+    sizes = [(i, 10) for i in ids] + [(5, 900)]
+    got = warc.range_cuts(spark.createDataFrame(sizes, "page_id bigint, size bigint"), 100).tolist()
+    again = warc.range_cuts(spark.createDataFrame(sizes[::-1], "page_id bigint, size bigint").repartition(3), 100).tolist()
+    assert got == again == sorted(set(got)) and got[0] == low
+    known = [(i, n) for i, n in sizes if i is not None]
+    for first, last in zip(got, got[1:] + [2**63]):
+        held = [(i, n) for i, n in known if first <= i < last]
+        assert sum(n for _, n in held) <= 100 or len({i for i, _ in held}) == 1
+    assert len(got) <= 2 * sum(n for _, n in known) // 100
+    none = spark.createDataFrame([(None, 3)], "page_id bigint, size bigint")
+    assert warc.range_cuts(none, 5).tolist() == warc.range_cuts(none.limit(0), 5).tolist() == []
+
+
 def test_warc(spark):
     long = "<p>é" * 4000
     rows = [(5, long), (3, long), (9, long), (3, long), (None, long), (1, None), (2, ""), (4, "short"), (6, "short"), (10**15, "x" * 100), (-7, "x" * 100), (8, "x" * 99), (11, "x" * 99)]
