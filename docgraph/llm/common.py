@@ -79,6 +79,24 @@ def map_slices(df: DataFrame, column: str, step: Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame, by: list[str], how: str = "left_semi") -> DataFrame:
+    """``left`` joined with ``right`` (a row per key) on ``keys``, where a key may hold any share of ``left``.
+
+    ``sizes`` (keys, rows) is a stored table with the rows that ``left`` has of each key. A key with more than a
+    quarter of a mean task's rows is dealt over several tasks by a hash of the columns ``by``, and its row of
+    ``right`` goes to each of them. At most four keys for each shuffle partition are that large, whatever the
+    input, so they are broadcast. Nulls join nothing.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    share = max(1.0, total / (4 * n))
+    hot = F.broadcast(sizes.filter(F.col("rows") > share).select(*keys, F.ceil(F.col("rows") / F.lit(share)).cast("int").alias("_parts")))
+    many = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*by), many).cast("int")).drop("_parts")
+    copied = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_parts")
+    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+
+
 def text_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under the names doc_id and text; a null text becomes empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import SPACE, Hasher, drop_stored, map_slices, mix, small_batches, stored, text_bytes, word_spans
+from docgraph.llm.common import SPACE, Hasher, drop_stored, map_slices, mix, small_batches, spread_join, stored, text_bytes, word_spans
 
 LENGTH = 400
 GRAM = 128
@@ -278,10 +278,12 @@ def decide_hot(parts: DataFrame, length: int) -> DataFrame:
     found = None
     for width in CELLS:
         cut = stored(cells(parts, width, length), "cells")
-        whole = cut.groupBy("ck", "uk").agg(F.count(F.lit(1)).alias("same"))
-        common = whole.groupBy("ck").agg(F.sum("same").alias("total")).filter(F.col("total") > 1)
-        known = whole.join(common, "ck").select(F.col("ck").alias("_ck"), F.col("uk").alias("_uk"), "same")
-        alive = stored(cut.join(known, (F.col("ck") == F.col("_ck")) & (F.col("uk") == F.col("_uk"))).select("kh", "row_key", "open", "at", "lo", "hi", "raw", "same"), "cells")
+        whole = stored(cut.groupBy("ck", "uk").agg(F.count(F.lit(1)).alias("rows")), "cell-counts")
+        common = stored(whole.groupBy("ck").agg(F.count(F.lit(1)).alias("rows"), F.sum("rows").alias("total")).filter(F.col("total") > 1), "cell-counts")
+        known = stored(spread_join(whole, common.select("ck"), ["ck"], common, ["uk"]), "cell-counts")
+        alive = spread_join(cut, known.select("ck", "uk", F.col("rows").alias("same")), ["ck", "uk"], known, ["row_key", "lo"], "inner")
+        alive = stored(alive.select("kh", "row_key", "open", "at", "lo", "hi", "raw", "same"), "cells")
+        drop_stored(cut)
         done = alive.filter((F.col("same") > 1) & F.col("open")).select("row_key", "lo", "hi")
         found = done if found is None else found.unionByName(done)
         # a settled range stays as a partner of open ones, once
@@ -348,17 +350,15 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int, hot: int, words: i
     """Ranges of window starts that occur twice in the corpus: (row_key, lo, hi) in bytes and (row_key, lo, n) in words."""
     rows = stored(anchor_rows(keyed.filter(F.octet_length("text") >= length), length, gram), "anchors")
     own = stored(rows.filter(F.col("n") == 0).select("row_key", "lo", "hi"), "own-repeats")
-    near, kinds, asked = _shared(rows.filter(F.col("n") > 0), "n", F.struct("row_key", "lo", "hi", "at"))
+    whole, asked = _shared(rows.filter(F.col("n") > 0), "n", F.struct("row_key", "lo", "hi", "at"))
     drop_stored(rows)
-    twice = kinds.filter(F.col("same") > 1).select("kh", "uh")
-    whole = near.join(twice, ["kh", "uh"], "left_semi").select("row_key", "lo", "hi")
+    whole = whole.select("row_key", "lo", "hi")
     asked = asked.select("kh", "one.row_key", "one.lo", "one.hi", "one.at", "open", "ranges", F.col("one.lo").alias("begin"), (F.col("one.hi") + length).alias("end"), F.lit(True).alias("bytes"))
 
     spoken = stored(passage_rows(keyed, words, PASSAGE_GRAM), "passages")
-    near_w, kinds_w, asked_w = _shared(spoken.withColumn("n", F.lit(1)), "n", F.struct("row_key", "lo", "begin", "end"))
+    said, asked_w = _shared(spoken.withColumn("n", F.lit(1)), "n", F.struct("row_key", "lo", "begin", "end"))
     drop_stored(spoken)
-    twice_w = kinds_w.filter(F.col("same") > 1).select("kh", "uh")
-    said = near_w.join(twice_w, ["kh", "uh"], "left_semi").select("row_key", "begin", "end", "lo")
+    said = said.select("row_key", "begin", "end", "lo")
     asked_w = asked_w.select("kh", "one.row_key", "one.lo", F.lit(0).alias("hi"), F.lit(0).alias("at"), "open", F.lit(0).cast("bigint").alias("ranges"), "one.begin", "one.end", F.lit(False).alias("bytes"))
 
     # the bytes of both kinds, by one join with the texts
@@ -372,19 +372,24 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int, hot: int, words: i
         found = found.unionByName(decide_hot(crowded, length))
 
     windows = stored(passage_windows(fragments.filter("not bytes").select("row_key", "lo", "open", "raw"), words), "passage-windows")
-    again = windows.groupBy("h").count().filter(F.col("count") > 1).select("h")
-    single = windows.filter("open").join(again, "h", "left_semi").select("row_key", "lo", F.lit(0).alias("begin"), F.lit(0).alias("end"))
+    again = stored(windows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1), "repeated-windows")
+    single = spread_join(windows.filter("open"), again.select("h"), ["h"], again, ["row_key", "lo"]).select("row_key", "lo", F.lit(0).alias("begin"), F.lit(0).alias("end"))
     return found, single.unionByName(said)
 
 
-def _shared(marks: DataFrame, n: str, one: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(marks of owners that occur twice; their kinds (kh, uh, same, one); of owners with open kinds, one row each)."""
-    shared = marks.groupBy("kh").agg(F.sum(n).alias("total")).filter(F.col("total") > 1).select("kh")
-    near = stored(marks.join(shared, "kh", "left_semi"), "shared-anchors")
-    kinds = stored(near.groupBy("kh", "uh").agg(F.sum(n).alias("same"), F.min(one).alias("one")), "ranges")
-    owners = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("ranges"), F.sum((F.col("same") == 1).cast("int")).alias("unsure")).filter((F.col("unsure") > 0) & (F.col("ranges") > 1))
-    asked = kinds.join(owners.select("kh", "ranges"), "kh").select("kh", "one", (F.col("same") == 1).alias("open"), "ranges")
-    return near, kinds, asked
+def _shared(marks: DataFrame, n: str, one: Column) -> tuple[DataFrame, DataFrame]:
+    """(marks whose range occurs twice; one row for each kind of range of owners with ranges that occur once).
+
+    A common owner or range may hold any share of the marks: counts are combined before they are shuffled, and
+    joins with the marks deal such keys over many tasks."""
+    owners = stored(marks.groupBy("kh").agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("rows")).filter(F.col("total") > 1), "owners")
+    near = stored(spread_join(marks, owners.select("kh"), ["kh"], owners, ["row_key", "lo"]), "shared-anchors")
+    kinds = stored(near.groupBy("kh", "uh").agg(F.sum(n).alias("same"), F.count(F.lit(1)).alias("rows"), F.min(one).alias("one")), "ranges")
+    twice = kinds.filter(F.col("same") > 1)
+    whole = spread_join(near, twice.select("kh", "uh"), ["kh", "uh"], twice, ["row_key", "lo"])
+    ranges = stored(kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("same") == 1).cast("int")).alias("unsure")).filter((F.col("unsure") > 0) & (F.col("rows") > 1)), "open-owners")
+    asked = spread_join(kinds.drop("rows"), ranges.select("kh", F.col("rows").alias("ranges")), ["kh"], ranges, ["uh"], "inner")
+    return whole, asked.select("kh", "one", (F.col("same") == 1).alias("open"), "ranges")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, words: int = PASSAGE_WORDS) -> DataFrame:
