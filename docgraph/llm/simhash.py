@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import map_slices, small_batches, stored
+from docgraph.llm.common import map_slices, small_batches, spread_join, stored
 
 BITS = 64
 SEED = 42
@@ -302,9 +302,18 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def distinct_fingerprints(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A stored table with fp, least_id (the smallest id that has it) and rows (how many of ``marked`` do)."""
+    return stored(marked.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("rows")), "fingerprints")
+
+
 def components(marked: DataFrame, radius: int, id_col: str = "doc_id", hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint; component_id is the smallest id in its component."""
-    nodes = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")), "fingerprints")
+    return named_components(distinct_fingerprints(marked, id_col), radius, hot_bucket)
+
+
+def named_components(nodes: DataFrame, radius: int, hot_bucket: int) -> DataFrame:
+    """(fp, component_id) of the rows of ``distinct_fingerprints``."""
     roots = connected(links(nodes, radius, hot_bucket))
     linked = nodes.join(roots, nodes["fp"] == roots["id"]).select("fp", "root", "least_id")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -316,8 +325,10 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = stored(fingerprints(slim, words, ["doc_id"]), "simhash")
-    found = components(marked, radius, "doc_id", hot_bucket)
-    return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = distinct_fingerprints(marked)
+    found = named_components(nodes, radius, hot_bucket)
+    # a fingerprint may hold any share of the rows: its rows are dealt by their ids
+    return spread_join(marked, found, ["fp"], nodes, ["doc_id"], "inner").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
