@@ -258,7 +258,8 @@ def components(docs: DataFrame, words: int, similarity: float, hot_bucket: int =
     pairs = stored(candidates(rows, similarity), "candidates")
     # every node with a candidate is in the forests
     open_ = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = marked.join(open_, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    # a shingle set may hold any share of the rows: they are combined before the join
+    asked = marked.groupBy("node").agg(F.min("row_key").alias("row_key")).join(open_, "node", "left_semi")
     texts = docs.select("row_key", "text").join(asked, "row_key").select("node", "text")
     sets = stored(whole_sets(texts, words), "shingle-sets")
     links = stored(verified(pairs, sets, similarity), "near-copies")
