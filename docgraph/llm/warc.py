@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgraph.llm.common import fresh_path, small_batches, stored
+from docgraph.llm.common import fresh_path, small_batches, spread_join, stored
 
 MIN_REVISIT = 100
 ROLL_BYTES = 256 << 20
@@ -165,8 +165,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     shard = shard_of(F.col("page_id"), F.abs(F.xxhash64("digest") % 1_000_003))
     # neighbouring shards share a task, as many in each; those without ids follow one by one
     task = F.when(F.col("shard") < len(cuts), F.expr(f"shard * {n} div {max(1, len(cuts))}")).otherwise(F.col("shard") - len(cuts)).cast("int")
-    groups = facts.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull())
-    later = facts.join(groups, "digest").filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))).select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    groups = facts.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter((F.col("rows") > 1) & F.col("first").isNotNull())
+    groups = stored(groups, "warc-digests")
+    # any share of the pages may have one payload: such pages are dealt by their ids
+    later = spread_join(facts, groups.select("digest", "first"), ["digest"], groups, ["page_id"], "inner").filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))).select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     rows = base.select("page_id", "digest", F.lit(1).alias("kind"), "url", F.col("payload").cast("binary").alias("payload"), F.lit(None).cast("bigint").alias("refers_to"))
     notes = later.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
     dealt = rows.unionByName(notes).withColumn("shard", shard).repartitionById(n, task).sortWithinPartitions("shard", "page_id", "digest", "kind")
