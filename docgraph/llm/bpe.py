@@ -212,7 +212,7 @@ def tokenizer(path: str) -> str:
         return f.read()
 
 
-def _bpe(name: str, description: str) -> Bpe:
+def loaded(name: str, description: str) -> Bpe:
     """One instance a worker process, so that what it remembers lasts over tasks."""
     if name not in _loaded:
         _loaded.clear()
@@ -227,7 +227,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = _bpe(path, sent.value)
+        bpe = loaded(path, sent.value)
         got = [bpe.digest(t) for t in part.column("text").to_pylist()]
         n, ids, text = zip(*got)
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     names = [f.name for f in fields]
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = _bpe(path, sent.value)
+        bpe = loaded(path, sent.value)
         ids = [bpe.encode(t) for t in part.column(text_col).to_pylist()]
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
@@ -260,7 +260,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", to: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bpe = _bpe(path, sent.value)
+            bpe = loaded(path, sent.value)
             texts = [None if ids is None else bpe.decode(ids) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
 

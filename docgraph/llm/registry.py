@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import bpe, decontaminate, pages_cut, pii, quality_fm, quality_rules, secrets, simhash, suffix_dedup, warc
+from docgraph.llm import bpe, chat_parts, decontaminate, pages_cut, periodic, pii, quality_fm, quality_rules, secrets, simhash, spelling, suffix_dedup, warc
 
 #: The vocabulary file of op9 among the public tokenizers of the box.
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,6 +58,42 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: The conversation that op11 adds to the table: its texts consist of another template's control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    turns = chat_parts.format_turns(chat_parts.text_parts(rows.unionByName(more)))
+    return chat_parts.digests(chat_parts.read_back(turns))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one document in ten repeats a stretch of its words up to its end, as op12's contract says."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.select("doc_id", "text", h.alias("h"))
+    listed = chosen.filter("h % 10 = 0").select("doc_id", words.alias("w"), F.expr("h div 10").alias("g"))
+    cut = listed.select("*", F.size("w").alias("n")).filter("n > 0").select("doc_id", "w", "n", "g", F.expr("cast(g % n as int)").alias("a"))
+    period = cut.select("*", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)").alias("p"))
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)"
+    return chosen.filter(r"h % 10 <> 0 or coalesce(text, '') not rlike '[^\\x20\\x09-\\x0D]'").select("doc_id", "text").unionByName(period.select("doc_id", F.expr(f"array_join(concat(slice(w, 1, a), {tail}), ' ')").alias("text")))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_repeats(_table(spark, sf_dir, "documents")))
+    # greatest length / period by cross products; runs are in order of start and period, the first of equals stays
+    best = F.expr("aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (m, r) -> if(m is null or r.length * m.period > m.length * r.period, r, m))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digests = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.concat(lines, F.when(F.size("runs") > 0, "\n").otherwise("")).alias("lines"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return digests.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -69,6 +105,9 @@ QUERIES = {
     "op8_extract": op8_extract,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
+    "op11_chat": op11_chat,
+    "op12_periodic": op12_periodic,
+    "op13_spelling": op13_spelling,
 }
 
 OP3_SQL = r"""
@@ -111,4 +150,22 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLES = {"op1_warc": OP1_SQL, "op3_quality_rules": OP3_SQL}
+#: The formatted length counts the three marks of a turn and one backslash for each control string.
+OP11_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(r) + length(t) + length('<|turn|><|says|><|end|>')
+    + len(regexp_extract_all(r, '<\\*(\||s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\])'))
+    + len(regexp_extract_all(t, '<\\*(\||s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\])')) AS chars FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES = {"op1_warc": OP1_SQL, "op3_quality_rules": OP3_SQL, "op11_chat": OP11_SQL}
