@@ -182,7 +182,7 @@ def spelled(seed, n_docs=60):
 
 @pytest.mark.parametrize("most", [10_000, 8])
 def test_spelling_equals_brute_force(spark, most):
-    rows = spelled(most) + [(None, "aaaaaa aaaaaab-aaaaaa"), (3, None), (3, ""), (4, "1 2 3"), (4, "1 2 3")]
+    rows = spelled(most) + [(9, "chaina " * 9 + "chainab " * 60 + "chainabc " * 400), (None, "aaaaaa aaaaaab-aaaaaa"), (3, None), (3, ""), (4, "1 2 3"), (4, "1 2 3")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'c' as word", "1 as n", "'c' as state")
     got = sorted((tuple(x) for x in spelling.spelling_groups(docs, most=most).collect()), key=repr)
     want = brute_spelling(rows)
