@@ -78,6 +78,33 @@ def symbol_link(component: str | None) -> tuple[list[str], str, str | None]:
     return [component], "/", None
 
 
+def link_path(components: list[str] | None) -> tuple[list[str], list[str], str, str | None] | None:
+    """(names, written names, orientation, suffix of the last) of a link's components; null if one cannot be read.
+
+    A component with a dot inside is two names; what follows a hyphen is not part of a name, but of the written one.
+    """
+    names: list[str] = []
+    written: list[str] = []
+    orientation, suffix = "/", None
+    for component in [] if components is None else components:
+        segments, orientation, suffix = symbol_link(component)
+        if not segments:
+            return None
+        names += segments
+        written += [*segments[:-1], segments[-1] + ("" if suffix is None else "-" + suffix)]
+    return names, written, orientation, suffix
+
+
+_PATH = T.StructType([T.StructField("names", T.ArrayType(T.StringType())), T.StructField("written", T.ArrayType(T.StringType())), T.StructField("orientation", T.StringType()), T.StructField("suffix", T.StringType())])
+
+
+@F.pandas_udf(_PATH)
+def parse_link_path(components: pd.Series) -> pd.DataFrame:
+    """``link_path`` of arrays of components; a path that cannot be read has null names."""
+    got = [link_path(c) or (None, None, None, None) for c in components]
+    return pd.DataFrame(got, columns=["names", "written", "orientation", "suffix"])
+
+
 @F.pandas_udf(T.StructType([T.StructField("segments", T.ArrayType(T.StringType())), T.StructField("orientation", T.StringType()), T.StructField("suffix", T.StringType())]))
 def parse_symbol_link(component: pd.Series) -> pd.DataFrame:
     """One row per component, by compiled patterns over Arrow batches."""

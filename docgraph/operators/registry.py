@@ -104,30 +104,3 @@ def composite_exists(composites: DataFrame, natural: DataFrame, features: DataFr
     inherited = sides.join(features, ["host", "base", "culture", "belief"]).filter(during).select(*keys)
     there = own.unionByName(inherited).distinct().withColumn("there", F.lit(True))
     return composites.join(there, keys, "left").select(*keys, F.coalesce("there", F.lit(False)).alias("exists"))
-
-
-def resolve_requests(requests: DataFrame, modules: DataFrame, packages: DataFrame, routes: DataFrame, root: str = "reference") -> DataFrame:
-    """(request, kind, module, target): requests (request, components) as module, symbol, choices or none.
-
-    After the root come an optional community package, then the module; without a package the standard and
-    core modules are meant. What is left is a path: the last component may hang on a dot.
-    """
-    owner = modules.join(packages.select("package", F.col("name").alias("package_name"), "rank"), "package").select("module", F.lower("name").alias("module_name"), F.when(F.col("rank") == 2, F.col("package_name")).alias("shown"))
-    c = F.transform("components", F.lower)
-    named = requests.filter(F.try_element_at(c, F.lit(1)) == root)
-    with_package = named.select("request", F.try_element_at(c, F.lit(2)).alias("shown"), F.try_element_at(c, F.lit(3)).alias("module_name"), F.slice(c, F.lit(4), F.greatest(F.size(c) - 3, F.lit(0))).alias("rest"))
-    without = named.select("request", F.lit(None).cast("string").alias("shown"), F.try_element_at(c, F.lit(2)).alias("module_name"), F.slice(c, F.lit(3), F.greatest(F.size(c) - 2, F.lit(0))).alias("rest"))
-    asked = with_package.unionByName(without)
-    found = asked.join(owner.withColumnRenamed("shown", "_shown"), "module_name").filter(F.col("shown").eqNullSafe(F.col("_shown"))).select("request", "module", "rest")
-    last = F.element_at("rest", -1)
-    dotted = F.split(last, r"\.", 2)
-    prefix = F.slice("rest", F.lit(1), F.size("rest") - 1)
-    paths = found.filter(F.size("rest") > 0).select("request", "module", F.explode(F.array(
-        F.struct(F.array_join(prefix, "\t").alias("stem"), last.alias("leaf")),
-        F.struct(F.array_join(F.concat(prefix, F.array(dotted[0])), "\t").alias("stem"), F.try_element_at(dotted, F.lit(2)).alias("leaf")),
-    )).alias("k")).select("request", "module", "k.stem", "k.leaf").filter("leaf IS NOT NULL")
-    hits = paths.join(routes.select(F.col("namespace").alias("module"), "stem", "leaf", "base"), ["module", "stem", "leaf"]).groupBy("request").agg(F.countDistinct("base").alias("n"), F.min("base").alias("base"))
-    own = found.groupBy("request").agg(F.min("module").alias("module"), F.min(F.size("rest")).alias("left"))
-    joined = requests.select("request").join(own, "request", "left").join(hits, "request", "left")
-    kind = F.when(F.col("n") == 1, "symbol").when(F.col("n") > 1, "choices").when(F.col("left") == 0, "module").otherwise("none")
-    return joined.select("request", kind.alias("kind"), F.when(kind != "none", F.col("module")).alias("module"), F.when(F.col("n") == 1, F.col("base")).alias("target"))

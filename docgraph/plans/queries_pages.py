@@ -9,7 +9,7 @@ from docgraph.functions.identity import classify_fragments
 from docgraph.operators import links, pages, routes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
-from docgraph.plans.queries_core import _FACT_TABLES, BELIEFS, KEYFRAMES, SCOPES, _beliefs, _history, _scopes
+from docgraph.plans.queries_core import _FACT_TABLES, BELIEFS, SCOPES, _beliefs, _scopes
 from docgraph.plans.queries_routes import DEPTHS, NATURAL, PATHS, SYNTHETIC, _paths, _routes
 from docgraph.plans.registry import query
 
@@ -163,11 +163,3 @@ def resolve_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = part.count()
     q = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_custkey") % n).alias("p_partkey")).join(part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("id")), "p_partkey", "left").select("query", "id")
     return links.resolve_by_rank(q, s, A.packages(spark, sf_dir).filter("package < 3").select("package", F.col("package").alias("rank")))
-
-
-@query(with_tables("symbols", "observations", then=KEYFRAMES + ", " + PATHS + ", " + NATURAL + """, single AS (SELECT namespace, stem, leaf, orientation, min(base) AS base FROM natural_routes GROUP BY ALL HAVING count(DISTINCT (base, host)) = 1)
- SELECT r.base AS request, o.base, max(k.hi)::INT AS ver FROM natural_routes r JOIN single o USING (namespace, stem, leaf, orientation) JOIN keyframes k ON k.entity = o.base GROUP BY r.base, o.base"""))
-def select_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = routes.natural_routes(_paths(spark, sf_dir))
-    standing = _history(spark, sf_dir).select(F.col("entity").alias("base"), "lo", "hi")
-    return links.select_historical(r.select(F.col("base").alias("request"), "namespace", "stem", "leaf", "orientation"), r, standing)

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions import versions as V
 from docgraph.functions.availability import availability_labels as labels
 from docgraph.functions.availability import lower_availability as lowered
-from docgraph.functions.storage import shared_dir
 from docgraph.operators import docs, facts, packages, registry, routes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import _FACT_TABLES, _MASKS, KEYFRAMES, SCOPES, STATEMENTS, TRAITS, _history, _scopes, _statements
 from docgraph.plans.queries_pages import URIS
-from docgraph.plans.queries_routes import NATURAL, PATHS, _paths, _routes
+from docgraph.plans.queries_routes import PATHS, _paths, _routes
 from docgraph.plans.registry import query
 
 _VERTICES = "vertices AS (SELECT name AS id, culture, namespace, symbol AS pos FROM symbols), known AS (SELECT name AS id, min(culture) AS module, row_number() OVER (ORDER BY name) - 1 AS idx FROM symbols WHERE symbol % 4 = 0 GROUP BY name)"
@@ -153,41 +150,3 @@ def expand_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.doc_inheritance(c).select("symbol", "target")
     text = c.select(F.col("symbol").alias("target"), F.length("comment").cast("bigint").alias("theirs"))
     return c.select("symbol", F.length("comment").cast("bigint").alias("own")).join(found, "symbol", "left").join(text, "target", "left").select("symbol", F.coalesce("own", "theirs").alias("length"))
-
-
-REQUESTS = with_tables("packages", "modules", "symbols", then=PATHS + ", " + NATURAL + """, r AS (SELECT n.base, n.namespace, n.stem, n.leaf, count(*) OVER (PARTITION BY namespace, stem, leaf) AS n FROM natural_routes n),
- q AS (SELECT base AS request, CASE base % 4 WHEN 0 THEN 'module' WHEN 1 THEN 'none' ELSE CASE WHEN n > 1 THEN 'choices' ELSE 'symbol' END END AS kind, namespace, n FROM r)
- SELECT request, kind, CASE WHEN kind <> 'none' THEN namespace END AS module, CASE WHEN kind = 'symbol' THEN request END AS target FROM q""")
-
-
-def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(requests, modules, packages, routes): a URL for every symbol, some for modules, some that lead nowhere."""
-    p, m, k = _paths(spark, sf_dir), A.modules(spark, sf_dir), A.packages(spark, sf_dir)
-    owner = m.join(k.select("package", F.col("name").alias("package_name"), "rank"), "package").select(F.col("module").alias("namespace"), F.col("name").alias("module_name"), F.when(F.col("rank") == 2, F.col("package_name")).alias("shown"))
-    r = routes.natural_routes(p)
-    head = F.array_compact(F.array(F.lit("reference"), "shown", "module_name"))
-    stem = F.when(F.col("stem") == "", F.array().cast("array<string>")).otherwise(F.split("stem", "\t"))
-    dotted = (F.col("orientation") == ".") & (F.col("stem") != "")
-    tail = F.when(dotted, F.concat(F.slice(stem, F.lit(1), F.size(stem) - 1), F.array(F.concat(F.element_at(stem, -1), F.lit("."), F.col("leaf"))))).otherwise(F.concat(stem, F.array("leaf")))
-    parts = F.when(F.col("base") % 4 == 0, head).when(F.col("base") % 4 == 1, F.concat(F.array(F.lit("elsewhere")), tail)).otherwise(F.concat(head, tail))
-    return r.join(owner, "namespace").select(F.col("base").alias("request"), parts.alias("components")), m, k, r
-
-
-@query(REQUESTS)
-def resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.resolve_requests(*_requests(spark, sf_dir))
-
-
-@query(REQUESTS)
-def stream_resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of request files against the static route tables; a batch that runs again writes its folder again."""
-    base = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
-    requests, modules, packages, table = _requests(spark, sf_dir)
-    requests.repartition(3).write.parquet(f"{base}/in")
-
-    def resolve(batch: DataFrame, number: int) -> None:
-        registry.resolve_requests(batch, modules, packages, table).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-
-    stream = spark.readStream.schema("request bigint, components array<string>").option("maxFilesPerTrigger", 1).parquet(f"{base}/in").writeStream.foreachBatch(resolve).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("request", "kind", "module", "target")

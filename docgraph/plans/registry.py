@@ -22,4 +22,4 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
-from docgraph.plans import queries_core, queries_names, queries_pages, queries_registry, queries_routes, queries_sources, queries_vertices  # noqa: E402, F401
+from docgraph.plans import queries_core, queries_names, queries_pages, queries_registry, queries_requests, queries_routes, queries_sources, queries_vertices  # noqa: E402, F401
