@@ -36,16 +36,22 @@ def union_dependencies(modules: DataFrame, deps: DataFrame) -> DataFrame:
     return inside.filter(F.col("package") == F.col("_p")).select("package", "dep").distinct()
 
 
+def module_set_members(paths: DataFrame, deps: DataFrame, articles: DataFrame) -> DataFrame:
+    """(module, kind, member), each once: kind is dependency (modules it depends on), toplevel (symbols without a parent) or
+    guide (its articles, where it has any). Members have any type, those of all kinds the same."""
+    top = paths.filter(F.size("path") == 1).select(F.col("culture").alias("module"), F.lit("toplevel").alias("kind"), F.col("symbol").alias("member"))
+    needs = deps.select("module", F.lit("dependency").alias("kind"), F.col("dep").alias("member"))
+    guides = articles.select(F.col("culture").alias("module"), F.lit("guide").alias("kind"), F.col("article").alias("member"))
+    return top.unionByName(needs).unionByName(guides).distinct()
+
+
 def module_sets(paths: DataFrame, deps: DataFrame, articles: DataFrame) -> DataFrame:
     """(module, kind, member, rank): what belongs to a module, in long form, so that no task holds a module's set.
 
-    kind is dependency (modules it depends on), toplevel (symbols without a parent) or guide (its articles, where it has
-    any); rank counts from 1 by member within a module and kind. Repeated members count once.
+    rank counts from 1 by member within a module and kind. A history of the sets is one of their members: a set at a
+    version has the members whose keyframes cover it (``HistoryStore`` with module, kind and member as the entity).
     """
-    top = paths.filter(F.size("path") == 1).select(F.col("culture").alias("module"), F.lit("toplevel").alias("kind"), F.col("symbol").cast("bigint").alias("member"))
-    needs = deps.select("module", F.lit("dependency").alias("kind"), F.col("dep").cast("bigint").alias("member"))
-    guides = articles.select(F.col("culture").alias("module"), F.lit("guide").alias("kind"), F.col("article").cast("bigint").alias("member"))
-    return ranked_within(top.unionByName(needs).unionByName(guides).distinct(), ["module", "kind"], "member")
+    return ranked_within(module_set_members(paths, deps, articles), ["module", "kind"], "member")
 
 
 def sort_roles(roles: DataFrame, paths: DataFrame) -> DataFrame:

@@ -39,6 +39,15 @@ def versions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.versions_of(_history(spark, sf_dir), ["entity"])
 
 
+@query(with_tables("modules", "observations", then="""o AS (SELECT DISTINCT entity // 3 AS host, (entity % 25)::INT AS culture, ver FROM observations),
+ abroad AS (SELECT o.* FROM o JOIN modules a ON a.module = culture JOIN modules b ON b.module = host % 25 WHERE a.package <> b.package)
+ SELECT host, culture, min(ver) AS lo, max(ver) AS hi FROM (SELECT *, ver - row_number() OVER (PARTITION BY host, culture ORDER BY ver) AS island FROM abroad) GROUP BY host, culture, island"""))
+def pollen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _history(spark, sf_dir).select(F.expr("entity div 3").alias("host"), (F.col("entity") % 25).cast("int").alias("culture"), "lo", "hi")
+    homes = h.select(F.col("host").alias("symbol"), (F.col("host") % 25).cast("int").alias("culture")).distinct()
+    return history.pollen(h, homes, A.modules(spark, sf_dir))
+
+
 @query(with_tables("observations", then="SELECT entity, arg_max(value, ver) AS value, max(ver)::INT AS hi FROM observations GROUP BY entity"))
 def current_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.latest(_history(spark, sf_dir), ["entity"]).select("entity", "value", "hi")

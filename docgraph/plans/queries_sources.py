@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions.availability import availability_labels
-from docgraph.functions.storage import shared_dir
+from docgraph.functions.storage import shared_dir, stored
+from docgraph.operators import routes
+from docgraph.operators.registry import module_set_members as module_sets_of
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import KEYFRAMES
+from docgraph.plans.queries_routes import PATHS
 from docgraph.plans.registry import query
 from docgraph.sources import graphs as G
+from docgraph.sources.tables import GraphStore, HistoryStore
 from docgraph.streaming.history import stream_push_history as fold_stream
 
 
@@ -134,20 +138,71 @@ def read_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.read_articles(files).select("name", F.length(F.regexp_replace("text", r"^@path\(old\)\n@path\([^)]*\)\n", "")).cast("bigint").alias("length"))
 
 
-@query(with_tables("symbols", then="SELECT namespace AS package, count(*) AS rows FROM symbols WHERE namespace % 2 = 1 GROUP BY namespace"))
+#: Every namespace is a package of two versions; the second has two symbols of three.
+_COMPILED = """v AS (SELECT s.*, unnest(CASE WHEN symbol % 3 = 0 THEN ['1.0'] ELSE ['1.0', '1.1'] END) AS version FROM symbols s),
+ rows AS (SELECT 'vertex' AS kind, namespace AS package, version, symbol AS a, name AS b FROM v
+   UNION ALL SELECT 'edge', namespace, version, e.source, e.relation || ' ' || e.target || ' ' || e.pos FROM v JOIN edges e ON e.source = v.symbol)"""
+
+
+def _compile(spark: SparkSession, sf_dir: str, packages: DataFrame) -> dict[str, DataFrame]:
+    """The vertices and edges of packages (package, version)."""
+    version = F.explode(F.when(F.col("symbol") % 3 == 0, F.array(F.lit("1.0"))).otherwise(F.array(F.lit("1.0"), F.lit("1.1"))))
+    vertices = A.symbols(spark, sf_dir).select("symbol", "name", F.col("namespace").alias("package"), version.alias("version")).join(packages, ["package", "version"], "left_semi")
+    edges = A.edges(spark, sf_dir).drop("constraints").join(vertices.select(F.col("symbol").alias("source"), "package", "version"), "source")
+    return {"vertices": vertices, "edges": edges}
+
+
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.symbols(spark, sf_dir).select(F.col("namespace").alias("package")).distinct().select("package", F.explode(F.array(F.lit("1.0"), F.lit("1.1"))).alias("version"))
+
+
+@query(with_tables("symbols", "edges", then=_COMPILED + " SELECT kind, package, version, count(*) AS rows, package % 2 = 0 AND version = '1.0' AS before FROM rows GROUP BY kind, package, version"))
 def write_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.symbols(spark, sf_dir).select("symbol", "name", F.col("namespace").alias("package"), F.lit("1.0").alias("version"))
-    path = _folder(spark, "graphs")
-    G.write_graph(rows.filter("package % 2 = 0"), path)
-    have = spark.read.parquet(path).select(F.col("package").cast("int").alias("package"), F.lit("1.0").alias("version")).distinct()
-    return G.missing_graphs(rows, have).groupBy("package").agg(F.count(F.lit(1)).alias("rows"))
+    """Half of the packages compiled first, then what is missing; ``before`` tells which were there after the first commit."""
+    store = GraphStore(spark, _folder(spark, "graphs"))
+    wanted = _wanted(spark, sf_dir)
+    store.ensure(wanted.filter("package % 2 = 0 and version = '1.0'"), lambda p: _compile(spark, sf_dir, p))
+    first = store.compiled().withColumn("before", F.lit(True)).drop("piece")
+    store.ensure(wanted, lambda p: _compile(spark, sf_dir, p))
+    rows = store.read("vertices").select(F.lit("vertex").alias("kind"), "package", "version").unionByName(store.read("edges").select(F.lit("edge").alias("kind"), "package", "version"))
+    return rows.groupBy("kind", "package", "version").agg(F.count(F.lit(1)).alias("rows")).join(first, ["package", "version"], "left").withColumn("before", F.coalesce("before", F.lit(False)))
 
 
-@query(with_tables("symbols", then="SELECT symbol, name, namespace AS package FROM symbols"))
+@query(with_tables("symbols", "edges", then=_COMPILED + " SELECT kind, package, version, a, b FROM rows"))
 def read_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "graphs")
-    G.write_graph(A.symbols(spark, sf_dir).select("symbol", "name", F.col("namespace").alias("package"), F.lit("1.0").alias("version")), path)
-    return G.read_graph(spark, path, "symbol bigint, name string, package int, version string").filter("version = '1.0'").select("symbol", "name", "package")
+    """All packages compiled, some of them again, and read back."""
+    store = GraphStore(spark, _folder(spark, "graphs"))
+    wanted = _wanted(spark, sf_dir)
+    store.ensure(wanted, lambda p: _compile(spark, sf_dir, p))
+    again = wanted.filter("package % 5 = 0")
+    store.write(_compile(spark, sf_dir, again), again)
+    vertices = store.read("vertices").select(F.lit("vertex").alias("kind"), "package", "version", F.col("symbol").alias("a"), F.col("name").alias("b"))
+    return vertices.unionByName(store.read("edges").select(F.lit("edge").alias("kind"), "package", "version", F.col("source").alias("a"), F.concat_ws(" ", "relation", "target", "pos").alias("b")))
+
+
+@query(with_tables("observations", then=KEYFRAMES + " SELECT entity, lo, hi, value FROM keyframes"))
+def merge_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations pushed a few versions at a time into a stored history."""
+    store = HistoryStore(spark, _folder(spark, "history"), ["entity"])
+    seen = A.observations(spark, sf_dir)
+    for a, b in ((0, 5), (5, 6), (6, 7), (7, 18), (18, 1000)):
+        store.push(seen.filter((F.col("ver") >= a) & (F.col("ver") < b)))
+    return store.keyframes().select("entity", "lo", "hi", "value")
+
+
+@query(with_tables("modules", "module_deps", "symbols", then=PATHS + """, sets AS (SELECT culture AS module, 'toplevel' AS kind, symbol AS member FROM paths WHERE len(path) = 1
+   UNION SELECT module, 'dependency', dep FROM module_deps UNION SELECT doc_id % 25, 'guide', doc_id FROM documents),
+ held_at AS (SELECT DISTINCT module, kind, member, v FROM sets, (SELECT unnest(range(12)) AS v) WHERE (member * 7 + v // 3 * 5) % 4 > 0)
+ SELECT module::INT AS module, kind, member::BIGINT AS member, min(v)::INT AS lo, max(v)::INT AS hi FROM (SELECT *, v - row_number() OVER (PARTITION BY module, kind, member ORDER BY v) AS island FROM held_at) GROUP BY module, kind, member, island"""))
+def module_set_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What belongs to each module over twelve versions, pushed in three steps; a member comes and goes every three versions."""
+    articles = A.table(spark, sf_dir, "documents").select((F.col("doc_id") % 25).cast("int").alias("culture"), F.col("doc_id").alias("article"))
+    members = module_sets_of(routes.symbol_paths(A.symbols(spark, sf_dir)), A.module_deps(spark, sf_dir), articles)
+    at = stored(members, "members").select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("ver")).filter("(member * 7 + ver div 3 * 5) % 4 > 0").withColumn("value", F.lit(True))
+    store = HistoryStore(spark, _folder(spark, "sets"), ["module", "kind", "member"])
+    for a, b in ((0, 4), (5, 7), (8, 11)):
+        store.push(at.filter(F.col("ver").between(a, b)))
+    return store.keyframes().drop("value")
 
 
 @query(with_tables("observations", then=KEYFRAMES + " SELECT entity, lo, hi, value FROM keyframes"))
