@@ -9,7 +9,7 @@ from docgraph.functions.identity import classify_fragments
 from docgraph.operators import links, pages, routes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
-from docgraph.plans.queries_core import _FACT_TABLES, BELIEFS, SCOPES, _beliefs, _scopes
+from docgraph.plans.queries_core import _FACT_TABLES, BELIEFS, _beliefs
 from docgraph.plans.queries_routes import DEPTHS, NATURAL, PATHS, SYNTHETIC, _paths, _routes
 from docgraph.plans.registry import query
 
@@ -107,54 +107,6 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.choices(routes.route_groups(_routes(spark, sf_dir)), A.modules(spark, sf_dir), A.packages(spark, sf_dir)).select("base", "host", "culture", "rank")
 
 
-#: Links of every form from the lines: below the nest, by module, absolute, article, told apart by kind.
-LINKS = """rows AS (SELECT l_orderkey * 10 + l_linenumber AS link, l_linenumber AS n, l_suppkey AS supp, l_partkey AS symbol, (l_orderkey * 7 + l_suppkey) % (SELECT max(p_partkey) + 1 FROM part) AS other FROM lineitem),
- named AS (SELECT r.link, r.n, r.supp, s.culture, lower(s.name) AS nest, lower(t.name) AS leaf, t.community, lower(m.name) AS module, p.name AS package FROM rows r JOIN symbols s ON s.symbol = r.symbol JOIN symbols t ON t.symbol = r.other
-   JOIN modules m ON m.module = t.namespace JOIN packages p ON p.package = m.package),
- first AS (SELECT link, min((n, supp, culture, nest, leaf, community, module, package)) AS v FROM named GROUP BY link),
- links AS (SELECT link, v[3] AS culture, v[4] AS nest, CASE v[1] WHEN 4 THEN 'absolute' WHEN 5 THEN 'doc' ELSE 'visible' END AS form,
-   CASE v[1] WHEN 3 THEN [v[7], v[5]] WHEN 4 THEN [v[8], v[7], v[5]] WHEN 5 THEN ['doc-' || v[2]] ELSE [v[5]] END AS path, CASE WHEN v[1] = 6 THEN v[6] END AS community FROM first),
- articles AS (SELECT (doc_id % 25)::INT AS culture, 'doc-' || doc_id % 40 AS name, doc_id AS article FROM documents),
- present AS (SELECT p_partkey AS base FROM part JOIN symbols ON symbol = p_partkey JOIN modules ON module = namespace WHERE p_size % 10 <= 12 + package AND 12 + package <= 10 + p_size % 20)"""
-
-
-def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, articles, present): symbols stand from one version to another, packages are pinned at one."""
-    s, m, p = A.symbols(spark, sf_dir), A.modules(spark, sf_dir), A.packages(spark, sf_dir)
-    part = A.table(spark, sf_dir, "part")
-    n = part.agg(F.max("p_partkey") + 1).first()[0]
-    line = A.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("link"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("symbol"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).alias("other"))
-    owner = m.select(F.col("module").alias("namespace"), F.lower("name").alias("module"), "package").join(p.select("package", F.col("name").alias("package_name")), "package").select("namespace", "module", F.col("package_name").alias("package"))
-    rows = line.join(s.select("symbol", "culture", F.lower("name").alias("nest")), "symbol").join(s.select(F.col("symbol").alias("other"), F.lower("name").alias("leaf"), "community", "namespace"), "other").join(owner, "namespace")
-    v = rows.groupBy("link").agg(F.min(F.struct("n", "supp", "culture", "nest", "leaf", "community", "module", "package")).alias("v")).select("link", "v.*")
-    form = F.when(F.col("n") == 4, "absolute").when(F.col("n") == 5, "doc").otherwise("visible")
-    path = F.when(F.col("n") == 3, F.array("module", "leaf")).when(F.col("n") == 4, F.array("package", "module", "leaf")).when(F.col("n") == 5, F.array(F.concat(F.lit("doc-"), F.col("supp").cast("string")))).otherwise(F.array("leaf"))
-    links_ = v.select("link", "culture", "nest", form.alias("form"), path.alias("path"), F.when(F.col("n") == 6, F.col("community")).alias("community"))
-    articles = A.table(spark, sf_dir, "documents").select((F.col("doc_id") % 25).cast("int").alias("culture"), F.concat(F.lit("doc-"), (F.col("doc_id") % 40).cast("string")).alias("name"), F.col("doc_id").alias("article"))
-    pin = m.select(F.col("module").alias("namespace"), (F.col("package") + 12).alias("pin"))
-    standing = part.select(F.col("p_partkey").alias("symbol"), (F.col("p_size") % 10).alias("lo"), (F.col("p_size") % 20 + 10).alias("hi"))
-    present = standing.join(s.select("symbol", "namespace"), "symbol").join(pin, "namespace").filter(F.col("pin").between(F.col("lo"), F.col("hi"))).select(F.col("symbol").alias("base"))
-    return links_, articles, present
-
-
-@query(with_tables("packages", "modules", "module_deps", "symbols", then=SCOPES + ", " + PATHS + ", " + NATURAL + ", " + LINKS + """,
- asked AS (SELECT link, culture, community, path[-1] AS leaf, 2 AS level, culture AS namespace, array_to_string(list_concat([nest], path[1:len(path) - 1]), chr(9)) AS stem FROM links WHERE form <> 'absolute'
-   UNION ALL SELECT link, culture, community, path[-1], 3, culture, array_to_string(path[1:len(path) - 1], chr(9)) FROM links WHERE form <> 'absolute'
-   UNION ALL SELECT link, l.culture, community, path[-1], 4, x.namespace, array_to_string(path[1:len(path) - 1], chr(9)) FROM links l JOIN scopes x ON x.culture = l.culture AND x.namespace <> l.culture WHERE form <> 'absolute'
-   UNION ALL SELECT link, l.culture, community, path[-1], 1, m.module, array_to_string(path[2:len(path) - 1], chr(9)) FROM links l JOIN modules m ON lower(m.name) = path[1] JOIN scopes x ON x.culture = l.culture AND x.namespace = m.module WHERE form <> 'absolute' AND len(path) > 1
-   UNION ALL SELECT link, l.culture, community, path[-1], 1, m.module, array_to_string(path[3:len(path) - 1], chr(9)) FROM links l JOIN packages p ON lower(p.name) = path[1] JOIN modules m ON m.package = p.package AND lower(m.name) = path[2] WHERE form = 'absolute' AND len(path) > 2),
- hits AS (SELECT a.link, a.level, r.orientation, count(DISTINCT r.base) AS n, count(DISTINCT r.namespace) AS modules, min(r.base) AS base FROM asked a JOIN natural_routes r ON r.namespace = a.namespace AND r.stem = a.stem AND r.leaf = a.leaf
-   JOIN scopes x ON x.culture = a.culture AND x.namespace = r.culture JOIN symbols y ON y.symbol = r.base JOIN present z ON z.base = r.base WHERE a.community IS NULL OR a.community = y.community GROUP BY a.link, a.level, r.orientation),
- found AS (SELECT link, level * 2 + (orientation = '.')::INT AS t, n, base AS target, 'symbol' AS kind FROM hits WHERE NOT (level = 4 AND modules > 1)
-   UNION ALL SELECT link, 0, 1, max(article), 'article' FROM links l JOIN articles a ON a.culture = l.culture AND a.name = array_to_string(path, '/') WHERE form = 'doc' GROUP BY link),
- best AS (SELECT link, arg_min((n, target, kind), t) AS b FROM found GROUP BY link)
- SELECT l.link, CASE WHEN b[1] = 1 THEN b[2] END AS target, CASE WHEN b[1] = 1 THEN b[3] END AS kind, CASE WHEN b IS NULL THEN 'none' WHEN b[1] > 1 THEN 'many' ELSE 'one' END AS status FROM links l LEFT JOIN best USING (link)"""))
-def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, articles, present = _links(spark, sf_dir)
-    kinds = A.symbols(spark, sf_dir).select(F.col("symbol").alias("base"), "community")
-    return links.resolve_links(rows, routes.natural_routes(_paths(spark, sf_dir)), _scopes(spark, sf_dir), A.modules(spark, sf_dir), A.packages(spark, sf_dir), articles, kinds, present)
-
-
 @query(with_tables("modules", "symbols", then="""f AS (SELECT o_orderkey AS query, arg_min(s.symbol, (m.package, s.symbol)) AS symbol FROM orders JOIN part p ON p.p_partkey = o_custkey % (SELECT count(*) FROM part) JOIN symbols s ON s.name = replace(p.p_name, ' ', '_') JOIN modules m ON m.module = s.culture WHERE m.package < 3 GROUP BY o_orderkey)
  SELECT o_orderkey AS query, symbol FROM orders LEFT JOIN f ON f.query = o_orderkey"""))
 def resolve_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

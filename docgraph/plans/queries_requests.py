@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from docgraph.functions import versions as V
 from docgraph.functions.identity import KINDS
 from docgraph.functions.storage import shared_dir, stored
-from docgraph.operators import composites, intervals, requests
+from docgraph.operators import composites, links, requests
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
-from docgraph.plans.queries_core import _FACT_TABLES
+from docgraph.plans.queries_core import _FACT_TABLES, PINS, SCOPES, _pins, _scopes
 from docgraph.plans.queries_routes import ALL_ROUTES, _routes
 from docgraph.plans.registry import query
 
@@ -196,3 +196,64 @@ def select_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = eco.groups.select(key.alias("key"), "package", ((F.col("base") + F.col("host")) % 30).alias("ver"), "namespace", "stem", "leaf", F.lit("/").alias("orientation"), none.alias("base_id"), none.alias("host_id"), none.alias("community"))
     found = composites.selected(asked, eco.groups, eco.symbols).filter("how = 'historical'")
     return found.join(asked.select("key", F.col("ver").alias("exhibit")), "key").select(F.col("key").alias("request"), "base", "host", "culture", F.col("ver").cast("int").alias("ver"), F.col("exhibit").cast("int").alias("exhibit"), "redirected")
+
+
+#: A link for every line, in the documentation of its part, to a symbol that another number of the line gives: by name, as a
+#: dotted name, by module, absolute (also to a package or a module alone), to an article, by kind, to an inherited member.
+LINKS = """named AS (SELECT l_orderkey * 10 + l_linenumber AS link, l_linenumber AS n, l_suppkey AS supp, s.culture, s.namespace AS nest_namespace, [lower(s.name)] AS nest, lower(s.name) AS own, lower(t.name) AS leaf, t.community, lower(m.name) AS module, lower(q.name) AS near, p.name AS package, lower(y.name) AS host
+   FROM lineitem JOIN symbols s ON s.symbol = l_partkey JOIN symbols t ON t.symbol = (l_orderkey * 7 + l_suppkey) % (SELECT max(p_partkey) + 1 FROM part) JOIN modules m ON m.module = t.namespace JOIN packages p ON p.package = m.package
+   JOIN modules q ON q.module = s.namespace LEFT JOIN symbols y ON y.symbol = t.parent),
+ links AS (SELECT link, culture, nest_namespace, nest, CASE n WHEN 4 THEN 'absolute' WHEN 5 THEN 'doc' ELSE 'visible' END AS form, CASE WHEN n = 2 THEN '.' ELSE '/' END AS orientation, CASE WHEN n = 6 THEN community END AS community,
+   CASE n WHEN 3 THEN [module, leaf] WHEN 4 THEN CASE supp % 4 WHEN 0 THEN [package] WHEN 1 THEN [package, module] ELSE [package, module, leaf] END WHEN 5 THEN ['doc-' || supp] WHEN 7 THEN CASE WHEN supp % 3 = 0 THEN [near] ELSE [leaf, own] END ELSE CASE WHEN host IS NOT NULL AND supp % 2 = 0 THEN [host, leaf] ELSE [leaf] END END AS path FROM named)"""
+
+
+def link_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, m, p = A.symbols(spark, sf_dir), A.modules(spark, sf_dir), A.packages(spark, sf_dir)
+    n = A.table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0]
+    line = A.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("link"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("symbol"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).alias("other"))
+    owner = m.join(p.select("package", F.col("name").alias("package_name")), "package").select(F.col("module").alias("to"), F.lower("name").alias("module"), F.col("package_name").alias("package"))
+    near = m.select(F.col("module").alias("nest_namespace"), F.lower("name").alias("near"))
+    source = s.select("symbol", "culture", F.col("namespace").alias("nest_namespace"), F.lower("name").alias("own")).join(near, "nest_namespace")
+    target = s.select(F.col("symbol").alias("other"), F.lower("name").alias("leaf"), "community", F.col("namespace").alias("to"), F.col("parent").alias("up")).join(owner, "to")
+    target = target.join(s.select(F.col("symbol").alias("up"), F.lower("name").alias("host")), "up", "left")
+    rows = line.join(source, "symbol").join(target, "other")
+    k, supp = F.col("n"), F.col("supp")
+    form = F.when(k == 4, "absolute").when(k == 5, "doc").otherwise("visible")
+    absolute = F.when(supp % 4 == 0, F.array("package")).when(supp % 4 == 1, F.array("package", "module")).otherwise(F.array("package", "module", "leaf"))
+    plain = F.when(F.col("host").isNotNull() & (supp % 2 == 0), F.array("host", "leaf")).otherwise(F.array("leaf"))
+    seventh = F.when(supp % 3 == 0, F.array("near")).otherwise(F.array("leaf", "own"))
+    path = F.when(k == 3, F.array("module", "leaf")).when(k == 4, absolute).when(k == 5, F.array(F.concat(F.lit("doc-"), supp.cast("string")))).when(k == 7, seventh).otherwise(plain)
+    return rows.select("link", "culture", form.alias("form"), path.alias("path"), F.when(k == 2, ".").otherwise("/").alias("orientation"), "nest_namespace", F.array("own").alias("nest"), F.when(k == 6, F.col("community")).alias("community"))
+
+
+@query(with_tables(*_FACT_TABLES, "versions", then=ALL_ROUTES + ", " + PINS + ", " + HELD + ", " + LINKS + """, pinned AS (SELECT package, dep, dep_ver FROM pins UNION ALL SELECT package, package, 12 + package * 3 FROM packages),
+ standing AS (SELECT DISTINCT h.namespace, h.stem, h.leaf, h.orientation, h.base, h.host, h.culture, h.lo, h.hi, m.package AS lens, y.community FROM held h JOIN modules m ON m.module = h.culture JOIN symbols y ON y.symbol = h.base),
+ q AS (SELECT DISTINCT culture, form, path, orientation, nest_namespace, nest, community FROM links),
+ q2 AS (SELECT q.*, m.package AS package FROM q JOIN modules m ON m.module = q.culture),
+ keys AS (
+  SELECT q2.*, 2 AS level, nest_namespace AS ns, array_to_string(list_concat(nest, path[1:len(path) - 1]), chr(9)) AS stem FROM q2 WHERE form <> 'absolute'
+  UNION ALL SELECT q2.*, 3, q2.culture, array_to_string(path[1:len(path) - 1], chr(9)) FROM q2 WHERE form <> 'absolute'
+  UNION ALL SELECT q2.*, 4, x.namespace, array_to_string(path[1:len(path) - 1], chr(9)) FROM q2 JOIN scopes x ON x.culture = q2.culture AND x.namespace <> q2.culture WHERE form <> 'absolute'
+  UNION ALL SELECT q2.*, 1, x.namespace, array_to_string(path[2:len(path) - 1], chr(9)) FROM q2 JOIN scopes x ON x.culture = q2.culture JOIN modules n ON n.module = x.namespace AND lower(n.name) = path[1] WHERE form <> 'absolute' AND len(path) > 1),
+ near AS (SELECT DISTINCT k.culture, k.form, k.path, k.orientation, k.nest_namespace, k.nest, k.community, k.level, k.ns, (s.orientation <> k.orientation)::INT AS dotted, s.base, s.host, s.culture AS c
+   FROM keys k JOIN standing s ON s.namespace = k.ns AND s.stem = k.stem AND s.leaf = k.path[-1] AND (k.orientation = '/' OR s.orientation = '.') AND (k.community IS NULL OR k.community = s.community)
+   JOIN pinned p ON p.package = k.package AND p.dep = s.lens AND p.dep_ver BETWEEN s.lo AND s.hi JOIN scopes x ON x.culture = k.culture AND x.namespace = s.culture),
+ far AS (SELECT DISTINCT q.culture, q.form, q.path, q.orientation, q.nest_namespace, q.nest, q.community, 0 AS level, n.module AS ns, (s.orientation <> q.orientation)::INT AS dotted, s.base, s.host, s.culture AS c
+   FROM q JOIN packages p ON p.name = path[1] JOIN modules n ON n.package = p.package AND lower(n.name) = path[2] JOIN standing s ON s.lens = p.package AND s.namespace = n.module AND s.stem = array_to_string(path[3:len(path) - 1], chr(9)) AND s.leaf = path[-1]
+   AND 29 BETWEEN s.lo AND s.hi AND (q.orientation = '/' OR s.orientation = '.') AND (q.community IS NULL OR q.community = s.community) WHERE form = 'absolute' AND len(path) > 2),
+ per AS (SELECT culture, form, path, orientation, nest_namespace, nest, community, dotted, level, ns, count(*) AS n, min((base, host, c)) AS h FROM (SELECT * FROM near UNION ALL SELECT * FROM far) GROUP BY ALL),
+ spots AS (SELECT culture, form, path, orientation, nest_namespace, nest, community, dotted, level, max(n) AS n, count(*) AS mods, min(h) AS h FROM per GROUP BY ALL),
+ answers AS (
+  SELECT culture, form, path, orientation, nest_namespace, nest, community, dotted * 10 + level AS place, n, 'symbol' AS kind, h[1] AS target, h[2] AS host, h[3] AS c FROM spots WHERE n > 1 OR mods = 1
+  UNION ALL SELECT q.*, -1, 1, 'article', doc_id, NULL, NULL FROM q JOIN documents ON path[1] = 'doc-' || doc_id AND q.culture = doc_id % 25 WHERE form = 'doc'
+  UNION ALL SELECT q.*, 1, 1, 'module', n.module, NULL, NULL FROM q JOIN scopes x ON x.culture = q.culture JOIN modules n ON n.module = x.namespace AND lower(n.name) = path[1] WHERE form <> 'absolute' AND len(path) = 1
+  UNION ALL SELECT q.*, 0, 1, 'package', package, NULL, NULL FROM q JOIN packages p ON p.name = path[1] WHERE form = 'absolute' AND len(path) = 1
+  UNION ALL SELECT q.*, 0, 1, 'module', n.module, NULL, NULL FROM q JOIN packages p ON p.name = path[1] JOIN modules n ON n.package = p.package AND lower(n.name) = path[2] WHERE form = 'absolute' AND len(path) = 2),
+ best AS (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY culture, form, path, orientation, nest_namespace, nest, community ORDER BY place) = 1)
+ SELECT l.link, CASE WHEN b.n IS NULL THEN 'none' WHEN b.n = 1 THEN 'one' ELSE 'many' END AS status, CASE WHEN b.n = 1 THEN b.kind END AS kind, CASE WHEN b.n = 1 THEN b.target END::BIGINT AS target, CASE WHEN b.n = 1 THEN b.host END::BIGINT AS host, CASE WHEN b.n = 1 THEN b.c END::INT AS culture
+ FROM links l LEFT JOIN best b ON l.culture = b.culture AND l.form = b.form AND l.path = b.path AND l.orientation = b.orientation AND l.nest_namespace = b.nest_namespace AND l.nest = b.nest AND l.community IS NOT DISTINCT FROM b.community"""))
+def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eco = ecosystem(spark, sf_dir)
+    latest = eco.index.filter("mask is null").select("package", "ver")
+    pins = _pins(spark, sf_dir).select("package", "dep", "dep_ver").unionByName(eco.packages.select("package", F.col("package").alias("dep"), (F.col("package") * 3 + 12).alias("dep_ver")))
+    return links.resolve_links(link_log(spark, sf_dir), eco.groups, _scopes(spark, sf_dir), eco.modules, eco.packages, eco.articles, eco.symbols, pins, latest)
