@@ -10,26 +10,30 @@ from docgraph.functions.uri import encode_component, route_key
 
 
 def symbol_paths(symbols: DataFrame) -> DataFrame:
-    """``symbols`` with ``path`` (names from the root) and ``trail`` (symbols from the root).
+    """``symbols`` (symbol, name, parent, ...; each symbol once) with ``path`` (names from the root) and ``trail`` (symbols
+    from the root).
 
-    Pointer doubling: each round puts the path of a row's next ancestor before its own, so that the rounds grow
-    with the logarithm of the depth. A parent that does not exist ends the path; symbols on a cycle of parents,
-    and those below it, have a null path.
+    Pointer doubling: each round puts the path of a row's next ancestor before its own, so that the rounds grow with
+    the logarithm of the depth. Rows that have reached their root are set apart, only the others are joined on. A
+    parent that does not exist ends the path. A round that brings no row to its root leaves symbols on a cycle of parents
+    and those below it: they have a null path and trail, and their arrays never outgrow the longest real path twofold.
     """
-    walk = symbols.select("symbol", F.array("name").alias("path"), F.array("symbol").alias("trail"), F.col("parent").alias("next"))
-    doubled, deepest = 1, None
+    keep, of = symbols.columns, f"array<{symbols.schema['symbol'].dataType.simpleString()}>"
+    trail = F.array().cast(of)
+    walk = symbols.withColumns({"path": F.array("name"), "trail": F.array("symbol"), "_next": F.col("parent")})
+    settled, waiting, open_rows = walk.filter("_next is null"), None, walk.filter("_next is not null")
     while True:
-        up = walk.select(F.col("symbol").alias("_s"), F.col("path").alias("_p"), F.col("trail").alias("_t"), F.col("next").alias("_n"))
-        on = walk.join(up, F.col("next") == F.col("_s"), "left")
-        none = F.array().cast("array<string>")
-        walk = stored(on.select("symbol", F.concat(F.coalesce("_p", none), "path").alias("path"), F.concat(F.coalesce("_t", F.array().cast(walk.schema["trail"].dataType)), "trail").alias("trail"), F.col("_n").alias("next")), "paths")
-        doubled *= 2
-        if walk.filter("next IS NOT NULL").isEmpty():
+        up = settled.unionByName(open_rows).select(F.col("symbol").alias("_s"), F.col("path").alias("_p"), F.col("trail").alias("_t"), F.col("_next").alias("_n"))
+        on = open_rows.join(up, F.col("_next") == F.col("_s"), "left")
+        longer = {"path": F.concat(F.coalesce("_p", F.array().cast("array<string>")), "path"), "trail": F.concat(F.coalesce("_t", trail), "trail"), "_next": F.col("_n")}
+        walk = stored(on.withColumns(longer).select(*keep, "path", "trail", "_next"), "paths")
+        settled, open_rows = settled.unionByName(walk.filter("_next is null")), walk.filter("_next is not null")
+        left = open_rows.count()
+        if left in (0, waiting):
             break
-        deepest = deepest or walk.count()
-        if doubled > deepest:  # longer than any path without a cycle
-            break
-    return symbols.join(walk.select("symbol", F.when(F.col("next").isNull(), F.col("path")).alias("path"), "trail"), "symbol")
+        waiting = left
+    none = open_rows.withColumns({"path": F.lit(None).cast("array<string>"), "trail": F.lit(None).cast(of)})
+    return settled.unionByName(none).drop("_next") if left else settled.drop("_next")
 
 
 def breadcrumbs(paths: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docgraph.functions import versions as V
 from docgraph.functions.availability import availability_labels as labels
 from docgraph.functions.availability import lower_availability as lowered
+from docgraph.functions.storage import stored
 from docgraph.operators import docs, facts, packages, registry, routes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
@@ -141,12 +142,54 @@ def availability_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).select("id", F.array_join(labels(F.col("v")), "; ").alias("labels"))
 
 
-@query(with_tables("comments", then="""follow AS (SELECT symbol, origin AS loc, 1 AS hops FROM comments WHERE comment IS NULL AND origin IS NOT NULL
-   UNION ALL SELECT f.symbol, c.origin, f.hops + 1 FROM follow f JOIN comments c ON c.symbol = f.loc WHERE c.comment IS NULL AND c.origin IS NOT NULL),
- ends AS (SELECT symbol, arg_max(loc, hops) AS loc FROM follow GROUP BY symbol)
- SELECT c.symbol, coalesce(length(c.comment), length(t.comment)) AS length FROM comments c LEFT JOIN ends e USING (symbol) LEFT JOIN comments t ON t.symbol = e.loc"""))
+#: Documentation over versions: what a document says at first, and later; a bare one inherits from a smaller number.
+_HISTORY = """docs AS (SELECT symbol, 0 AS lo, 9 + symbol % 5 AS hi, origin, comment FROM comments
+   UNION ALL SELECT symbol, 10 + symbol % 5 + CASE WHEN symbol % 3 = 0 THEN 1 ELSE 0 END, 29, CASE WHEN comment IS NULL THEN symbol // 3 ELSE origin END, CASE WHEN symbol % 6 <> 1 THEN comment END FROM comments),
+ pins AS (SELECT v.package, v.ver, d.package AS dep, CASE WHEN v.package = d.package THEN v.ver ELSE (v.ver * 3 + d.package * 7 + v.package) % 30 END AS dep_ver FROM versions v, packages d),
+ pages AS (SELECT (symbol % 5)::INT AS package, unnest([symbol % 7, 20])::INT AS ver, symbol FROM comments)"""
+
+
+@query(with_tables("comments", "packages", "versions", then=_HISTORY + """, walk AS (SELECT package, ver, symbol, symbol AS loc, 0 AS hops FROM pages
+   UNION ALL SELECT w.package, w.ver, w.symbol, d.origin, hops + 1 FROM walk w JOIN pins p ON p.package = w.package AND p.ver = w.ver AND p.dep = w.loc % 5 JOIN docs d ON d.symbol = w.loc AND p.dep_ver BETWEEN d.lo AND d.hi WHERE d.comment IS NULL AND d.origin IS NOT NULL),
+ ends AS (SELECT package, ver, symbol, arg_max(loc, hops) AS target, max(hops) AS hops FROM walk GROUP BY package, ver, symbol)
+ SELECT e.package, e.ver, e.symbol, target, hops::BIGINT AS hops, md5(coalesce(d.comment, '')) AS comment FROM ends e JOIN pins p ON p.package = e.package AND p.ver = e.ver AND p.dep = e.target % 5 LEFT JOIN docs d ON d.symbol = e.target AND p.dep_ver BETWEEN d.lo AND d.hi"""))
 def expand_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.comments(spark, sf_dir)
-    found = docs.doc_inheritance(c).select("symbol", "target")
-    text = c.select(F.col("symbol").alias("target"), F.length("comment").cast("bigint").alias("theirs"))
-    return c.select("symbol", F.length("comment").cast("bigint").alias("own")).join(found, "symbol", "left").join(text, "target", "left").select("symbol", F.coalesce("own", "theirs").alias("length"))
+    """Every document's page at two versions; what it inherits crosses packages at the versions they are pinned at."""
+    c = stored(A.comments(spark, sf_dir), "comments")
+    n = F.col("symbol")
+    later = F.struct((10 + n % 5 + F.when(n % 3 == 0, 1).otherwise(0)).alias("lo"), F.lit(29).cast("bigint").alias("hi"), F.when(F.col("comment").isNull(), F.expr("symbol div 3")).otherwise(F.col("origin")).alias("origin"), F.when(n % 6 != 1, F.col("comment")).alias("comment"))
+    first = F.struct(F.lit(0).cast("bigint").alias("lo"), (9 + n % 5).alias("hi"), F.col("origin").alias("origin"), F.col("comment").alias("comment"))
+    history = c.select("symbol", F.explode(F.array(first, later)).alias("k")).select("symbol", "k.*")
+    dep = F.col("dep")
+    at = F.when(F.col("package") == dep, F.col("ver")).otherwise((F.col("ver") * 3 + dep * 7 + F.col("package")) % 30)
+    pins = A.versions(spark, sf_dir).select("package", "ver", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("dep")).select("package", "ver", "dep", at.cast("int").alias("dep_ver"))
+    homes = c.select("symbol", (n % 5).cast("int").alias("package"))
+    pages = c.select((n % 5).cast("int").alias("package"), F.explode(F.array((n % 7).cast("int"), F.lit(20))).alias("ver"), "symbol").distinct()
+    return docs.expand_templates(pages, history, pins, homes).withColumn("comment", F.md5("comment"))
+
+
+_PACKAGE = """own AS (SELECT symbol, symbol % 25 AS module, CASE WHEN symbol % 13 = 5 THEN -symbol ELSE origin END AS origin, comment FROM comments),
+ eq AS (SELECT c.symbol, c.origin FROM own c JOIN own o ON o.symbol = c.origin AND o.comment = c.comment AND o.module <> c.module AND o.symbol < c.symbol),
+ chain AS (SELECT symbol, TRUE AS gone FROM eq WHERE origin NOT IN (SELECT symbol FROM eq) UNION ALL SELECT e.symbol, NOT c.gone FROM eq e JOIN chain c ON c.symbol = e.origin),
+ scanned AS (SELECT o.symbol, o.origin, CASE WHEN c.gone THEN NULL ELSE o.comment END AS comment, coalesce(c.gone, FALSE) AS gone FROM own o LEFT JOIN chain c USING (symbol) WHERE o.comment IS NOT NULL OR o.origin IS NOT NULL),
+ follow AS (SELECT symbol, origin AS loc, 0 AS skipped FROM scanned WHERE comment IS NULL UNION ALL SELECT f.symbol, s.origin, skipped + 1 FROM follow f JOIN scanned s ON s.symbol = f.loc WHERE s.comment IS NULL),
+ ends AS (SELECT symbol, arg_max(loc, skipped) AS loc, max(skipped) AS skipped FROM follow GROUP BY symbol),
+ judged AS (SELECT s.*, e.loc, e.skipped, s.comment IS NULL AND e.loc >= 0 AND e.loc IN (SELECT symbol FROM own) AND e.loc NOT IN (SELECT symbol FROM scanned) AS lost FROM scanned s LEFT JOIN ends e USING (symbol))"""
+
+
+def _package_comments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+    """All documents as one package; one in thirteen inherits from another package."""
+    n = F.col("symbol")
+    own = A.comments(spark, sf_dir).select("symbol", (n % 25).cast("int").alias("module"), n.alias("pos"), F.when(n % 13 == 5, -n).otherwise(F.col("origin")).alias("origin"), "comment")
+    return docs.package_comments(stored(own, "comments"))
+
+
+@query(with_tables("comments", then=_PACKAGE + " SELECT symbol, CASE WHEN comment IS NULL THEN loc ELSE origin END AS origin, md5(comment) AS comment FROM judged WHERE NOT lost"))
+def package_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _package_comments(spark, sf_dir)[0].withColumn("comment", F.md5("comment"))
+
+
+@query(with_tables("comments", then=_PACKAGE + " SELECT count(*) FILTER (WHERE gone) AS pruned, coalesce(sum(skipped) FILTER (WHERE comment IS NULL AND NOT lost), 0)::BIGINT AS shortened, count(*) FILTER (WHERE lost) AS dropped FROM judged"))
+def comment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _package_comments(spark, sf_dir)[1]
+    return spark.createDataFrame([tuple(counts[c] for c in ("pruned", "shortened", "dropped"))], "pruned bigint, shortened bigint, dropped bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.functions.storage import stored
 from docgraph.operators import docs, facts, routes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
@@ -102,9 +103,9 @@ def apply_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tables("comments", then="""eq AS (SELECT c.symbol, c.origin FROM comments c JOIN comments o ON o.symbol = c.origin AND o.comment = c.comment),
  chain AS (SELECT symbol, origin, TRUE AS pruned FROM eq WHERE origin NOT IN (SELECT symbol FROM eq)
    UNION ALL SELECT e.symbol, e.origin, NOT (c.pruned AND e.origin < e.symbol) FROM eq e JOIN chain c ON c.symbol = e.origin)
- SELECT c.symbol, c.origin, CASE WHEN h.pruned THEN NULL ELSE length(c.comment) END AS length FROM comments c LEFT JOIN chain h USING (symbol)"""))
+ SELECT c.symbol, c.origin, CASE WHEN h.pruned THEN NULL ELSE md5(c.comment) END AS comment FROM comments c LEFT JOIN chain h USING (symbol)"""))
 def prune_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs.prune_comments(A.comments(spark, sf_dir)).select("symbol", "origin", F.length("comment").cast("bigint").alias("length"))
+    return docs.prune_comments(stored(A.comments(spark, sf_dir), "comments")).select("symbol", "origin", F.md5("comment").alias("comment"))
 
 
 @query(with_tables("comments", then="""follow AS (SELECT symbol, origin AS loc, 1 AS hops FROM comments WHERE comment IS NULL AND origin IS NOT NULL

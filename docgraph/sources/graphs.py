@@ -145,3 +145,14 @@ def read_articles(files: DataFrame) -> DataFrame:
 def source_map(symbols: DataFrame) -> DataFrame:
     """(uri, features): the symbols of a file by line, character and id."""
     return symbols.filter("uri IS NOT NULL").groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("line", "character", "id"))).alias("features"))
+
+
+def write_graph(frame: DataFrame, path: str) -> None:
+    """One compiled table, by package and version. A second run replaces the packages and versions that it has and
+    leaves all others. ``tables.GraphStore`` keeps several tables together."""
+    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("package", "version").parquet(path)
+
+
+def read_graph(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A compiled table with its partition columns; filters on them prune folders."""
+    return spark.read.schema(schema).parquet(path)

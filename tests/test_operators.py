@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions.doc_fields import doc_fields
 from docgraph.functions.storage import shared_dir
-from docgraph.operators import docs, facts, links, packages, pages, registry, routes
+from docgraph.operators import composites, docs, facts, links, packages, pages, registry, routes
 from docgraph.sources import graphs
 
 
@@ -38,6 +38,15 @@ def test_deep_paths_and_cycles(spark):
     assert got[60] is got[61] is got[62] is None and len(got) == len(rows)
 
 
+def test_paths_below_a_cycle_stay_short(spark):
+    """Tens of thousands of symbols below one cycle, beside paths that end."""
+    rows = spark.range(50_000).selectExpr("id as symbol", "concat('n', id) as name", "case when id = 0 then 1 when id < 45000 then id div 2 when id > 45000 then nullif(id - (id - 45000) % 3, id) end as parent", "'c' as culture")
+    got = routes.symbol_paths(rows)
+    assert got.count() == 50_000 and got.columns == ["symbol", "name", "parent", "culture", "path", "trail"]
+    assert got.filter("path is null and trail is null").count() == 45_000
+    assert got.filter("symbol >= 45000").selectExpr("max(size(path)) as n", "min(trail[size(trail) - 1] - symbol) as same").first() == (2, 0)
+
+
 def test_module_order_of_a_long_chain(spark):
     modules = spark.createDataFrame([(i, 0) for i in range(70)], "module int, package int")
     deps = spark.createDataFrame([(i, i - 1) for i in range(1, 70)], "module int, dep int")
@@ -71,10 +80,13 @@ def test_links_of_every_form(spark):
     modules = spark.createDataFrame([(1, 10, "Own"), (2, 20, "Other"), (3, 20, "Third"), (4, 30, "Hidden")], "module int, package int, name string")
     owners = spark.createDataFrame([(10, "mine"), (20, "theirs"), (30, "far")], "package int, name string")
     scopes = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "culture int, namespace int")
-    held = [(100, 1, "", "type", "/", 1), (101, 1, "type", "go()", ".", 1), (102, 2, "", "type", "/", 2), (103, 2, "", "there", "/", 2), (104, 3, "", "both", "/", 3), (105, 2, "", "both", "/", 2), (106, 2, "type", "twin", ".", 2), (107, 2, "type", "twin", ".", 2), (108, 4, "", "unseen", "/", 4), (109, 2, "", "gone", "/", 2), (110, 1, "", "guide", "/", 1)]
-    table = spark.createDataFrame(held, "base bigint, namespace int, stem string, leaf string, orientation string, culture int")
-    kinds = spark.createDataFrame([(b, {106: "instanceMethod", 107: "typeMethod"}.get(b, "struct")) for b, *_ in held], "base bigint, community string")
-    articles = spark.createDataFrame([(1, "guide", 900), (2, "guide", 901)], "culture int, name string, article bigint")
+    rows = [(100, 1, "", "type", "/", 1), (101, 1, "type", "go()", ".", 1), (102, 2, "", "type", "/", 2), (103, 2, "", "there", "/", 2), (104, 3, "", "both", "/", 3), (105, 2, "", "both", "/", 2), (106, 2, "type", "twin", ".", 2), (107, 2, "type", "twin", ".", 2), (108, 4, "", "unseen", "/", 4), (109, 2, "", "gone", "/", 2), (110, 1, "", "guide", "/", 1)]
+    held = [(n, stem, leaf, o, b, b, c, 0, 2 if b == 109 else 9) for b, n, stem, leaf, o, c in rows]
+    groups = composites.grouped(spark.createDataFrame(held, "namespace int, stem string, leaf string, orientation string, base bigint, host bigint, culture int, lo bigint, hi bigint"), modules)
+    kinds = spark.createDataFrame([(r[0], {106: "instanceMethod", 107: "typeMethod"}.get(r[0], "struct")) for r in rows], "symbol bigint, community string")
+    articles = spark.createDataFrame([(1, "guide", 900), (2, "guide", 901)], "module int, name string, article bigint")
+    pins = spark.createDataFrame([(10, 10, 5), (10, 20, 5)], "package int, dep int, dep_ver int")
+    latest = spark.createDataFrame([(p, 9) for p in (10, 20, 30)], "package int, ver int")
     asked = {
         1: ("type", "visible", ["go()"], None, (101, "symbol", "one")),  # below the nest, dotted
         2: ("", "visible", ["type"], None, (100, "symbol", "one")),  # own before imported
@@ -83,7 +95,7 @@ def test_links_of_every_form(spark):
         5: ("", "visible", ["both"], None, (None, None, "none")),  # in two imported modules
         6: ("", "absolute", ["theirs", "other", "type"], None, (102, "symbol", "one")),
         7: ("", "absolute", ["type"], None, (None, None, "none")),  # no fallthrough
-        8: ("", "absolute", ["far", "hidden", "unseen"], None, (None, None, "none")),  # out of scope
+        8: ("", "absolute", ["far", "hidden", "unseen"], None, (108, "symbol", "one")),  # out of scope, which only matters for visible links
         9: ("", "visible", ["other", "type", "twin"], None, (None, None, "many")),
         10: ("", "visible", ["other", "type", "twin"], "typeMethod", (107, "symbol", "one")),
         11: ("", "visible", ["gone"], None, (None, None, "none")),  # not at the pinned version
@@ -93,8 +105,9 @@ def test_links_of_every_form(spark):
         15: ("", "visible", [], None, (None, None, "none")),
         16: (None, "visible", None, None, (None, None, "none")),
     }
-    rows = spark.createDataFrame([(i, 1, n, form, path, kind) for i, (n, form, path, kind, _) in asked.items()], "link bigint, culture int, nest string, form string, path array<string>, community string")
-    got = links.resolve_links(rows, table, scopes, modules, owners, articles, kinds, table.select("base").filter(F.col("base") != 109))
+    log = [(i, 1, [n] if n else [], 1, form, path, "/", kind) for i, (n, form, path, kind, _) in asked.items()]
+    log = spark.createDataFrame(log, "link bigint, culture int, nest array<string>, nest_namespace int, form string, path array<string>, orientation string, community string")
+    got = links.resolve_links(log, groups, scopes, modules, owners, articles, kinds, pins, latest)
     assert {r.link: (r.target, r.kind, r.status) for r in got.collect()} == {i: want for i, (*_, want) in asked.items()}
 
 
