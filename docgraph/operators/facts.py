@@ -39,13 +39,26 @@ def resolve_identifiers(identifiers: DataFrame, symbols: DataFrame, scopes: Data
     return identifiers.join(found, ["culture", "id"], "left").select("culture", "id", F.when(F.col("n") == 1, F.col("symbol")).alias("symbol"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _unresolved(placed: DataFrame, symbols: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(edge): the edges with a constraint whose target is unknown or out of the culture's scope, once each."""
-    asked = placed.select("edge", "culture", F.explode("edge.constraints.object").alias("object"))
+#: An edge without its constraints, which a number stands for in shuffles; at one position there is one edge.
+_EDGE = ["source", "relation", "target", "pos", "bound"]
+
+
+def _with_bad(placed: DataFrame, symbols: DataFrame, scopes: DataFrame) -> DataFrame:
+    """``placed`` with ``bad``: whether a constraint's target is unknown or out of the culture's scope.
+
+    Only edges with constraints are joined back, by their ids and position and a hash of the constraints.
+    """
+    bounded = placed.filter(F.size("constraints") > 0).withColumn("bound", F.xxhash64("constraints"))
+    asked = bounded.select(*_EDGE, "culture", F.explode("constraints.object").alias("object"))
     at = symbols.select(F.col("symbol").alias("object"), F.col("namespace").alias("object_namespace"))
     seen = scopes.select("culture", F.col("namespace").alias("object_namespace"), F.lit(True).alias("seen"))
     found = asked.join(at, "object", "left").join(seen, ["culture", "object_namespace"], "left")
-    return found.filter(F.col("seen").isNull()).select("edge").distinct()
+    bad = found.filter(F.col("seen").isNull()).select(*[F.col(c).alias(f"_{c}") for c in _EDGE]).distinct().withColumn("bad", F.lit(True))
+    same = F.lit(True)
+    for c in _EDGE:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    judged = bounded.join(bad, same, "left").select(*placed.columns, F.coalesce("bad", F.lit(False)).alias("bad"))
+    return placed.filter(F.size("constraints") == 0).withColumn("bad", F.lit(False)).unionByName(judged)
 
 
 def resolve_edges(edges: DataFrame, symbols: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -59,11 +72,10 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, scopes: DataFrame) -> Da
     s = symbols.select(F.col("symbol").alias("source"), F.col("culture"), F.col("class").alias("source_class"), F.col("community").alias("source_community"))
     t = symbols.select(F.col("symbol").alias("target"), F.col("class").alias("target_class"), F.col("community").alias("target_community"), "namespace")
     given = edges.withColumn("constraints", F.coalesce("constraints", F.array().cast(CONSTRAINTS)))
-    placed = given.join(s, "source", "left").withColumn("edge", F.struct("source", "relation", "target", "pos", "constraints"))
+    placed = _with_bad(given.join(s, "source", "left"), symbols, scopes)
     scoped = scopes.select("culture", "namespace", F.lit(True).alias("in_scope"))
-    bad = _unresolved(placed.filter(F.size("constraints") > 0), symbols, scopes).withColumn("bad", F.lit(True))
-    ends = placed.join(t, "target", "left").join(scoped, ["culture", "namespace"], "left").join(bad, "edge", "left")
-    return ends.withColumn("resolved", F.col("in_scope").isNotNull() & F.col("bad").isNull()).drop("in_scope", "bad", "edge")
+    ends = placed.join(t, "target", "left").join(scoped, ["culture", "namespace"], "left")
+    return ends.withColumn("resolved", F.col("in_scope").isNotNull() & ~F.col("bad")).drop("in_scope", "bad")
 
 
 def edge_statements(edges: DataFrame) -> DataFrame:

@@ -63,8 +63,8 @@ def module_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.module_list(A.modules(spark, sf_dir))
 
 
-def _uris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.composite_uri(routes.overload_depth(_routes(spark, sf_dir)), A.modules(spark, sf_dir), A.packages(spark, sf_dir))
+def _uris(spark: SparkSession, sf_dir: str, paths: DataFrame) -> DataFrame:
+    return routes.composite_uri(routes.overload_depth(_routes(spark, sf_dir, paths)), A.modules(spark, sf_dir), A.packages(spark, sf_dir))
 
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tables(*_FACT_TABLES, then=_WITH_TRAITS + ", " + URIS + INDEX + " SELECT package, module, symbol, title, keywords, uri FROM idx WHERE class IN ('protocol', 'typealias', 'concrete', 'global')"))
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paths(spark, sf_dir)
-    found = pages.search_index(p, A.modules(spark, sf_dir), p.filter("symbol % 11 <> 0").select("symbol"), _uris(spark, sf_dir), _signatures(spark, sf_dir))
+    found = pages.search_index(p, A.modules(spark, sf_dir), p.filter("symbol % 11 <> 0").select("symbol"), _uris(spark, sf_dir, p), _signatures(spark, sf_dir))
     return found.withColumn("keywords", F.array_join("keywords", ","))
 
 
@@ -89,7 +89,7 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paths(spark, sf_dir)
     articles = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article"), (F.col("doc_id") % 25).cast("int").alias("culture"), F.concat(F.lit("doc-"), (F.col("doc_id") % 40).cast("string")).alias("name"))
-    return pages.sitemap(A.modules(spark, sf_dir), A.packages(spark, sf_dir), articles, p, p.filter("symbol % 11 <> 0").select("symbol"), _uris(spark, sf_dir), "https://docs.example.com")
+    return pages.sitemap(A.modules(spark, sf_dir), A.packages(spark, sf_dir), articles, p, p.filter("symbol % 11 <> 0").select("symbol"), _uris(spark, sf_dir, p), "https://docs.example.com")
 
 
 @query("""WITH a AS (SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),

@@ -28,8 +28,8 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.symbol_paths(A.symbols(spark, sf_dir))
 
 
-def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _paths(spark, sf_dir)
+def _routes(spark: SparkSession, sf_dir: str, paths: DataFrame | None = None) -> DataFrame:
+    p = _paths(spark, sf_dir) if paths is None else paths
     features = facts.traits(_statements(spark, sf_dir)).filter("slot = 'feature'").select(F.col("subject").alias("host"), F.col("object").alias("feature"), "culture")
     return routes.natural_routes(p).unionByName(routes.synthetic_routes(p, features))
 
