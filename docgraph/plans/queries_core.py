@@ -9,7 +9,7 @@ from docgraph.functions import versions as V
 from docgraph.operators import facts, history, packages
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
-from docgraph.plans.registry import query
+from docgraph.plans.registering import query
 
 KEYFRAMES = """
  marked AS (SELECT *, CASE WHEN lag(ver) OVER w = ver - 1 AND lag(value) OVER w IS NOT DISTINCT FROM value THEN 0 ELSE 1 END AS fresh

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docgraph.functions import identity as I
 from docgraph.functions import uri as U
 from docgraph.plans import adapters as A
-from docgraph.plans.registry import query
+from docgraph.plans.registering import query
 
 
 @query("SELECT n_nationkey AS module, repeat('_', n_nationkey % 3) || n_name AS raw, n_name AS title, lower(n_name) AS value FROM nation")

@@ -11,7 +11,7 @@ from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import _FACT_TABLES, BELIEFS, _beliefs
 from docgraph.plans.queries_routes import DEPTHS, NATURAL, PATHS, SYNTHETIC, _paths, _routes
-from docgraph.plans.registry import query
+from docgraph.plans.registering import query
 
 TOPICS = BELIEFS + """, topics AS (SELECT b.subject AS host, CASE WHEN b.slot IN ('member', 'feature') AND b.object % 5 = 0 THEN 10
    ELSE CASE b.slot WHEN 'conformer' THEN 1 WHEN 'conformance' THEN 2 WHEN 'subclass' THEN 3 WHEN 'refinement' THEN 5 WHEN 'implementation' THEN 6 WHEN 'override' THEN 7 WHEN 'member' THEN 9 WHEN 'feature' THEN 9 END END AS section,

@@ -15,7 +15,7 @@ from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import _FACT_TABLES, _MASKS, KEYFRAMES, SCOPES, STATEMENTS, TRAITS, _history, _scopes, _statements
 from docgraph.plans.queries_pages import URIS
 from docgraph.plans.queries_routes import PATHS, _paths, _routes
-from docgraph.plans.registry import query
+from docgraph.plans.registering import query
 
 _VERTICES = "vertices AS (SELECT name AS id, culture, namespace, symbol AS pos FROM symbols), known AS (SELECT name AS id, min(culture) AS module, row_number() OVER (ORDER BY name) - 1 AS idx FROM symbols WHERE symbol % 4 = 0 GROUP BY name)"
 _JUDGED = _VERTICES + """, first AS (SELECT id, min((pos, culture, namespace)) AS v FROM vertices GROUP BY id),

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from docgraph.functions import versions as V
 from docgraph.functions.identity import KINDS
 from docgraph.functions.storage import shared_dir, stored
-from docgraph.operators import composites, links, requests
+from docgraph.operators import composites, links, requests, uris
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
-from docgraph.plans.queries_core import _FACT_TABLES, PINS, SCOPES, _pins, _scopes
-from docgraph.plans.queries_routes import ALL_ROUTES, _routes
-from docgraph.plans.registry import query
+from docgraph.plans.queries_core import _FACT_TABLES, _MASKS, PINS, _pins, _scopes
+from docgraph.plans.queries_routes import ALL_ROUTES, _paths, _routes
+from docgraph.plans.registering import query
 
 #: The packages that are searched where a path names none of them.
 WHITELIST = ["asia", "swift", "middle-east", "core"]
@@ -41,7 +41,13 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*composites.ROUTE, *composites.COMPOSITE, "s.lo", "s.hi").filter("lo <= hi")
 
 
-_POINTS = "points AS (SELECT namespace, stem, leaf, orientation, base, host, culture, unnest(range(lo, hi + 1)) AS ver FROM held), at_once AS (SELECT DISTINCT * FROM points)"
+def _lensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The held composites, each once, with the package in whose groups they are."""
+    held = stored(_held(spark, sf_dir).groupBy(*composites.ROUTE, *composites.COMPOSITE, "lo").agg(F.max("hi").alias("hi")), "held")
+    return held.join(A.modules(spark, sf_dir).select(F.col("module").alias("culture"), "package"), "culture")
+
+
+_POINTS = "points AS (SELECT package, namespace, stem, leaf, orientation, base, host, culture, unnest(range(lo, hi + 1)) AS ver FROM held JOIN modules ON module = culture), at_once AS (SELECT DISTINCT * FROM points)"
 _ISLANDS = "SELECT base, host, culture, min(ver) AS lo, max(ver) AS hi FROM (SELECT *, ver - row_number() OVER (PARTITION BY base, host, culture ORDER BY ver) AS island FROM (SELECT DISTINCT base, host, culture, ver FROM {0})) GROUP BY base, host, culture, island"
 
 
@@ -60,13 +66,12 @@ def composite_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composites.composite_spans(asked, natural, features, symbols.select("symbol", "culture"), A.modules(spark, sf_dir))
 
 
-@query(with_tables(*_FACT_TABLES, then=ALL_ROUTES + ", " + HELD + ", " + _POINTS + f""", told AS (SELECT *, count(*) OVER (PARTITION BY {ROUTE}, ver) AS r, count(*) OVER (PARTITION BY {ROUTE}, base, ver) AS b FROM at_once),
+@query(with_tables(*_FACT_TABLES, then=ALL_ROUTES + ", " + HELD + ", " + _POINTS + f""", told AS (SELECT *, count(*) OVER (PARTITION BY package, {ROUTE}, ver) AS r, count(*) OVER (PARTITION BY package, {ROUTE}, base, ver) AS b FROM at_once),
  flagged AS (SELECT *, r > b OR b > 1 AS need_base, b > 1 AS need_host FROM told),
  islands AS (SELECT *, ver - row_number() OVER (PARTITION BY {ROUTE}, base, host, culture, need_base, need_host ORDER BY ver) AS island FROM flagged)
  SELECT base, host, culture, need_base, need_host, min(ver) AS lo, max(ver) AS hi FROM islands GROUP BY {ROUTE}, base, host, culture, need_base, need_host, island"""))
 def overload_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = stored(_held(spark, sf_dir).groupBy(*composites.ROUTE, *composites.COMPOSITE, "lo").agg(F.max("hi").alias("hi")), "held")
-    return composites.overload_spans(held).select(*composites.COMPOSITE, "need_base", "need_host", "lo", "hi")
+    return composites.overload_spans(_lensed(spark, sf_dir)).select(*composites.COMPOSITE, "need_base", "need_host", "lo", "hi")
 
 
 def ecosystem(spark: SparkSession, sf_dir: str) -> requests.Ecosystem:
@@ -257,3 +262,45 @@ def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = eco.index.filter("mask is null").select("package", "ver")
     pins = _pins(spark, sf_dir).select("package", "dep", "dep_ver").unionByName(eco.packages.select("package", F.col("package").alias("dep"), (F.col("package") * 3 + 12).alias("dep_ver")))
     return links.resolve_links(link_log(spark, sf_dir), eco.groups, _scopes(spark, sf_dir), eco.modules, eco.packages, eco.articles, eco.symbols, pins, latest)
+
+
+def _moves(eco: requests.Ecosystem) -> DataFrame:
+    """Every third module moves at version 12 and again at 25, the articles of every other one at 20."""
+    m = eco.modules.select("module")
+    to = lambda kind, ver, when: m.filter(when).select(F.lit(kind).alias("kind"), "module", F.concat(F.lit(f"/moved-{kind}-{ver}/m"), "module").alias("uri"), F.lit(ver).alias("ver"))
+    return to("module", 12, "module % 3 = 0").unionByName(to("module", 25, "module % 3 = 0")).unionByName(to("article", 20, "module % 2 = 0"))
+
+
+@query(with_tables("packages", "modules", "versions", then=_MASKS + """, short AS (SELECT m.package, m.ver, CASE WHEN m.ver <> max(m.ver) OVER (PARTITION BY m.package) THEN arg_min(m.mask, m.n) FILTER (WHERE m.n > 0 AND i.ver = m.ver) END AS mask
+   FROM masked m LEFT JOIN idx i ON m.package = i.package AND m.mask = i.mask GROUP BY m.package, m.ver),
+ head AS (SELECT s.package, s.ver, p.rank, p.name, CASE WHEN mask LIKE 'toolchain%' THEN replace(mask[11:], ':', '-') ELSE replace(mask[10:], ':', '.') END AS written FROM short s JOIN packages p USING (package)),
+ spot AS (SELECT h.*, m.module, '/' || CASE WHEN h.rank = 2 THEN h.name || '/' ELSE '' END || CASE WHEN written IS NULL THEN '' ELSE written || '/' END || replace(lower(m.name), ' ', '%20') AS tail FROM head h JOIN modules m USING (package))
+ SELECT 'package' AS kind, package, ver, NULL::INT AS module, NULL::BIGINT AS article, '/reference/' || name || CASE WHEN written IS NULL THEN '' ELSE '/' || written END AS uri FROM head
+ UNION ALL SELECT 'module', package, ver, module, NULL, CASE WHEN module % 3 = 0 AND ver = 25 THEN '/moved-module-25/m' || module ELSE '/reference' || tail END FROM spot
+ UNION ALL SELECT 'article', package, ver, module, doc_id, CASE WHEN module % 2 = 0 AND ver = 20 THEN '/moved-article-20/m' || module ELSE '/learn' || tail END || '/doc-' || doc_id FROM documents JOIN spot ON module = doc_id % 25 AND ver IN (doc_id % 30, 20, 29)"""))
+def entity_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages and modules at every version and each article at some, with what moved."""
+    eco = ecosystem(spark, sf_dir)
+    versions = A.versions(spark, sf_dir).select("package", "ver")
+    none = lambda t: F.lit(None).cast(t)
+    packages = versions.select(F.lit("package").alias("kind"), "package", "ver", none("int").alias("module"), none("bigint").alias("article"))
+    modules = versions.join(eco.modules.select("module", "package"), "package").select(F.lit("module").alias("kind"), "package", "ver", "module", none("bigint").alias("article"))
+    vers = F.explode(F.array_distinct(F.array((F.col("article") % 30).cast("int"), F.lit(20), F.lit(29))))
+    articles = eco.articles.join(eco.modules.select("module", "package"), "module").select(F.lit("article").alias("kind"), "package", vers.alias("ver"), "module", "article")
+    return uris.place_uris(packages.unionByName(modules).unionByName(articles), eco, V.abbreviate_version(A.versions(spark, sf_dir)), _moves(eco)).select("kind", "package", "ver", "module", "article", "uri")
+
+
+@query(None)
+def respond_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log and requests for moved modules and articles, with URI, canonical URI and redirection."""
+    eco = ecosystem(spark, sf_dir)
+    moves = _moves(eco)
+    log = request_log(spark, sf_dir, eco)
+    gone = moves.select(F.concat(F.lit("u"), "uri").alias("request"), F.split(F.substring(F.col("uri"), F.lit(2), F.length("uri")), "/").alias("path"), F.array().cast(log.schema["params"].dataType).alias("params"))
+    book = uris.Book(eco, V.abbreviate_version(A.versions(spark, sf_dir)), moves, stored(composites.overload_spans(_lensed(spark, sf_dir)), "depths"), _symbol_names(spark, sf_dir))
+    return uris.respond(log.unionByName(gone), book)
+
+
+def _symbol_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, module, namespace, path, dotted): what URIs are written from."""
+    return _paths(spark, sf_dir).select("symbol", F.col("culture").alias("module"), "namespace", "path", F.col("class").isin("callable", "global").alias("dotted"))

@@ -10,7 +10,7 @@ from docgraph.operators import docs, facts, routes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import _FACT_TABLES, STATEMENTS, TRAITS, _statements
-from docgraph.plans.registry import query
+from docgraph.plans.registering import query
 
 PATHS = """walk AS (SELECT symbol AS s, [name] AS path, [symbol] AS trail, parent AS up FROM symbols
    UNION ALL SELECT w.s, list_prepend(p.name, w.path), list_prepend(p.symbol, w.trail), p.parent FROM walk w JOIN symbols p ON p.symbol = w.up),

@@ -15,7 +15,7 @@ from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import KEYFRAMES
 from docgraph.plans.queries_routes import PATHS
-from docgraph.plans.registry import query
+from docgraph.plans.registering import query
 from docgraph.sources import graphs as G
 from docgraph.sources.tables import GraphStore, HistoryStore
 from docgraph.streaming.history import stream_push_history as fold_stream

@@ -11,7 +11,7 @@ from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import _FACT_TABLES, SCOPES, STATEMENTS, _scopes, _statements
 from docgraph.plans.queries_routes import PATHS, _paths
-from docgraph.plans.registry import query
+from docgraph.plans.registering import query
 
 _COPIES = """copies AS (SELECT l_partkey % 25 AS culture, CASE WHEN l_linenumber = 1 THEN (l_partkey + 1) % 25 ELSE l_partkey % 25 END AS namespace, l_partkey AS id, l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey % 10000 AS pos,
    l_orderkey % 5 = 0 AS nat, l_suppkey % 2 = 0 AS unavailable, CASE WHEN l_suppkey % 3 = 0 THEN '_P' ELSE 'P' END AS protocol, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey % 25 END AS pc FROM lineitem)"""

@@ -1,25 +1,4 @@
-"""Registered queries and the DuckDB SQL they are checked against."""
+"""All registered queries and their oracles."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable:
-    """Registers a query under its function's name, with its oracle."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
-from docgraph.plans import queries_core, queries_names, queries_pages, queries_registry, queries_requests, queries_routes, queries_sources, queries_vertices  # noqa: E402, F401
+from docgraph.plans import queries_core, queries_names, queries_pages, queries_registry, queries_requests, queries_routes, queries_sources, queries_vertices  # noqa: F401
+from docgraph.plans.registering import ORACLES, QUERIES  # noqa: F401
