@@ -37,7 +37,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_WORDS = frozenset("ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottom sidebar side aside widget related recommended popular trending share sharing social follow subscribe newsletter signup login register cookie cookies consent gdpr notice notification alert popup modal overlay disclaimer copyright legal comment comments comment-list discussion disqus reply replies respond reaction pagination pager tags tagcloud search form toolbar hidden complementary contentinfo".split())
 GOOD_WORDS = frozenset("article content main post entry story body text maincontent articlebody".split())
 #: First words of compound class names that speak of other things than their element (with-sidebar, category-legal).
-ABOUT_WORDS = frozenset("with no has have without category cat tag type format status topic section layout post page entry article js is".split())
+ABOUT_WORDS = frozenset("with no has have without category cat tag type format status topic section layout js is".split())
+#: First words that name what an element belongs to; its last word says what it is (post-comments, entry-footer).
+PART_WORDS = frozenset("post page entry article".split())
+#: Last words of compound names that speak of a state (nav-open, ad-free, social-share-enabled).
+STATE_WORDS = frozenset("open opened close closed enabled disabled free active inactive visible on off collapsed expanded ready loaded less driven".split())
+#: Names of reader comments, alone or before a word for a container.
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus response responses reply replies reactions".split())
+CONTAINER_WORDS = frozenset("area list section wrapper container wrap box block thread item inner".split())
 #: Of the former, those that only name a part where a content word stands beside them (article-header).
 HEADER_WORDS = frozenset("header top masthead".split())
 
@@ -69,29 +76,42 @@ class Block:
 
 
 class _Node:
-    __slots__ = ("tag", "depth", "bad", "good", "never", "article", "parent")
+    __slots__ = ("tag", "depth", "bad", "good", "never", "article", "in_article", "comments", "parent")
 
     def __init__(self, tag: str, attributes: str, parent: "_Node | None") -> None:
         self.tag, self.depth, self.parent = tag, parent.depth + 1 if parent else 0, parent
-        names = hidden = ""
+        names, hidden, roles = "", "", ""
         for name, a, b, c in _ATTRIBUTE.findall("" if tag in ("html", "body") else attributes):
             value = a or b or c
             low = name.lower()
-            if low in ("class", "id", "role", "aria-label", "itemprop"):
+            # labels for readers are free text and say nothing about the element's part in the page
+            if low in ("class", "id", "role", "itemprop"):
                 names += " " + value.lower()
+                roles += " " + value.lower() if low in ("role", "itemprop") else ""
             elif low == "hidden" or low == "aria-hidden" and value.lower() == "true" or low == "style" and "display:none" in value.lower().replace(" ", ""):
                 hidden = "hidden"
         whole = names.split()
-        compound = [t for t in (_WORD_SPLIT.split(n) for n in whole) if len(t) > 1 and t[0] not in ABOUT_WORDS]
-        words = set(whole) | {w for t in compound for w in t}
-        root = tag in ("article", "main") or bool(words & {"main", "articlebody"})
-        bad = BAD_WORDS - (HEADER_WORDS if words & GOOD_WORDS else frozenset())
-        own = 1.0 if hidden or set(whole) & bad else COMPOUND if words & bad else 0.0
-        # a wrapper's name counts for what it wraps, less below an element that says it holds the content
-        self.bad = max(own, (parent.bad if parent else 0.0) * (THROUGH if root else 1.0))
-        self.good = bool(words & GOOD_WORDS) or bool(parent and parent.good)
+        compound = [t for t in (_WORD_SPLIT.split(n) for n in whole) if len(t) > 1 and t[0] not in ABOUT_WORDS and t[-1] not in STATE_WORDS]
+        words = set(whole) | {w for t in compound for w in (t[-1:] if t[0] in PART_WORDS else t)}
+        good = (set(whole) | {w for t in compound for w in t}) & GOOD_WORDS
+        bad = BAD_WORDS - (HEADER_WORDS if good else frozenset())
+        reader = bool(set(whole) & COMMENT_WORDS) or any(t[-1] in COMMENT_WORDS or t[0] in COMMENT_WORDS and (t[-1] in CONTAINER_WORDS or t[-1].isdigit()) for t in compound)
+        own = 1.0 if hidden or set(whole) & bad or reader else COMPOUND if words & bad else 0.0
+        said = set(roles.split())
+        is_article = tag == "article" or bool(said & {"article", "articlebody"})
+        root = is_article or tag == "main" or bool(set(whole) & {"main", "maincontent", "articlebody"})
+        outer = root and not (parent and parent.in_article)
+        if outer and not reader and not hidden:
+            own = 0.0  # what an article is called is its subject
+        # a wrapper's name counts for what it wraps, less below an element that says it holds the content, unless they
+        # are reader comments, each of which may be an article
+        self.comments = reader or bool(parent and parent.comments)
+        through = THROUGH if outer and not self.comments else 1.0
+        self.bad = max(own, (parent.bad if parent else 0.0) * through)
+        self.good = bool(good) or bool(parent and parent.good)
         self.never = tag in NEVER or bool(hidden) or bool(parent and parent.never) or tag == "header" and not (parent and parent.article)
-        self.article = tag in ("article", "main") or bool(parent and parent.article)
+        self.in_article = is_article or bool(parent and parent.in_article)
+        self.article = tag in ("article", "main") or bool(said & {"main", "article", "articlebody"}) or bool(parent and parent.article)
 
 
 def blocks(page: str) -> list[Block]:
