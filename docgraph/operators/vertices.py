@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.functions.identity import usr_interface
+
 
 def natural_vertices(copies: DataFrame) -> DataFrame:
     """(culture, namespace, id, pos, natural, hidden): one copy of each symbol of a graph.
@@ -21,6 +23,49 @@ def natural_vertices(copies: DataFrame) -> DataFrame:
     return copies.filter(legal).groupBy("culture", "namespace", "id").agg(best.alias("v")).select("culture", "namespace", "id", "v.*")
 
 
+def naturalize(symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, edges, locations) of graphs whose symbols come in the order of ``pos``.
+
+    symbols (culture, namespace, pos, id, inferred, path, community, unavailable, location, mentions): culture and
+    namespace are module names and make a graph, ``inferred`` is the namespace of a synthesized copy's declaration (null
+    for natural ones), ``mentions`` the ids that generic constraints name. Positions are unique within a graph.
+
+    * Natural copies overwrite one another and all others; the last one is the vertex, each has its location.
+    * A synthesized copy counts only if its declaration is of the culture, a protocol of the culture is named in its id,
+      it is unavailable or that protocol is hidden (a leading underscore), and nothing has given a vertex yet: it is the
+      first such copy and no natural one came before. Its path is re-rooted below the protocol, it becomes a member of it and has its location;
+      a natural copy that comes later takes over the vertex, but the edge and the location stay.
+    * Hidden protocols of the culture that a constraint or the id of a counting available copy names get a placeholder
+      vertex, unless there is a natural copy anywhere in the graph.
+
+    vertices (culture, namespace, id, path, community, pos, origin): origin is natural, inferred or placeholder (pos null).
+    edges (culture, namespace, source, relation, target), locations (culture, namespace, id, location). Ids of
+    protocols are taken not to be synthesized themselves. Null ids, and null lists of mentions, count for nothing.
+    """
+    graph = ["culture", "namespace"]
+    named = symbols.filter("id is not null")
+    # taken apart once, as a column that later expressions refer to
+    copies = named.filter("inferred = culture").withColumn("_of", F.explode(F.array(usr_interface(F.col("id")))))
+    natural = named.filter("inferred is null")
+    last = natural.groupBy(*graph, "id").agg(F.max_by(F.struct("path", "community", "pos"), "pos").alias("v"), F.min("pos").alias("_first"))
+    hidden = F.startswith(F.col("_of.protocol"), F.lit("_"))
+    unavailable = F.coalesce("unavailable", F.lit(False))
+    legal = copies.filter((F.col("_of.culture") == F.col("culture")) & (unavailable | hidden))
+    rooted = F.array(F.col("_of.protocol"), F.try_element_at("path", F.lit(-1))).alias("path")
+    first = legal.groupBy(*graph, "id").agg(F.min_by(F.struct(rooted, "community", "pos", "location", F.col("_of.id").alias("protocol"), F.col("_of.protocol").alias("name"), unavailable.alias("unavailable")), "pos").alias("s"))
+    counted = first.join(last.select(*graph, "id", "_first"), [*graph, "id"], "left").filter(F.col("_first").isNull() | (F.col("s.pos") < F.col("_first")))
+    inferred = counted.filter("_first is null").select(*graph, "id", "s.path", "s.community", "s.pos", F.lit("inferred").alias("origin"))
+    said = named.select("culture", "namespace", F.explode("mentions").alias("m")).withColumn("_of", F.explode(F.array(usr_interface(F.col("m"))))).filter((F.col("_of.culture") == F.col("culture")) & hidden)
+    met = said.select(*graph, F.col("_of.id").alias("id"), F.col("_of.protocol").alias("name"))
+    met = met.unionByName(counted.filter(~F.col("s.unavailable")).select(*graph, F.col("s.protocol").alias("id"), F.col("s.name").alias("name")))
+    holes = met.groupBy(*graph, "id").agg(F.min("name").alias("name")).join(last, [*graph, "id"], "left_anti")
+    placeholders = holes.select(*graph, "id", F.array("name").alias("path"), F.lit("protocol").alias("community"), F.lit(None).cast(symbols.schema["pos"].dataType).alias("pos"), F.lit("placeholder").alias("origin"))
+    vertices = last.select(*graph, "id", "v.path", "v.community", "v.pos", F.lit("natural").alias("origin")).unionByName(inferred).unionByName(placeholders)
+    edges = counted.select(*graph, F.col("id").alias("source"), F.lit("member").alias("relation"), F.col("s.protocol").alias("target"))
+    locations = natural.select(*graph, "id", "location").unionByName(counted.select(*graph, "id", "s.location")).filter("location is not null")
+    return vertices, edges, locations
+
+
 def resolve_declarations(fragments: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(declarations, warnings): fragments (symbol, culture, pos, text, link) with links resolved.
 

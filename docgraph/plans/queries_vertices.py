@@ -26,6 +26,50 @@ def natural_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertices.natural_vertices(copies).select("culture", "namespace", "id", "pos", "natural")
 
 
+#: Copies of members of forty protocols a module, half of them hidden; a third of the rows names one in a constraint.
+_MEMBERS = """rows AS (SELECT 'M' || l_suppkey % 25 AS culture, 'M' || CASE WHEN l_linenumber = 1 THEN (l_suppkey + 1) % 25 ELSE l_suppkey % 25 END AS namespace, l_orderkey * 100000 + l_linenumber * 10000 + l_partkey % 10000 AS pos,
+   l_partkey % 40 AS g, CASE WHEN l_partkey % 40 % 2 = 0 THEN '_' ELSE '' END || 'P' || l_partkey % 40 AS protocol, 'M' || CASE WHEN l_linenumber % 3 > 0 THEN l_suppkey % 25 ELSE (l_suppkey + 7) % 25 END AS home, 'm' || l_partkey % 90 AS member,
+   l_orderkey % 7 = 0 AS nat, CASE WHEN l_orderkey % 7 > 0 THEN 'M' || CASE WHEN l_orderkey % 4 = 0 THEN (l_suppkey + 3) % 25 ELSE l_suppkey % 25 END END AS inferred, l_orderkey % 3 = 0 AS unavailable, CASE WHEN l_orderkey % 5 < 2 THEN l_orderkey END AS location,
+   CASE WHEN l_orderkey % 3 = 1 THEN CASE WHEN l_orderkey % 2 = 0 THEN '_' ELSE '' END || 'Q' || l_orderkey % 11 END AS said FROM lineitem),
+ ids AS (SELECT *, 's' || length(home) || home || length(protocol) || protocol || 'P' AS pid, pid || length(member) || member AS id FROM rows),
+ graph AS (SELECT culture, namespace, min(pos) AS pos, id, any_value(pid) AS pid, any_value(protocol) AS protocol, any_value(home) AS home, any_value(member) AS member, nat, inferred, unavailable, location, said FROM ids GROUP BY culture, namespace, id, nat, inferred, unavailable, location, said),
+ nats AS (SELECT culture, namespace, id, max(pos) AS pos, min(pos) AS first FROM graph WHERE nat GROUP BY ALL),
+ legal AS (SELECT * FROM graph WHERE NOT nat AND inferred = culture AND home = culture AND (unavailable OR protocol LIKE '\\_%' ESCAPE '\\') QUALIFY row_number() OVER (PARTITION BY culture, namespace, id ORDER BY pos) = 1),
+ counted AS (SELECT l.*, n.first FROM legal l LEFT JOIN nats n USING (culture, namespace, id) WHERE n.first IS NULL OR l.pos < n.first),
+ met AS (SELECT culture, namespace, 's' || length(culture) || culture || length(said) || said || 'P' AS id, said AS name FROM graph WHERE said LIKE '\\_%' ESCAPE '\\' UNION SELECT culture, namespace, pid, protocol FROM counted WHERE NOT unavailable)"""
+
+
+def _member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n, s, o = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_orderkey")
+    module = lambda i: F.concat(F.lit("M"), (i % 25).cast("string"))
+    name = lambda even, letter, i: F.concat(F.when(even, "_").otherwise(""), F.lit(letter), i.cast("string"))
+    protocol_id = lambda home, protocol: F.concat(F.lit("s"), F.length(home), home, F.length(protocol), protocol, F.lit("P"))
+    member = F.concat(F.lit("m"), (k % 90).cast("string"))
+    home = F.when(n % 3 > 0, module(s)).otherwise(module(s + 7))
+    pid = protocol_id(home, name(k % 40 % 2 == 0, "P", k % 40))
+    said = protocol_id(module(s), name(o % 2 == 0, "Q", o % 11))
+    rows = A.table(spark, sf_dir, "lineitem").select(
+        module(s).alias("culture"), F.when(n == 1, module(s + 1)).otherwise(module(s)).alias("namespace"), (o * 100_000 + n * 10_000 + k % 10_000).alias("pos"), F.concat(pid, F.length(member), member).alias("id"),
+        F.when(o % 7 != 0, F.when(o % 4 == 0, module(s + 3)).otherwise(module(s))).alias("inferred"), F.array(F.lit("Type"), member).alias("path"), F.lit("instanceMethod").alias("community"), (o % 3 == 0).alias("unavailable"), F.when(o % 5 < 2, o).alias("location"), F.when(o % 3 == 1, F.array(said)).alias("mentions"),
+    )
+    kept = [c for c in rows.columns if c != "pos"]
+    return rows.groupBy(*kept).agg(F.min("pos").alias("pos"))
+
+
+@query("WITH " + _MEMBERS + """ SELECT 'vertex' AS kind, culture, namespace, id, 'Type.' || any_value(member) AS a, 'natural' AS b, n.pos FROM nats n JOIN graph g USING (culture, namespace, id) GROUP BY culture, namespace, id, n.pos
+ UNION ALL SELECT 'vertex', culture, namespace, id, protocol || '.' || member, 'inferred', pos FROM counted WHERE first IS NULL
+ UNION ALL SELECT DISTINCT 'vertex', culture, namespace, id, name, 'placeholder', NULL::BIGINT FROM met WHERE (culture, namespace, id) NOT IN (SELECT (culture, namespace, id) FROM nats)
+ UNION ALL SELECT 'edge', culture, namespace, id, 'member', pid, NULL FROM counted
+ UNION ALL SELECT 'location', culture, namespace, id, location::VARCHAR, NULL, NULL FROM graph WHERE nat AND location IS NOT NULL UNION ALL SELECT 'location', culture, namespace, id, location::VARCHAR, NULL, NULL FROM counted WHERE location IS NOT NULL""")
+def naturalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e, at = vertices.naturalize(_member_rows(spark, sf_dir))
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    v = v.select(F.lit("vertex").alias("kind"), "culture", "namespace", "id", F.array_join("path", ".").alias("a"), F.col("origin").alias("b"), "pos")
+    e = e.select(F.lit("edge").alias("kind"), "culture", "namespace", F.col("source").alias("id"), F.col("relation").alias("a"), F.col("target").alias("b"), number.alias("pos"))
+    at = at.select(F.lit("location").alias("kind"), "culture", "namespace", "id", F.col("location").cast("string").alias("a"), none.alias("b"), number.alias("pos"))
+    return v.unionByName(e).unionByName(at)
+
+
 @query(with_tables("packages", "modules", "module_deps", "symbols", "edges", then=SCOPES + """, ids AS (SELECT DISTINCT s.culture, t.name AS id FROM edges e JOIN symbols s ON s.symbol = e.source JOIN symbols t ON t.symbol = e.target),
  seen AS (SELECT i.culture, i.id, count(DISTINCT s.symbol) AS n, min(s.symbol) AS symbol FROM ids i JOIN symbols s ON s.name = i.id JOIN scopes x ON x.culture = i.culture AND x.namespace = s.culture GROUP BY i.culture, i.id),
  f AS (SELECT e.source AS symbol, e.pos, t.name AS text, CASE WHEN z.n = 1 THEN z.symbol END AS target FROM edges e JOIN symbols s ON s.symbol = e.source JOIN symbols t ON t.symbol = e.target LEFT JOIN seen z ON z.culture = s.culture AND z.id = t.name)
