@@ -65,6 +65,30 @@ def usr_interface(usr: Column) -> Column:
     return F.when(is_protocol, F.struct(culture.alias("culture"), protocol.alias("protocol"), head.alias("id")))
 
 
+def with_interface(frame: DataFrame, usr: Column, to: str) -> DataFrame:
+    """``frame`` with ``usr_interface`` of an id in the column ``to``, taken apart step by step: each step's columns are referred to
+    by the next one, not repeated in it."""
+    step = lambda f, **columns: f.withColumn(to, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    at = lambda name: F.col(f"`{to}`.{name}")
+    number = lambda text: F.regexp_extract(text, "^([1-9][0-9]*)", 1)
+    size = F.coalesce(F.nullif(at("digits"), F.lit("")).try_cast("int"), F.lit(0))
+    word = lambda text: F.substring(text, F.length(at("digits")) + 1, size)
+    skip = lambda text: F.substring(text, F.length(at("digits")) + size + 1, F.length(text))
+    tail_of = lambda text: F.substring(text, F.lit(2), F.length(text))
+    whole = step(frame, usr=usr, rest=tail_of(usr), digits=number(tail_of(usr)))
+    standard = F.startswith(at("rest"), F.lit("s"))
+    module = step(whole, usr=at("usr"), module=F.when(standard, "Swift").otherwise(word(at("rest"))), after=F.when(standard, tail_of(at("rest"))).otherwise(skip(at("rest"))))
+    counted = step(module, usr=at("usr"), module=at("module"), after=at("after"), digits=number(at("after")))
+    protocol = step(counted, usr=at("usr"), module=at("module"), protocol=word(at("after")), size=size, tail=skip(at("after")))
+    extended = step(protocol, usr=at("usr"), module=at("module"), protocol=at("protocol"), size=at("size"), tail=at("tail"), extension=tail_of(at("tail")), digits=number(tail_of(at("tail"))))
+    is_protocol = F.startswith(at("usr"), F.lit("s")) & (F.length(at("protocol")) > 0) & (F.length(at("protocol")) == at("size")) & (F.length(at("module")) > 0) & F.startswith(at("tail"), F.lit("P"))
+    by_standard = F.startswith(at("extension"), F.lit("sE"))
+    extends = (size > 0) & F.startswith(skip(at("extension")), F.lit("E"))
+    culture = F.when(by_standard, "Swift").when(extends, word(at("extension"))).otherwise(at("module"))
+    head = F.substring(at("usr"), F.lit(1), F.length(at("usr")) - F.length(at("tail")) + 1)
+    return extended.withColumn(to, F.when(is_protocol, F.struct(culture.alias("culture"), at("protocol").alias("protocol"), head.alias("id"))))
+
+
 def decode_community(kind: Column, path: Column) -> Column:
     """The community of a declaration kind; an operator is global only at the top level. Unknown kinds are null."""
     known = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])

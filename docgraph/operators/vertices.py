@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.functions.identity import usr_interface
+from docgraph.functions.identity import with_interface
 
 
 def natural_vertices(copies: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def naturalize(symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     graph = ["culture", "namespace"]
     named = symbols.filter("id is not null")
     # taken apart once, as a column that later expressions refer to
-    copies = named.filter("inferred = culture").withColumn("_of", F.explode(F.array(usr_interface(F.col("id")))))
+    copies = with_interface(named.filter("inferred = culture"), F.col("id"), "_of")
     natural = named.filter("inferred is null")
     last = natural.groupBy(*graph, "id").agg(F.max_by(F.struct("path", "community", "pos"), "pos").alias("v"), F.min("pos").alias("_first"))
     hidden = F.startswith(F.col("_of.protocol"), F.lit("_"))
@@ -55,7 +55,7 @@ def naturalize(symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = legal.groupBy(*graph, "id").agg(F.min_by(F.struct(rooted, "community", "pos", "location", F.col("_of.id").alias("protocol"), F.col("_of.protocol").alias("name"), unavailable.alias("unavailable")), "pos").alias("s"))
     counted = first.join(last.select(*graph, "id", "_first"), [*graph, "id"], "left").filter(F.col("_first").isNull() | (F.col("s.pos") < F.col("_first")))
     inferred = counted.filter("_first is null").select(*graph, "id", "s.path", "s.community", "s.pos", F.lit("inferred").alias("origin"))
-    said = named.select("culture", "namespace", F.explode("mentions").alias("m")).withColumn("_of", F.explode(F.array(usr_interface(F.col("m"))))).filter((F.col("_of.culture") == F.col("culture")) & hidden)
+    said = with_interface(named.select("culture", "namespace", F.explode("mentions").alias("m")).distinct(), F.col("m"), "_of").filter((F.col("_of.culture") == F.col("culture")) & hidden)
     met = said.select(*graph, F.col("_of.id").alias("id"), F.col("_of.protocol").alias("name"))
     met = met.unionByName(counted.filter(~F.col("s.unavailable")).select(*graph, F.col("s.protocol").alias("id"), F.col("s.name").alias("name")))
     holes = met.groupBy(*graph, "id").agg(F.min("name").alias("name")).join(last, [*graph, "id"], "left_anti")

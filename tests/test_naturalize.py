@@ -58,3 +58,15 @@ def test_scan(spark):
     assert sorted((x.culture, x.namespace, x.id, x.location) for x in at.collect()) == sorted(locations)
     assert {o for _, o in found.values()} == {"natural", "inferred", "placeholder"}
     assert all(x.count() == 0 for x in vertices.naturalize(spark.createDataFrame([], SCHEMA)))
+
+
+def test_ids_taken_apart_in_steps(spark):
+    from pyspark.sql import functions as F
+
+    from docgraph.functions.identity import usr_interface, with_interface
+
+    ids = ["s1A2_PP4name", "ss8_PointerPsE11thing", "s3Lib5OtherP3ExtE1x", "s3Lib5OtherC", "c1A1PP", "s", "", "s0A1PP", "s1A05HelloP", "s9Short", "s1A2PPPsE", "s1A1PP2BBE3foo", "s1A1PP9BBE", None]
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    got = {r.id: r.v for r in with_interface(df, F.col("id"), "v").collect()}
+    assert got == {r.id: r.v for r in df.select("id", usr_interface(F.col("id")).alias("v")).collect()}
+    assert sum(v is not None for v in got.values()) >= 4
