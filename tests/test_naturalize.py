@@ -65,7 +65,7 @@ def test_ids_taken_apart_in_steps(spark):
 
     from docgraph.functions.identity import usr_interface, with_interface
 
-    ids = ["s1A2_PP4name", "ss8_PointerPsE11thing", "s3Lib5OtherP3ExtE1x", "s3Lib5OtherC", "c1A1PP", "s", "", "s0A1PP", "s1A05HelloP", "s9Short", "s1A2PPPsE", "s1A1PP2BBE3foo", "s1A1PP9BBE", None]
+    ids = ["s1A2_PP4name", "ss6_QueuePsE5thing", "s3Lib5OtherP3ExtE1x", "s3Lib5OtherC", "c1A1PP", "s", "", "s0A1PP", "s1A05HelloP", "s9Short", "s1A2PPPsE", "s1A1PP2BBE3foo", "s1A1PP9BBE", None]
     df = spark.createDataFrame([(i,) for i in ids], "id string")
     got = {r.id: r.v for r in with_interface(df, F.col("id"), "v").collect()}
     assert got == {r.id: r.v for r in df.select("id", usr_interface(F.col("id")).alias("v")).collect()}
