@@ -7,19 +7,46 @@ from pyspark.sql import functions as F
 
 from docgraph.functions.uri import encode_component
 
-#: The sections of a page in their order, by the slot that fills them.
-SECTIONS = {"conformer": 1, "conformance": 2, "subclass": 3, "refinement": 5, "implementation": 6, "override": 7, "interface": 8, "member": 9, "feature": 9}
-REMOVED = 10
-
-
-def topics(beliefs: DataFrame, usable: DataFrame) -> DataFrame:
-    """(host, section, culture_class, culture, target): what a page lists; unusable members are set apart."""
-    order = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
-    kind = F.when(F.col("belief") == "primary", 0).when(F.col("belief") == "accepted", 1).otherwise(2)
-    joined = beliefs.join(usable.select(F.col("symbol").alias("object"), "usable"), "object", "left")
-    gone = F.col("slot").isin("member", "feature") & ~F.coalesce("usable", F.lit(True))
-    section = F.when(gone, REMOVED).otherwise(F.try_element_at(order, F.col("slot")))
-    return joined.select(F.col("subject").alias("host"), section.alias("section"), kind.alias("culture_class"), "culture", F.col("object").alias("target")).filter(F.col("section").isNotNull())
+#: The sections of a page by name, in the order in which they stand.
+SECTIONS = {"feed": 0, "refinement": 1, "implementation": 2, "restatement": 3, "override": 4, "requirement": 5, "member": 6, "conformer": 7, "conformance": 8, "subclass": 9, "implication": 10, "removed": 11}
+#: Fixed values: (kind of host, slot, section). A host that is a requirement has that kind, others have their class's.
+LISTED = [
+    ("requirement", "override", "restatement"),
+    ("requirement", "implementation", "implementation"),
+    ("protocol", "conformer", "conformer"),
+    ("protocol", "refinement", "refinement"),
+    ("protocol", "member", "member"),
+    ("concrete", "conformance", "conformance"),
+    ("concrete", "subclass", "subclass"),
+    ("concrete", "member", "member"),
+    ("concrete", "feature", "member"),
+    ("callable", "override", "override"),
+]
+
+
+def topics(beliefs: DataFrame, roles: DataFrame, shapes: DataFrame, symbols: DataFrame, usable: DataFrame) -> DataFrame:
+    """(host, section, culture_class, culture, target, target_host, conditions): what the pages of hosts list.
+
+    ``beliefs`` (subject, culture, slot, object, conditions, belief) are listed by what kind of symbol the host is
+    (``LISTED``); slots that its kind does not list are left out. Members and features that ``usable`` (symbol, usable)
+    calls unusable are removed members; a symbol without a row there, or with a null, is usable. A feature keeps its host, all
+    other targets stand for themselves. ``roles`` (subject, slot, object) give protocols the protocols they refine
+    (implications) and their requirements, in their own culture, usable or not. ``shapes`` (symbol, shape), ``symbols``
+    (symbol, class, culture): each symbol once. Unknown hosts and targets are left out, repeated beliefs stay repeated.
+    """
+    kind = F.when(F.col("shape") == "requirement", "requirement").otherwise(F.col("class"))
+    hosts = symbols.join(shapes.select("symbol", "shape"), "symbol", "left").select(F.col("symbol").alias("host"), kind.alias("host_kind"), F.col("culture").alias("home"), "class")
+    targets = symbols.join(usable.select("symbol", "usable"), "symbol", "left").select(F.col("symbol").alias("target"), F.coalesce("usable", F.lit(True)).alias("usable"), F.col("class").alias("target_class"))
+    places = beliefs.sparkSession.createDataFrame(LISTED, "host_kind string, slot string, name string")
+    number = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
+    believed = beliefs.withColumnsRenamed({"subject": "host", "object": "target"}).join(hosts.drop("class"), "host").join(F.broadcast(places), ["host_kind", "slot"]).join(targets, "target")
+    name = F.when((F.col("name") == "member") & ~F.col("usable"), "removed").otherwise(F.col("name"))
+    held = F.when(F.col("belief") == "primary", 0).when(F.col("belief") == "accepted", 1).otherwise(2)
+    listed = believed.select("host", F.try_element_at(number, name).alias("section"), held.alias("culture_class"), "culture", "target", F.when(F.col("slot") == "feature", F.col("host")).otherwise(F.col("target")).alias("target_host"), "conditions")
+    own = roles.select(F.col("subject").alias("host"), F.col("object").alias("target")).distinct().join(hosts.filter(F.col("class") == "protocol"), "host").join(targets, "target")
+    said = F.when(F.col("target_class") == "protocol", SECTIONS["implication"]).otherwise(SECTIONS["requirement"])
+    none = F.array().cast(beliefs.schema["conditions"].dataType)
+    return listed.unionByName(own.select("host", said.alias("section"), F.lit(0).alias("culture_class"), F.col("home").alias("culture"), "target", F.col("target").alias("target_host"), none.alias("conditions")))
 
 
 def sort_cards(topics_: DataFrame, paths: DataFrame, articles: DataFrame) -> DataFrame:
@@ -50,13 +77,13 @@ DISPLAY = "case associatedtype typealias initializer deinitializer typeSubscript
 def sort_sections(topics_: DataFrame, symbols: DataFrame, modules: DataFrame, packages: DataFrame) -> DataFrame:
     """(host, section, sublist, culture_class, culture, cards, rank): a page's lists in their order.
 
-    Sections stand in their fixed order; members are split into sublists by kind, in display order (sublist is
+    Sections stand in their fixed order; requirements, members and removed members are split into sublists by kind, in display order (sublist is
     null elsewhere); in each the own culture comes first, then accepted ones by name, then those of other
     packages by package and name. Counted before ranking, so that a window holds lists, not cards.
     """
     place = F.create_map(*[x for i, c in enumerate(DISPLAY) for x in (F.lit(c), F.lit(i))])
     kind = symbols.select(F.col("symbol").alias("target"), F.col("community").alias("sublist"))
-    lists = topics_.join(kind, "target").withColumn("sublist", F.when(F.col("section").isin(SECTIONS["member"], REMOVED), F.col("sublist"))).groupBy("host", "section", "sublist", "culture_class", "culture").agg(F.count(F.lit(1)).alias("cards"))
+    lists = topics_.join(kind, "target").withColumn("sublist", F.when(F.col("section").isin(*[SECTIONS[s] for s in ("requirement", "member", "removed")]), F.col("sublist"))).groupBy("host", "section", "sublist", "culture_class", "culture").agg(F.count(F.lit(1)).alias("cards"))
     owner = modules.join(packages.select("package"), "package").select(F.col("module").alias("culture"), "package", F.lower("name").alias("_name"))
     named = lists.join(owner, "culture").withColumn("_package", F.when(F.col("culture_class") == 2, F.col("package")).otherwise(-1))
     w = Window.partitionBy("host").orderBy("section", F.coalesce(F.try_element_at(place, "sublist"), F.lit(-1)), "culture_class", "_package", "_name", "culture")

@@ -88,10 +88,3 @@ def composite_uri(depths: DataFrame, modules: DataFrame, packages: DataFrame) ->
     query = F.concat_ws("&", F.when(F.col("need_base"), F.concat(F.lit("overload=s"), F.col("base").cast("string"))), F.when(F.col("need_host"), F.concat(F.lit("self=s"), F.col("host").cast("string"))))
     return depths.join(owner, "namespace").select("base", "host", "culture", F.concat(path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")).alias("uri"))
 
-
-def infer_shapes(orphans: DataFrame, groups: DataFrame) -> DataFrame:
-    """(symbol, parent): orphans with a prefix get the only, natural composite at the prefix's route."""
-    low = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), F.lower)
-    asked = orphans.filter(F.size("path") > 1).select("symbol", "namespace", F.array_join(F.slice(low, F.lit(1), F.size(low) - 1), "\t").alias("stem"), F.element_at(low, -1).alias("leaf"), F.lit("/").alias("orientation"))
-    only = groups.filter((F.col("composites") == 1) & (F.col("base") == F.col("host"))).select(*ROUTE, F.col("base").alias("parent"))
-    return asked.join(only, ROUTE, "left").select("symbol", "parent")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.functions.identity import with_interface
+from docgraph.functions.identity import constraint_sentence, with_interface
+from docgraph.operators.packages import ranked_within
 
 
 def natural_vertices(copies: DataFrame) -> DataFrame:
@@ -91,12 +92,54 @@ def bind_extensions(extensions: DataFrame, resolved: DataFrame) -> DataFrame:
     return marked.select("extension", "target", status.alias("status"))
 
 
-def page_facts(paths: DataFrame, modules: DataFrame, roles: DataFrame) -> DataFrame:
-    """One wide row per symbol page: title, community, culture, namespace where it differs, and a note on its role."""
-    names = modules.select(F.col("module").alias("_m"), F.col("name").alias("module_name"))
-    parent = paths.select(F.col("symbol").alias("parent_symbol"), F.array_join("path", ".").alias("parent_title"))
-    of = names.select(F.col("_m").alias("culture"), F.col("module_name").alias("culture_name"))
-    at = names.select(F.col("_m").alias("namespace"), F.col("module_name").alias("_namespace"))
-    joined = paths.join(of, "culture").join(at, "namespace").join(roles.select(F.col("subject").alias("symbol"), "shape", F.col("parent").alias("parent_symbol")), "symbol", "left").join(parent, "parent_symbol", "left")
-    note = F.when(F.col("shape") == "requirement", F.concat(F.lit("Required by "), "parent_title", F.lit("."))).when(F.col("shape") == "member", F.concat(F.lit("Member of "), "parent_title", F.lit(".")))
-    return joined.select("symbol", F.array_join("path", ".").alias("title"), "community", "culture_name", F.when(F.col("namespace") != F.col("culture"), F.col("_namespace")).alias("namespace_name"), note.alias("note"))
+def page_facts(composites: DataFrame, paths: DataFrame, modules: DataFrame) -> DataFrame:
+    """One wide row per composite (base, host, culture): its title and kind, the culture's name, the host's module if
+    that is another (namespace) and the base's module if that is another (base_module).
+
+    ``paths`` (symbol, name, community, culture), ``modules`` (module, name). Composites of unknown symbols are left out; what
+    is said of them otherwise is in ``page_notes``.
+    """
+    names = modules.select(F.col("module").alias("_m"), F.col("name").alias("_n"))
+    named = lambda module, name: names.select(F.col("_m").alias(module), F.col("_n").alias(name))
+    base = paths.select(F.col("symbol").alias("base"), F.col("name").alias("title"), F.col("community").alias("kind"), F.col("culture").alias("_of"))
+    host = paths.select(F.col("symbol").alias("host"), F.col("culture").alias("_at"))
+    placed = composites.select("base", "host", "culture").join(base, "base").join(host, "host")
+    told = placed.join(named("culture", "culture_name"), "culture", "left").join(named("_at", "_host_module"), "_at", "left").join(named("_of", "_base_module"), "_of", "left")
+    other = lambda module, name: F.when(F.col(module) != F.col("culture"), F.col(name))
+    return told.select("base", "host", "culture", "title", "kind", "culture_name", other("_at", "_host_module").alias("namespace"), other("_of", "_base_module").alias("base_module"))
+
+
+def page_notes(composites: DataFrame, paths: DataFrame, shapes: DataFrame, roles: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(base, host, culture, rank, note, link): the notes of composites in their order, one row each.
+
+    * An inherited member is available because Self conforms to the type of which it is a member.
+    * A callable that is a member implements requirements of protocols and overrides members of classes: one note for each
+      of its roles, named by the type the role belongs to (or the role itself, if it belongs to none), by that type's path.
+    * A requirement says so, and which requirements it restates.
+    * Last come the constraints under which the base is available.
+
+    ``paths`` (symbol, name, path, class, community), ``shapes`` (symbol, shape, parent), ``roles`` (subject, slot,
+    object), ``constraints`` (symbol, constraints: subject, verb, object as texts; null or empty: none). ``link`` is the symbol a note leads to (null for none).
+    Equal composites, and equal roles of one, are told once. Roles of unknown symbols are left out.
+    """
+    keys = ["base", "host", "culture"]
+    shape = shapes.select(F.col("symbol").alias("base"), "shape", "parent")
+    known = paths.select(F.col("symbol").alias("base"), "class")
+    pages = composites.select(*keys).distinct().join(known, "base").join(shape, "base", "left")
+    inherited = F.col("base") != F.col("host")
+    at = lambda to: paths.select(F.col("symbol").alias(to), F.col("name").alias("_name"), F.col("path").alias("_path"), F.col("community").alias("_community"))
+    row = lambda section, note, link, path: F.struct(F.lit(section).alias("section"), path.alias("path"), link.alias("link"), note.alias("note"))
+    none, empty = F.lit(None).cast(paths.schema["symbol"].dataType), F.lit(None).cast("array<string>")
+    because = pages.filter((F.col("shape") == "member") & inherited).join(at("parent"), "parent").select(*keys, row(0, F.concat(F.lit("Available because Self conforms to "), "_name", F.lit(".")), F.col("base"), empty).alias("n"))
+    required = pages.filter(F.col("shape") == "requirement").select(*keys, row(0, F.lit("Required."), none, empty).alias("n"))
+    owner = paths.filter(F.col("class").isin("callable", "associatedtype")).select(F.col("symbol").alias("object")).join(shapes.select(F.col("symbol").alias("object"), F.col("parent").alias("_type")), "object")
+    upstream = roles.select(F.col("subject").alias("base"), "slot", "object").distinct().join(owner, "object", "left").withColumn("_type", F.coalesce("_type", "object")).join(at("_type"), "_type")
+    met = pages.join(upstream, "base")
+    prose = F.when((F.col("shape") == "requirement") & (F.col("slot") == "override"), "Restates requirement of ")
+    plain = (F.col("shape") == "member") & ~inherited & (F.col("class") == "callable") & F.col("slot").isin("override", "implementation")
+    prose = prose.when(plain & (F.col("_community") == "protocol"), "Implements requirement of ").when(plain & (F.col("_community") == "class"), "Overrides member of ")
+    of = met.filter(prose.isNotNull()).select(*keys, row(1, F.concat(prose, F.col("_name"), F.lit(".")), F.col("object"), F.col("_path")).alias("n")).distinct()
+    bounds = constraints.filter(F.size("constraints") > 0).select(F.col("symbol").alias("base"), constraint_sentence(F.col("constraints")).alias("_said"))
+    when = pages.join(bounds, "base").select(*keys, row(2, F.col("_said"), none, empty).alias("n"))
+    rows = because.unionByName(required).unionByName(of).unionByName(when)
+    return ranked_within(rows, keys, "n").select(*keys, "rank", "n.note", "n.link")

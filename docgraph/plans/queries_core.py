@@ -250,10 +250,16 @@ BELIEFS = TRAITS + """, marked AS (SELECT t.subject, t.culture, t.slot, t.object
  beliefs AS (SELECT * FROM marked m WHERE belief <> 'accepted' OR NOT EXISTS (SELECT 1 FROM marked p WHERE p.belief = 'primary' AND p.subject = m.subject AND p.slot = m.slot AND p.object = m.object AND p.conditions = m.conditions))"""
 
 
-def _beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The first statement of a symbol's parent, and its roles one by one.
+SHAPES = """shapes AS (SELECT subject AS symbol, f[1] AS shape, f[2] AS parent FROM (SELECT subject, arg_min((slot, object), (pos, slot, object)) AS f FROM statements WHERE verb = 'is' AND slot IN ('member', 'requirement') GROUP BY subject))"""
+ROLES = "roles AS (SELECT DISTINCT subject, slot, object FROM statements WHERE verb = 'is' AND slot NOT IN ('member', 'requirement', 'subclass'))"
+
+
+def _beliefs(spark: SparkSession, sf_dir: str, statements: DataFrame | None = None) -> DataFrame:
     """Beliefs after a push that updates three symbols in four."""
     s = A.symbols(spark, sf_dir)
-    return facts.split_beliefs(facts.traits(_statements(spark, sf_dir)), s, A.modules(spark, sf_dir), s.filter("symbol % 4 <> 1").select("symbol"))
+    said = _statements(spark, sf_dir) if statements is None else statements
+    return facts.split_beliefs(facts.traits(said), s, A.modules(spark, sf_dir), s.filter("symbol % 4 <> 1").select("symbol"))
 
 
 @query(with_tables(*_FACT_TABLES, then=BELIEFS + " SELECT subject, culture, slot, object, conditions, belief FROM beliefs"))

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.functions.identity import classify_fragments
-from docgraph.operators import links, pages, routes
+from docgraph.functions.identity import classify_fragments, is_usable
+from docgraph.functions.storage import stored
+from docgraph.operators import links, pages, routes, shapes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
-from docgraph.plans.queries_core import _FACT_TABLES, BELIEFS, _beliefs
+from docgraph.plans.queries_core import _FACT_TABLES, BELIEFS, ROLES, SHAPES, _beliefs, _statements, _written
 from docgraph.plans.queries_routes import DEPTHS, NATURAL, PATHS, SYNTHETIC, _paths, _routes
 from docgraph.plans.registering import query
 
-TOPICS = BELIEFS + """, topics AS (SELECT b.subject AS host, CASE WHEN b.slot IN ('member', 'feature') AND b.object % 5 = 0 THEN 10
-   ELSE CASE b.slot WHEN 'conformer' THEN 1 WHEN 'conformance' THEN 2 WHEN 'subclass' THEN 3 WHEN 'refinement' THEN 5 WHEN 'implementation' THEN 6 WHEN 'override' THEN 7 WHEN 'member' THEN 9 WHEN 'feature' THEN 9 END END AS section,
-   CASE belief WHEN 'primary' THEN 0 WHEN 'accepted' THEN 1 ELSE 2 END AS culture_class, b.culture, b.object AS target FROM beliefs b)"""
+#: Kinds of hosts, the slots that they list, and the sections' numbers; a member that is not usable is in section 11.
+TOPICS = BELIEFS + ", " + SHAPES + ", " + ROLES + """, usable AS (SELECT p_partkey AS symbol, p_size % 9 > 2 AS usable FROM part),
+ listed(kind, slot, n) AS (VALUES ('requirement', 'override', 3), ('requirement', 'implementation', 2), ('protocol', 'conformer', 7), ('protocol', 'refinement', 1), ('protocol', 'member', 6),
+   ('concrete', 'conformance', 8), ('concrete', 'subclass', 9), ('concrete', 'member', 6), ('concrete', 'feature', 6), ('callable', 'override', 4)),
+ topics AS (SELECT b.subject AS host, CASE WHEN l.n = 6 AND NOT u.usable THEN 11 ELSE l.n END AS section, CASE belief WHEN 'primary' THEN 0 WHEN 'accepted' THEN 1 ELSE 2 END AS culture_class, b.culture, b.object AS target,
+   CASE WHEN b.slot = 'feature' THEN b.subject ELSE b.object END AS target_host, b.conditions
+   FROM beliefs b JOIN symbols h ON h.symbol = b.subject LEFT JOIN shapes s ON s.symbol = b.subject JOIN usable u ON u.symbol = b.object
+   JOIN listed l ON l.slot = b.slot AND l.kind = CASE WHEN s.shape = 'requirement' THEN 'requirement' ELSE h.class END
+   UNION ALL SELECT DISTINCT r.subject, CASE WHEN t.class = 'protocol' THEN 10 ELSE 5 END, 0, h.culture, r.object, r.object, '' FROM roles r JOIN symbols h ON h.symbol = r.subject AND h.class = 'protocol' JOIN symbols t ON t.symbol = r.object)"""
 URIS = PATHS + ", " + NATURAL + ", " + SYNTHETIC + ", " + DEPTHS + """, uris AS (SELECT d.base, d.host, d.culture, CASE WHEN p.rank = 2 THEN '/' || p.name ELSE '' END || '/' || replace(lower(m.name), ' ', '%20')
    || CASE WHEN stem = '' THEN '' ELSE '/' || replace(stem, chr(9), '/') END || CASE WHEN orientation = '.' AND stem <> '' THEN '.' ELSE '/' END || leaf
    || CASE WHEN need_base OR need_host THEN '?' ELSE '' END || CASE WHEN need_base THEN 'overload=s' || base ELSE '' END || CASE WHEN need_host THEN CASE WHEN need_base THEN '&' ELSE '' END || 'self=s' || host ELSE '' END AS uri
@@ -26,17 +33,21 @@ _WITH_TRAITS = BELIEFS
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = A.symbols(spark, sf_dir).select("symbol", (F.col("symbol") % 5 != 0).alias("usable"))
-    return pages.topics(_beliefs(spark, sf_dir), usable)
+    said = stored(_statements(spark, sf_dir), "statements")
+    s = A.symbols(spark, sf_dir)
+    size = F.col("p_size") % 9
+    standing = is_usable(F.when(size == 0, "unavailable").when(size == 1, "deprecated"), F.when(size == 2, "5.1"), F.lit(None).cast("string"))
+    usable = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), standing.alias("usable"))
+    return pages.topics(_beliefs(spark, sf_dir, said), shapes.role_rows(said), shapes.first_shapes(said), s, usable)
 
 
-@query(with_tables(*_FACT_TABLES, then=TOPICS + " SELECT host, section, culture_class, culture, target FROM topics"))
+@query(with_tables(*_FACT_TABLES, then=TOPICS + " SELECT host, section, culture_class, culture, target, target_host, conditions FROM topics"))
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _topics(spark, sf_dir)
+    return _topics(spark, sf_dir).withColumn("conditions", _written("conditions"))
 
 
 @query(with_tables(*_FACT_TABLES, then=TOPICS + ", " + PATHS + """, cards AS (SELECT host, section, culture_class, t.culture, 'symbol' AS kind, target, path FROM topics t JOIN paths p ON p.symbol = target
-   UNION ALL SELECT y.symbol, 9, 0, y.culture, 'article', doc_id, ['doc-' || doc_id % 40] FROM documents JOIN symbols y ON y.symbol = doc_id * 7 % (SELECT max(p_partkey) + 1 FROM part))
+   UNION ALL SELECT y.symbol, 6, 0, y.culture, 'article', doc_id, ['doc-' || doc_id % 40] FROM documents JOIN symbols y ON y.symbol = doc_id * 7 % (SELECT max(p_partkey) + 1 FROM part))
  SELECT host, section, culture_class, culture, kind, target, (row_number() OVER (PARTITION BY host, section ORDER BY culture_class, culture, kind, path[-1], path[1:len(path) - 1], target))::INT AS rank FROM cards"""))
 def sort_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = A.table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0]
@@ -51,7 +62,7 @@ def sort_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.sort_relations(_beliefs(spark, sf_dir), _paths(spark, sf_dir))
 
 
-@query(with_tables(*_FACT_TABLES, then=TOPICS + """, lists AS (SELECT t.host, t.section, CASE WHEN t.section IN (9, 10) THEN y.community END AS sublist, t.culture_class, t.culture, count(*) AS cards FROM topics t JOIN symbols y ON y.symbol = t.target GROUP BY ALL)
+@query(with_tables(*_FACT_TABLES, then=TOPICS + """, lists AS (SELECT t.host, t.section, CASE WHEN t.section IN (5, 6, 11) THEN y.community END AS sublist, t.culture_class, t.culture, count(*) AS cards FROM topics t JOIN symbols y ON y.symbol = t.target GROUP BY ALL)
  SELECT host, section, sublist, culture_class, l.culture, cards, (row_number() OVER (PARTITION BY host ORDER BY section, coalesce(list_position(['case', 'associatedtype', 'typealias', 'initializer', 'deinitializer', 'typeSubscript', 'instanceSubscript', 'typeProperty', 'instanceProperty', 'typeMethod', 'instanceMethod', 'var', 'func', 'operator', 'typeOperator', 'enum', 'struct', 'class', 'actor', 'protocol'], sublist), 0), culture_class, CASE WHEN culture_class = 2 THEN m.package ELSE -1 END, lower(m.name), l.culture))::INT AS rank
  FROM lists l JOIN modules m ON m.module = l.culture"""))
 def sort_sections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions.storage import stored
-from docgraph.operators import docs, facts, routes
+from docgraph.operators import docs, facts, routes, shapes
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import _FACT_TABLES, STATEMENTS, TRAITS, _statements
@@ -73,12 +73,53 @@ def composite_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.composite_uri(routes.overload_depth(_routes(spark, sf_dir)), A.modules(spark, sf_dir), A.packages(spark, sf_dir))
 
 
-@query(with_tables("symbols", then=PATHS + ", " + NATURAL + """, groups AS (SELECT *, count(*) OVER (PARTITION BY namespace, stem, leaf, orientation) AS composites FROM natural_routes),
- orphans AS (SELECT symbol, namespace, path FROM paths WHERE len(path) > 1 AND symbol % 3 = 0)
- SELECT o.symbol, g.base AS parent FROM orphans o LEFT JOIN groups g ON g.composites = 1 AND g.namespace = o.namespace AND g.orientation = '/' AND g.leaf = lower(o.path[-2]) AND g.stem = lower(array_to_string(o.path[1:len(o.path) - 2], chr(9)))"""))
-def infer_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Symbols pushed at 64 versions, some with what the facts of the version say of their parent.
+PUSHES = """pushes AS (SELECT symbol, ver, f[1] AS shape, f[2] AS parent FROM (SELECT l_partkey AS symbol, (l_orderkey % 64)::INT AS ver,
+   min((CASE WHEN l_linenumber % 2 = 1 THEN 'member' ELSE 'requirement' END, (l_orderkey * 7 + l_suppkey) % n)) FILTER (WHERE l_suppkey % 5 = 0) AS f FROM lineitem, (SELECT max(p_partkey) + 1 AS n FROM part) GROUP BY 1, 2))"""
+HELD = """held AS (SELECT m.package, namespace, stem, leaf, orientation, base, host, culture, count(DISTINCT ver) AS retains, min(ver) AS lo FROM {routes} r JOIN pushes p ON p.symbol = r.host JOIN modules m ON m.module = r.culture GROUP BY ALL)"""
+INFERRED = PUSHES + ", " + PATHS + ", " + NATURAL + ", " + HELD.format(routes="natural_routes") + """,
+ asked AS (SELECT p.*, m.package, y.namespace, y.path FROM pushes p JOIN paths y ON y.symbol = p.symbol JOIN modules m ON m.module = y.culture),
+ tried AS (SELECT a.symbol, a.ver, CASE WHEN count(*) = 1 AND min(h.base) = min(h.host) THEN min(h.base) END AS found FROM asked a JOIN held h ON h.package = a.package AND h.namespace = a.namespace AND h.orientation = '/'
+   AND h.leaf = lower(a.path[-2]) AND h.stem = lower(array_to_string(a.path[1:len(a.path) - 2], chr(9))) AND h.lo <= a.ver WHERE len(a.path) > 1 AND a.shape IS NULL GROUP BY a.symbol, a.ver),
+ stated AS (SELECT a.*, t.found, last_value(a.shape IGNORE NULLS) OVER w AS ls, last_value(a.parent IGNORE NULLS) OVER w AS lp, first_value(t.found IGNORE NULLS) OVER w AS ff FROM asked a LEFT JOIN tried t USING (symbol, ver) WINDOW w AS (PARTITION BY a.symbol ORDER BY a.ver ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ inferred AS (SELECT symbol, ver, coalesce(ls, CASE WHEN ff IS NOT NULL THEN 'member' END) AS shape, coalesce(lp, ff) AS parent,
+   CASE WHEN shape IS NOT NULL THEN 'said' WHEN lag(coalesce(lp, ff)) OVER (PARTITION BY symbol ORDER BY ver) IS NOT NULL THEN 'kept' WHEN found IS NOT NULL THEN 'inferred' WHEN len(path) > 1 THEN 'orphan' ELSE 'root' END AS origin FROM stated)"""
+
+
+def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = A.table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0]
+    said = F.struct(F.when(F.col("l_linenumber") % 2 == 1, "member").otherwise("requirement").alias("shape"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).alias("parent"))
+    rows = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("symbol"), (F.col("l_orderkey") % 64).cast("int").alias("ver"))
+    return rows.agg(F.min(F.when(F.col("l_suppkey") % 5 == 0, said)).alias("s")).select("symbol", "ver", "s.shape", "s.parent")
+
+
+def _lens_groups(routes_: DataFrame, pushes: DataFrame, modules: DataFrame) -> DataFrame:
+    """Groups after the pushes of the composites' hosts; the lens is the package of a composite's culture."""
+    lens = modules.select(F.col("module").alias("culture"), "package")
+    return shapes.lens_groups(routes_.join(pushes.select(F.col("symbol").alias("host"), "ver"), "host").join(lens, "culture"))
+
+
+@query(with_tables(*_FACT_TABLES, then=ALL_ROUTES + ", " + PUSHES + ", " + HELD.format(routes="every") + " SELECT package, replace(stem, chr(9), '|') AS stem, namespace, leaf, orientation, base, host, culture, retains, lo, count(*) OVER (PARTITION BY package, namespace, stem, leaf, orientation) AS composites FROM held"))
+def lens_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lens_groups(_routes(spark, sf_dir), _pushes(spark, sf_dir), A.modules(spark, sf_dir)).withColumn("stem", F.replace("stem", F.lit("\t"), F.lit("|")))
+
+
+def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paths(spark, sf_dir)
-    return routes.infer_shapes(p.filter("symbol % 3 = 0"), routes.route_groups(routes.natural_routes(p)))
+    pushes, modules = _pushes(spark, sf_dir), A.modules(spark, sf_dir)
+    owned = p.join(modules.select(F.col("module").alias("culture"), "package"), "culture")
+    return shapes.infer_shapes(pushes, owned, _lens_groups(routes.natural_routes(p), pushes, modules))
+
+
+@query(with_tables("modules", "symbols", then=INFERRED + " SELECT symbol, ver, shape, parent, origin FROM inferred"))
+def infer_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inferred(spark, sf_dir)
+
+
+@query(with_tables("modules", "symbols", then=INFERRED + """ SELECT i.parent AS subject, i.ver, o.culture, 'member' AS slot, i.symbol AS object, CASE WHEN o.culture = s.culture THEN 'primary' ELSE 'accepted' END AS belief
+ FROM inferred i JOIN symbols o ON o.symbol = i.symbol JOIN symbols s ON s.symbol = i.parent WHERE origin = 'inferred' AND EXISTS (SELECT 1 FROM pushes p WHERE p.symbol = i.parent AND p.ver = i.ver)"""))
+def inferred_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.inferred_members(stored(_inferred(spark, sf_dir), "shapes"), A.symbols(spark, sf_dir))
 
 
 @query(with_tables(*_FACT_TABLES, then=STATEMENTS + """ SELECT culture, count(*) FILTER (WHERE verb IS NULL) AS rejected, count(*) FILTER (WHERE verb = 'is') AS roles, count(*) FILTER (WHERE verb = 'has') AS traits FROM statements GROUP BY culture"""))

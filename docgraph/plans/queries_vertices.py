@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions.doc_fields import doc_fields as split_fields
-from docgraph.operators import facts, vertices
+from docgraph.functions.storage import stored
+from docgraph.operators import facts, shapes, vertices
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
-from docgraph.plans.queries_core import _FACT_TABLES, SCOPES, STATEMENTS, _scopes, _statements
+from docgraph.plans.queries_core import _FACT_TABLES, ROLES, SCOPES, SHAPES, TRAITS, _scopes, _statements
 from docgraph.plans.queries_routes import PATHS, _paths
 from docgraph.plans.registering import query
 
@@ -89,13 +90,40 @@ def bind_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertices.bind_extensions(d, d.filter("extension % 4 > 0").select("extension", (F.col("extension") % 97).alias("target")))
 
 
-@query(with_tables(*_FACT_TABLES, then=STATEMENTS + ", " + PATHS + """, g AS (SELECT subject, count(DISTINCT (slot, object)) FILTER (WHERE slot IN ('member', 'requirement')) AS np, min((slot, object)) FILTER (WHERE slot IN ('member', 'requirement')) AS f, count(DISTINCT object) FILTER (WHERE slot = 'subclass') AS ns FROM statements WHERE verb = 'is' GROUP BY subject),
- shapes AS (SELECT subject, f[1] AS shape, f[2] AS parent FROM g WHERE np <= 1 AND ns <= 1)
- SELECT p.symbol, array_to_string(p.path, '.') AS title, p.community, a.name AS culture_name, CASE WHEN p.namespace <> p.culture THEN b.name END AS namespace_name,
-  CASE s.shape WHEN 'requirement' THEN 'Required by ' WHEN 'member' THEN 'Member of ' END || array_to_string(q.path, '.') || '.' AS note
- FROM paths p JOIN modules a ON a.module = p.culture JOIN modules b ON b.module = p.namespace LEFT JOIN shapes s ON s.subject = p.symbol LEFT JOIN paths q ON q.symbol = s.parent"""))
+COMPOSITES = "composites AS (SELECT symbol AS base, symbol AS host, culture FROM symbols UNION SELECT object, subject, culture FROM traits WHERE slot = 'feature')"
+
+
+def _composites(spark: SparkSession, sf_dir: str, statements: DataFrame) -> DataFrame:
+    """Every symbol at its own place, and features at their hosts."""
+    natural = A.symbols(spark, sf_dir).select(F.col("symbol").alias("base"), F.col("symbol").alias("host"), "culture")
+    features = facts.traits(statements).filter("slot = 'feature'").select(F.col("object").alias("base"), F.col("subject").alias("host"), "culture")
+    return natural.unionByName(features).distinct()
+
+
+@query(with_tables(*_FACT_TABLES, then=TRAITS + ", " + COMPOSITES + """ SELECT c.base, c.host, c.culture, y.name AS title, y.community AS kind, m.name AS culture_name, CASE WHEN h.culture <> c.culture THEN a.name END AS namespace, CASE WHEN y.culture <> c.culture THEN b.name END AS base_module
+ FROM composites c JOIN symbols y ON y.symbol = c.base JOIN symbols h ON h.symbol = c.host LEFT JOIN modules m ON m.module = c.culture LEFT JOIN modules a ON a.module = h.culture LEFT JOIN modules b ON b.module = y.culture"""))
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vertices.page_facts(_paths(spark, sf_dir), A.modules(spark, sf_dir), facts.fold_roles(_statements(spark, sf_dir)))
+    found = _composites(spark, sf_dir, _statements(spark, sf_dir))
+    return vertices.page_facts(found, A.symbols(spark, sf_dir), A.modules(spark, sf_dir))
+
+
+@query(with_tables(*_FACT_TABLES, then=TRAITS + ", " + SHAPES + ", " + ROLES + ", " + COMPOSITES + ", " + PATHS + """,
+ page AS (SELECT c.*, y.class, s.shape, s.parent FROM composites c JOIN symbols y ON y.symbol = c.base LEFT JOIN shapes s ON s.symbol = c.base),
+ up AS (SELECT r.subject, r.slot, r.object, t.name, t.path, t.community FROM roles r JOIN symbols o ON o.symbol = r.object LEFT JOIN shapes s ON s.symbol = r.object
+   JOIN paths t ON t.symbol = coalesce(CASE WHEN o.class IN ('callable', 'associatedtype') THEN s.parent END, r.object)),
+ told AS (SELECT base, host, g.culture, 0 AS section, NULL::VARCHAR[] AS path, base AS link, 'Available because Self conforms to ' || t.name || '.' AS note FROM page g JOIN symbols t ON t.symbol = g.parent WHERE shape = 'member' AND base <> host
+   UNION ALL SELECT base, host, culture, 0, NULL, NULL, 'Required.' FROM page WHERE shape = 'requirement'
+   UNION ALL SELECT DISTINCT base, host, g.culture, 1, u.path, u.object, CASE WHEN shape = 'requirement' THEN 'Restates requirement of ' WHEN u.community = 'protocol' THEN 'Implements requirement of ' ELSE 'Overrides member of ' END || u.name || '.' FROM page g JOIN up u ON u.subject = g.base
+     WHERE (shape = 'requirement' AND slot = 'override') OR (shape = 'member' AND base = host AND class = 'callable' AND slot IN ('override', 'implementation') AND u.community IN ('protocol', 'class'))
+   UNION ALL SELECT base, host, culture, 2, NULL, NULL, CASE p_size % 4 WHEN 1 THEN 'Available when A conforms to ' || p_brand || '.' WHEN 2 THEN 'Available when A conforms to ' || p_brand || ' and B is ' || p_type || '.'
+     ELSE 'Available when A conforms to ' || p_brand || ', B is ' || p_type || ', and C inherits from ' || p_name || '.' END FROM page JOIN part ON p_partkey = base WHERE p_size % 4 > 0)
+ SELECT base, host, culture, row_number() OVER (PARTITION BY base, host, culture ORDER BY section, path, link, note) AS rank, note, link FROM told"""))
+def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = stored(_statements(spark, sf_dir), "statements")
+    bound = lambda subject, verb, of: F.struct(F.lit(subject).alias("subject"), F.lit(verb).alias("verb"), F.col(of).alias("object"))
+    every = F.array(bound("A", "conforms", "p_brand"), bound("B", "is", "p_type"), bound("C", "subclasses", "p_name"))
+    bounds = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), F.slice(every, F.lit(1), F.col("p_size") % 4).alias("constraints"))
+    return vertices.page_notes(_composites(spark, sf_dir, said), _paths(spark, sf_dir), shapes.first_shapes(said), shapes.role_rows(said), bounds)
 
 
 @query(None)

@@ -69,11 +69,11 @@ def test_doc_fields_of_nulls_and_repeats(spark):
 
 
 def test_section_order(spark):
-    topics = spark.createDataFrame([(1, 9, 0, 1, 10), (1, 9, 0, 1, 11), (1, 1, 2, 2, 12), (1, 1, 2, 3, 12), (1, 1, 0, 1, 12), (1, 9, 1, 2, 10)], "host bigint, section int, culture_class int, culture int, target bigint")
+    topics = spark.createDataFrame([(1, 6, 0, 1, 10), (1, 6, 0, 1, 11), (1, 7, 2, 2, 12), (1, 7, 2, 3, 12), (1, 7, 0, 1, 12), (1, 6, 1, 2, 10)], "host bigint, section int, culture_class int, culture int, target bigint")
     symbols = spark.createDataFrame([(10, "instanceMethod"), (11, "initializer"), (12, "struct")], "symbol bigint, community string")
     modules = spark.createDataFrame([(1, 5, "M"), (2, 9, "B"), (3, 7, "C")], "module int, package int, name string")
     got = pages.sort_sections(topics, symbols, modules, modules.select("package")).orderBy("rank").collect()
-    assert [(r.section, r.sublist, r.culture_class, r.culture, r.cards) for r in got] == [(1, None, 0, 1, 1), (1, None, 2, 3, 1), (1, None, 2, 2, 1), (9, "initializer", 0, 1, 1), (9, "instanceMethod", 0, 1, 1), (9, "instanceMethod", 1, 2, 1)]
+    assert [(r.section, r.sublist, r.culture_class, r.culture, r.cards) for r in got] == [(6, "initializer", 0, 1, 1), (6, "instanceMethod", 0, 1, 1), (6, "instanceMethod", 1, 2, 1), (7, None, 0, 1, 1), (7, None, 2, 3, 1), (7, None, 2, 2, 1)]
 
 
 def test_links_of_every_form(spark):
