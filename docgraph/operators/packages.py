@@ -66,8 +66,12 @@ def upstream_pins(scopes: DataFrame, modules: DataFrame, wanted: DataFrame, inde
 
 
 def consumers(pins: DataFrame) -> DataFrame:
-    """(dep, dep_ver, consumers): the reverse of the pins."""
-    return pins.groupBy("dep", "dep_ver").agg(F.array_sort(F.collect_set("package")).alias("consumers"))
+    """(dep, dep_ver, consumer, rank): the reverse of the pins, one row a consumer, in their order from 1.
+
+    Long, since every package may use a standard library; pins without a package or a version are left out.
+    """
+    used = pins.filter("package is not null and dep_ver is not null").select("dep", "dep_ver", F.col("package").alias("consumer")).distinct()
+    return ranked_within(used, ["dep", "dep_ver"], "consumer")
 
 
 def register_first_seen(arrivals: DataFrame, key: str, order: list[str], known: DataFrame | None = None) -> DataFrame:

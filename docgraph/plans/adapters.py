@@ -22,21 +22,37 @@ def _pick(values: list[str], index: F.Column) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), index.cast("int") + 1)
 
 
-def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(package, name, rank): package 0 plays the standard library, 1 the core libraries."""
+def packages(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """(package, name, rank): package 0 plays the standard library, 1 the core libraries; wide: a package for each
+    supplier too."""
     r = table(spark, sf_dir, "region")
     name = F.when(F.col("r_regionkey") == 0, "swift").when(F.col("r_regionkey") == 1, "core").otherwise(F.replace(F.lower("r_name"), F.lit(" "), F.lit("-")))
-    return r.select(F.col("r_regionkey").cast("int").alias("package"), name.alias("name"), F.least(F.col("r_regionkey"), F.lit(2)).cast("int").alias("rank"))
+    few = r.select(F.col("r_regionkey").cast("int").alias("package"), name.alias("name"), F.least(F.col("r_regionkey"), F.lit(2)).cast("int").alias("rank"))
+    if not wide:
+        return few
+    return few.unionByName(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 5).cast("int").alias("package"), F.concat(F.lit("lib-"), "s_suppkey").alias("name"), F.lit(2).alias("rank")))
 
 
-def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def modules(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """(module, package, name); wide: four modules for each supplier's package too."""
     n = table(spark, sf_dir, "nation")
-    return n.select(F.col("n_nationkey").cast("int").alias("module"), F.col("n_regionkey").cast("int").alias("package"), F.col("n_name").alias("name"))
+    few = n.select(F.col("n_nationkey").cast("int").alias("module"), F.col("n_regionkey").cast("int").alias("package"), F.col("n_name").alias("name"))
+    if not wide:
+        return few
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    return few.unionByName(s.select((F.col("s_suppkey") * 4 + F.col("k") + 25).cast("int").alias("module"), (F.col("s_suppkey") + 5).cast("int").alias("package"), F.concat(F.lit("Lib "), (F.col("s_suppkey") * 7 % 10).cast("string"), F.lit(" part "), F.col("k").cast("string")).alias("name")))
 
 
-def module_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = modules(spark, sf_dir)
-    return m.select("module", F.explode(F.array(F.col("module") - 5, F.col("module") - 1)).alias("dep")).filter("dep >= 0")
+def module_deps(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """(module, dep); wide: a supplier's modules need the one before in their package and, from the second supplier on, that
+    of the supplier with half its key, so that no chain is long."""
+    few = modules(spark, sf_dir).select("module", F.explode(F.array(F.col("module") - 5, F.col("module") - 1)).alias("dep")).filter("dep >= 0")
+    if not wide:
+        return few
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    own = F.expr("s_suppkey * 4 + k + 25")
+    deps = F.array_compact(F.array(F.when(F.col("k") > 0, own - 1), F.when(F.col("s_suppkey") > 1, F.expr("s_suppkey div 2 * 4 + k + 25"))))
+    return few.unionByName(s.select(own.cast("int").alias("module"), F.explode(deps.cast("array<int>")).alias("dep")))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +84,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("entity"), ver.alias("ver")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("value"))
 
 
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def versions(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """(package, ver, kind, a, b, c, d): 30 versions a package; package 0 has toolchain dates."""
-    p = packages(spark, sf_dir).select("package", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("ver"))
+    p = packages(spark, sf_dir, wide).select("package", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("ver"))
     tool = F.col("package") == 0
     ver = F.col("ver")
     return p.select("package", "ver", F.when(tool, "toolchain").otherwise("semantic").alias("kind"), F.when(tool, 2024).otherwise(F.expr("ver div 12")).cast("int").alias("a"), F.when(tool, 1).otherwise(F.expr("(ver div 4) % 3")).cast("int").alias("b"), F.when(tool, ver + 1).otherwise(ver % 4).cast("int").alias("c"), F.when(tool, 97).otherwise(0).cast("int").alias("d"))
@@ -115,11 +131,20 @@ SQL = {
         FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents)""",
 }
 
+#: The same with suppliers as packages, for queries over packages, modules and versions alone, which grow with them.
+WIDE_SQL = {
+    "packages": SQL["packages"] + " UNION ALL SELECT (s_suppkey + 5)::INT, 'lib-' || s_suppkey, 2 FROM supplier",
+    "modules": SQL["modules"] + " UNION ALL SELECT (s_suppkey * 4 + k + 25)::INT, (s_suppkey + 5)::INT, 'Lib ' || s_suppkey * 7 % 10 || ' part ' || k FROM supplier, (SELECT unnest(range(4)) AS k)",
+    "module_deps": """SELECT module, dep FROM (SELECT n_nationkey::INT AS module, unnest([n_nationkey::INT - 5, n_nationkey::INT - 1]) AS dep FROM nation) WHERE dep >= 0
+        UNION ALL SELECT (s_suppkey * 4 + k + 25)::INT, (s_suppkey * 4 + k + 24)::INT FROM supplier, (SELECT unnest(range(4)) AS k) WHERE k > 0
+        UNION ALL SELECT (s_suppkey * 4 + k + 25)::INT, (s_suppkey // 2 * 4 + k + 25)::INT FROM supplier, (SELECT unnest(range(4)) AS k) WHERE s_suppkey > 1""",
+}
+
 _NEEDS = {"module_deps": ["modules"], "versions": ["packages"]}
 
 
-def with_tables(*names: str, then: str) -> str:
-    """A query that begins with the definitions of the named tables (and of those they need).
+def with_tables(*names: str, then: str, wide: bool = False) -> str:
+    """A query that begins with the definitions of the named tables (and of those they need), of the wide ones if asked.
 
     Further CTEs go in ``then`` as ``name AS (...), ... SELECT``; it starts with the word SELECT or a name.
     """
@@ -128,6 +153,6 @@ def with_tables(*names: str, then: str) -> str:
         for n in [*_NEEDS.get(name, []), name]:
             if n not in order:
                 order.append(n)
-    head = "WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL[n]})" for n in order)
+    head = "WITH RECURSIVE " + ", ".join(f"{n} AS ({(WIDE_SQL if wide and n in WIDE_SQL else SQL)[n]})" for n in order)
     then = then.strip()
     return f"{head} {then}" if then.upper().startswith("SELECT") else f"{head}, {then}"

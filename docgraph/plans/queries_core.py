@@ -88,9 +88,9 @@ def precise_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_tables("versions", then="""masks AS (SELECT package, ver, mask FROM (SELECT package, ver, (ver % 3) AS a, CASE WHEN ver % 2 = 0 THEN ver % 3 END AS b FROM versions) m, LATERAL (SELECT a || coalesce('.' || b, '') AS mask))
- SELECT v.package, v.ver, count(*) FILTER (WHERE v.kind = 'semantic' AND v.a = m.ver % 3 AND (m.ver % 2 = 1 OR v.b = m.ver % 3)) AS n FROM versions v JOIN masks m USING (package) GROUP BY v.package, v.ver"""))
+ SELECT v.package, v.ver, count(*) FILTER (WHERE v.kind = 'semantic' AND v.a = m.ver % 3 AND (m.ver % 2 = 1 OR v.b = m.ver % 3)) AS n FROM versions v JOIN masks m USING (package) GROUP BY v.package, v.ver""", wide=True))
 def match_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = A.versions(spark, sf_dir)
+    v = A.versions(spark, sf_dir, wide=True)
     mask = F.struct(F.lit("semantic").alias("kind"), (F.col("ver") % 3).alias("a"), F.when(F.col("ver") % 2 == 0, F.col("ver") % 3).alias("b"), F.lit(None).cast("int").alias("c"), F.lit(None).cast("int").alias("d"))
     pairs = v.join(v.select("package", mask.alias("mask")), "package")
     hit = V.match_version(F.col("mask"), F.struct("kind", "a", "b", "c", "d"))
@@ -102,22 +102,22 @@ _MASKS = """masked AS (SELECT package, ver, kind, n, CASE n WHEN 1 THEN concat_w
  idx AS (SELECT package, mask, max(ver) AS ver FROM masked GROUP BY package, mask)"""
 
 
-@query(with_tables("versions", then=_MASKS + " SELECT package, mask, ver FROM idx"))
+@query(with_tables("versions", then=_MASKS + " SELECT package, mask, ver FROM idx", wide=True))
 def version_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.version_index(A.versions(spark, sf_dir))
+    return V.version_index(A.versions(spark, sf_dir, wide=True))
 
 
 @query(with_tables("versions", then=_MASKS + """ SELECT m.package, m.ver, CASE WHEN m.ver <> max(m.ver) OVER (PARTITION BY m.package) THEN arg_min(m.mask, m.n) FILTER (WHERE m.n > 0 AND i.ver = m.ver) END AS mask
- FROM masked m LEFT JOIN idx i ON m.package = i.package AND m.mask = i.mask GROUP BY m.package, m.ver"""))
+ FROM masked m LEFT JOIN idx i ON m.package = i.package AND m.mask = i.mask GROUP BY m.package, m.ver""", wide=True))
 def abbreviate_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.abbreviate_version(A.versions(spark, sf_dir))
+    return V.abbreviate_version(A.versions(spark, sf_dir, wide=True))
 
 
 @query(with_tables("versions", then="""l AS (SELECT package, ver, CASE WHEN kind = 'toolchain' THEN concat_ws('-', a, b, c) ELSE concat_ws('.', a, b, c) END
    || CASE WHEN count(*) OVER (PARTITION BY package, kind, a, b, c) > 1 THEN CASE WHEN kind = 'toolchain' THEN '-' || chr(d) ELSE '.' || d END ELSE '' END AS label FROM versions)
- SELECT package, ver, label, ver = CASE WHEN package * 9 - 3 < 0 THEN 0 ELSE least(package * 9 - 3, 29) END AS is_current FROM l"""))
+ SELECT package, ver, label, ver = CASE WHEN package * 9 - 3 < 0 THEN 0 ELSE least(package * 9 - 3, 29) END AS is_current FROM l""", wide=True))
 def version_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.version_labels(A.versions(spark, sf_dir), A.packages(spark, sf_dir).select("package", (F.col("package") * 9 - 3).alias("ver")))
+    return V.version_labels(A.versions(spark, sf_dir, wide=True), A.packages(spark, sf_dir, wide=True).select("package", (F.col("package") * 9 - 3).alias("ver")))
 
 
 SCOPES = """ranked AS (SELECT module, rank FROM modules JOIN packages USING (package)),
@@ -125,27 +125,27 @@ SCOPES = """ranked AS (SELECT module, rank FROM modules JOIN packages USING (pac
    UNION SELECT a.module, b.module FROM ranked a, ranked b WHERE b.rank < a.rank)"""
 
 
-def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.module_scopes(A.modules(spark, sf_dir), A.module_deps(spark, sf_dir), A.packages(spark, sf_dir))
+def _scopes(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    return packages.module_scopes(*(t(spark, sf_dir, wide) for t in (A.modules, A.module_deps, A.packages)))
 
 
-@query(with_tables("packages", "modules", "module_deps", then=SCOPES + " SELECT culture::INT AS culture, namespace::INT AS namespace FROM scopes"))
+@query(with_tables("packages", "modules", "module_deps", then=SCOPES + " SELECT culture::INT AS culture, namespace::INT AS namespace FROM scopes", wide=True))
 def module_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scopes(spark, sf_dir)
+    return _scopes(spark, sf_dir, wide=True)
 
 
 @query(with_tables("packages", "modules", "module_deps", then=SCOPES + """ SELECT culture::INT AS culture, namespace::INT AS namespace FROM scopes
- WHERE culture = namespace OR (culture + namespace) % 3 = 0 OR namespace IN (SELECT module FROM modules WHERE package = 0)"""))
+ WHERE culture = namespace OR (culture + namespace) % 3 = 0 OR namespace IN (SELECT module FROM modules WHERE package = 0)""", wide=True))
 def import_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scopes(spark, sf_dir)
-    return packages.import_scope(s, s.filter((F.col("culture") + F.col("namespace")) % 3 == 0), A.modules(spark, sf_dir).filter("package = 0").select(F.col("module").alias("namespace")))
+    s = _scopes(spark, sf_dir, wide=True)
+    return packages.import_scope(s, s.filter((F.col("culture") + F.col("namespace")) % 3 == 0), A.modules(spark, sf_dir, wide=True).filter("package = 0").select(F.col("module").alias("namespace")))
 
 
 @query(with_tables("modules", "module_deps", then="""inside AS (SELECT d.module, d.dep FROM module_deps d JOIN modules a USING (module) JOIN modules b ON b.module = d.dep WHERE a.package = b.package),
  walk AS (SELECT module, 0 AS depth FROM modules UNION SELECT i.module, w.depth + 1 FROM walk w JOIN inside i ON i.dep = w.module)
- SELECT module, max(depth)::INT AS depth FROM walk GROUP BY module"""))
+ SELECT module, max(depth)::INT AS depth FROM walk GROUP BY module""", wide=True))
 def module_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.module_order(A.modules(spark, sf_dir), A.module_deps(spark, sf_dir))
+    return packages.module_order(A.modules(spark, sf_dir, wide=True), A.module_deps(spark, sf_dir, wide=True))
 
 
 PINS = _MASKS + """, pairs AS (SELECT DISTINCT a.package, b.package AS dep FROM scopes JOIN modules a ON a.module = culture JOIN modules b ON b.module = namespace WHERE a.package <> b.package),
@@ -154,19 +154,23 @@ PINS = _MASKS + """, pairs AS (SELECT DISTINCT a.package, b.package AS dep FROM
 
 
 def _pins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.packages(spark, sf_dir).select("package")
-    wanted = p.join(p.select(F.col("package").alias("dep")), F.col("package") % 2 == F.col("dep") % 2).select("package", "dep", F.concat(F.lit("semantic:1:"), (F.col("package") % 3).cast("string")).alias("mask"))
-    return packages.upstream_pins(_scopes(spark, sf_dir), A.modules(spark, sf_dir), wanted, V.version_index(A.versions(spark, sf_dir)))
+    """Pins of packages whose lockfiles name every other dependency, some at versions that do not exist."""
+    scopes, modules = _scopes(spark, sf_dir, wide=True), A.modules(spark, sf_dir, wide=True)
+    of = modules.select(F.col("module").alias("culture"), "package")
+    at = modules.select(F.col("module").alias("namespace"), F.col("package").alias("dep"))
+    pairs = scopes.join(of, "culture").join(at, "namespace").filter("package <> dep and (package + dep) % 2 = 0").select("package", "dep").distinct()
+    wanted = pairs.withColumn("mask", F.concat(F.lit("semantic:1:"), (F.col("package") % 3).cast("string")))
+    return packages.upstream_pins(scopes, modules, wanted, V.version_index(A.versions(spark, sf_dir, wide=True)))
 
 
-@query(with_tables("packages", "modules", "module_deps", "versions", then=SCOPES + ", " + PINS + " SELECT package, dep, dep_ver FROM pins"))
+@query(with_tables("packages", "modules", "module_deps", "versions", then=SCOPES + ", " + PINS + " SELECT package, dep, dep_ver FROM pins", wide=True))
 def upstream_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pins(spark, sf_dir)
 
 
-@query(with_tables("packages", "modules", "module_deps", "versions", then=SCOPES + ", " + PINS + " SELECT dep, dep_ver, string_agg(package::VARCHAR, ',' ORDER BY package) AS consumers FROM pins GROUP BY dep, dep_ver"))
+@query(with_tables("packages", "modules", "module_deps", "versions", then=SCOPES + ", " + PINS + " SELECT dep, dep_ver, package AS consumer, row_number() OVER (PARTITION BY dep, dep_ver ORDER BY package) AS rank FROM pins", wide=True))
 def consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.consumers(_pins(spark, sf_dir)).select("dep", "dep_ver", F.array_join(F.col("consumers").cast("array<string>"), ",").alias("consumers"))
+    return packages.consumers(_pins(spark, sf_dir))
 
 
 @query("SELECT l_partkey AS part, (row_number() OVER (ORDER BY first, l_partkey) - 1)::BIGINT AS idx FROM (SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY l_partkey)")

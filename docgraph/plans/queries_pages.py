@@ -69,9 +69,9 @@ def sort_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.sort_sections(_topics(spark, sf_dir), A.symbols(spark, sf_dir), A.modules(spark, sf_dir), A.packages(spark, sf_dir))
 
 
-@query(with_tables("modules", then="SELECT package, module, (row_number() OVER (PARTITION BY package ORDER BY lower(name), module))::INT AS rank FROM modules"))
+@query(with_tables("modules", then="SELECT package, module, (row_number() OVER (PARTITION BY package ORDER BY lower(name), module))::INT AS rank FROM modules", wide=True))
 def module_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.module_list(A.modules(spark, sf_dir))
+    return pages.module_list(A.modules(spark, sf_dir, wide=True))
 
 
 def _uris(spark: SparkSession, sf_dir: str, paths: DataFrame) -> DataFrame:

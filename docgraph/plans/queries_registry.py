@@ -43,9 +43,9 @@ def updated_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.updated_symbols(_vertices(spark, sf_dir), _registered(spark, sf_dir))
 
 
-@query(with_tables("modules", "module_deps", then="SELECT DISTINCT a.package, d.dep FROM module_deps d JOIN modules a USING (module) JOIN modules b ON b.module = d.dep WHERE a.package = b.package"))
+@query(with_tables("modules", "module_deps", then="SELECT DISTINCT a.package, d.dep FROM module_deps d JOIN modules a USING (module) JOIN modules b ON b.module = d.dep WHERE a.package = b.package", wide=True))
 def union_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.union_dependencies(A.modules(spark, sf_dir), A.module_deps(spark, sf_dir))
+    return registry.union_dependencies(A.modules(spark, sf_dir, wide=True), A.module_deps(spark, sf_dir, wide=True))
 
 
 @query(with_tables("modules", "module_deps", "symbols", then=PATHS + """, sets AS (SELECT culture AS module, 'toplevel' AS kind, symbol AS member FROM paths WHERE len(path) = 1
@@ -65,9 +65,9 @@ def sort_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tables("packages", "modules", "versions", then=_MASKS + """, short AS (SELECT m.package, m.ver, CASE WHEN m.ver <> max(m.ver) OVER (PARTITION BY m.package) THEN arg_min(m.mask, m.n) FILTER (WHERE m.n > 0 AND i.ver = m.ver) END AS mask
    FROM masked m LEFT JOIN idx i ON m.package = i.package AND m.mask = i.mask GROUP BY m.package, m.ver),
  head AS (SELECT s.package, s.ver, '/reference' || CASE WHEN p.rank = 2 THEN '/' || p.name ELSE '' END || CASE WHEN mask IS NULL THEN '' ELSE '/' || CASE WHEN mask LIKE 'toolchain%' THEN replace(mask[11:], ':', '-') ELSE replace(mask[10:], ':', '.') END END AS head FROM short s JOIN packages p USING (package))
- SELECT package, ver, NULL::INT AS module, head AS uri FROM head UNION ALL SELECT h.package, ver, module, head || '/' || replace(lower(m.name), ' ', '%20') FROM head h JOIN modules m USING (package)"""))
+ SELECT package, ver, NULL::INT AS module, head AS uri FROM head UNION ALL SELECT h.package, ver, module, head || '/' || replace(lower(m.name), ' ', '%20') FROM head h JOIN modules m USING (package)""", wide=True))
 def entity_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.entity_uri(A.modules(spark, sf_dir), A.packages(spark, sf_dir), V.abbreviate_version(A.versions(spark, sf_dir)))
+    return registry.entity_uri(A.modules(spark, sf_dir, wide=True), A.packages(spark, sf_dir, wide=True), V.abbreviate_version(A.versions(spark, sf_dir, wide=True)))
 
 
 def _uris(spark: SparkSession, sf_dir: str) -> DataFrame:
