@@ -123,12 +123,20 @@ def sitemap(modules: DataFrame, packages: DataFrame, articles: DataFrame, paths:
     return own.unionByName(texts).unionByName(standing.select("package", "module", F.lit(2).alias("kind"), F.concat(F.lit(domain), "uri").alias("line")))
 
 
-def article_feed(articles: DataFrame, domain: str) -> DataFrame:
-    """(id, title, snippet, link): the first line is the title, the first paragraph of the rest the snippet; the link
-    is the article's URI, its title in lower case with hyphens for spaces."""
-    title = F.substring_index("text", "\n", 1)
-    rest = F.trim(F.substring("text", F.length(title) + 2, F.length("text")))
-    return articles.select("id", F.trim(title).alias("title"), F.substring_index(rest, "\n", 1).alias("snippet"), F.concat(F.lit(domain), F.lit("/"), encode_component(F.replace(F.lower(F.trim(title)), F.lit(" "), F.lit("-")))).alias("link"))
+def article_feed(articles: DataFrame, uris: DataFrame, domain: str) -> DataFrame:
+    """(article, title, snippet, link) of ``articles`` (article, text) that have a URI (``latest_article_uris``).
+
+    The title is the first line without its marks of a headline. The snippet is the first paragraph after it, its lines
+    joined by a space; it is empty if another kind of block (headline, list, quotation, code) comes first. A null text
+    has an empty title and snippet.
+    """
+    text = F.coalesce("text", F.lit(""))
+    head = F.substring_index(text, "\n", 1)
+    rest = F.regexp_replace(F.substring(text, F.length(head) + 2, F.length(text)), r"^[ \n\r\t]+", "")
+    block = F.trim(F.substring_index(rest, "\n\n", 1))
+    other = F.rlike(block, F.lit(r"^(#|[-*+>] |```|[0-9]+[.)] )"))
+    snippet = F.when(other, "").otherwise(F.regexp_replace(block, r"[ \t\r]*\n[ \t\r]*", " "))
+    return articles.join(uris.select("article", "uri"), "article").select("article", F.trim(F.regexp_replace(head, r"^#+", "")).alias("title"), snippet.alias("snippet"), F.concat(F.lit(domain), "uri").alias("link"))
 
 
 def choices(composites: DataFrame, modules: DataFrame, packages: DataFrame) -> DataFrame:

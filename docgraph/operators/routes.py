@@ -41,6 +41,17 @@ def breadcrumbs(paths: DataFrame) -> DataFrame:
     return paths.select("symbol", F.posexplode(F.slice("trail", F.lit(1), F.size("trail") - 1)).alias("level", "ancestor"))
 
 
+def composite_breadcrumbs(composites: DataFrame, trails: DataFrame) -> DataFrame:
+    """(base, host, culture, level, ancestor): the trail of a page from the root down, levels from 0.
+
+    A symbol at its own place has the symbols above it, an inherited one those above its host and the host. ``trails``
+    (symbol, trail: from the root to the symbol, as of ``symbol_paths``); hosts with a null trail have no crumbs.
+    """
+    above = composites.join(trails.select(F.col("symbol").alias("host"), "trail"), "host")
+    crumbs = F.when(F.col("base") == F.col("host"), F.slice("trail", F.lit(1), F.size("trail") - 1)).otherwise(F.col("trail"))
+    return above.select("base", "host", "culture", F.posexplode(crumbs).alias("level", "ancestor"))
+
+
 def natural_routes(paths: DataFrame) -> DataFrame:
     """(namespace, stem, leaf, orientation, base, host, culture) of every symbol at its own path."""
     return paths.filter(F.col("path").isNotNull()).withColumn("_k", route_key(F.col("path"), F.col("class"))).select("namespace", "_k.stem", "_k.leaf", "_k.orientation", F.col("symbol").alias("base"), F.col("symbol").alias("host"), "culture")

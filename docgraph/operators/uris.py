@@ -67,6 +67,21 @@ def place_uris(entities: DataFrame, eco: Ecosystem, masks: DataFrame, moves: Dat
     return at.select(*[entities[c] for c in entities.columns], F.when(F.col("_known"), uri).alias("uri"))
 
 
+def latest_article_uris(articles: DataFrame, modules: DataFrame, packages: DataFrame, moves: DataFrame, latest: DataFrame) -> DataFrame:
+    """(article, uri) of ``articles`` (article, module, name) at the latest version of their package.
+
+    The URI has no version; it is below the place to which the module's articles moved last, if that was at this version. Articles
+    of unknown modules are left out. ``latest`` (package, ver).
+    """
+    owners = modules.select("module", "package", F.lower("name").alias("_module")).join(packages.select("package", F.col("name").alias("_package"), "rank"), "package").join(latest, "package")
+    moved = last_moves(moves).filter("kind = 'article'").select("module", "uri", "ver")
+    placed = owners.join(moved, ["module", "ver"], "left")
+    parts = F.array_compact(F.array(F.when(F.col("rank") == 2, encode_component(F.col("_package"))), encode_component(F.col("_module"))))
+    root = placed.select("module", F.coalesce("uri", F.concat(F.lit(f"/{_WORD['article']}/"), F.array_join(parts, "/"))).alias("_root"))
+    name = F.array_join(F.transform(F.split(F.lower("name"), "/"), encode_component), "/")
+    return articles.join(root, "module").select("article", F.concat("_root", F.lit("/"), name).alias("uri"))
+
+
 def composite_uris(entities: DataFrame, book: Book, query: bool = True) -> DataFrame:
     """``entities`` (package, ver, exhibit, base, host, culture, ...) with ``path`` and ``params`` of their URIs.
 

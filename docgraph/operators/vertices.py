@@ -67,17 +67,19 @@ def naturalize(symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return vertices, edges, locations
 
 
-def resolve_declarations(fragments: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(declarations, warnings): fragments (symbol, culture, pos, text, link) with links resolved.
+def resolve_declarations(fragments: DataFrame, constraints: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fragments, constraints, warnings): the pieces of declarations with their links resolved, in long form.
 
-    An unresolved link becomes null, its text stays; only ids of the language (leading s) are reported.
+    ``fragments`` (symbol, culture, pos, text, link) become (symbol, pos, text, target), ``constraints`` (symbol, culture,
+    list, pos, subject, verb, text, link) become (symbol, list, pos, subject, verb, text, target), where the list is that of the
+    extension or of the generics. ``resolved`` (culture, id, symbol): each id of a culture once. An unresolved link becomes
+    null and its text stays; only ids of the language (leading s) are reported, once for each declaration they are in.
     """
-    r = resolved.select("culture", F.col("id").alias("link"), F.col("symbol").alias("target"))
-    joined = fragments.join(r, ["culture", "link"], "left")
-    rows = F.array_sort(F.collect_list(F.struct("pos", "text", "target")))
-    declarations = joined.groupBy("symbol").agg(rows.alias("rows")).select("symbol", F.transform("rows", lambda x: F.struct(x["text"].alias("text"), x["target"].alias("target"))).alias("fragments"))
-    warnings = joined.filter(F.col("target").isNull() & F.startswith("link", F.lit("s"))).select("culture", "link").distinct()
-    return declarations, warnings
+    known = resolved.select("culture", F.col("id").alias("link"), F.col("symbol").alias("target"))
+    pieces = fragments.join(known, ["culture", "link"], "left")
+    bounds = constraints.join(known, ["culture", "link"], "left")
+    missing = [d.filter(F.col("target").isNull() & F.startswith("link", F.lit("s"))).select("symbol", "culture", "link") for d in (pieces, bounds)]
+    return pieces.select("symbol", "pos", "text", "target"), bounds.select("symbol", "list", "pos", "subject", "verb", "text", "target"), missing[0].unionByName(missing[1]).distinct()
 
 
 def bind_extensions(extensions: DataFrame, resolved: DataFrame) -> DataFrame:

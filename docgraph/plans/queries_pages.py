@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions.identity import classify_fragments, is_usable
 from docgraph.functions.storage import stored
-from docgraph.operators import links, pages, routes, shapes
+from docgraph.operators import links, pages, routes, shapes, uris
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import _FACT_TABLES, BELIEFS, ROLES, SHAPES, _beliefs, _statements, _written
@@ -103,12 +103,20 @@ def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.sitemap(A.modules(spark, sf_dir), A.packages(spark, sf_dir), articles, p, p.filter("symbol % 11 <> 0").select("symbol"), _uris(spark, sf_dir, p), "https://docs.example.com")
 
 
-@query("""WITH a AS (SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
- t AS (SELECT id, trim(string_split(text, chr(10))[1], ' ') AS title, trim(text[length(string_split(text, chr(10))[1]) + 2:], ' ') AS rest FROM a)
- SELECT id, title, string_split(rest, chr(10))[1] AS snippet, 'https://docs.example.com/' || replace(url_encode(replace(lower(title), ' ', '-')), '%3A', ':') AS link FROM t""")
+@query(with_tables("packages", "modules", then="""a AS (SELECT conv_id AS article, '# ' || string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+ t AS (SELECT article, string_split(text, chr(10))[1] AS head, regexp_replace(text[length(string_split(text, chr(10))[1]) + 2:], '^[ \n\r\t]+', '') AS rest FROM a),
+ b AS (SELECT article, trim(regexp_replace(head, '^#+', ''), ' ') AS title, trim(string_split(rest, chr(10) || chr(10))[1], ' ') AS block FROM t)
+ SELECT article, title, CASE WHEN regexp_matches(block, '^(#|[-*+>] |```|[0-9]+[.)] )') THEN '' ELSE regexp_replace(block, '[ \t\r]*\n[ \t\r]*', ' ', 'g') END AS snippet,
+   'https://docs.example.com' || CASE WHEN module % 2 = 0 THEN '/texts/' || module ELSE '/learn' || CASE WHEN p.rank = 2 THEN '/' || p.name ELSE '' END || '/' || replace(lower(m.name), ' ', '%20') END || '/note-' || article AS link
+ FROM b JOIN modules m ON m.module = article % 25 JOIN packages p USING (package)"""))
 def article_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = A.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return pages.article_feed(turns.select("id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text")), "https://docs.example.com")
+    turns = A.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("article")).agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    texts = turns.select("article", F.concat(F.lit("# "), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n")).alias("text"))
+    named = turns.select("article", (F.col("article") % 25).cast("int").alias("module"), F.concat(F.lit("Note-"), F.col("article").cast("string")).alias("name"))
+    modules, packages = A.modules(spark, sf_dir), A.packages(spark, sf_dir)
+    latest = packages.select("package", F.lit(29).alias("ver"))
+    moves = modules.select(F.lit("article").alias("kind"), "module", F.concat(F.lit("/texts/"), F.col("module").cast("string")).alias("uri"), F.when(F.col("module") % 2 == 0, 29).otherwise(20).alias("ver"))
+    return pages.article_feed(texts, uris.latest_article_uris(named, modules, packages, moves, latest), "https://docs.example.com")
 
 
 @query(with_tables(*_FACT_TABLES, then=BELIEFS + ", " + PATHS + ", " + NATURAL + ", " + SYNTHETIC + """, held AS (SELECT DISTINCT namespace, stem, leaf, orientation, base, host, culture FROM every),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions.doc_fields import doc_fields as split_fields
 from docgraph.functions.storage import stored
-from docgraph.operators import facts, shapes, vertices
+from docgraph.operators import facts, routes, shapes, vertices
 from docgraph.plans import adapters as A
 from docgraph.plans.adapters import with_tables
 from docgraph.plans.queries_core import _FACT_TABLES, ROLES, SCOPES, SHAPES, TRAITS, _scopes, _statements
@@ -71,16 +71,21 @@ def naturalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.unionByName(e).unionByName(at)
 
 
-@query(with_tables("packages", "modules", "module_deps", "symbols", "edges", then=SCOPES + """, ids AS (SELECT DISTINCT s.culture, t.name AS id FROM edges e JOIN symbols s ON s.symbol = e.source JOIN symbols t ON t.symbol = e.target),
- seen AS (SELECT i.culture, i.id, count(DISTINCT s.symbol) AS n, min(s.symbol) AS symbol FROM ids i JOIN symbols s ON s.name = i.id JOIN scopes x ON x.culture = i.culture AND x.namespace = s.culture GROUP BY i.culture, i.id),
- f AS (SELECT e.source AS symbol, e.pos, t.name AS text, CASE WHEN z.n = 1 THEN z.symbol END AS target FROM edges e JOIN symbols s ON s.symbol = e.source JOIN symbols t ON t.symbol = e.target LEFT JOIN seen z ON z.culture = s.culture AND z.id = t.name)
- SELECT symbol, string_agg(text || ':' || coalesce(target::VARCHAR, '-'), ',' ORDER BY pos, text) AS fragments FROM f GROUP BY symbol"""))
+@query(with_tables("packages", "modules", "module_deps", "symbols", "edges", then=SCOPES + """, links AS (SELECT e.source AS symbol, s.culture, e.pos, e.relation, t.name AS link, e.target % 2 = 0 AS generic FROM edges e JOIN symbols s ON s.symbol = e.source JOIN symbols t ON t.symbol = e.target),
+ known AS (SELECT i.culture, i.link, min(s.symbol) AS symbol FROM (SELECT DISTINCT culture, link FROM links) i JOIN symbols s ON s.name = i.link JOIN scopes x ON x.culture = i.culture AND x.namespace = s.culture GROUP BY i.culture, i.link HAVING count(DISTINCT s.symbol) = 1),
+ found AS (SELECT l.*, k.symbol AS target FROM links l LEFT JOIN known k ON k.culture = l.culture AND k.link = l.link)
+ SELECT 'fragment' AS part, symbol, pos, link AS text, target FROM found WHERE relation <> 'conformer' UNION ALL SELECT CASE WHEN generic THEN 'generic' ELSE 'extension' END, symbol, pos, 'Self conforms ' || link, target FROM found WHERE relation = 'conformer'
+ UNION ALL SELECT DISTINCT 'warning', symbol, NULL::BIGINT, link, NULL::BIGINT FROM found WHERE target IS NULL AND link LIKE 's%'"""))
 def resolve_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, e = A.symbols(spark, sf_dir), A.edges(spark, sf_dir)
-    f = e.join(s.select(F.col("symbol").alias("source"), "culture"), "source").join(s.select(F.col("symbol").alias("target"), F.col("name").alias("link")), "target").select(F.col("source").alias("symbol"), "culture", "pos", F.col("link").alias("text"), "link")
-    known = facts.resolve_identifiers(f.select("culture", F.col("link").alias("id")).distinct(), s.select(F.col("name").alias("id"), "symbol", F.col("culture").alias("module")), _scopes(spark, sf_dir))
-    done, _ = vertices.resolve_declarations(f, known)
-    return done.select("symbol", F.array_join(F.transform("fragments", lambda x: F.concat_ws(":", x["text"], F.coalesce(x["target"].cast("string"), F.lit("-")))), ",").alias("fragments"))
+    ends = e.join(s.select(F.col("symbol").alias("source"), "culture"), "source").join(s.select(F.col("symbol").alias("target"), F.col("name").alias("link")), "target")
+    told = ends.select(F.col("source").alias("symbol"), "culture", "pos", "relation", F.col("link").alias("text"), "link", F.when(F.col("target") % 2 == 0, "generic").otherwise("extension").alias("list"), F.lit("Self").alias("subject"), F.lit("conforms").alias("verb"))
+    known = facts.resolve_identifiers(told.select("culture", F.col("link").alias("id")).distinct(), s.select(F.col("name").alias("id"), "symbol", F.col("culture").alias("module")), _scopes(spark, sf_dir))
+    pieces, bounds, warnings = vertices.resolve_declarations(told.filter("relation <> 'conformer'"), told.filter("relation = 'conformer'"), known)
+    none = F.lit(None).cast("bigint")
+    rows = pieces.select(F.lit("fragment").alias("part"), "symbol", "pos", "text", "target")
+    rows = rows.unionByName(bounds.select(F.col("list").alias("part"), "symbol", "pos", F.concat_ws(" ", "subject", "verb", "text").alias("text"), "target"))
+    return rows.unionByName(warnings.select(F.lit("warning").alias("part"), "symbol", none.alias("pos"), F.col("link").alias("text"), none.alias("target")))
 
 
 @query("""WITH e AS (SELECT doc_id AS extension, doc_id AS pos, CASE WHEN doc_id % 4 > 0 THEN doc_id % 97 END AS target FROM documents)
@@ -126,6 +131,12 @@ def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertices.page_notes(_composites(spark, sf_dir, said), _paths(spark, sf_dir), shapes.first_shapes(said), shapes.role_rows(said), bounds)
 
 
+@query(with_tables(*_FACT_TABLES, then=TRAITS + ", " + COMPOSITES + ", " + PATHS + """, crumbs AS (SELECT c.base, c.host, c.culture, unnest(p.trail) AS ancestor, generate_subscripts(p.trail, 1) - 1 AS level FROM composites c JOIN paths p ON p.symbol = c.host)
+ SELECT base, host, culture, level::INT AS level, ancestor FROM crumbs WHERE base <> host OR ancestor <> base"""))
+def composite_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.composite_breadcrumbs(_composites(spark, sf_dir, _statements(spark, sf_dir)), _paths(spark, sf_dir))
+
+
 @query(None)
 def doc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.table(spark, sf_dir, "documents")
