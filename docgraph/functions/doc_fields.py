@@ -1,8 +1,9 @@
 """Fields of a documentation comment, as a table function: one row per field.
 
 A line-based subset of Markdown: directives (``@import``, ``@path``, ``@notitle``) lead, then come headline,
-summary, sections that a heading owns up to the next one of its level or above, parameters, returns, asides,
-code blocks and link targets.
+summary, sections that a heading owns up to the next one of its level or above, parameters (one by one or listed below
+an item ``Parameters:``), returns, asides, code blocks and link targets outside of code. Items go on in indented lines. The
+summary is the first block if that is a paragraph; a code block without an end goes to the end of the text.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ ASIDES = frozenset("attention author authors bug complexity copyright date exper
 _DIRECTIVE = re.compile(r"^@(\w+)(?:\(([^)]*)\))?\s*$")
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
 _ITEM = re.compile(r"^\s*[-*+]\s+(?:(parameter)\s+(\S+?)|([A-Za-z ]+?))\s*:\s*(.*)$", re.IGNORECASE)
+_LISTED = re.compile(r"^\s{2,}[-*+]\s+(\S+?)\s*:\s*(.*)$")
+_BLOCK = re.compile(r"^\s*([-*+>]\s|[0-9]+[.)]\s)")
 _LINK = re.compile(r"``([^`]+)``|<doc:([^>]+)>|\]\(([^)\s]+)\)")
 SCHEMA = T.StructType([T.StructField("field", T.StringType()), T.StructField("name", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("ordinal", T.IntegerType()), T.StructField("content", T.StringType())])
 
 
 def fields(text: str | None) -> Iterator[tuple[str, str | None, int, int, str]]:
     """(field, name, level, ordinal, content) rows of one comment in order."""
-    rows: list[tuple[str, str | None, int, str]] = []
+    rows: list[tuple[str, str | None, int, str | list[str]]] = []
     lines = (text or "").split("\n")
     at = 0
     while at < len(lines) and (not lines[at].strip() or _DIRECTIVE.match(lines[at])):
@@ -34,21 +37,28 @@ def fields(text: str | None) -> Iterator[tuple[str, str | None, int, int, str]]:
             rows.append(("directive", found[1], 0, found[2] or ""))
         at += 1
     body = lines[at:]
+    headed_links: list[str] = []
     headed = bool(body) and (first := _HEADING.match(body[0])) is not None and len(first[1]) == 1
     if headed:
         headline = _HEADING.match(body.pop(0))[2]
         rows.append(("headline", None, 1, headline))
+        headed_links = [next(g for g in m.groups() if g) for m in _LINK.finditer(headline)]
         binding = re.fullmatch(r"``([^`]+)``", headline)
         if binding:
             rows.append(("binding", None, 0, binding[1]))
-    paragraphs: list[list[str]] = [[]]
+    spoken: list[str] = []
     fence: list[str] | None = None
     open_: list[tuple[int, str, list[str]]] = []
     sections: list[tuple[int, str, list[str]]] = []
+    links: list[str] = []
+    said: list[str] | None = None  # the item that indented lines go on with
+    outline = False  # below an item that lists parameters
+    leading = True  # nothing but the first paragraph so far
     for line in body:
         for section in open_:
             section[2].append(line)
         if line.lstrip().startswith("```"):
+            leading, said, outline = False, None, False
             if fence is None:
                 fence = []
             else:
@@ -58,39 +68,53 @@ def fields(text: str | None) -> Iterator[tuple[str, str | None, int, int, str]]:
         if fence is not None:
             fence.append(line)
             continue
+        links += [next(g for g in m.groups() if g) for m in _LINK.finditer(line)]
+        if not line.strip():
+            leading, said = leading and not spoken, None
+            continue
         heading = _HEADING.match(line)
         if heading:
+            leading, said, outline = False, None, False
             level = len(heading[1])
             for section in [s for s in open_ if s[0] >= level]:
                 section[2].pop()
             open_ = [s for s in open_ if s[0] < level]
             open_.append((level, heading[2], []))
             sections.append(open_[-1])
-            paragraphs.append([])
+            continue
+        listed = _LISTED.match(line) if outline else None
+        if listed:
+            said = [listed[2]]
+            rows.append(("parameter", listed[1], 0, said))
             continue
         item = _ITEM.match(line)
         if item:
             word = (item[1] or item[3]).lower().replace(" ", "")
-            if item[1]:
-                rows.append(("parameter", item[2], 0, item[4]))
-                continue
-            if word in ("returns", "parameters"):
-                rows.append((word, None, 0, item[4]))
+            kind = word if word in ("parameter", "parameters", "returns") else "aside" if word in ASIDES else None
+            if kind:
+                leading, outline, said = False, kind == "parameters", [item[4]]
+                rows.append((kind, item[2] if item[1] else word if kind == "aside" else None, 0, said))
                 continue
-            if word in ASIDES:
-                rows.append(("aside", word, 0, item[4]))
-                continue
-        if line.strip():
-            paragraphs[-1].append(line.strip())
+        if said is not None and line[:2].isspace() and not _BLOCK.match(line):
+            said.append(line.strip())
+            continue
+        said, outline = None, False
+        if leading and (spoken or not _BLOCK.match(line)):
+            if _BLOCK.match(line):
+                leading = False
+            else:
+                spoken.append(line.strip())
         else:
-            paragraphs.append([])
+            leading = False
+    if fence is not None:
+        rows.append(("code", None, 0, "\n".join(fence)))
     rows += [("section", name, level, "\n".join(content).strip()) for level, name, content in sections]
-    spoken = [" ".join(p) for p in paragraphs if p]
     if spoken:
-        rows.append(("summary", None, 0, spoken[0]))
-    rows += [("link", None, 0, next(g for g in m.groups() if g)) for m in _LINK.finditer(text or "")]
+        rows.append(("summary", None, 0, " ".join(spoken)))
+    rows += [("link", None, 0, link) for link in headed_links + links]
     for ordinal, row in enumerate(rows):
-        yield row[0], row[1], row[2], ordinal, row[3]
+        content = row[3] if isinstance(row[3], str) else " ".join(w for w in row[3] if w)
+        yield row[0], row[1], row[2], ordinal, content
 
 
 @F.udtf(returnType=SCHEMA)
