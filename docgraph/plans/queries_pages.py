@@ -132,5 +132,7 @@ def resolve_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.symbols(spark, sf_dir).join(A.modules(spark, sf_dir).select(F.col("module").alias("culture"), "package"), "culture").select(F.col("name").alias("id"), "symbol", "package")
     part = A.table(spark, sf_dir, "part")
     n = part.count()
-    q = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_custkey") % n).alias("p_partkey")).join(part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("id")), "p_partkey", "left").select("query", "id")
+    ids = part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("id"))
+    # part grows, and its compressed files say little of its rows: it is not broadcast
+    q = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_custkey") % n).alias("p_partkey")).join(ids.hint("merge"), "p_partkey", "left").select("query", "id")
     return links.resolve_by_rank(q, s, A.packages(spark, sf_dir).filter("package < 3").select("package", F.col("package").alias("rank")))
