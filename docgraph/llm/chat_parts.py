@@ -169,7 +169,7 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
                 tokens = sum(f["tokens"] for f in found)
                 if sent is not None:
                     model = bpe.loaded(tokenizer, sent.value)
-                    tokens += sum(g[1] for piece in own.split(text)[::2] for g in model.chunks(piece))
+                    tokens += sum(g[1] for lists in model.chunks(own.split(text)[::2]) for got in lists for g in got)
                 rows.append((turn, text, len(text), loss, found, tokens))
                 size += len(text)
                 if size > BATCH_CHARS or i + 1 == batch.num_rows:
